@@ -1,10 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from . import mixing, sharding, url_filter
+from . import fingerprint, language_id, mixing, neighbours, packing, quality, sharding, simhash, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_neighbours": neighbours.op2_neighbours,
+    "op3_simhash": simhash.op3_simhash,
     "op4_sharding": sharding.op4_sharding,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
+    "op8_packing": packing.op8_packing,
+    "op9_fingerprint": fingerprint.op9_fingerprint,
+    "op10_quality": quality.op10_quality,
 }
-SQL = {"op1_url_filter": url_filter.OP1_SQL, "op7_mixing": mixing.OP7_SQL}
+SQL = {"op1_url_filter": url_filter.OP1_SQL, "op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL}

@@ -65,15 +65,16 @@ def run_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def bit_votes(h: np.ndarray) -> np.ndarray:
-    """For each bit from 0 to 63, how many of the uint64 values in h have it set."""
-    out = np.zeros(64, np.int64)
-    for at in range(0, len(h), 255 << 8):
-        part = h[at : at + (255 << 8)]
-        part = np.concatenate((part, np.zeros(-len(part) % 255, np.uint64))).reshape(-1, 255)
+    """For each bit from 0 to 63, how many of the uint64 values in h have it set; h may have rows, each counted alone."""
+    h2 = np.atleast_2d(h)
+    out = np.zeros((len(h2), 64), np.int64)
+    for at in range(0, h2.shape[1], 255 << 8):
+        part = h2[:, at : at + (255 << 8)]
+        part = np.pad(part, ((0, 0), (0, -part.shape[1] % 255))).reshape(len(h2), -1, 255)
         for j in range(8):  # eight counters of a byte in each word; 255 values can't overflow them
-            lanes = ((part >> np.uint64(j)) & _LANES).sum(axis=1, dtype=np.uint64)
-            out[j::8] += lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return out
+            lanes = ((part >> np.uint64(j)) & _LANES).sum(axis=2, dtype=np.uint64)
+            out[:, j::8] += lanes.view(np.uint8).reshape(len(h2), -1, 8).sum(axis=1, dtype=np.int64)
+    return out.reshape(*h.shape[:-1], 64)
 
 
 def packed(bits: np.ndarray) -> int:
