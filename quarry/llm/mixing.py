@@ -41,7 +41,7 @@ def shares(sizes: DataFrame, weights: Sequence[float], repeats: int) -> DataFram
         .withColumn("__dry", F.col("__most") / F.col("weight"))
         # t if the sources that run dry sooner than this one give all they have
         .withColumn("__t", (F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("__most").over(ahead), F.lit(0))) / F.sum("weight").over(rest))
-        .withColumn("__t", F.min(F.when(F.col("__t") <= F.col("__dry"), F.col("__t"))).over(W.partitionBy()))
+        .withColumn("__t", F.max(F.when(F.col("__t") <= F.col("__dry"), F.col("__t"))).over(W.partitionBy()))
         .withColumn("target", F.least(F.col("__most").cast("double"), F.col("weight") * F.col("__t")))
         .select("source", "source_size", "rank", "weight", "target")
     )
@@ -135,7 +135,7 @@ WITH d AS (
             / sum(weight) OVER (ORDER BY 3 * source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t
   FROM s1
 ), s3 AS (
-  SELECT *, least(3.0::DOUBLE * source_size, weight * (SELECT min(t) FROM s2 WHERE t <= 3 * source_size / weight)) AS target FROM s2
+  SELECT *, least(3.0::DOUBLE * source_size, weight * (SELECT max(t) FROM s2 WHERE t <= 3 * source_size / weight)) AS target FROM s2
 ), q AS (
   SELECT d.*, s3.source_size, s3.target, s3.rank, s3.weight,
          sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto

@@ -37,6 +37,8 @@ from .vectext import bit_votes, chunks, mixed, run_hashes, runs
 CELL = 1024
 SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8
+#: By so much the distance that the similarity stands for is widened: 1.6 standard deviations of the estimate from FINE words.
+SLACK = 1.12
 #: Words of 64 bits in the shingle fingerprint of `deduplicated`; blocks of its word fingerprint, and their bytes.
 FINE, BLOCKS, BLOCK_BYTES = 16, 40, 3
 #: Words of so many bytes decide the word fingerprint, where a text has FEW of them; else all words.
@@ -195,7 +197,7 @@ def linked(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 4)
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group of equal or near texts: the one with the smallest id."""
-    most = int(64 * FINE * (acos(2 * similarity / (1 + similarity)) / pi) * 1.07)  # the estimate's spread on top
+    most = int(64 * FINE * (acos(2 * similarity / (1 + similarity)) / pi) * SLACK)
 
     @F.pandas_udf("keys array<long>, print binary")
     def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

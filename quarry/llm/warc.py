@@ -27,7 +27,7 @@ TO_TEXT = (
     (r"(?is)<!--.*?-->", " "),
     (r"(?is)<script[^>]*>.*?</script>", " "),
     (r"(?is)<style[^>]*>.*?</style>", " "),
-    (r"(?is)<head[^>]*>.*?</head>", " "),
+    (r"(?is)<head( [^>]*)?>.*?</head>", " "),
     (r"(?i)</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|article|nav|section|header|footer|pre)[^>]*>", "\n"),
     (r"<[^>]*>", ""),
     ("&nbsp;", " "),
