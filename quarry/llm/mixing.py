@@ -69,30 +69,18 @@ def mixed_counts(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGH
     ranged = checkpointed(copies.repartitionByRange(width(spark), "time", "rank").withColumn("__part", F.spark_partition_id()))
     parts = ranged.groupBy("__part").agg(F.sum("size").alias("__sum")).withColumn("__ahead", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     in_order = W.partitionBy("__part").orderBy("time", "rank").rowsBetween(W.unboundedPreceding, 0)
-    budget = sources.agg(F.sum("source_size").alias("__budget"))
+    budget = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     cut = (
         ranged.withColumn("__run", F.sum("size").over(in_order))
         .join(F.broadcast(parts.select("__part", "__ahead")), "__part")  # a row a partition
-        .join(F.broadcast(budget))  # one row
-        .filter("__run + __ahead <= __budget")
-        .agg(F.max(F.struct("time", "rank")).alias("__cut"))
+        .filter(F.col("__run") + F.col("__ahead") <= budget)
+        .agg(F.max(F.struct("time", "rank")).alias("cut"))
+        .first()["cut"]
     )
-    taken = F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.struct(finish(e).alias("time"), F.col("rank")) <= F.col("__cut"))
-    return (
-        queued.join(F.broadcast(cut))  # one row
-        .withColumns({"copies": F.when(F.col("size") > 0, F.coalesce(F.size(taken), F.lit(0))).otherwise(F.lit(0)), "first": finish(F.lit(0)), "target": F.coalesce("target", F.lit(0.0))})
-        .drop("__cut", "__upto", "weight", "rank")
-    )
-
-
-def _with_shares(bins: DataFrame, sources: DataFrame) -> DataFrame:
-    s = sources.withColumnRenamed("source", "__s")
-    return bins.join(s, bins["source"].eqNullSafe(s["__s"])).drop("__s")
-
-
-def _by_source_and_bin(rows: DataFrame, offsets: DataFrame) -> DataFrame:
-    o = offsets.withColumnsRenamed({"source": "__s", "__bin": "__b"})
-    return rows.join(o, rows["source"].eqNullSafe(o["__s"]) & (rows["__bin"] == o["__b"])).drop("__s", "__b")
+    time, rank = (cut["time"], cut["rank"]) if cut else (-1.0, -1)
+    in_time = lambda e: (finish(e) < time) | ((finish(e) == time) & (F.col("rank") <= rank))
+    copies = sum((F.when((F.col("size") > 0) & in_time(F.lit(e)), 1).otherwise(0) for e in range(repeats)), F.lit(0))
+    return queued.withColumns({"copies": copies, "first": finish(F.lit(0)), "target": F.coalesce("target", F.lit(0.0))}).drop("__upto", "weight", "rank")
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 7) -> DataFrame:
