@@ -5,10 +5,438 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import scalars as S
+from .operators import context, filters, hybrid, lexical, store, vectors
+from .plans import corpus as P
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+TEXT = "attion thing"
+FILTERS = {"project": "src1", "extension": "txt"}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+#: The chunk table in SQL.
+CHUNKS = r"""
+rec AS (
+  SELECT doc_id, source, lang, 'doc/' || source || '/' || doc_id || '.txt' AS source_path, 'document ' || doc_id AS title, text FROM documents
+), wl AS (
+  SELECT rec.* EXCLUDE (text), flatten(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]'),
+         lambda l, i: list_transform(list_filter(regexp_split_to_array(l, '[\s\x0b\x1c-\x1f]+'), lambda x: x <> ''), lambda x: {'word': x, 'line': i}))) AS ws
+  FROM rec
+), wn AS (
+  SELECT *, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0 ELSE CAST(greatest(0, ceil((len(ws) - 900) / 780.0)) AS BIGINT) + 1 END)) AS ordinal FROM wl
+), wp AS (
+  SELECT * EXCLUDE (ws), ws[ordinal * 780 + 1 : ordinal * 780 + 900] AS part FROM wn
+), chunks AS (
+  SELECT doc_id * 65536 + ordinal AS id, doc_id, source, lang, source_path, 'normal_file' AS source_kind, title, CAST(ordinal AS INTEGER) AS ordinal,
+         array_to_string(list_transform(part, lambda p: p.word), ' ') AS text, CAST(part[1].line AS INTEGER) AS start_line, CAST(part[-1].line AS INTEGER) AS end_line,
+         source <> 'src3' AS active, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS updated_at
+  FROM wp
+)"""
+TERMS = (
+    CHUNKS
+    + r""", tok AS (
+  SELECT id, active, source_path, title, text, source, regexp_extract_all(strip_accents(lower(title)), '[\p{L}\p{N}]+') AS tt, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS tx FROM chunks
+), st AS (
+  SELECT count(*) AS total, avg(len(tt) + len(tx)) AS mean FROM tok
+), term AS (
+  SELECT id, t AS term, count(*) AS f FROM (SELECT id, unnest(tt || tx) AS t FROM tok) GROUP BY ALL
+)"""
+)
+
+
+def weight(f: str, n: str) -> str:
+    idf = f"ln((total - {n} + 0.5) / ({n} + 0.5))"
+    return f"-(CASE WHEN {idf} <= 0 THEN 1e-6 ELSE {idf} END) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * (len(tt) + len(tx)) / mean))"
+
+
+def hits(words: list[str], every: bool = True) -> str:
+    """CTEs `lex(id, score)` for chunks with all, or any, of the words."""
+    names = ", ".join(f"'{w}'" for w in words)
+    return (
+        TERMS
+        + f""", hit AS (SELECT * FROM term WHERE term IN ({names})), cnt AS (SELECT term, count(*) AS n FROM hit GROUP BY term),
+lex AS (SELECT id, sum({weight('f', 'n')}) AS score FROM hit JOIN cnt USING (term) JOIN tok USING (id) CROSS JOIN st GROUP BY id HAVING count(*) >= {len(words) if every else 1})"""
+    )
+
+
+def embedded(dim: int) -> str:
+    return f"""raw AS (SELECT id, list_transform(range(0, {dim}), lambda i: CAST(('0x' || substr(sha256(text), CAST((i % 32) * 2 + 1 AS BIGINT), 2)) AS INTEGER) / 255.0::DOUBLE) AS r FROM chunks),
+vec AS (SELECT id, list_transform(r, lambda x: x / sqrt(list_sum(list_transform(r, lambda y: y * y)))) AS embedding FROM raw)"""
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    """Hybrid search, the flagship."""
+    return QUERIES["hyb1_search"](spark, sf_dir)
+
+
+# Chunking and scalars
+
+
+@query("win5_chunks", f"WITH {CHUNKS} SELECT id, source_path, ordinal, sha256(text) AS content_hash, start_line, end_line, active FROM chunks")
+def win5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = [F.element_at("metadata", k).cast("int").alias(k) for k in ("start_line", "end_line")]
+    return P.chunk_table(spark, sf_dir).select("id", "source_path", "ordinal", "content_hash", *lines, "active")
+
+
+@query("scl1_hashes", r"""SELECT doc_id, sha256(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f]+', ' ', 'g'))) AS content_hash,
+  sha256('doc/' || source || '/' || doc_id || '.txt|' || strlen(text) || '|0') AS fingerprint FROM documents""")
+def scl1_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = P.document_records(spark, sf_dir)
+    return r.select("doc_id", S.content_hash(F.col("text")).alias("content_hash"), S.file_fingerprint(F.col("source_path"), F.octet_length("text"), F.lit(0)).alias("fingerprint"))
+
+
+@query("udf1_embedding", f"WITH {CHUNKS}, {embedded(32)} SELECT id AS chunk_id, round(list_sum(embedding), 9) AS total, round(embedding[32], 9) AS last FROM vec")
+def udf1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors.embedded(P.chunk_table(spark, sf_dir), 32)
+    return v.select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 9).alias("total"), F.round(F.element_at("embedding", 32), 9).alias("last"))
+
+
+@query("scl16_redaction")
+def scl16_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.table(spark, sf_dir, "documents").select("doc_id", S.redacted(F.col("text")).alias("text"))
+
+
+# Lexical search
+
+
+@query("agg11_terms", f"WITH {TERMS} SELECT term, count(*) AS df, CAST(sum(f) AS BIGINT) AS tf FROM term GROUP BY term")
+def agg11_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lexical.postings(P.chunk_table(spark, sf_dir))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("tf"))
+
+
+def scores(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    c = P.corpus(spark, sf_dir)
+    found = lexical.matched(c.postings, c.sizes, text).join(c.chunks.filter("active").select(F.col("id").alias("chunk_id")), "chunk_id")
+    return found.select("chunk_id", F.round("score", 9).alias("score"))
+
+
+SCORED = " SELECT id AS chunk_id, round(score, 9) AS score FROM lex JOIN tok USING (id) WHERE active"
+
+
+@query("txt1_term", f"WITH {hits(['thing'])}{SCORED}")
+def txt1_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir, "Thing")
+
+
+@query("txt1_and", f"WITH {hits(['attion', 'thing'])}{SCORED}")
+def txt1_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir, "attion AND thing")
+
+
+@query("txt1_or", f"WITH {hits(['attion', 'thing', 'eaux'], False)}{SCORED}")
+def txt1_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir, "attion OR thing OR eaux")
+
+
+@query("txt1_not", f"WITH {hits(['thing'])}{SCORED} AND NOT list_contains(tt || tx, 'attion')")
+def txt1_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir, "thing NOT attion")
+
+
+@query("txt1_phrase", f"""WITH {TERMS}, ph AS (SELECT *, len(list_filter(range(1, len(tx)), lambda i: tx[i] = 'attion' AND tx[i + 1] = 'to')) AS f FROM tok), pn AS (SELECT count(*) AS n FROM ph WHERE f > 0)
+SELECT id AS chunk_id, round({weight('f', 'n')}, 9) AS score FROM ph CROSS JOIN pn CROSS JOIN st WHERE f > 0 AND active""")
+def txt1_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir, 'text:"attion to"')
+
+
+@query("txt1_prefix", f"""WITH {TERMS}, ph AS (SELECT *, len(list_filter(tt || tx, lambda t: starts_with(t, 'attion'))) AS f FROM tok), pn AS (SELECT count(*) AS n FROM ph WHERE f > 0)
+SELECT id AS chunk_id, round({weight('f', 'n')}, 9) AS score FROM ph CROSS JOIN pn CROSS JOIN st WHERE f > 0 AND active""")
+def txt1_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir, "attion*")
+
+
+@query("txt1_near")
+def txt1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir, "NEAR(attion thing, 20) OR ^attion")
+
+
+@query("txt2_top20", f"WITH {hits(['attion', 'thing'])} SELECT id AS chunk_id, source_path, round(score, 9) AS score FROM lex JOIN tok USING (id) WHERE active ORDER BY lex.score, id LIMIT 20")
+def txt2_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.corpus(spark, sf_dir)
+    return lexical.lexical_search(c.chunks, c.postings, c.sizes, TEXT).select("chunk_id", "source_path", F.round("score", 9).alias("score"))
+
+
+@query("txt3_snippets")
+def txt3_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.chunk_table(spark, sf_dir)
+    return c.filter("active").select("id", lexical.snippet(F.col("text"), ["attion", "thing"]).alias("snippet"))
+
+
+# Vectors and hybrid search
+
+
+@query("vec1_topk", """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT vec_id AS chunk_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), e), 9) AS score FROM embeddings CROSS JOIN q ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), e) DESC, vec_id LIMIT 50""")
+def vec1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = P.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    q = v.orderBy("chunk_id").select("embedding").first()[0]
+    return vectors.nearest(v, q, 50).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+def semantic_sql(text: str, n: int, k: int) -> str:
+    q = ", ".join(repr(x) for x in P.query_vector(text))
+    return f"""{embedded(P.DIM)}, near AS (SELECT id, list_dot_product(embedding, [{q}]::DOUBLE[]) AS score FROM vec ORDER BY score DESC, id LIMIT {k}),
+sem AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near JOIN chunks USING (id) WHERE active ORDER BY score DESC, id LIMIT {n})"""
+
+
+@query("sem1_search", f"WITH {CHUNKS}, {semantic_sql(TEXT, 10, 80)} SELECT id AS chunk_id, source_path, substr(text, 1, 240) AS snippet, round(score, 9) AS score FROM sem JOIN chunks USING (id)")
+def sem1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid.semantic(P.corpus(spark, sf_dir), TEXT, 10).select("chunk_id", "source_path", "snippet", F.round("score", 9).alias("score"))
+
+
+def fused_sql(words: list[str], text: str, n: int, k: int, limit: int, where: str = "true") -> str:
+    return f"""WITH {hits(words)}, {semantic_sql(text, n, k)},
+a AS (SELECT id, row_number() OVER (ORDER BY sem.score DESC, id) AS rank FROM sem JOIN chunks USING (id) WHERE {where} QUALIFY rank <= {limit}),
+b0 AS (SELECT id, lex.score FROM lex JOIN tok USING (id) WHERE active ORDER BY lex.score, id LIMIT {n}),
+b AS (SELECT id, row_number() OVER (ORDER BY b0.score, id) AS rank FROM b0 JOIN chunks USING (id) WHERE {where} QUALIFY rank <= {limit}),
+u AS (SELECT id, 0 AS list, rank, 1.0::DOUBLE / (rank + 60) AS part FROM a UNION ALL SELECT id, 1, rank, 1.25::DOUBLE / (rank + 60) FROM b),
+g AS (SELECT id, sum(part) AS score, count(*) AS lists, min(list) AS list, arg_min(rank, list) AS rank FROM u GROUP BY id)
+SELECT g.id AS chunk_id, source_path, round(g.score, 9) AS score, CASE WHEN lists > 1 THEN 'hybrid' WHEN list = 0 THEN 'vector' ELSE 'fts' END AS rank_source
+FROM g JOIN chunks USING (id) ORDER BY g.score DESC, list, rank, g.id LIMIT {limit}"""
+
+
+def _fused(df: DataFrame) -> DataFrame:
+    return df.select("chunk_id", "source_path", F.round("score", 9).alias("score"), "rank_source")
+
+
+@query("hyb1_search", fused_sql(["attion", "thing"], TEXT, 10, 80, 10))
+def hyb1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(hybrid.search(P.corpus(spark, sf_dir), TEXT, 10))
+
+
+@query("hyb1_filtered", fused_sql(["attion", "thing"], TEXT, 80, 640, 10, "contains(source_path, 'src1') OR contains(source, 'src1')"))
+def hyb1_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(hybrid.search(P.corpus(spark, sf_dir), TEXT, 10, FILTERS))
+
+
+@query("hyb5_files", fused_sql(["attion", "thing"], TEXT, 30, 240, 30))
+def hyb5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(hybrid.search_files(P.corpus(spark, sf_dir), TEXT, limit=30))
+
+
+@query("hyb6_secrets")
+def hyb6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid.find_secrets(P.corpus(spark, sf_dir), "api key", 10).select("chunk_id", "source_path")
+
+
+# Filters
+
+SESSIONS = r"""s AS (SELECT conv_id, turn, role, text, 'chat/' || conv_id || '.jsonl#message:' || turn AS source_path, DATE '2024-01-01' + CAST(conv_id % 7 AS INTEGER) AS day
+FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '')"""
+
+
+@query("src15_sessions", f"WITH {SESSIONS} SELECT source_path, 'chat ' || role AS title, text FROM s")
+def src15_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.session_records(spark, sf_dir).select("source_path", "title", "text")
+
+
+@query("fil9_dates", f"WITH {SESSIONS} SELECT source_path FROM s WHERE day BETWEEN DATE '2024-01-03' AND DATE '2024-01-05'")
+def fil9_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.session_records(spark, sf_dir).filter(filters.predicate({"date_from": "2024-01-03", "date_to": "2024-01-05", "source_kind": "AI_SESSION"})).select("source_path")
+
+
+@query("fil7_project", "SELECT doc_id FROM documents WHERE contains(source, 'src1')")
+def fil7_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.document_records(spark, sf_dir).filter(filters.predicate({"project": "SRC1", "file_type": "docs", "path_contains": "doc/", "extension": ".TXT"})).select("doc_id")
+
+
+@query("fil2_source_prefix", f"WITH {SESSIONS} SELECT source_path FROM s WHERE conv_id = 1")
+def fil2_source_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.session_records(spark, sf_dir).filter(filters.of_source("chat/1.jsonl")).select("source_path")
+
+
+@query("fil3_under_root", "SELECT 'doc/' || source || '/' || doc_id || '.txt' AS path FROM documents WHERE source = 'src1'")
+def fil3_under_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.source_files(spark, sf_dir).filter(filters.under_root("doc/src1")).select("path")
+
+
+@query("fil19_classes", """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'media' WHEN page_id % 5 = 1 THEN 'ai_session' WHEN page_id % 5 = 2 THEN 'system_cache' WHEN page_id % 5 = 3 THEN 'project_source' ELSE 'normal_file' END AS kind,
+  CASE WHEN page_id % 5 = 0 THEN 'media_extension' WHEN page_id % 5 = 2 THEN 'skip_dir' WHEN length(html) * 4096 > CASE WHEN page_id % 5 = 4 THEN 150 * 1048576 ELSE 20 * 1048576 END AND page_id % 5 <> 1 THEN 'too_large' END AS reason FROM pages""")
+def fil19_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = P.table(spark, sf_dir, "pages")
+    names = F.array(*map(F.lit, (r"C:\pics\A.PNG", "home/sessions/log.jsonl", "/srv/App/Node_Modules/x.js", r"d:\Projects\x\main.py", "/srv/papers/report.pdf")))
+    path = F.element_at(names, (F.col("page_id") % 5 + 1).cast("int"))
+    return p.withColumn("rule", filters.classified(path)).select("page_id", F.col("rule.kind").alias("kind"), filters.skip_reason(path, F.length("html") * 4096, F.col("rule")).alias("reason"))
+
+
+# Joins, roll-ups and listings
+
+
+@query("join1_labels", "SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)")
+def join1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.table(spark, sf_dir, "documents").select("doc_id").join(P.table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic")
+
+
+HAVE = f"{CHUNKS}, have AS (SELECT id FROM chunks WHERE lang <> 'es')"
+
+
+@query("join6_missing_vectors", f"WITH {HAVE} SELECT id FROM chunks WHERE active AND id NOT IN (SELECT id FROM have)")
+def join6_missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.chunk_table(spark, sf_dir)
+    return vectors.missing(c, c.filter(F.element_at("metadata", "lang") != "es").select(F.col("id").alias("chunk_id"))).select("id")
+
+
+@query("join7_complete", f"WITH {HAVE} SELECT source_path AS physical_path, bool_and(have.id IS NOT NULL) AS complete FROM chunks LEFT JOIN have USING (id) WHERE active GROUP BY source_path")
+def join7_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.chunk_table(spark, sf_dir)
+    return context.complete_sources(c, c.filter(F.element_at("metadata", "lang") != "es").select(F.col("id").alias("chunk_id")))
+
+
+@query("join8_vanished", "SELECT 'doc/' || source || '/' || doc_id || '.txt' AS path FROM documents WHERE lang = 'fr' AND source = 'src1'")
+def join8_vanished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import ingest
+
+    seen = P.document_records(spark, sf_dir).filter(F.element_at("metadata", "lang") != "fr").select(F.col("source_path").alias("path"))
+    return ingest.vanished(P.source_files(spark, sf_dir), seen, ["doc/src1"])
+
+
+@query("agg1_kinds", f"WITH {CHUNKS} SELECT source_kind, count(*) AS chunks FROM chunks WHERE active GROUP BY source_kind")
+def agg1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.kinds(P.chunk_table(spark, sf_dir))
+
+
+STATE = "CASE WHEN quality = 0 THEN 'skipped' WHEN toxic = 1 THEN 'error' ELSE 'indexed' END"
+
+
+@query("agg2_file_states", f"SELECT 'normal_file' AS source_kind, {STATE} AS status, count(*) AS files FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def agg2_file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.file_states(P.source_files(spark, sf_dir))
+
+
+@query("agg3_summary", f"""WITH {CHUNKS}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY source_path, ordinal, id) AS nth FROM chunks WHERE active)
+SELECT source AS project, count(*) AS chunks, count(DISTINCT source_path) AS files, count(*) || ' chunks in ' || count(DISTINCT source_path) || ' files (normal_file: ' || count(*) || ')' || chr(10)
+  || string_agg(CASE WHEN nth <= 3 THEN substr(text, 1, 240) END, chr(10) ORDER BY nth) AS summary FROM n GROUP BY source""")
+def agg3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.chunk_table(spark, sf_dir).withColumn("project", F.element_at("metadata", "project"))
+    return context.summary(c).select("project", "chunks", "files", "summary")
+
+
+@query("agg4_outcomes", f"SELECT count(*) AS discovered, count(*) FILTER (s = 'indexed') AS indexed, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'error') AS error FROM (SELECT {STATE} AS s FROM documents LEFT JOIN labels USING (doc_id))")
+def agg4_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.outcomes(P.source_files(spark, sf_dir))
+
+
+@query("agg6_usage", "SELECT CAST(sum(strlen(text)) AS BIGINT) AS total, 0::BIGINT AS tables, 0::BIGINT AS vectors, 0::BIGINT AS logs, CAST(sum(strlen(text)) AS BIGINT) AS other, CASE WHEN sum(strlen(text)) >= 12884901888 THEN 'hard_stop' WHEN sum(strlen(text)) >= 7516192768 THEN 'warning' ELSE 'ok' END AS state FROM documents")
+def agg6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.usage(P.source_files(spark, sf_dir))
+
+
+@query("agg9_chunks_per_file", f"WITH {CHUNKS} SELECT source_path AS physical_path, count(*) AS chunks FROM chunks GROUP BY source_path")
+def agg9_chunks_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.chunk_table(spark, sf_dir).groupBy(S.physical_path(F.col("source_path")).alias("physical_path")).agg(F.count("*").alias("chunks"))
+
+
+@query("win1_neighbours", f"""WITH {CHUNKS}, n AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY ordinal, id) AS position FROM chunks WHERE active)
+SELECT a.id AS target, b.id AS id, b.ordinal AS ordinal, CAST(b.position AS INTEGER) AS position FROM n a JOIN n b ON a.source_path = b.source_path AND abs(a.position - b.position) <= 2 AND a.id <> b.id""")
+def win1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.chunk_table(spark, sf_dir)
+    return context.surrounding(c, c, 2).select("target", "id", "ordinal", "position")
+
+
+@query("win8_context", f"""WITH {CHUNKS}, n AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY ordinal, id) AS position FROM chunks WHERE active)
+SELECT a.id AS target, string_agg(b.text, chr(10) || chr(10) ORDER BY b.ordinal, b.id) AS context FROM n a JOIN n b ON a.source_path = b.source_path AND abs(a.position - b.position) <= 1 GROUP BY a.id""")
+def win8_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.chunk_table(spark, sf_dir)
+    return context.context_text(c, c)
+
+
+@query("top4_latest_job", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'completed' END AS status, value FROM events ORDER BY event_id DESC LIMIT 1")
+def top4_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.latest(P.jobs(spark, sf_dir)).select("id", "status", "value")
+
+
+@query("top5_recent_sources", f"""WITH {CHUNKS}, l AS (SELECT source_path, row_number() OVER (ORDER BY updated_at DESC, id DESC) AS position FROM chunks WHERE active ORDER BY updated_at DESC, id DESC LIMIT 25)
+SELECT source_path AS physical_path, CAST(min(position) AS INTEGER) AS position FROM l GROUP BY source_path""")
+def top5_recent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.recent_sources(P.chunk_table(spark, sf_dir), 25)
+
+
+@query("top7_samples", f"WITH {CHUNKS} SELECT id, source_path FROM chunks WHERE active ORDER BY id LIMIT 5")
+def top7_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.samples(P.chunk_table(spark, sf_dir), 5).select("id", "source_path")
+
+
+@query("fil24_retry", f"SELECT 'doc/' || source || '/' || doc_id || '.txt' AS path FROM documents LEFT JOIN labels USING (doc_id) WHERE {STATE} = 'error'")
+def fil24_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.to_retry(P.source_files(spark, sf_dir)).select("path")
+
+
+@query("set2_first_seen", """SELECT doc_id, CASE WHEN contains(text, 'password') THEN 0 WHEN contains(text, 'token') THEN 1 ELSE 2 END AS variant FROM documents WHERE contains(text, 'password') OR contains(text, 'token') OR contains(text, 'key')""")
+def set2_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = P.table(spark, sf_dir, "documents")
+    all_ = None
+    for k, word in enumerate(("password", "token", "key")):
+        found = d.filter(F.col("text").contains(word)).select("doc_id", F.lit(k).alias("variant"))
+        all_ = found if all_ is None else all_.unionByName(found)
+    return all_.groupBy("doc_id").agg(F.min("variant").alias("variant"))
+
+
+# Table changes
+
+NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+@query("snk3_staged", f"WITH {CHUNKS} SELECT id, active, CASE WHEN active THEN 'indexed' ELSE 'vector_pending' END AS vector_status FROM chunks WHERE lang = 'de' UNION ALL SELECT id, active, CASE WHEN active THEN 'indexed' ELSE 'inactive' END FROM chunks WHERE lang <> 'de'")
+def snk3_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German chunks staged again: active ones keep their state, inactive ones await vectors."""
+    c = P.chunk_table(spark, sf_dir)
+    again = c.filter(F.element_at("metadata", "lang") == "de").select("source_path", "source_kind", "title", "text", "metadata", "ordinal", "content_hash")
+    return store.upserted(c, again, False, F.expr(NOW), 1 << 60).select("id", "active", "vector_status")
+
+
+@query("snk4_activated", f"WITH {CHUNKS} SELECT id, (active OR ordinal = 0) AND NOT (active AND ordinal > 0) AS active FROM chunks")
+def snk4_activated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first chunk of each file activated, the others of those files retired."""
+    c = P.chunk_table(spark, sf_dir)
+    ids = c.filter("ordinal = 0").select(F.col("id").alias("chunk_id"), S.physical_path(F.col("source_path")).alias("physical_path"))
+    return store.activated(c, ids, F.expr(NOW))[0].select("id", "active")
+
+
+@query("snk6_deactivated", f"WITH {CHUNKS} SELECT id, active AND source <> 'src1' AS active, CASE WHEN source = 'src1' THEN 'vector_pending' WHEN active THEN 'indexed' ELSE 'inactive' END AS vector_status FROM chunks")
+def snk6_deactivated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.chunk_table(spark, sf_dir)
+    return store.deactivated(c, filters.under_root("doc/src1", "source_path"), F.expr(NOW), "vector_pending").select("id", "active", "vector_status")
+
+
+@query("snk8_purged", f"WITH {CHUNKS} SELECT id FROM chunks WHERE active OR lang <> 'en'")
+def snk8_purged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.chunk_table(spark, sf_dir)
+    return store.purged(c, c.filter(F.element_at("metadata", "lang") == "en").select(F.col("id").alias("chunk_id"))).select("id")
+
+
+@query("snk9_files", f"SELECT 'doc/' || source || '/' || doc_id || '.txt' AS path, CASE WHEN lang = 'es' THEN 'indexed' ELSE {STATE} END AS status, CASE WHEN lang = 'es' THEN {NOW} ELSE TIMESTAMP '2024-01-01 00:00:00' END AS last_indexed_at FROM documents LEFT JOIN labels USING (doc_id)")
+def snk9_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = P.source_files(spark, sf_dir)
+    es = P.document_records(spark, sf_dir).filter(F.element_at("metadata", "lang") == "es").select(F.col("source_path").alias("path"))
+    new = files.join(es, "path", "left_semi").withColumns({"status": F.lit("indexed"), "error": F.lit(None).cast("string")})
+    return store.merged_files(files, new, F.expr(NOW)).select("path", "status", F.col("last_indexed_at").cast("timestamp_ntz").alias("last_indexed_at"))
+
+
+# Extraction
+
+
+@query("src10_pages")
+def src10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.page_records(spark, sf_dir).select("page_id", "text")
+
+
+@query("win3_ranks", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events")
+def win3_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = P.table(spark, sf_dir, "events")
+    return e.select("user_id", "event_id", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"))
