@@ -22,9 +22,16 @@ SECRET_NAMES = "api[_-]?key|access[_-]?token|auth[_-]?token|token|secret|passwor
 SECRET_ASSIGNMENT = rf"(?i)([A-Za-z0-9_.-]*(?:{SECRET_NAMES})[A-Za-z0-9_.-]*)(\s*[:=]\s*)([\"']?)([^\s\"';&]+)\3"
 SECRET_TOKEN = r"\b(?:sk|ghp|gho|ghu|ghs|glpat|xox[baprs])[-_][A-Za-z0-9][A-Za-z0-9._-]{6,}\b"
 
-#: White space as text splitting sees it, and line ends with the three separators that \R leaves out.
-BLANK = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: White space and line ends below U+0080, for texts that went through plain_spaces; LINE_END also has the others.
+BLANK, WORD = r"[\x09-\x0d\x1c-\x20]+", r"[^\x09-\x0d\x1c-\x20]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_OTHER_LINE_ENDS, _OTHER_SPACES = r"[\x85\u2028\u2029]", r"[\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+
+
+def plain_spaces(text: Column) -> Column:
+    """text with white space beyond ASCII as spaces and line feeds; texts of ASCII alone, told by their length, are not searched."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(F.regexp_replace(text, _OTHER_LINE_ENDS, "\n"), _OTHER_SPACES, " "))
+
 
 #: Latin letters whose mark a search ignores: letter to base letter, from the Unicode decomposition.
 _FOLDED = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1}
@@ -42,7 +49,7 @@ def tokens(text: Column) -> Column:
 
 def collapsed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, BLANK, " "))
+    return F.trim(F.regexp_replace(plain_spaces(text), BLANK, " "))
 
 
 def content_hash(text: Column) -> Column:

@@ -51,23 +51,18 @@ def checked(max_words: int, overlap: int) -> None:
         raise ValueError("overlap must be at least 0 and less than max_words")
 
 
-def placed_words(text: Column, first_line: Column) -> Column:
-    """Array of struct(word, line)."""
-    lines = F.split(text, S.LINE_END)
-    by_line = F.transform(lines, lambda x, i: F.transform(F.filter(F.split(x, S.BLANK), lambda w: w != ""), lambda w: F.struct(w.alias("word"), (i + first_line).alias("line"))))
-    return F.flatten(by_line)
-
-
 def windows(blocks: DataFrame, max_words: int, overlap: int) -> DataFrame:
     """A row for each window of each row of blocks (text, first_line, ...): window, text, start_line, end_line."""
     step, n = max_words - overlap, F.size("__words")
+    # Beside the words an array of their line numbers: no struct is made for a word.
+    line_of = F.flatten(F.transform(F.split("text", S.LINE_END), lambda x, i: F.array_repeat(i + F.col("first_line"), F.regexp_count(x, F.lit(S.WORD)))))
     count = F.when(n > 0, F.greatest(F.lit(0), F.ceil((n - max_words) / step)) + 1).otherwise(0).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    cut = blocks.withColumn("__words", placed_words(F.col("text"), F.col("first_line"))).withColumn("window", F.explode(starts))
-    part = cut.withColumn("__part", F.slice("__words", F.col("window") * step + 1, F.lit(max_words))).drop("__words")
-    return part.withColumns({
-        "text": F.array_join(F.col("__part.word"), " "), "start_line": F.element_at("__part", 1)["line"], "end_line": F.element_at("__part", -1)["line"],
-    }).drop("__part")
+    cut = blocks.withColumn("text", S.plain_spaces(F.col("text"))).withColumns({"__words": F.regexp_extract_all("text", F.lit(S.WORD), F.lit(0)), "__lines": line_of}).withColumn("window", F.explode(starts))
+    first, last = F.col("window") * step + 1, F.least(F.col("window") * step + max_words, n)
+    return cut.withColumns({
+        "text": F.array_join(F.slice("__words", first, F.lit(max_words)), " "), "start_line": F.element_at("__lines", first), "end_line": F.element_at("__lines", last),
+    }).drop("__words", "__lines")
 
 
 def symbol_of(line: Column, extension: Column) -> Column:

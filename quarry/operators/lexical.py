@@ -31,6 +31,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     return one.groupBy("chunk_id", F.col("t.term").alias("term")).agg(F.array_sort(F.collect_list("t.at")).alias("positions")).select("term", "chunk_id", "positions")
 
 
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, f: postings without positions, summed before they are shuffled."""
+    both = F.concat(S.tokens(F.coalesce("title", F.lit(""))), S.tokens(F.coalesce("text", F.lit(""))))
+    return chunks.select(F.col("id").alias("chunk_id"), F.explode(both).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("f"))
+
+
 def lengths(chunks: DataFrame) -> DataFrame:
     n = F.size(S.tokens(F.coalesce("title", F.lit("")))) + F.size(S.tokens(F.coalesce("text", F.lit(""))))
     return chunks.select(F.col("id").alias("chunk_id"), n.alias("len"))
@@ -230,6 +236,11 @@ def matched(index: DataFrame, sizes: DataFrame, text: str) -> DataFrame:
         tree = parser.parse()
     except MatchError:
         return sizes.limit(0).select("chunk_id", F.lit(0.0).alias("score"))
+    phrases = [p for leaf in parser.leaves for p in (leaf.phrases if isinstance(leaf, Near) else [leaf])]
+    wanted = F.lit(False)
+    for p in phrases:
+        wanted |= F.col("term").isin(p.words) | (F.col("term").startswith(p.words[-1]) if p.prefix and p.words else F.lit(False))
+    index = index.filter(wanted).persist()  # the query's own postings, read once for all its phrases
     parts = []
     for leaf, value in enumerate(parser.leaves):
         for k, hits in enumerate(near_hits(index, value) if isinstance(value, Near) else [phrase_hits(index, value)]):
@@ -273,7 +284,7 @@ def snippet(text: Column, words: list[str]) -> Column:
 
         return S.let(S.let(marks, best), cut)
 
-    return S.let(F.filter(F.split(text, S.BLANK), lambda w: w != ""), of)
+    return S.let(F.regexp_extract_all(S.plain_spaces(text), F.lit(S.WORD), F.lit(0)), of)
 
 
 def lexical_search(chunks: DataFrame, index: DataFrame, sizes: DataFrame, text: str, limit: int = 20) -> DataFrame:

@@ -44,14 +44,17 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents; those of one source count as deleted, so that they are there but inactive."""
+    """Chunks of all documents; those of one source count as deleted, so that they are there but inactive.
+
+    An ingest writes this table; here it is persisted in its stead, as queries read it several times.
+    """
     c = chunking.text_chunks(document_records(spark, sf_dir))
     doc_id = F.regexp_extract("source_path", r"/(\d+)\.txt$", 1).cast("long")
     active = F.element_at("metadata", "project") != "src3"
     return c.select(
         (doc_id * SLOTS + F.col("ordinal")).alias("id"), "source_path", "source_kind", "title", "text", "metadata", "ordinal", "content_hash", active.alias("active"),
         F.when(active, "indexed").otherwise("inactive").alias("vector_status"), F.expr(EPOCH).alias("created_at"), F.expr(f"{EPOCH} + make_interval(0, 0, 0, 0, 0, 0, cast({'doc_id'} as double))".replace("doc_id", "regexp_extract(source_path, '/([0-9]+)[.]txt$', 1)")).alias("updated_at"),
-    )
+    ).persist()
 
 
 def query_vector(text: str, dim: int = DIM) -> list[float]:
@@ -63,9 +66,9 @@ def query_vector(text: str, dim: int = DIM) -> list[float]:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> hybrid.Corpus:
-    """All tables of a search. They are kept once made: in production they are written by an ingest, here they stand for it."""
-    chunks = chunk_table(spark, sf_dir).persist()
-    return hybrid.Corpus(chunks, lexical.postings(chunks).persist(), lexical.lengths(chunks).persist(), vectors.embedded(chunks, DIM).persist(), query_vector)
+    """All tables of a search."""
+    chunks = chunk_table(spark, sf_dir)
+    return hybrid.Corpus(chunks, lexical.postings(chunks), lexical.lengths(chunks).persist(), vectors.embedded(chunks, DIM).persist(), query_vector)
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:

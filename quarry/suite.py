@@ -116,8 +116,8 @@ def scl16_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg11_terms", f"WITH {TERMS} SELECT term, count(*) AS df, CAST(sum(f) AS BIGINT) AS tf FROM term GROUP BY term")
 def agg11_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lexical.postings(P.chunk_table(spark, sf_dir))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("tf"))
+    p = lexical.term_counts(P.chunk_table(spark, sf_dir))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("tf"))
 
 
 def scores(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -192,7 +192,7 @@ def vec1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_sql(text: str, n: int, k: int) -> str:
     q = ", ".join(repr(x) for x in P.query_vector(text))
     return f"""{embedded(P.DIM)}, near AS (SELECT id, list_dot_product(embedding, [{q}]::DOUBLE[]) AS score FROM vec ORDER BY score DESC, id LIMIT {k}),
-sem AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near JOIN chunks USING (id) WHERE active ORDER BY score DESC, id LIMIT {n})"""
+sem AS (SELECT id, score FROM near JOIN chunks USING (id) WHERE active ORDER BY score DESC, id LIMIT {n})"""
 
 
 @query("sem1_search", f"WITH {CHUNKS}, {semantic_sql(TEXT, 10, 80)} SELECT id AS chunk_id, source_path, substr(text, 1, 240) AS snippet, round(score, 9) AS score FROM sem JOIN chunks USING (id)")
