@@ -40,8 +40,8 @@ def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFram
     """
     at = F.lit(now)
     chunks, vecs, files = s.read("chunks"), s.read("vectors"), s.read("source_files")
-    new = chunking.chunked(records.filter("failed is null").select("source_path", "source_kind", "title", "text", "metadata"))
-    staged = store.upserted(chunks, new, False, at, s.next_id)
+    new = chunking.chunked(records.filter("failed is null").select("source_path", "source_kind", "title", "text", "metadata")).persist()
+    staged = store.upserted(chunks, new, False, at, s.next_id).persist()
     ids = staged.join(new.select(store.KEY), store.KEY, "left_semi").select(F.col("id").alias("chunk_id"), S.physical_path(F.col("source_path")).alias("physical_path"))
     live, _ = store.activated(staged, ids, at)
     dead = touched.select("path").union(gone.select("path")).distinct()
@@ -60,6 +60,8 @@ def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFram
     )
     lost = files.join(gone, "path", "left_semi").select("path", "source_kind", "fingerprint", "size_bytes", "mtime_ns", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"))
     s.commit(vectors=kept.unionByName(fresh), source_files=store.merged_files(files, state.unionByName(lost), at))
+    new.unpersist()
+    staged.unpersist()
 
 
 def crawl(spark: SparkSession, s: store.Store, roots: Sequence[str], now: datetime, embed: Callable[[DataFrame], DataFrame] = vectors.embedded, rules: Sequence[filters.PathRule] = filters.RULES, archives: bool = False) -> dict[str, int]:
