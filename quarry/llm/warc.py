@@ -22,30 +22,24 @@ from .common import table
 #: The pages table has no fetch time; responses made from it carry this one.
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
-#: Patterns that both Java and RE2 read alike; in this order.
+#: Patterns that both Java and RE2 read alike, in this order; then plain replacements, and signs trimmed at both ends.
 TO_TEXT = (
-    (r"(?is)<!--.*?-->", " "),
-    (r"(?is)<script[^>]*>.*?</script>", " "),
-    (r"(?is)<style[^>]*>.*?</style>", " "),
-    (r"(?is)<head( [^>]*)?>.*?</head>", " "),
+    (r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head( [^>]*)?>.*?</head>", " "),
     (r"(?i)</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|article|nav|section|header|footer|pre)[^>]*>", "\n"),
     (r"<[^>]*>", ""),
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&amp;", "&"),
-    (r"[ \t\r]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"^[ \n]+|[ \n]+$", ""),
 )
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+SPACES = ((r"[ \t\r]+", " "), (r" ?\n[ \n]*", "\n"))
 
 
 def visible_text(html: Column) -> Column:
     for pattern, put in TO_TEXT:
         html = F.regexp_replace(html, pattern, put)
-    return html
+    for entity, put in ENTITIES:
+        html = F.replace(html, F.lit(entity), F.lit(put))
+    for pattern, put in SPACES:
+        html = F.regexp_replace(html, pattern, put)
+    return F.trim(html, F.lit(" \n"))
 
 
 def sha1_of(text: Column) -> Column:
@@ -119,10 +113,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_text(column: str) -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
     for pattern, put in TO_TEXT:
-        p, r = pattern.replace("'", "''"), put.replace("'", "''").replace("\n", "' || chr(10) || '")
-        column = f"regexp_replace({column}, '{p}', '{r}', 'g')"
-    return column
+        column = f"regexp_replace({column}, {quoted(pattern)}, {quoted(put)}, 'g')"
+    for entity, put in ENTITIES:
+        column = f"replace({column}, {quoted(entity)}, {quoted(put)})"
+    for pattern, put in SPACES:
+        column = f"regexp_replace({column}, {quoted(pattern)}, {quoted(put)}, 'g')"
+    return f"trim({column}, ' ' || chr(10))"
 
 
 OP6_SQL = rf"""
