@@ -160,6 +160,21 @@ def line_label(metadata: Column) -> Column:
     return F.when(a.isNull(), "").when(b.isNull() | (a == b), F.concat(F.lit("line "), a)).otherwise(F.concat(F.lit("lines "), a, F.lit("-"), b))
 
 
+def type_label(metadata: Column, kind: Column, path: Column) -> Column:
+    """How a result's type is shown: sessions and memories by kind, others by their extension."""
+    ext = result_extension(metadata, path)
+    return F.when(kind == "ai_session", "Session").when(kind == "ai_memory", "Memory").when(ext == "", "File").otherwise(F.upper(F.substring(ext, 2, 1 << 16)))
+
+
+def log_level(line: Column) -> Column:
+    """The first level that stands between blanks, in lower case; else empty."""
+    return F.lower(F.regexp_extract(line, r"\s(DEBUG|INFO|WARNING|ERROR)\s", 1))
+
+
+def without_bom(text: Column) -> Column:
+    return F.replace(text, F.lit("\ufeff"), F.lit(""))
+
+
 def storage_state(used: Column, warn: int = 7 << 30, stop: int = 12 << 30) -> Column:
     return F.when(used >= stop, "hard_stop").when(used >= warn, "warning").otherwise("ok")
 

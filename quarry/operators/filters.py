@@ -157,7 +157,7 @@ def classified(path: Column, rules: Sequence[PathRule] = RULES) -> Column:
 
 def classified_under(path: Column, root: Column, rules: Sequence[PathRule] = RULES) -> Column:
     """As classified; relaxed reasons are judged on the part of the path below its root."""
-    below = F.when(path.startswith(root), F.expr("substring(path, length(root) + 1)")).otherwise(path)
+    below = F.when(path.startswith(root), F.substring(path, F.length(root) + 1, F.length(path))).otherwise(path)
     whole, inner = classified(path, rules), classified(below, [r for r in rules if r.reason in RELAXED])
     kept = classified(path, [r for r in rules if r.reason not in RELAXED])
     return F.when(whole["reason"].isin(*RELAXED) & ~inner["reason"].isin(*RELAXED), kept).otherwise(whole)

@@ -94,6 +94,13 @@ def to_retry(files: DataFrame) -> DataFrame:
     return files.filter(F.col("status").isin("error", "vector_pending")).orderBy("path")
 
 
+def retry_totals(files: DataFrame, there: DataFrame) -> DataFrame:
+    """How many sources are to be retried, and how many of them are gone (there: the paths that still exist)."""
+    found = there.select("path", F.lit(True).alias("__there")).distinct()
+    todo = files.filter(F.col("status").isin("error", "vector_pending")).join(found, "path", "left")
+    return todo.agg(F.count("*").alias("retried"), F.count_if(F.col("__there").isNull()).alias("missing"))
+
+
 def updated_job(jobs: DataFrame, job_id: int, status: str, message: str, now: Column, **counters: int) -> DataFrame:
     """A job's state; finished_at is set by a final status only."""
     here = F.col("id") == job_id

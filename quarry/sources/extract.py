@@ -186,7 +186,7 @@ def extractor(path: Column, kind: Column) -> Column:
 
 def transcripts(files: DataFrame) -> DataFrame:
     """Spoken lines of subtitles: no counters, time codes, headers or notes."""
-    line = F.transform(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), S.LINE_END), F.trim)
+    line = F.transform(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), S.LINE_END), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     spoken = F.filter(line, lambda x: (x != "") & (F.upper(x) != "WEBVTT") & ~x.rlike(r"^\d+$") & ~(x.contains("-->") & S.is_timecode(x)) & ~x.rlike("^(NOTE|STYLE|REGION)"))
     facts = F.create_map(F.lit("extension"), S.suffix(F.col("path")), F.lit("extractor"), F.lit("transcript"), F.lit("file_type"), F.lit("transcript"))
     return files.select(F.col("path").alias("source_path"), F.col("kind").alias("source_kind"), S.file_name(F.col("path")).alias("title"), F.array_join(spoken, "\n").alias("text"), facts.alias("metadata"), F.lit(None).cast("string").alias("failed"))

@@ -440,3 +440,6 @@ def src10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win3_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.table(spark, sf_dir, "events")
     return e.select("user_id", "event_id", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"))
+
+
+from . import suite_rules  # noqa: E402, F401  (registers its queries here)
