@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Three rounds of random signs and a fast Hadamard transform rotate a unit vector; its bucket in a table is
-the nearest signed axis. A query probes its `probes` nearest axes in each of `tables` tables. Each bucket
-is a grid of cells of at most about CELL vectors by CELL queries, so no task holds a bucket that a third
+the nearest signed axis. With `hashes` above 1 a bucket is that of so many rotations together, the last of
+which may look at its first `last` coordinates alone, so that large tables have buckets enough. A query
+probes its `probes` nearest buckets in each of `tables` tables: those with the least sum of squared
+distances to the nearest axis of each rotation. Each bucket is a grid of cells of at most about CELL vectors by CELL queries, so no task holds a bucket that a third
 of all rows fall into, and every vector of a probed bucket is scored: there is no cap. Scores are inner
 products of the original vectors in double precision.
 
@@ -14,6 +16,7 @@ empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import prod
 
 import numpy as np
 import pandas as pd
@@ -26,15 +29,37 @@ from .common import checkpointed, table
 
 TABLES, PROBES, K = 10, 12, 20
 CELL = 512
+#: A row for each bucket is broadcast: so many at most, about 24 bytes each.
+MOST_BUCKETS = 1 << 20
 
 
 class CrossPolytope:
-    def __init__(self, dim: int, tables: int, seed: int = 3):
-        self.dim, self.width = dim, 1 << max(1, (dim - 1).bit_length())
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.width))
-
-    def axes(self, x: np.ndarray) -> np.ndarray:
-        """Tables x rows x 2*width: how near each row's rotation is to each signed axis."""
+    def __init__(self, dim: int, tables: int, hashes: int = 1, last: int | None = None, seed: int = 3):
+        self.dim, self.width, self.tables = dim, 1 << max(1, (dim - 1).bit_length()), tables
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables * hashes, 3, self.width))
+        #: Coordinates that each hash of a table looks at.
+        self.coordinates = [self.width] * (hashes - 1) + [min(last or self.width, self.width)]
+        self.buckets = prod(2 * c for c in self.coordinates)
+        if tables * self.buckets > MOST_BUCKETS:
+            raise ValueError(f"{tables} tables of {self.buckets} buckets are more than {MOST_BUCKETS}: take fewer hashes or a smaller last one")
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """Tables x rows x probes: each row's nearest buckets."""
+        y, found = self.rotations(x), []
+        for t in range(self.tables):
+            bucket, cost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+            for k, n in enumerate(self.coordinates):
+                part = y[t * len(self.coordinates) + k][:, :n]
+                near = np.concatenate((part, -part), axis=1)
+                own = (near.max(axis=1, keepdims=True) - near) ** 2
+                axis, own = least(own, np.broadcast_to(np.arange(2 * n), own.shape), probes)
+                both = (cost[:, :, None] + own[:, None, :]).reshape(len(x), -1)
+                bucket, cost = least(both, (bucket[:, :, None] * (2 * n) + axis[:, None, :]).reshape(len(x), -1), probes)
+            found.append(bucket)
+        return np.stack(found)
+
+    def rotations(self, x: np.ndarray) -> np.ndarray:
+        """Rotations x rows x width."""
         padded = np.zeros((len(x), self.width))
         padded[:, : self.dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
         out = []
@@ -42,10 +67,18 @@ class CrossPolytope:
             y = padded
             for sign in rounds:
                 y = hadamard(y * sign)
-            out.append(np.concatenate((y, -y), axis=1))
+            out.append(y)
         return np.stack(out)
 
 
+def least(cost: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the n entries that cost least, and their costs."""
+    if cost.shape[1] > n:
+        at = np.argpartition(cost, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(of, at, axis=1), np.take_along_axis(cost, at, axis=1)
+    return of, cost
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The fast Walsh-Hadamard transform of each row, kept at its length."""
     n, h = x.shape[1], 1
@@ -63,23 +96,23 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def hashed(vectors: DataFrame, hashing: CrossPolytope, probes: int) -> DataFrame:
-    """vec_id, embedding, and a row for each table and each of the nearest `probes` axes: table, bucket."""
+    """vec_id, embedding, and a row for each table and each of the nearest `probes` buckets: table, bucket."""
+    step = max(1, (1 << 22) // (len(hashing.signs) * hashing.width + probes * probes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.iloc[at : at + 2048]
-                near = hashing.axes(np.stack(part["embedding"]).astype(np.float64))
-                best = np.argpartition(-near, probes - 1, axis=2)[:, :, :probes] if probes > 1 else near.argmax(axis=2)[:, :, None]
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                best = hashing.nearest(np.stack(part["embedding"]).astype(np.float64), probes)
                 t, n, p = best.shape
                 yield pd.DataFrame({
                     "vec_id": np.tile(np.repeat(part["vec_id"].to_numpy(), p), t),
                     "embedding": [part["embedding"].iat[i] for i in np.tile(np.repeat(np.arange(n), p), t)],
-                    "table": np.repeat(np.arange(t, dtype=np.int32), n * p), "bucket": best.reshape(-1).astype(np.int32),
+                    "table": np.repeat(np.arange(t, dtype=np.int32), n * p), "bucket": best.reshape(-1),
                 })
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    return vectors.mapInPandas(run, f"vec_id long, embedding {kind}, table int, bucket int")
+    return vectors.mapInPandas(run, f"vec_id long, embedding {kind}, table int, bucket long")
 
 
 def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -94,21 +127,21 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
         yield np.full(len(order), query_ids[q]), ids[hit][order], score[order]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, dim: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, dim: int | None = None, hashes: int = 1, last: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each vector where is_query holds."""
     schema = "query_id long, vec_id long, score double"
     if dim is None:
         first = vectors.filter("size(embedding) > 0").select(F.size("embedding")).first()
         dim = first[0] if first else 1
-    hashing, spark = CrossPolytope(dim, tables), vectors.sparkSession
+    hashing = CrossPolytope(dim, tables, hashes, last)
     good = usable(vectors, dim)
     index = checkpointed(hashed(good, hashing, 1))
-    queries = checkpointed(hashed(good.filter(is_query), hashing, min(probes, 2 * hashing.width)))
+    queries = checkpointed(hashed(good.filter(is_query), hashing, min(probes, hashing.buckets)))
 
     def cells(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("table", "bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
 
-    # A row a bucket: tables x 2 x width, whatever the input.
+    # A row a bucket: MOST_BUCKETS at most, whatever the input.
     grid = F.broadcast(cells(index, "rows").join(cells(queries, "columns"), ["table", "bucket"]))
     mine = F.xxhash64("vec_id", F.lit("cell"))
     index = index.join(grid, ["table", "bucket"]).withColumn("row", F.pmod(mine, F.col("rows")).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))

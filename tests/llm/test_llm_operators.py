@@ -120,6 +120,38 @@ def test_neighbours_odd_vectors_and_ties(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_several_hashes(spark):
+    """Groups of 20 near vectors: two hashes a table find them and score few others."""
+    rng = np.random.default_rng(5)
+    m = np.repeat(rng.normal(size=(100, 48)), 20, axis=0)
+    m += 0.25 * rng.normal(size=m.shape)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=10, tables=10, probes=24, hashes=2, last=16).collect()
+    scores = m[::20] @ m.T
+    scores[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    best = {(20 * q, int(v)) for q, row in enumerate(np.argsort(-scores, axis=1)[:, :10]) for v in row}
+    assert len(best & {(r.query_id, r.vec_id) for r in got}) / len(best) >= 0.9
+    hashing = neighbours.CrossPolytope(48, 10, 2, 16)
+    assert hashing.buckets == 128 * 32
+    own, probed = hashing.nearest(m, 1)[:, :, 0], hashing.nearest(m[::20], 24)
+    scored = np.mean([(own[t][None, :, None] == probed[t][:, None, :]).any(axis=2).mean() for t in range(10)])
+    assert scored < 0.1
+    with pytest.raises(ValueError):
+        neighbours.CrossPolytope(1024, 10, 2)
+
+
+def test_buckets_by_cost():
+    """The probed buckets are those that cost least of all, by brute force."""
+    x = np.random.default_rng(6).normal(size=(5, 4))
+    hashing = neighbours.CrossPolytope(4, 1, 2)
+    y = hashing.rotations(x)
+    near = np.concatenate((y, -y), axis=2)
+    own = (near.max(axis=2, keepdims=True) - near) ** 2
+    for row, got in enumerate(hashing.nearest(x, 6)[0]):
+        cost = (own[0, row][:, None] + own[1, row][None, :]).reshape(-1)
+        assert set(got.tolist()) == set(np.argsort(cost)[:6].tolist())
+
+
 # 3: SimHash
 
 
