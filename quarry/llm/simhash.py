@@ -153,7 +153,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Cut off from its aggregation, so that both sides of the join are plain exchanges, of which adaptive execution splits a hub's.
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         # Large star: a node's larger neighbours go to its smallest one; small star: its smaller ones do.
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
