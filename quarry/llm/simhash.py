@@ -8,8 +8,10 @@ stars over links, with a checkpoint each round; nothing but two numbers a round
 
 `linked` takes word shingles of any size and a radius within which the blocks find every link.
 `deduplicated` finds texts whose five-word shingles are 0.8 alike or more: distances of that size differ
-in every block of a shingle fingerprint, so blocks are taken from a fingerprint of words, which single
-edits hardly move, and links are verified on a fingerprint of shingles.
+in every block of a shingle fingerprint that is wide enough to tell unlike texts apart. Its blocks are
+therefore of least hashes of the shingle set: two sets share one with their likeness as probability,
+whether words are changed here and there or a whole passage is added, cut off or replaced, and whatever
+the length. Links are verified on a fingerprint of shingles.
 
 Null texts count as empty. Texts of any length are read whole. Equal texts have equal fingerprints and
 are one node. Rows with a null id belong to their group, whose id is its smallest non-null one (null if
@@ -39,13 +41,13 @@ SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8
 #: By so much the distance that the similarity stands for is widened: 1.6 standard deviations of the estimate from FINE words.
 SLACK = 1.12
-#: Words of 64 bits in the shingle fingerprint of `deduplicated`; blocks of its word fingerprint, and their bytes.
-FINE, BLOCKS, BLOCK_BYTES = 16, 40, 3
-#: Words of so many bytes decide the word fingerprint, where a text has FEW of them; else all words.
-LONG, FEW = 6, 8
+#: Words of 64 bits in the shingle fingerprint of `deduplicated`.
+FINE = 16
+#: Blocks of `deduplicated` and least hashes in each: sets that are 0.8 alike share a block with a chance of 1 - (1 - 0.8**6)**30 = 0.9999.
+BLOCKS, ROWS = 30, 6
 _SPACE = np.array([c in b" \t\n\r\x0b\x0c" for c in range(256)])
-_LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)], np.uint8)
 _SALTS = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ORDERS = mixed(np.arange(101, 101 + BLOCKS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingle_print(text: str, shingle: int) -> int:
@@ -63,30 +65,34 @@ def shingle_print(text: str, shingle: int) -> int:
 
 
 def set_print(h: np.ndarray, words: int) -> bytes:
-    """A fingerprint of so many 64-bit words from a set of hashes."""
-    h = np.unique(h)
+    """A fingerprint of so many 64-bit words from distinct hashes."""
     votes = bit_votes(mixed(h[None, :] ^ _SALTS[:words, None])) if len(h) else np.zeros((words, 64), np.int64)
     return np.packbits((votes * 2 > len(h)).astype(np.uint8).reshape(-1), bitorder="little").tobytes()
 
 
-def two_prints(text: str, shingle: int) -> tuple[bytes, bytes]:
-    """Of the text's words, letters and digits only, and of its shingles."""
-    words, tokens = [], []
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles."""
+    tokens = []
     for part in chunks(text.encode("utf-8", "surrogatepass").lower()):
         b = np.frombuffer(part, np.uint8)
-        starts, ends = runs(_LETTER[b])
-        words.append((run_hashes(b, starts, ends), ends - starts))
         tokens.append(run_hashes(b, *runs((~_SPACE[b]).astype(np.uint8))))
-    none = np.zeros(0, np.uint64)
-    h, size = (np.concatenate(x) for x in zip(*words, strict=True)) if words else (none, none)
-    t = np.concatenate(tokens) if tokens else none
-    long = h[size >= LONG]
-    coarse = set_print(long if len(np.unique(long)) >= FEW else h, BLOCKS * BLOCK_BYTES // 8)
+    t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
     n = max(1, len(t) - shingle + 1) if len(t) else 0
     s = np.zeros(n, np.uint64)
     for k in range(min(shingle, len(t))):
         s = mixed(s * np.uint64(3) + t[k : k + n])
-    return coarse, set_print(s, FINE)
+    return np.unique(s)
+
+
+def block_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each block of ROWS least hashes of a set, each in an order of its own."""
+    least = np.full(BLOCKS * ROWS, ~np.uint64(0))
+    for at in range(0, len(h), CELL):
+        np.minimum(least, (h[None, at : at + CELL] * _ORDERS[:, None]).min(axis=1), out=least)
+    key = np.arange(BLOCKS, dtype=np.uint64)
+    for row in least.reshape(ROWS, BLOCKS):
+        key = mixed(key * np.uint64(3) + row)
+    return key.astype(np.int64)
 
 
 def links(prints: DataFrame, most: int) -> DataFrame:
@@ -204,9 +210,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
         for texts in parts:
             out = []
             for text in texts:
-                coarse, fine = two_prints(text or "", shingle)
-                block = np.frombuffer(coarse, np.uint8).reshape(BLOCKS, BLOCK_BYTES).astype(np.int64)
-                out.append(((np.arange(BLOCKS) << 24) | (block << (8 * np.arange(BLOCK_BYTES))).sum(axis=1), fine))
+                h = shingles(text or "", shingle)
+                out.append((block_keys(h), set_print(h, FINE)))
             yield pd.DataFrame(out, columns=["keys", "print"])
 
     text = F.coalesce("text", F.lit(""))

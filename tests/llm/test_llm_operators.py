@@ -243,6 +243,36 @@ def test_deduplicated_odd(odd):
     assert len(got) == 6
 
 
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def passage_edits(words, new, share):
+    """The text with a passage of so large a share of its words appended, cut off at either end, or replaced."""
+    n = int(len(words) * share)
+    return [words + new[:n], new[:n] + words, words[n:], words[: len(words) - n], words[: len(words) // 3] + new[:n] + words[len(words) // 3 + n :]]
+
+
+def test_deduplicated_passages(spark):
+    rng = random.Random(8)
+    rows, near = [], []
+    for k in range(60):
+        size = rng.randrange(150, 500)
+        for share in (0.08, 0.12, 0.16, 0.2, 0.24):
+            for kind in range(5):  # a pair of its own for each edit
+                words, new = ([f"{c}{k}x{rng.randrange(10**9)}" for _ in range(n)] for c, n in (("word", size), ("other", 200)))
+                texts = [" ".join(words), " ".join(passage_edits(words, new, share)[kind])]
+                a, b = map(five_words, texts)
+                if len(a & b) >= 0.8 * len(a | b):
+                    near.append((len(rows), len(rows) + 1))
+                    rows += [(len(rows) + c, t) for c, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [p for p in near if set(p) <= kept]
+    print(len(near), "pairs,", len(lost), "not found")
+    assert len(near) > 500 and len(lost) <= 0.03 * len(near)
+
+
 def test_components_chain(spark):
     n = 300
     chain = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
