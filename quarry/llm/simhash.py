@@ -11,7 +11,7 @@ stars over links, with a checkpoint each round; nothing but two numbers a round
 in every block of a shingle fingerprint that is wide enough to tell unlike texts apart. Its blocks are
 therefore of least hashes of the shingle set: two sets share one with their likeness as probability,
 whether words are changed here and there or a whole passage is added, cut off or replaced, and whatever
-the length. Links are verified on a fingerprint of shingles.
+the length. Links are verified on a fingerprint of shingles, or where a set is small on the sets themselves.
 
 Null texts count as empty. Texts of any length are read whole. Equal texts have equal fingerprints and
 are one node. Rows with a null id belong to their group, whose id is its smallest non-null one (null if
@@ -45,6 +45,8 @@ SLACK = 1.12
 FINE = 16
 #: Blocks of `deduplicated` and least hashes in each: sets that are 0.8 alike share a block with a chance of 1 - (1 - 0.8**6)**30 = 0.9999.
 BLOCKS, ROWS = 30, 6
+#: A set of so many shingles or fewer is compared exactly; those that can be alike to one of them are kept for it.
+SMALL = 50
 _SPACE = np.array([c in b" \t\n\r\x0b\x0c" for c in range(256)])
 _SALTS = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ORDERS = mixed(np.arange(101, 101 + BLOCKS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -95,17 +97,27 @@ def block_keys(h: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def links(prints: DataFrame, most: int) -> DataFrame:
-    """a, b: nodes within `most` bits that share a key, as one link a row and task.
+def alike(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Where the sets, rows of distinct hashes filled up with zeros, have so large a likeness; two empty ones have it."""
+    a, b = (left != 0).sum(axis=1), (right != 0).sum(axis=1)
+    both = np.sort(np.concatenate((left, right), axis=1), axis=1)
+    common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != 0)).sum(axis=1)
+    return common >= similarity * (a + b - common) - 1e-9
 
-    prints: node, print (bytes), keys (array of long), nodes distinct.
+
+def links(prints: DataFrame, most: int, similarity: float | None = None) -> DataFrame:
+    """a, b: nodes that share a key and are near, as one link a row and task.
+
+    prints: node, print (bytes), keys (array of long), nodes distinct. Near are those within `most` bits;
+    where both have `few` (their set of hashes, null if it is large), those whose sets are alike instead.
     """
-    rows = prints.select("node", "print", F.explode("keys").alias("key"))
+    more = ["few"] if similarity is not None else []
+    rows = prints.select("node", "print", *more, F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"), F.count("*").alias("n")).filter("n > 1").drop("n")
     mine = F.pmod(F.xxhash64("node", "key"), F.col("cells")).cast("int")
     rows = rows.join(shared, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cell = [F.col("key"), F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")]
-    dealt = rows.select(*cell, "node", "print").repartition(width(prints.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    dealt = rows.select(*cell, "node", "print", *more).repartition(width(prints.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -125,26 +137,34 @@ def links(prints: DataFrame, most: int) -> DataFrame:
 
     def clustered(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         bits = np.frombuffer(b"".join(t["print"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        found, at, step = [], np.arange(len(group)), 1
+        exact, sets = np.zeros(len(group), bool), np.zeros((len(group), 0), np.uint64)
+        if more:
+            few = t["few"].to_pylist()
+            exact = np.array([x is not None for x in few])
+            sets = np.zeros((len(group), max((len(x) // 8 for x in few if x is not None), default=0)), np.uint64)
+            for k, x in enumerate(few):
+                if x:
+                    sets[k, : len(x) // 8] = np.frombuffer(x, np.uint64)
+        small = exact & ((sets != 0).sum(axis=1) <= SMALL)
+        at, step, first = np.arange(len(group)), 1, np.arange(len(group))
         while True:
             at = at[at + step < len(group)]
             at = at[group[at] == group[at + step]]
             if not len(at):
                 break
-            near = at[np.bitwise_count(bits[at] ^ bits[at + step]).sum(axis=1, dtype=np.int64) <= most]
-            found.append(np.stack((near, near + step)))
+            ask = at[first[at] != first[at + step]]  # the others are one cluster already
+            both = exact[ask] & exact[ask + step]
+            near = np.bitwise_count(bits[ask] ^ bits[ask + step]).sum(axis=1, dtype=np.int64) <= most
+            near[both] = alike(sets[ask[both]], sets[ask[both] + step], similarity)
+            near[(small[ask] | small[ask + step]) & ~both] = False  # a large set is unlike a small one
+            a = ask[near]
+            while (first[a] != first[a + step]).any():
+                low = np.minimum(first[a], first[a + step])
+                np.minimum.at(first, first[a], low)
+                np.minimum.at(first, first[a + step], low)
+                while (first[first] != first).any():
+                    first = first[first]
             step += 1
-        first = np.arange(len(group))
-        if found:
-            a, b = np.concatenate(found, axis=1)
-            while True:
-                low = np.minimum(first[a], first[b])
-                before = first.copy()
-                np.minimum.at(first, a, low)
-                np.minimum.at(first, b, low)
-                first = first[first]
-                if (first == before).all():
-                    break
         i = np.flatnonzero(first != np.arange(len(group)))
         node = t["node"].combine_chunks()
         return pa.RecordBatch.from_arrays([node.take(pa.array(first[i])), node.take(pa.array(i))], names=["a", "b"])
@@ -205,19 +225,19 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     """docs with one document of each group of equal or near texts: the one with the smallest id."""
     most = int(64 * FINE * (acos(2 * similarity / (1 + similarity)) / pi) * SLACK)
 
-    @F.pandas_udf("keys array<long>, print binary")
+    @F.pandas_udf("keys array<long>, print binary, few binary")
     def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             out = []
             for text in texts:
                 h = shingles(text or "", shingle)
-                out.append((block_keys(h), set_print(h, FINE)))
-            yield pd.DataFrame(out, columns=["keys", "print"])
+                out.append((block_keys(h), set_print(h, FINE), h.tobytes() if len(h) <= SMALL / similarity else None))
+            yield pd.DataFrame(out, columns=["keys", "print", "few"])
 
     text = F.coalesce("text", F.lit(""))
-    rows = written(docs.select("doc_id", F.md5(text).alias("node"), prints(text).alias("p")).select("doc_id", "node", "p.keys", "p.print"), "prints")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("keys", "print")).alias("p")).select("node", "first", "p.*")
-    found = components(links(nodes, most))
+    rows = written(docs.select("doc_id", F.md5(text).alias("node"), prints(text).alias("p")).select("doc_id", "node", "p.*"), "prints")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("keys", "print", "few")).alias("p")).select("node", "first", "p.*")
+    found = components(links(nodes, most, similarity))
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     best = firsts.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("first", "node").alias("best")).groupBy("root").agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.node").alias("__node"), F.col("best.first").alias("__first"))

@@ -273,6 +273,25 @@ def test_deduplicated_passages(spark):
     assert len(near) > 500 and len(lost) <= 0.03 * len(near)
 
 
+def test_deduplicated_short_texts(spark):
+    rng = random.Random(12)
+    rows, want = [], []
+    for k in range(900):  # a pair each: 7 long words and short ones, and the same with long ones added
+        size = rng.choice([8, 12, 20, 40, 54])
+        words = [f"longer{k}x{i}" if i < 7 else f"{k:03x}{chr(48 + i)}" for i in range(size)]
+        extra = [f"clause{k}x{i}" for i in range(rng.randrange(1, max(2, size // 3)))]
+        texts = [" ".join(words), " ".join(words + extra)]
+        a, b = map(five_words, texts)
+        want.append(len(a & b) / len(a | b) >= 0.8)
+        rows += [(2 * k + c, t) for c, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = [2 * k + 1 not in kept for k in range(len(want))]
+    wrong = sum(g and not w for g, w in zip(got, want, strict=True))
+    lost = sum(w and not g for g, w in zip(got, want, strict=True))
+    print(sum(want), "pairs,", lost, "not found,", wrong, "of the others found")
+    assert 200 < sum(want) < 700 and not wrong and lost <= 0.005 * sum(want)
+
+
 def test_components_chain(spark):
     n = 300
     chain = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
