@@ -5,10 +5,11 @@ the nearest signed axis. With `hashes` above 1 a bucket is that of so many rotat
 which may look at its first `last` coordinates alone, so that large tables have buckets enough. A query
 probes its `probes` nearest buckets in each of `tables` tables: those with the least sum of squared
 distances to the nearest axis of each rotation. Each bucket is a grid of cells of at most about CELL vectors by CELL queries, so no task holds a bucket that a third
-of all rows fall into, and every vector of a probed bucket is scored: there is no cap. Scores are inner
-products of the original vectors in double precision.
+of all rows fall into, and every vector of a probed bucket is scored: there is no cap. Queries that find
+fewer than k vectors so are scored against all, by the same grid. Scores are inner products of the
+original vectors in double precision.
 
-Vectors that are null, zero, of another length than `dim` (by default the first vector's), or hold null
+Vectors that are null, zero, of another length than `dim` (by default the most frequent one), or hold null
 or non-finite components take no part. Rows that repeat an id and a vector count once. Ties go to smaller ids. An empty table gives an
 empty result. Extra columns are ignored.
 """
@@ -131,8 +132,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABL
     """query_id, rank, vec_id, score: the k nearest found for each vector where is_query holds."""
     schema = "query_id long, vec_id long, score double"
     if dim is None:
-        first = vectors.filter("size(embedding) > 0").select(F.size("embedding")).first()
-        dim = first[0] if first else 1
+        lengths = vectors.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("length")).count()
+        most = lengths.orderBy(F.desc("count"), F.desc("length")).first()
+        dim = most["length"] if most else 1
     hashing = CrossPolytope(dim, tables, hashes, last)
     good = usable(vectors, dim)
     index = checkpointed(hashed(good, hashing, 1))
@@ -141,11 +143,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABL
     def cells(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("table", "bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
 
-    # A row a bucket: MOST_BUCKETS at most, whatever the input.
-    grid = F.broadcast(cells(index, "rows").join(cells(queries, "columns"), ["table", "bucket"]))
-    mine = F.xxhash64("vec_id", F.lit("cell"))
-    index = index.join(grid, ["table", "bucket"]).withColumn("row", F.pmod(mine, F.col("rows")).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
-    queries = queries.join(grid, ["table", "bucket"]).withColumn("column", F.pmod(mine, F.col("columns")).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     key = ["table", "bucket", "row", "column"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -155,11 +152,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABL
         found = list(best_of(left["vec_id"].to_numpy(), matrix(left), right["vec_id"].to_numpy(), matrix(right), k))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-    pick = lambda df: df.select(*key, "vec_id", "embedding")
-    hits = pick(queries).groupBy(*key).cogroup(pick(index).groupBy(*key)).applyInArrow(score, schema)
-    # Several tables find the same pair: equal pairs share a dense rank.
-    by_query = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.dense_rank().over(by_query)).filter(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
+    def ranked(index: DataFrame, queries: DataFrame) -> DataFrame:
+        # A row a bucket: MOST_BUCKETS at most, whatever the input.
+        grid = F.broadcast(cells(index, "rows").join(cells(queries, "columns"), ["table", "bucket"]))
+        mine = F.xxhash64("vec_id", F.lit("cell"))
+        index = index.join(grid, ["table", "bucket"]).withColumn("row", F.pmod(mine, F.col("rows")).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+        queries = queries.join(grid, ["table", "bucket"]).withColumn("column", F.pmod(mine, F.col("columns")).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+        pick = lambda df: df.select(*key, "vec_id", "embedding")
+        hits = pick(queries).groupBy(*key).cogroup(pick(index).groupBy(*key)).applyInArrow(score, schema)
+        # Several tables find the same pair: equal pairs share a dense rank.
+        by_query = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return hits.withColumn("rank", F.dense_rank().over(by_query)).filter(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
+
+    probed = checkpointed(ranked(index, queries))
+    counts = probed.groupBy(F.col("query_id").alias("vec_id")).agg(F.max("rank").alias("found"))
+    short = checkpointed(good.filter(is_query).join(counts, "vec_id", "left").filter(F.coalesce("found", F.lit(0)) < k).select("vec_id", "embedding"))
+    if short.isEmpty():
+        return probed
+    fresh = lambda df: df.select(F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"), F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"))
+    rest = ranked(fresh(good), fresh(short))
+    return probed.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,19 @@ def test_buckets_by_cost():
         assert set(got.tolist()) == set(np.argsort(cost)[:6].tolist())
 
 
+def test_neighbours_small_table_and_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=64).tolist()) for k in range(15)]
+    df = spark.createDataFrame([(99, [1.0, 2.0]), *rows], "vec_id long, embedding array<float>").coalesce(1)
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.lit(True)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    x = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    want = {q: [int(i) for i in np.argsort(-(x @ x[q])) if i != q] for q in range(15)}
+    print(sum(map(len, got.values())), "of", 15 * 14, "neighbours")
+    assert got == want
+
+
 # 3: SimHash
 
 
