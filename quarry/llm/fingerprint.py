@@ -26,6 +26,8 @@ from .common import table, width
 from .vectext import bit_votes, chunks, mixed, packed, run_hashes, runs
 
 BITS = 256
+#: Fingerprints of a block in `within_radius` that one cell of it has, about, on either side.
+CELL = 1024
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SPACE = np.zeros(256, np.uint8)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = 1
@@ -124,12 +126,26 @@ def fingerprinted(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return ordered.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """left and right, of (name, key), with row and column: a key is a grid of cells of about CELL x CELL rows, each pair of a key in one cell."""
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
+
+    def put(df: DataFrame, own: str, cuts: str, other: str, copies: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(df.columns[0], F.lit("cell")), F.col(cuts)).cast("int")
+        return df.join(grid, "key").withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop("rows", "columns")
+
+    grid = cells(left, "rows").join(cells(right, "columns"), "key")
+    return put(left, "row", "rows", "column", "columns"), put(right, "column", "columns", "row", "rows")
+
+
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int, blocks: int, bits: int = BITS) -> DataFrame:
     """All (query_fingerprint, fingerprint, distance) within radius, from permuted block tables.
 
     prints and queries hold hex fingerprints. Of `blocks` blocks at most `radius` differ, so one choice
     of blocks - radius of them agrees: each choice is a table, joined on those blocks and then verified.
-    Fingerprints are made distinct first, so copies add nothing.
+    Fingerprints are made distinct first, so copies add nothing. Blocks are joined by cells (`dealt`).
     """
     if not 0 < radius < blocks <= bits // 4:
         raise ValueError("radius < blocks <= bits / 4")
@@ -144,7 +160,8 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int, blocks: in
     def words(name: str) -> list:
         return [F.conv(F.substring(name, 8 * k + 1, 8), 16, 10).cast("long") for k in range(bits // 32)]
 
-    pairs = keyed(queries, "query_fingerprint").join(keyed(prints, "fingerprint"), "key")
+    left, right = dealt(keyed(queries, "query_fingerprint"), keyed(prints, "fingerprint"))
+    pairs = left.join(right, ["key", "row", "column"])
     distance = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(words("query_fingerprint"), words("fingerprint"), strict=True)), F.lit(0))
     return pairs.withColumn("distance", distance).filter(F.col("distance") <= radius).select("query_fingerprint", "fingerprint", "distance").distinct()
 

@@ -523,6 +523,24 @@ def test_within_radius(spark):
     assert got == want
 
 
+def test_radius_hot_block(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "CELL", 16, raising=False)
+    rng = random.Random(10)
+    hot = rng.getrandbits(128) << 128
+    prints = [hot | rng.getrandbits(128) for _ in range(200)]  # three of six blocks in common
+    prints += [p ^ sum(1 << b for b in rng.sample(range(256), 3)) for p in prints]
+    df = spark.createDataFrame([(f"{p:064x}",) for p in prints], "fingerprint string")
+    sides = []
+    split = fingerprint.dealt
+    monkeypatch.setattr(fingerprint, "dealt", lambda *x: sides.append(split(*x)) or sides[-1])
+    got = {(r.query_fingerprint, r.fingerprint): r.distance for r in fingerprint.within_radius(df, df, 3, 6).collect()}
+    assert got == {(f"{a:064x}", f"{b:064x}"): (a ^ b).bit_count() for a in prints for b in prints if (a ^ b).bit_count() <= 3}
+    for side in sides[0]:
+        name = next(c for c in side.columns if c.endswith("fingerprint"))
+        assert side.select("key", name).distinct().groupBy("key").count().agg(F.max("count")).first()[0] > 100
+        assert side.groupBy("key", "row", "column").count().agg(F.max("count")).first()[0] < 4 * 16
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
