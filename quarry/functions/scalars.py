@@ -39,7 +39,7 @@ _FOLDED = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.norm
 
 def folded(text: Column) -> Column:
     """Lower case without diacritics."""
-    return F.translate(F.lower(text), "".join(_FOLDED), "".join(_FOLDED.values()))
+    return F.lower(F.translate(text, "".join(_FOLDED), "".join(_FOLDED.values())))
 
 
 def tokens(text: Column) -> Column:
@@ -146,24 +146,47 @@ def is_timecode(line: Column) -> Column:
 
 
 def byte_label(n: Column) -> Column:
-    """A size in KB, MB or GB for reports."""
+    """A size in whole KB, MB with one digit or GB with two, for reports."""
     kb = F.lit(1024.0)
     return (
-        F.when(n >= kb**3, F.concat(F.format_number(n / kb**3, 1), F.lit(" GB")))
-        .when(n >= kb**2, F.concat(F.format_number(n / kb**2, 1), F.lit(" MB")))
-        .otherwise(F.concat(F.format_number(n / kb, 1), F.lit(" KB")))
+        F.when(n >= kb**3, F.format_string("%.2f GB", n / kb**3))
+        .when(n >= kb**2, F.format_string("%.1f MB", n / kb**2))
+        .otherwise(F.format_string("%d KB", F.floor(n / kb + 0.5).cast("long")))
     )
 
 
+def source_label(kind: Column) -> Column:
+    return F.translate(kind, "_", " ")
+
+
 def line_label(metadata: Column) -> Column:
-    a, b = (positive_int(F.element_at(metadata, k)) for k in ("start_line", "end_line"))
-    return F.when(a.isNull(), "").when(b.isNull() | (a == b), F.concat(F.lit("line "), a)).otherwise(F.concat(F.lit("lines "), a, F.lit("-"), b))
+    """The lines of a result as its metadata states them; null without a first line."""
+    a, b = (F.nullif(F.element_at(metadata, k), F.lit("")) for k in ("start_line", "end_line"))
+    return F.when(b.isNotNull() & (a != b), F.concat(F.lit("Lines "), a, F.lit("-"), b)).otherwise(F.concat(F.lit("Line "), a))
+
+
+def shown_extension(metadata: Column, path: Column) -> Column:
+    """Of metadata or else from the last dot of the last name, a leading one included; for labels only."""
+    own = F.nullif(F.element_at(metadata, "extension"), F.lit(""))
+    return F.coalesce(own, F.lower(F.regexp_extract(physical_path(path), r"(\.[^.\\/]*)$", 1)))
 
 
 def type_label(metadata: Column, kind: Column, path: Column) -> Column:
     """How a result's type is shown: sessions and memories by kind, others by their extension."""
-    ext = result_extension(metadata, path)
-    return F.when(kind == "ai_session", "Session").when(kind == "ai_memory", "Memory").when(ext == "", "File").otherwise(F.upper(F.substring(ext, 2, 1 << 16)))
+    ext = shown_extension(metadata, path)
+    bare = F.upper(F.regexp_replace(ext, r"^([^.]*)\.", "$1"))
+    return F.when(kind == "ai_session", "Session").when(kind == "ai_memory", "Memory").when(ext == "", "File").otherwise(bare)
+
+
+def storage_label(used: Column) -> Column:
+    state = storage_state(used)
+    return F.concat(F.when(state == "hard_stop", "Storage stop: ").when(state == "warning", "Storage warning: ").otherwise("Storage: "), byte_label(used))
+
+
+def scan_label(enabled: Column, seconds: Column, on_power: Column) -> Column:
+    """How a scan's interval and guard are shown."""
+    every = F.when((seconds >= 3600) & (seconds % 3600 == 0), F.format_string("%dh", (seconds / 3600).cast("long"))).otherwise(F.format_string("%dm", F.floor(seconds / 60 + 0.5).cast("long")))
+    return F.when(enabled.isNull(), "Auto: unknown").when(~enabled, "Auto: off").otherwise(F.concat(F.lit("Auto: "), every, F.when(on_power, " charging/idle").otherwise(" idle")))
 
 
 def log_level(line: Column) -> Column:
@@ -171,8 +194,14 @@ def log_level(line: Column) -> Column:
     return F.lower(F.regexp_extract(line, r"\s(DEBUG|INFO|WARNING|ERROR)\s", 1))
 
 
-def without_bom(text: Column) -> Column:
-    return F.replace(text, F.lit("\ufeff"), F.lit(""))
+def without_bom(text: Column, charset: str | None = None) -> Column:
+    """text without byte order marks; with a charset as an output in it shows the text, `?` for what it lacks."""
+    bare = F.replace(text, F.lit("\ufeff"), F.lit(""))
+    if charset is None or charset.upper() in ("UTF-8", "UTF8"):
+        return bare
+    if charset.upper() != "US-ASCII":
+        raise ValueError("UTF-8 or US-ASCII")
+    return F.regexp_replace(bare, r"[^\x00-\x7f]", "?")
 
 
 def storage_state(used: Column, warn: int = 7 << 30, stop: int = 12 << 30) -> Column:

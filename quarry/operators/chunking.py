@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -51,84 +56,66 @@ def checked(max_words: int, overlap: int) -> None:
         raise ValueError("overlap must be at least 0 and less than max_words")
 
 
-def windows(blocks: DataFrame, max_words: int, overlap: int) -> DataFrame:
-    """A row for each window of each row of blocks (text, first_line, ...): window, text, start_line, end_line."""
-    step, n = max_words - overlap, F.size("__words")
-    # Beside the words an array of their line numbers: no struct is made for a word.
-    line_of = F.flatten(F.transform(F.split("text", S.LINE_END), lambda x, i: F.array_repeat(i + F.col("first_line"), F.regexp_count(x, F.lit(S.WORD)))))
-    count = F.when(n > 0, F.greatest(F.lit(0), F.ceil((n - max_words) / step)) + 1).otherwise(0).cast("int")
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    cut = blocks.withColumn("text", S.plain_spaces(F.col("text"))).withColumns({"__words": F.regexp_extract_all("text", F.lit(S.WORD), F.lit(0)), "__lines": line_of}).withColumn("window", F.explode(starts))
-    first, last = F.col("window") * step + 1, F.least(F.col("window") * step + max_words, n)
-    return cut.withColumns({
-        "text": F.array_join(F.slice("__words", first, F.lit(max_words)), " "), "start_line": F.element_at("__lines", first), "end_line": F.element_at("__lines", last),
-    }).drop("__words", "__lines")
-
-
-def symbol_of(line: Column, extension: Column) -> Column:
-    """struct(kind, symbol) of the symbol that starts on a line, or null; the first pattern that fits decides."""
-    found = None
-    for extensions, patterns in LANGUAGES.values():
-        for kind, pattern in patterns:
-            name = F.regexp_extract(line, pattern, 1)
-            here = extension.isin(*extensions) & (name != "")
-            value = F.struct(F.lit(kind).alias("kind"), F.substring_index(name, ".", -1).alias("symbol"))
-            found = F.when(here, value) if found is None else found.when(here, value)
-    return found
-
-
-def symbol_blocks(records: DataFrame) -> DataFrame:
-    """Code records to rows (block, first_line, kind, symbol, text): each symbol up to the next, without trailing blank lines.
-
-    Lines before the first symbol are left out; records without symbols give no rows.
-    """
-    ext = S.record_extension(F.col("metadata"), F.col("source_path"))
-    lines = F.split("text", S.LINE_END)
-    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), symbol_of(x, F.col("__ext")).alias("is"))), lambda m: m["is"].isNotNull())
-    marked = records.withColumn("__ext", ext).withColumns({"__lines": lines, "__marks": marks}).filter(F.size("__marks") > 0)
-    one = marked.select("*", F.posexplode("__marks").alias("block", "__mark"))
-    stop = F.coalesce(F.get("__marks", F.col("block") + 1)["at"], F.size("__lines"))
-    body = F.array_join(F.slice("__lines", F.col("__mark.at") + 1, stop - F.col("__mark.at")), "\n")
-    return one.select(
-        "source_path", "source_kind", "title", "metadata", "block", F.col("__mark.is.kind").alias("kind"), F.col("__mark.is.symbol").alias("symbol"),
-        (F.col("__mark.at") + S.base_line(F.col("metadata"))).alias("first_line"), F.regexp_replace(body, r"(?U)(\n\s*)+\z", "").alias("text"),
-    ).filter(F.trim("text") != "")
+WINDOW = "struct<text:string,start_line:int,end_line:int,kind:string,symbol:string>"
+_COMPILED = {ext: [(kind, re.compile(p)) for kind, p in patterns] for extensions, patterns in LANGUAGES.values() for ext in extensions}
+Window = tuple[str, int, int, str | None, str | None]
 
 
-COLUMNS = ["source_path", "source_kind", "title", "text", "metadata", "ordinal"]
+def cut(lines: list[str], first_line: int, max_words: int, step: int, kind: str | None = None, symbol: str | None = None) -> Iterator[Window]:
+    """Windows of the words of lines; none where there are no words."""
+    words: list[str] = []
+    ends = []  # how many words there are up to the end of each line
+    for line in lines:
+        words += line.split()
+        ends.append(len(words))
+    n = len(words)
+    for at in range(0, max(1, n - max_words + step) if n else 0, step):
+        last = min(at + max_words, n)
+        yield " ".join(words[at:last]), first_line + bisect_right(ends, at), first_line + bisect_right(ends, last - 1), kind, symbol
 
 
-def _rest() -> Column:
-    own = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
-    return F.map_filter(own, lambda k, _: ~k.isin("start_line", "end_line", "code_symbol", "code_symbol_kind"))
+def symbol_of(line: str, extension: str) -> tuple[str, str] | None:
+    """Kind and name of the symbol that starts on a line; the first pattern that fits decides."""
+    for kind, pattern in _COMPILED.get(extension, ()):
+        if m := pattern.search(line):
+            return kind, m[1].rpartition(".")[2]
+    return None
 
 
-def _lines() -> Column:
-    return F.create_map(F.lit("start_line"), F.col("start_line").cast("string"), F.lit("end_line"), F.col("end_line").cast("string"))
+def cut_code(lines: list[str], extension: str, first_line: int, max_words: int, step: int) -> list[Window]:
+    """Each symbol up to the next; what stands before the first is left out."""
+    marks = [(k, *found) for k, line in enumerate(lines) if (found := symbol_of(line, extension))]
+    ends = [k for k, *_ in marks[1:]] + [len(lines)]
+    return [w for (at, kind, symbol), end in zip(marks, ends, strict=True) for w in cut(lines[at:end], first_line + at, max_words, step, kind, symbol)]
 
 
-def text_chunks(records: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
-    """source_path, source_kind, title, text, metadata, ordinal, content_hash: word windows of whole records."""
-    checked(max_words, overlap)
-    out = windows(records.withColumn("first_line", S.base_line(F.col("metadata"))), max_words, overlap).withColumn("ordinal", F.col("window"))
-    return out.withColumn("metadata", F.map_concat(_rest(), _lines())).select(COLUMNS).withColumn("content_hash", S.content_hash(F.col("text")))
-
+def chunked(records: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
+    """source_path, source_kind, title, text, metadata, ordinal, content_hash of any records: code by symbol where a record has any, the rest by windows.
 
-def code_chunks(records: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
-    """The same for code records, by symbol; ordinals run over a record's blocks."""
+    Words and lines are those of Unicode. A record is cut inside its row, whole batches at a time, which is
+    several times faster than regular expressions over arrays; ordinals need no exchange.
+    """
     checked(max_words, overlap)
-    out = windows(symbol_blocks(records), max_words, overlap).withColumns({
-        "ordinal": F.row_number().over(W.partitionBy("source_path").orderBy("first_line", "block", "window")) - 1,
-        "title": F.concat_ws(" ", "title", "kind", "symbol"),
-        "metadata": F.map_concat(_rest(), _lines(), F.create_map(F.lit("code_symbol"), "symbol", F.lit("code_symbol_kind"), "kind")),
-    })
-    return out.select(COLUMNS).withColumn("content_hash", S.content_hash(F.col("text")))
+    step = max_words - overlap
+
+    @F.arrow_udf(f"array<{WINDOW}>")
+    def found(texts: pa.Array, first_lines: pa.Array, extensions: pa.Array) -> pa.Array:
+        rows = []
+        for text, first, ext in zip(texts.to_pylist(), first_lines.to_pylist(), extensions.to_pylist(), strict=True):
+            lines = (text or "").splitlines()
+            rows.append(cut_code(lines, ext, first, max_words, step) if ext in _COMPILED and any(symbol_of(x, ext) for x in lines) else list(cut(lines, first, max_words, step)))
+        flat = list(zip(*[w for r in rows for w in r], strict=True)) or [[]] * 5
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        inner = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names=["text", "start_line", "end_line", "kind", "symbol"])
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), inner)
 
-
-def chunked(records: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of any records: code by symbol where a record has any, the rest by windows."""
     ext = S.record_extension(F.col("metadata"), F.col("source_path"))
-    is_code = (F.col("source_kind") == "project_source") | ext.isin(*CODE_EXTENSIONS)
-    has_symbol = F.exists(F.split("text", S.LINE_END), lambda x: symbol_of(x, ext).isNotNull())
-    split_code = F.coalesce(is_code & has_symbol, F.lit(False))
-    return text_chunks(records.filter(~split_code), max_words, overlap).unionByName(code_chunks(records.filter(split_code), max_words, overlap))
+    is_code = F.coalesce((F.col("source_kind") == "project_source") | ext.isin(*CODE_EXTENSIONS), F.lit(False))
+    w = records.select("source_path", "source_kind", "title", "metadata", F.posexplode(found("text", S.base_line(F.col("metadata")), F.when(is_code, ext).otherwise(""))).alias("ordinal", "w"))
+    own = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("start_line", "end_line", "code_symbol", "code_symbol_kind"))
+    lines = F.create_map(F.lit("start_line"), F.col("w.start_line").cast("string"), F.lit("end_line"), F.col("w.end_line").cast("string"))
+    symbol = F.create_map(F.lit("code_symbol"), "w.symbol", F.lit("code_symbol_kind"), "w.kind")
+    return w.select(
+        "source_path", "source_kind", F.when(F.col("w.kind").isNull(), F.col("title")).otherwise(F.concat_ws(" ", "title", "w.kind", "w.symbol")).alias("title"), "w.text",
+        F.when(F.col("w.kind").isNull(), F.map_concat(own, lines)).otherwise(F.map_concat(own, lines, symbol)).alias("metadata"), "ordinal", F.sha2("w.text", 256).alias("content_hash"),
+    )

@@ -95,6 +95,48 @@ def usage(files: DataFrame) -> DataFrame:
     return out.withColumns({"other": rest, "state": S.storage_state(F.col("total"))})
 
 
+def by_id(rows: DataFrame, row_id: int) -> DataFrame:
+    """A job or a saved search."""
+    return rows.filter(F.col("id") == row_id)
+
+
+def saved_searches(searches: DataFrame) -> DataFrame:
+    """The last changed first."""
+    return searches.orderBy(F.desc("updated_at"), F.desc("id"))
+
+
+def shown(chunks: DataFrame, name: str = "chunk_id", path: str = "source_path") -> DataFrame:
+    """Chunks as callers see them; `name` and `path` say what their id and source are called."""
+    return chunks.select(F.col("id").alias(name), F.col("source_path").alias(path), "source_kind", "title", "text", "metadata", "ordinal", "content_hash")
+
+
+def in_context(chunks: DataFrame) -> DataFrame:
+    return shown(chunks, "id", "path")
+
+
+def shown_job(jobs: DataFrame) -> DataFrame:
+    """Jobs with counters under their long names and times as text."""
+    counters = [F.col(c).alias(f"{c}_count") for c in ("discovered", "indexed", "skipped", "error")]
+    return jobs.select("id", "root_path", "status", *counters, "message", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started_at", "updated_at", "finished_at")])
+
+
+def diagnostics(jobs: DataFrame, files: DataFrame, chunks: DataFrame, sample: int = 0, redact: bool = False) -> DataFrame:
+    """One row of JSON: the latest job, files by kind and state, active chunks by kind, and samples if asked for."""
+
+    def listed(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order])))
+        return df.agg(rows.alias(name)).withColumn("__one", F.lit(1))
+
+    parts = [listed(file_states(files), "source_status_counts", ["source_kind", "status"]), listed(kinds(chunks), "active_chunk_counts", ["source_kind"])]
+    if sample:
+        parts.append(listed(samples(chunks, sample, redact).select("id", "source_path", "source_kind", "title", "text", "metadata", "ordinal").withColumn("metadata", F.to_json("metadata")), "chunk_samples", ["id"]))
+    last = shown_job(latest(jobs))
+    out = last.agg(F.first(F.struct(*last.columns)).alias("latest_job")).withColumn("__one", F.lit(1))
+    for p in parts:
+        out = out.join(p, "__one")
+    return out.select(F.to_json(F.struct(*[c for c in out.columns if c != "__one"])).alias("diagnostics"))
+
+
 def latest(jobs: DataFrame, n: int = 1) -> DataFrame:
     return jobs.orderBy(F.desc("id")).limit(n)
 

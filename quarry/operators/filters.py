@@ -119,16 +119,18 @@ class PathRule:
         return out
 
 
-# Extensions and folder names that never hold text worth indexing. Layout-specific rules are the caller's data.
+# Extensions that hold no text worth indexing. Layout-specific rules are the caller's data.
 MEDIA = (".mp4", ".mkv", ".avi", ".mov", ".wmv", ".webm", ".mp3", ".wav", ".flac", ".ogg", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp", ".svg")
 ARCHIVES = (".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz", ".zst")
 BINARIES = (".exe", ".dll", ".node", ".sys", ".iso", ".bin", ".dat", ".db", ".sqlite", ".sqlite-shm", ".sqlite-wal", ".tv", ".tvim")
-SKIPPED_FOLDERS = (
+# A choice of folder names that are skipped everywhere; their order plays no part.
+SKIPPED_FOLDERS = frozenset((
     "$recycle.bin", ".android", ".angular", ".cache", ".dart_tool", ".fvm", ".git", ".gradle", ".hg", ".mypy_cache", ".next", ".nox", ".npm", ".nuxt", ".parcel-cache", ".pip-cache", ".pnpm-store",
     ".pub-cache", ".pytest_cache", ".ruff_cache", ".svelte-kit", ".svn", ".tox", ".turbo", ".uv-cache", ".venv", ".vite", ".yarn", "__pycache__", "boot", "bower_components", "build", "cache", "dist",
     "env", "logs", "node_modules", "npm-cache", "out", "perflogs", "pip-cache", "pnpm-store", "pods", "program files", "program files (x86)", "programdata", "pub-cache", "recovery", "site-packages",
     "system volume information", "target", "temp", "tmp", "uv-cache", "venv", "windows", "windows kits",
-)
+))
+SKIPPED_PREFIX = "ffmpeg-"
 RULES = (
     PathRule("media_extension", "media", True, suffixes=MEDIA),
     PathRule("archive_extension", "archive", True, suffixes=ARCHIVES),
@@ -136,7 +138,8 @@ RULES = (
     PathRule("session_log", "ai_session", False, any_part=("sessions",), suffixes=(".jsonl",)),
     PathRule("memory_notes", "ai_memory", False, any_part=("memories",)),
     PathRule("appdata", "system_cache", True, any_part=("appdata",)),
-    PathRule("skip_dir", "system_cache", True, any_part=SKIPPED_FOLDERS),
+    PathRule("skip_dir", "system_cache", True, any_part=tuple(sorted(SKIPPED_FOLDERS))),
+    PathRule("skip_dir", "system_cache", True, name_prefix=SKIPPED_PREFIX),
     PathRule("project", "project_source", False, any_part=("projects", "repos")),
 )
 #: Reasons that don't count where the part that gives them lies in the root itself.

@@ -1,225 +1,99 @@
-"""Lexical search: postings, BM25 and a match language.
+"""Lexical search: postings, BM25 and match expressions.
 
-Postings are one row a term and chunk, with the term's positions; they are written once, clustered by
-term, and a query reads only its terms. Statistics cover all chunks, active or not; inactive ones are
-dropped after scoring.
+Postings are one row a term and chunk: the term's positions, the chunk's length, and whether it is active.
+They are made inside the chunk's row and written once, in folders by a hash of the term, sorted by term, so
+that a query reads only its terms' folders and row groups. A query gathers the postings of a chunk by one
+exchange and judges phrases, proximity and the whole expression inside the row. Totals (chunks and tokens,
+active or not) come with the index; inactive chunks are dropped after scoring.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .match import Expression, MatchError, Pair, expression, words_of
 
 K1, B = 1.2, 0.75
 #: Positions in the text column start here, so that no phrase spans title and text.
 TEXT_AT = 1 << 24
 SNIPPET_WORDS = 8
+#: Folders of written postings, and how many chunk ids in a row share a file of each: a frequent term is in many files.
+BUCKETS, IDS_A_FILE = 32, 1 << 22
+POSTINGS = "term string, chunk_id long, positions array<int>, len int, active boolean"
+_ROWS = 256
+
+
+@dataclass(frozen=True)
+class Totals:
+    """How many chunks there are, active or not, and how many tokens in them."""
+
+    chunks: int = 0
+    tokens: int = 0
+
+    def __add__(self, other: Totals) -> Totals:
+        return Totals(self.chunks + other.chunks, self.tokens + other.tokens)
+
+    def __sub__(self, other: Totals) -> Totals:
+        return Totals(self.chunks - other.chunks, self.tokens - other.tokens)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, positions."""
+    """term, chunk_id, positions, len, active. Grouped inside each row, without an exchange."""
 
-    def placed(column: str, start: int) -> Column:
-        return F.transform(S.tokens(F.coalesce(column, F.lit(""))), lambda t, i: F.struct(t.alias("term"), (i + start).alias("at")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                terms, counts, flat, ends = [], [], [], [0]
+                for title, text in zip(part.column("title").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    places = defaultdict(list)
+                    a, b = words_of(title or ""), words_of(text or "")
+                    for k, t in enumerate(a):
+                        places[t].append(k)
+                    for k, t in enumerate(b, TEXT_AT):
+                        places[t].append(k)
+                    terms += places
+                    counts.append((len(places), len(a) + len(b)))
+                    for p in places.values():
+                        flat += p
+                        ends.append(len(flat))
+                row = pa.array([k for k, (n, _) in enumerate(counts) for _ in range(n)], pa.int32())
+                lens = pa.array([n for _, n in counts], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(terms, pa.string()), part.column("id").take(row), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), lens.take(row), part.column("active").take(row)],
+                    names=["term", "chunk_id", "positions", "len", "active"],
+                )
 
-    one = chunks.select(F.col("id").alias("chunk_id"), F.explode(F.concat(placed("title", 0), placed("text", TEXT_AT))).alias("t"))
-    return one.groupBy("chunk_id", F.col("t.term").alias("term")).agg(F.array_sort(F.collect_list("t.at")).alias("positions")).select("term", "chunk_id", "positions")
-
-
-def term_counts(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, f: postings without positions, summed before they are shuffled."""
-    both = F.concat(S.tokens(F.coalesce("title", F.lit(""))), S.tokens(F.coalesce("text", F.lit(""))))
-    return chunks.select(F.col("id").alias("chunk_id"), F.explode(both).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("f"))
-
-
-def lengths(chunks: DataFrame) -> DataFrame:
-    n = F.size(S.tokens(F.coalesce("title", F.lit("")))) + F.size(S.tokens(F.coalesce("text", F.lit(""))))
-    return chunks.select(F.col("id").alias("chunk_id"), n.alias("len"))
-
-
-class MatchError(ValueError):
-    """The text is not an expression of the match language."""
-
-
-@dataclass
-class Phrase:
-    words: list[str]
-    prefix: bool = False
-    first: bool = False
-    column: str | None = None
-
-
-@dataclass
-class Near:
-    phrases: list[Phrase]
-    distance: int = 10
-
-
-@dataclass
-class Node:
-    op: str  # and, or, not, leaf
-    parts: list = field(default_factory=list)
-    leaf: int = -1
-
-
-_LEXEME = re.compile(r'\s*(?:("(?:[^"]|"")*")|([()+*^:,{}-])|([^\s"()+*^:,{}-]+))')
-
-
-class Parser:
-    """AND (also by juxtaposition), OR, NOT, "phrases", a + b, prefix*, ^first, title:term and NEAR(a b, n)."""
-
-    def __init__(self, text: str):
-        self.items: list[tuple[str, str]] = []
-        at, text = 0, text.rstrip()
-        while at < len(text):
-            m = _LEXEME.match(text, at)
-            if not m:
-                raise MatchError("unterminated string")
-            if m[1] is not None:
-                self.items.append(("string", m[1][1:-1].replace('""', '"')))
-            elif m[2]:
-                self.items.append(("sign", m[2]))
-            else:
-                if re.search(r"[\x00-\x7f]", re.sub(r"[A-Za-z0-9_\x1a]", "", m[3])):
-                    raise MatchError(f"syntax error near {m[3]}")
-                self.items.append(("word", m[3]))
-            at = m.end()
-        self.at, self.leaves = 0, []
-
-    def peek(self, *values: str) -> bool:
-        return self.at < len(self.items) and self.items[self.at][0] != "string" and self.items[self.at][1] in values
-
-    def take(self, value: str) -> None:
-        if not self.peek(value):
-            raise MatchError(f"{value} expected")
-        self.at += 1
-
-    def parse(self) -> Node:
-        if not self.items:
-            raise MatchError("empty")
-        node = self.either()
-        if self.at != len(self.items):
-            raise MatchError("syntax error")
-        return node
-
-    def _chain(self, op: str, word: str, below) -> Node:
-        parts = [below()]
-        while self.peek(word):
-            self.at += 1
-            parts.append(below())
-        return parts[0] if len(parts) == 1 else Node(op, parts)
-
-    def either(self) -> Node:
-        return self._chain("or", "OR", lambda: self._chain("and", "AND", lambda: self._chain("not", "NOT", self.run)))
-
-    def run(self) -> Node:
-        parts = [self.atom()]
-        while self.at < len(self.items) and not self.peek("AND", "OR", "NOT", ")"):
-            parts.append(self.atom())
-        return parts[0] if len(parts) == 1 else Node("and", parts)
-
-    def atom(self) -> Node:
-        column = None
-        if self.at + 1 < len(self.items) and self.items[self.at][0] == "word" and self.items[self.at + 1] == ("sign", ":"):
-            column = self.items[self.at][1].lower()
-            if column not in ("title", "text"):
-                raise MatchError(f"no such column: {column}")
-            self.at += 2
-        if self.peek("("):
-            self.at += 1
-            first = len(self.leaves)
-            node = self.either()
-            self.take(")")
-            for leaf in self.leaves[first:]:
-                for p in leaf.phrases if isinstance(leaf, Near) else [leaf]:
-                    p.column = p.column or column
-            return node
-        if self.peek("NEAR") and self.at + 1 < len(self.items) and self.items[self.at + 1] == ("sign", "("):
-            self.at += 2
-            near = Near([])
-            while not self.peek(")", ","):
-                near.phrases.append(self.phrase(column))
-            if self.peek(","):
-                self.at += 1
-                if self.at >= len(self.items) or not self.items[self.at][1].isdigit():
-                    raise MatchError("expected a number")
-                near.distance = int(self.items[self.at][1])
-                self.at += 1
-            self.take(")")
-            if not near.phrases:
-                raise MatchError("syntax error")
-            return self.leaf(near)
-        return self.leaf(self.phrase(column))
-
-    def leaf(self, value: Phrase | Near) -> Node:
-        self.leaves.append(value)
-        return Node("leaf", leaf=len(self.leaves) - 1)
-
-    def phrase(self, column: str | None) -> Phrase:
-        first = self.peek("^")
-        self.at += first
-        words: list[str] = []
-        while True:
-            if self.at >= len(self.items) or self.items[self.at][0] == "sign" or self.peek("AND", "OR", "NOT"):
-                raise MatchError("syntax error")
-            words += query_words(self.items[self.at][1])
-            self.at += 1
-            if not self.peek("+"):
-                break
-            self.at += 1
-        prefix = self.peek("*")
-        self.at += prefix
-        return Phrase(words, prefix, first, column)
-
-
-def query_words(text: str) -> list[str]:
-    """The terms of a query string, folded like the index."""
-    low = "".join(S._FOLDED.get(c, c) for c in text.lower())
-    return re.findall(r"[^\W_]+", low)
-
-
-def moved_back(by: int) -> Column:
-    return F.transform("positions", lambda p: p - by)
-
-
-def within(k: int, room: int) -> Column:
-    return F.exists("p0", lambda a: F.exists(f"p{k}", lambda b: F.abs(a - b) <= room))
-
-
-def phrase_hits(index: DataFrame, phrase: Phrase) -> DataFrame:
-    """chunk_id, positions where the phrase starts; only its terms' postings are read."""
-    out = None
-    for k, word in enumerate(phrase.words):
-        here = F.col("term").startswith(word) if phrase.prefix and k == len(phrase.words) - 1 else F.col("term") == word
-        hits = index.filter(here).select("chunk_id", moved_back(k).alias("positions"))
-        if phrase.prefix and k == len(phrase.words) - 1:
-            hits = hits.groupBy("chunk_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-        out = hits if out is None else out.alias("a").join(hits.alias("b"), "chunk_id").select("chunk_id", F.array_intersect("a.positions", "b.positions").alias("positions"))
-    if out is None:
-        return index.limit(0).select("chunk_id", "positions")
-    if phrase.column:
-        out = out.withColumn("positions", F.filter("positions", lambda p: p >= TEXT_AT if phrase.column == "text" else p < TEXT_AT))
-    if phrase.first:
-        out = out.withColumn("positions", F.filter("positions", lambda p: p.isin(0, TEXT_AT)))
-    return out.filter(F.size("positions") > 0)
+    return chunks.select("id", "title", "text", "active").mapInArrow(run, POSTINGS)
+
+
+def totals(chunks: DataFrame, index: DataFrame) -> Totals:
+    """Counted from whole tables; a store keeps them instead. Every token is one position."""
+    return Totals(chunks.count(), index.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0])
+
+
+def bucket(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
 
 
-def near_hits(index: DataFrame, near: Near) -> list[DataFrame]:
-    """The hits of each phrase in chunks where all phrases start within the distance of one another."""
-    hits = [phrase_hits(index, p).withColumnRenamed("positions", f"p{k}") for k, p in enumerate(near.phrases)]
-    both = hits[0]
-    for h in hits[1:]:
-        both = both.join(h, "chunk_id")
-    close = F.lit(True)
-    for k in range(1, len(hits)):
-        room = near.distance + max(len(near.phrases[0].words), len(near.phrases[k].words))
-        close &= within(k, room)
-    return [both.filter(close).select("chunk_id", F.col(f"p{k}").alias("positions")) for k in range(len(hits))]
+def dealt(index: DataFrame) -> DataFrame:
+    """postings with their bucket, dealt out and sorted as they are written: `.write.partitionBy("bucket")`."""
+    file = F.floor(F.col("chunk_id") / IDS_A_FILE)
+    return index.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")).repartition("bucket", file).sortWithinPartitions("bucket", "term", "chunk_id")
+
+
+def term_statistics(index: DataFrame) -> DataFrame:
+    """term, df, tf."""
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("tf"))
 
 
 def bm25(f: Column, n: Column, total: Column, length: Column, mean: Column) -> Column:
@@ -229,49 +103,116 @@ def bm25(f: Column, n: Column, total: Column, length: Column, mean: Column) -> C
     return -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
 
 
-def matched(index: DataFrame, sizes: DataFrame, text: str) -> DataFrame:
-    """chunk_id, score of all chunks that match, active or not; a text that is no expression matches nothing."""
-    try:
-        parser = Parser(text)
-        tree = parser.parse()
-    except MatchError:
-        return sizes.limit(0).select("chunk_id", F.lit(0.0).alias("score"))
-    phrases = [p for leaf in parser.leaves for p in (leaf.phrases if isinstance(leaf, Near) else [leaf])]
-    wanted = F.lit(False)
-    for p in phrases:
-        wanted |= F.col("term").isin(p.words) | (F.col("term").startswith(p.words[-1]) if p.prefix and p.words else F.lit(False))
-    index = index.filter(wanted).persist()  # the query's own postings, read once for all its phrases
-    parts = []
-    for leaf, value in enumerate(parser.leaves):
-        for k, hits in enumerate(near_hits(index, value) if isinstance(value, Near) else [phrase_hits(index, value)]):
-            parts.append(hits.select("chunk_id", F.lit(leaf).alias("leaf"), F.lit(k).alias("part"), F.size("positions").alias("f")))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    stats = sizes.agg(F.count("*").alias("total"), F.avg("len").alias("mean")).first()  # one row
-    counts = hits.groupBy("leaf", "part").agg(F.count("*").alias("n"))  # a row a phrase of the query
-    weighed = hits.join(F.broadcast(counts), ["leaf", "part"]).join(sizes, "chunk_id")
-    weight = bm25(F.col("f"), F.col("n"), F.lit(stats["total"]), F.col("len"), F.lit(stats["mean"] or 1.0))
-    has = [F.max(F.col("leaf") == i).alias(f"has{i}") for i in range(len(parser.leaves))]
-
-    def holds(node: Node) -> Column:
-        if node.op == "leaf":
-            return F.col(f"has{node.leaf}")
-        first, *rest = [holds(p) for p in node.parts]
-        for r in rest:
-            first = first | r if node.op == "or" else first & r if node.op == "and" else first & ~r
-        return first
-
-    return weighed.groupBy("chunk_id").agg(F.sum(weight).alias("score"), *has).filter(holds(tree)).select("chunk_id", "score")
-
-
-def snippet(text: Column, words: list[str]) -> Column:
-    """The SNIPPET_WORDS-word window that holds most query words, the first among equals, with an ellipsis where it cuts."""
+def read_all(texts: Sequence[str | Expression]) -> list[Expression | None]:
+    """Expressions of texts; None where a text is none."""
+    out: list[Expression | None] = []
+    for t in texts:
+        try:
+            out.append(expression(t) if isinstance(t, str) else t)
+        except MatchError:
+            out.append(None)
+    return out
+
+
+def matched(index: DataFrame, total: Totals, *texts: str | Expression) -> DataFrame:
+    """query (the text's number), chunk_id, active, score of all chunks that match; a text that is no expression matches nothing."""
+    queries = read_all(texts)
+    leaves = [leaf for q in queries if q for leaf in q.leaves()]
+    phrases = list(dict.fromkeys(p for leaf in leaves for p in leaf.phrases))
+    slots = list(dict.fromkeys((w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)))
+    if not slots:
+        return index.limit(0).select(F.lit(0).alias("query"), "chunk_id", "active", F.lit(0.0).alias("score"))
+    is_slot = [F.col("term").startswith(w) if prefix else F.col("term") == w for w, prefix in slots]
+    wanted = F.col("term").isin(list({w for w, prefix in slots if not prefix}))
+    for w in {w for w, prefix in slots if prefix}:
+        wanted |= F.col("term").startswith(w)
+    index = index.filter(wanted)
+    if "bucket" in index.columns and not any(prefix for _, prefix in slots):
+        index = index.filter(F.col("bucket").isin(sorted({bucket(w) for w, _ in slots})))
+    mine = [F.flatten(F.collect_list(F.when(here, F.col("positions")))).alias(f"s{k}") for k, here in enumerate(is_slot)]
+    rows = index.groupBy("chunk_id").agg(F.first("active").alias("active"), F.first("len").alias("len"), *mine)
+    rows = rows.withColumns({f"p{k}": starts(p, [F.col(f"s{slots.index((w, p.prefix and i == len(p.words) - 1))}") for i, w in enumerate(p.words)]) for k, p in enumerate(phrases)})
+    found = rows.agg(*[F.count_if(F.size(f"p{k}") > 0).alias(f"n{k}") for k in range(len(phrases))]).first()  # one row
+    mean = F.lit(total.tokens / total.chunks if total.tokens else 1.0)
+
+    def of_leaf(leaf: Expression) -> list[tuple[int, Column]]:
+        """Its phrases, and how often each counts here."""
+        at = [phrases.index(p) for p in leaf.phrases]
+        places = [F.col(f"p{k}") for k in at]
+        return list(zip(at, [F.size(x) for x in (close(places, leaf) if len(at) > 1 else places)], strict=True))
+
+    named = {leaf: of_leaf(leaf) for leaf in dict.fromkeys(leaves)}
+    rows = rows.withColumns({f"f{i}_{j}": f for i, parts in enumerate(named.values()) for j, (_, f) in enumerate(parts)})
+    number = {leaf: i for i, leaf in enumerate(named)}
+
+    def holds(e: Expression) -> Column:
+        if not isinstance(e, Pair):
+            return F.col(f"f{number[e]}_0") > 0
+        left, right = holds(e.left), holds(e.right)
+        return left | right if e.op == "or" else left & right if e.op == "and" else left & ~right
+
+    def score(e: Expression) -> Column:
+        """A leaf counts where all that it is a part of holds, and what NOT leaves out doesn't."""
+        if isinstance(e, Pair):
+            both = score(e.left) if e.op == "not" else score(e.left) + score(e.right)
+            return both if e.op == "or" else F.when(holds(e), both).otherwise(0.0)
+        out = F.lit(0.0)
+        for j, (k, _) in enumerate(named[e]):
+            f = F.col(f"f{number[e]}_{j}")
+            out += F.when(f > 0, bm25(f, F.lit(found[f"n{k}"]), F.lit(total.chunks), F.col("len"), mean)).otherwise(0.0)
+        return out
+
+    hits = [F.when(holds(q), F.struct(F.lit(i).alias("query"), score(q).alias("score"))) for i, q in enumerate(queries) if q]
+    out = rows.select("chunk_id", "active", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    return out.select("hit.query", "chunk_id", "active", "hit.score")
+
+
+def moved_back(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def before(places: Column, last: Column, room: int) -> Column:
+    """The places at most so far before the last one, itself included."""
+    return F.filter(places, lambda x: (x <= last) & (x >= last - room))
+
+
+def in_clump(places: Column, ends: Column, room: int) -> Column:
+    return F.filter(places, lambda x: F.exists(ends, lambda last: (x <= last) & (x >= last - room)))
+
+
+def starts(phrase, places: list[Column]) -> Column:
+    """Where the phrase starts, from the places of its words."""
+    out = places[0] if places else F.array().cast("array<int>")
+    for k, p in enumerate(places[1:], 1):
+        out = F.array_intersect(out, moved_back(p, k))
+    if phrase.column:
+        out = F.filter(out, lambda x: x >= TEXT_AT if phrase.column == "text" else x < TEXT_AT)
+    if phrase.first:
+        out = F.filter(out, lambda x: x.isin(0, TEXT_AT))
+    return out
+
+
+def close(places: list[Column], near) -> list[Column]:
+    """Of each phrase the places in a clump: all phrases start at most distance words, and their own length, before its last start."""
+    room = [near.distance + len(p.words) for p in near.phrases]
+
+    def around(last: Column) -> Column:
+        out = F.lit(True)
+        for p, r in zip(places, room, strict=True):
+            out &= F.size(before(p, last, r)) > 0
+        return out
+
+    ends = F.filter(F.array_distinct(F.concat(*places)), around)
+    return [in_clump(p, ends, r) for p, r in zip(places, room, strict=True)]
+
+
+def snippet(text: Column, words: Column) -> Column:
+    """The SNIPPET_WORDS-word window that holds most of the words, the first among equals, with an ellipsis where it cuts."""
     n = F.lit(SNIPPET_WORDS)
 
     def of(all_words: Column) -> Column:
         last = F.greatest(F.lit(0), F.size(all_words) - n)
-        marks = F.filter(F.transform(all_words, lambda w, i: F.when(F.exists(S.tokens(w), lambda t: t.isin(*words)), i)), lambda i: i.isNotNull())
+        marks = F.filter(F.transform(all_words, lambda w, i: F.when(F.exists(S.tokens(w), lambda t: F.array_contains(words, t)), i)), lambda i: i.isNotNull())
 
         def best(at: Column) -> Column:
             # A best window starts at a hit, or as far right as the text allows.
@@ -287,18 +228,19 @@ def snippet(text: Column, words: list[str]) -> Column:
     return S.let(F.regexp_extract_all(S.plain_spaces(text), F.lit(S.WORD), F.lit(0)), of)
 
 
-def lexical_search(chunks: DataFrame, index: DataFrame, sizes: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """The best active chunks for a match expression, best first."""
-    hits = matched(index, sizes, text)
-    words = sorted({w for x in _words(text) for w in x}) or [""]
-    best = hits.join(chunks.filter("active").withColumnRenamed("id", "chunk_id"), "chunk_id").orderBy("score", "chunk_id").limit(limit)
-    return best.select("chunk_id", "source_path", "source_kind", "title", snippet(F.col("text"), words).alias("snippet"), "score", F.lit("fts").alias("rank_source"), "metadata")
+def marked_words(texts: Sequence[str | Expression]) -> Column:
+    """For each text the words that its snippets show: an array of arrays."""
+    named = [sorted({w for leaf in q.leaves() for p in leaf.phrases for w in p.words}) if q else [] for q in read_all(texts)]
+    return F.array(*[F.array(*map(F.lit, ws)).cast("array<string>") for ws in named])
+
 
+def lexical_search(chunks: DataFrame, index: DataFrame, total: Totals, *texts: str | Expression, limit: int = 20) -> DataFrame:
+    """The best active chunks for each match expression, with their rank from 1.
 
-def _words(text: str) -> list[list[str]]:
-    try:
-        parser = Parser(text)
-        parser.parse()
-    except MatchError:
-        return []
-    return [p.words for leaf in parser.leaves for p in (leaf.phrases if isinstance(leaf, Near) else [leaf])]
+    Only the winners, at most limit a text, meet the chunk table.
+    """
+    order = W.partitionBy("query").orderBy("score", "chunk_id")
+    best = matched(index, total, *texts).filter("active").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("active")
+    rows = chunks.withColumnRenamed("id", "chunk_id").join(F.broadcast(best), "chunk_id")
+    words = F.get(marked_words(texts), F.col("query"))
+    return rows.select("query", "rank", "chunk_id", "source_path", "source_kind", "title", snippet(F.col("text"), words).alias("snippet"), "score", F.lit("fts").alias("rank_source"), "metadata")

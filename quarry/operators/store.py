@@ -1,16 +1,23 @@
-"""Table changes as snapshot transforms: each takes a table and gives the next version of it."""
+"""Table changes as transforms, each of a table to its next state, and the tables of a corpus on disk."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import shared
 from ..functions import scalars as S
 from ..schema import CHUNKS, JOBS, SAVED_SEARCHES, SOURCE_FILES, VECTORS
+from ..schema import POSTINGS as POSTINGS_TABLE
+from .lexical import Totals
 
 KEY = ["source_path", "ordinal", "content_hash"]
 FINAL = ("completed", "paused", "error")
@@ -19,7 +26,7 @@ FINAL = ("completed", "paused", "error")
 def upserted(chunks: DataFrame, new: DataFrame, activate: bool, now: Column, next_id: int) -> DataFrame:
     """chunks with new merged on (source_path, ordinal, content_hash).
 
-    Ids are kept; new rows get ids from next_id on in the order of their key. An active row stays active
+    Ids are kept; new rows get ids from next_id on, in the order of their key. An active row stays active
     when staged again; activation makes a row active and indexed, staging leaves it inactive and pending.
     """
     last = new.withColumn("__n", F.row_number().over(W.partitionBy(*KEY).orderBy("title"))).filter("__n = 1").drop("__n")
@@ -28,7 +35,7 @@ def upserted(chunks: DataFrame, new: DataFrame, activate: bool, now: Column, nex
     fresh = both.filter("__id is null")
     # Ids in key order over all new rows: ranks in ranges of the key, then offsets of the ranges.
     known = both.filter("__id is not null")
-    fresh = gapless(fresh, KEY, "__id", next_id)
+    fresh = gapless(fresh.drop("__id"), KEY, "__id", next_id)
     live = F.lit(True) if activate else F.coalesce("__active", F.lit(False))
     status = F.lit("indexed") if activate else F.when(F.coalesce("__active", F.lit(False)), F.col("__status")).otherwise("vector_pending")
     merged = known.unionByName(fresh).withColumns({"id": F.col("__id"), "active": live, "vector_status": status, "created_at": F.coalesce("__created", now), "updated_at": now})
@@ -36,16 +43,20 @@ def upserted(chunks: DataFrame, new: DataFrame, activate: bool, now: Column, nex
 
 
 def gapless(rows: DataFrame, order: list[str], name: str, start: int) -> DataFrame:
-    """rows with numbers from start on, by a hash bin and the order inside it: a window a bin, and a row a bin to sum."""
-    binned = rows.withColumn("__bin", F.pmod(F.xxhash64(*order), F.lit(4096)))
-    counts = binned.groupBy("__bin").agg(F.count("*").alias("__c")).withColumn("__ahead", F.coalesce(F.sum("__c").over(W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = binned.withColumn("__r", F.row_number().over(W.partitionBy("__bin").orderBy(*order))).join(F.broadcast(counts), "__bin")
-    return out.withColumn(name, F.col("__ahead") + F.col("__r") + (start - 1)).drop("__bin", "__r", "__c", "__ahead")
+    """rows, distinct by order, with numbers from start on in that order: ranges of the order, a row a range to sum, and a number inside each."""
+    keys = rows.select(*order).repartitionByRange(shared.width(rows.sparkSession), *order)
+    keys = shared.checkpointed(keys.withColumn("__part", F.spark_partition_id()))
+    counts = keys.groupBy("__part").agg(F.count("*").alias("__c"))
+    ahead = F.sum("__c").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # a row a partition
+    counts = counts.select("__part", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    nth = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    numbered = keys.withColumn("__nth", nth).join(F.broadcast(counts), "__part")
+    return rows.join(numbered.select(*order, (F.col("__ahead") + F.col("__nth") + (start - 1)).alias(name)), order)
 
 
 def activated(chunks: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """The table with ids (chunk_id, physical_path) active and other chunks of those sources retired, and the retired ids."""
-    keep = ids.select(F.col("chunk_id").alias("id"), F.lit(True).alias("__new"))
+    keep = ids.select(F.col("chunk_id").alias("id"), F.lit(True).alias("__new")).distinct()
     source = ids.select("physical_path").distinct().withColumn("__touched", F.lit(True))
     marked = chunks.withColumn("physical_path", S.physical_path(F.col("source_path"))).join(keep, "id", "left").join(source, "physical_path", "left")
     on, off = F.coalesce("__new", F.lit(False)), F.coalesce("__touched", F.lit(False)) & F.col("active") & F.col("__new").isNull()
@@ -101,6 +112,18 @@ def retry_totals(files: DataFrame, there: DataFrame) -> DataFrame:
     return todo.agg(F.count("*").alias("retried"), F.count_if(F.col("__there").isNull()).alias("missing"))
 
 
+def created_job(jobs: DataFrame, root_path: str, now: Column, status: str = "running", message: str = "", **counters: int) -> DataFrame:
+    """jobs with a new one under the next id; one that is created with a final status is finished."""
+    row = (jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"] + 1, root_path, status, *[counters.get(k, 0) for k in ("discovered", "indexed", "skipped", "error")], message)
+    new = jobs.sparkSession.createDataFrame([row], T.StructType(JOBS.fields[:8]))
+    return jobs.unionByName(new.withColumns({"started_at": now, "updated_at": now, "finished_at": now if status in FINAL else F.lit(None).cast("timestamp")}))
+
+
+def background_error(jobs: DataFrame, message: str, now: Column) -> DataFrame:
+    """A background scan that failed, as a job."""
+    return created_job(jobs, "background", now, "error", message, error=1)
+
+
 def updated_job(jobs: DataFrame, job_id: int, status: str, message: str, now: Column, **counters: int) -> DataFrame:
     """A job's state; finished_at is set by a final status only."""
     here = F.col("id") == job_id
@@ -119,59 +142,157 @@ def saved_search(searches: DataFrame, name: str, query: str, filters: dict[str,
     return searches.filter(F.col("name") != name).unionByName(new)
 
 
-TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "source_files": SOURCE_FILES, "index_jobs": JOBS, "saved_searches": SAVED_SEARCHES}
+TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "source_files": SOURCE_FILES, "index_jobs": JOBS, "saved_searches": SAVED_SEARCHES, "postings": POSTINGS_TABLE}
+#: Tables whose segments are dealt into folders by their source, so that a change reads the folders of its sources only.
+BY_SOURCE = ("chunks", "vectors", "source_files")
+KEY_OF = {"chunks": "id", "vectors": "chunk_id", "postings": "chunk_id"}
+PARTS = 32
+
+
+def part_of(physical_path: Column | str) -> Column:
+    return F.pmod(F.xxhash64(physical_path), F.lit(PARTS)).cast("int")
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed meanwhile; nothing of this change is visible."""
+
+
+@dataclass(frozen=True)
+class State:
+    """What readers see: the folders of each table, and what is counted on the way."""
+
+    at: int = 0
+    next_id: int = 1
+    totals: Totals = field(default_factory=Totals)
+    tables: dict[str, list[str]] = field(default_factory=dict)
 
 
 class Store:
-    """Versioned Parquet tables under one folder: a version's files are written first, then one small row points to them.
+    """The tables of a corpus as Parquet folders under one path, through Spark, so any store that Spark writes will do.
 
-    Both the chunks and the vectors of a change are under one version, so readers never see one without
-    the other. Paths go through Spark, so any store that Spark writes will do.
+    A change appends folders with its own rows and never rewrites others: a row that it replaces is listed in
+    `dead` (an id, and the last change whose rows of that id are void). It becomes visible by one small row
+    that lists all folders, written last and under the change's number: if another writer was first, the
+    write fails with `Conflict`. `compact` merges the folders and deletes the old ones.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._staged: dict[str, str] = {}
 
-    def _pointer(self) -> dict:
+    def state(self) -> State:
         try:
-            rows = self.spark.read.schema("at long, state string").json(f"{self.path}/versions").orderBy(F.desc("at")).limit(1).collect()
-        except Exception as e:  # nothing was committed yet
+            rows = self.spark.read.schema("at long, state string").option("recursiveFileLookup", "true").json(f"{self.path}/log").orderBy(F.desc("at")).limit(1).collect()
+        except AnalysisException as e:  # nothing was committed yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             rows = []
-        return json.loads(rows[0]["state"]) if rows else {"at": 0, "next_id": 1, "tables": {}}
-
-    def read(self, name: str) -> DataFrame:
-        place = self._pointer()["tables"].get(name)
-        if place is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        raw = self.spark.read.option("mergeSchema", "true").parquet(place)
-        missing = [f for f in TABLES[name].fields if f.name not in raw.columns] if name in TABLES else []
-        return raw.withColumns({f.name: F.lit("indexed" if f.name == "vector_status" else None).cast(f.dataType) for f in missing})
+        if not rows:
+            return State()
+        s = json.loads(rows[0]["state"])
+        return State(s["at"], s["next_id"], Totals(**s["totals"]), s["tables"])
+
+    def read(self, name: str, parts: Sequence[int] | None = None, whole: bool = False) -> DataFrame:
+        """The live rows of a table; of some parts only, if given; with whole, their part and segment too."""
+        state, schema = self.state(), TABLES[name]
+        folders = state.tables.get(name, [])
+        extra = T.StructType([T.StructField("segment", T.LongType()), *([T.StructField("part" if name in BY_SOURCE else "bucket", T.IntegerType())] if name in BY_SOURCE or name == "postings" else [])])
+        full = T.StructType(schema.fields + extra.fields)
+        rows = self._folders(folders, full)
+        if parts is not None:
+            rows = rows.filter(F.col("part").isin(list(parts)))
+        if name in KEY_OF and state.tables.get("dead"):
+            dead = self._folders(state.tables["dead"], "id long, upto long").groupBy("id").agg(F.max("upto").alias("upto")).withColumnRenamed("id", "__id")
+            rows = rows.join(dead, (F.col(KEY_OF[name]) == F.col("__id")) & (F.col("segment") <= F.col("upto")), "left_anti")
+        if name == "source_files":
+            rows = rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in full.names if c != "path"]), "segment").alias("row")).select("path", "row.*")
+        return rows if whole else rows.select(*schema.names, *(["bucket"] if name == "postings" else []))
+
+    def _folders(self, folders: list[str], schema: T.StructType | str) -> DataFrame:
+        out = [self.spark.read.schema(schema).parquet(f) for f in folders]
+        if not out:
+            return self.spark.createDataFrame([], schema)
+        rows = out[0]
+        for more in out[1:]:
+            rows = rows.unionByName(more)
+        return rows
+
+    def change(self) -> Change:
+        return Change(self, self.state())
 
     @property
     def next_id(self) -> int:
-        return self._pointer()["next_id"]
+        return self.state().next_id
 
-    def stage(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a table's next version without showing it to readers, and read it back."""
-        self._staged[name] = place = f"{self.path}/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(place)
-        return self.spark.read.parquet(place)
-
-    def commit(self, **tables: DataFrame) -> None:
-        """Show tables, and what was staged, as one new version."""
+    def put(self, **tables: DataFrame) -> None:
+        """New whole contents of small tables (jobs, saved searches), as one change."""
+        c = self.change()
         for name, df in tables.items():
-            self.stage(name, df)
-        state = self._pointer()
-        state["tables"].update(self._staged)
-        if "chunks" in self._staged:
-            top = self.spark.read.parquet(self._staged["chunks"]).agg(F.max("id")).first()[0] or 0
-            state["next_id"] = max(state["next_id"], top + 1)
-        state["at"] += 1
-        self.spark.createDataFrame([(state["at"], json.dumps(state))], "at long, state string").coalesce(1).write.mode("append").json(f"{self.path}/versions")
-        self._staged = {}
-
-    def compact(self, name: str, files: int) -> None:
-        self.commit(**{name: self.read(name).repartition(files)})
+            c.stage(name, df, replacing=True)
+        c.commit()
+
+    def create(self) -> None:
+        """Empty tables, where there are none yet; tables written before a column was added read it as null."""
+        if not self.state().at:
+            self.put(index_jobs=self.spark.createDataFrame([], JOBS), saved_searches=self.spark.createDataFrame([], SAVED_SEARCHES))
+
+    def compact(self) -> None:
+        """Every table in one folder without dead rows; then the folders and log rows that nobody needs any more go."""
+        c = self.change()
+        old = c.state
+        for name in [n for n in old.tables if n != "dead"]:
+            c.stage(name, self.read(name, whole=True), replacing=True)
+        c.commit(drop=("dead",))
+        shared.removed(self.spark, *[f for folders in old.tables.values() for f in folders], *[self._log(n) for n in range(1, old.at + 1)])
+
+    def _log(self, at: int) -> str:
+        return f"{self.path}/log/{at:012d}"
+
+    def size_bytes(self, folder: str = "") -> int:
+        """The bytes under the store's path, or under one of its folders."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}".rstrip("/"))
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+    def usage(self) -> dict[str, int]:
+        """Bytes by part of the store."""
+        total, vectors, log = self.size_bytes(), self.size_bytes("vectors"), self.size_bytes("log")
+        tables = sum(self.size_bytes(n) for n in TABLES if n != "vectors")
+        return {"total": total, "tables": tables, "vectors": vectors, "logs": log, "other": max(0, total - tables - vectors - log)}
+
+
+class Change:
+    """Folders written for one change; `commit` shows them all at once."""
+
+    def __init__(self, store: Store, state: State):
+        self.store, self.state, self.number = store, state, state.at + 1
+        self._new: dict[str, str] = {}
+        self._whole: set[str] = set()
+
+    def stage(self, name: str, df: DataFrame, replacing: bool = False) -> DataFrame:
+        """Write rows without showing them to readers, and read them back. Tables by source need a column part."""
+        place = f"{self.store.path}/{name}/{self.number:012d}-{uuid.uuid4().hex}"
+        if "segment" not in df.columns and name != "dead":
+            df = df.withColumn("segment", F.lit(self.number).cast("long"))
+        by = "part" if name in BY_SOURCE else "bucket" if name == "postings" else None
+        writer = (df.repartition(by) if by == "part" else df).write
+        (writer.partitionBy(by) if by else writer).parquet(place)
+        if name in self._new:
+            shared.removed(self.store.spark, self._new[name])
+        self._new[name] = place
+        if replacing:
+            self._whole.add(name)
+        return self.store.spark.read.schema(df.schema).parquet(place)
+
+    def commit(self, next_id: int | None = None, totals: Totals | None = None, drop: Sequence[str] = ()) -> None:
+        tables = {k: list(v) for k, v in self.state.tables.items() if k not in drop}
+        for name, place in self._new.items():
+            tables[name] = [place] if name in self._whole else [*tables.get(name, []), place]
+        new = replace(self.state, at=self.number, next_id=next_id or self.state.next_id, totals=totals or self.state.totals, tables=tables)
+        row = self.store.spark.createDataFrame([(self.number, json.dumps(asdict(new)))], "at long, state string")
+        try:
+            row.coalesce(1).write.mode("error").json(self.store._log(self.number))
+        except AnalysisException as e:
+            if "PATH_ALREADY_EXISTS" not in str(e):
+                raise
+            shared.removed(self.store.spark, *self._new.values())
+            raise Conflict(f"change {self.number} was made by another writer") from e

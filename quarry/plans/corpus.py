@@ -1,15 +1,21 @@
-"""The fixture tables as a corpus: records, chunks, postings and vectors, with ids that need no global order."""
+"""The fixture tables as a corpus: records, chunks, postings and vectors, with ids that need no global order.
+
+The tables of a search are built once a session and folder, as an ingest would write them, and read from
+then on (`corpus`, `chunk_table`).
+"""
 
 from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import chunking, hybrid, lexical, vectors
+from ..shared import new_path, spread
 from ..sources import extract
 
 #: Chunks a document can have in the id scheme of the fixtures: id = doc_id * SLOTS + ordinal.
@@ -43,18 +49,59 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("source_path"), F.lit("normal_file").alias("source_kind"), F.col("url").alias("title"), extract.visible_text_of("html").alias("text"), facts.alias("metadata"))
 
 
-def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents; those of one source count as deleted, so that they are there but inactive.
-
-    An ingest writes this table; here it is persisted in its stead, as queries read it several times.
-    """
-    c = chunking.text_chunks(document_records(spark, sf_dir))
+def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents; those of one source count as deleted, so that they are there but inactive."""
+    c = chunking.chunked(spread(document_records(spark, sf_dir)))
     doc_id = F.regexp_extract("source_path", r"/(\d+)\.txt$", 1).cast("long")
     active = F.element_at("metadata", "project") != "src3"
     return c.select(
         (doc_id * SLOTS + F.col("ordinal")).alias("id"), "source_path", "source_kind", "title", "text", "metadata", "ordinal", "content_hash", active.alias("active"),
-        F.when(active, "indexed").otherwise("inactive").alias("vector_status"), F.expr(EPOCH).alias("created_at"), F.expr(f"{EPOCH} + make_interval(0, 0, 0, 0, 0, 0, cast({'doc_id'} as double))".replace("doc_id", "regexp_extract(source_path, '/([0-9]+)[.]txt$', 1)")).alias("updated_at"),
-    ).persist()
+        F.when(active, "indexed").otherwise("inactive").alias("vector_status"), F.expr(EPOCH).alias("created_at"), (F.expr(EPOCH) + F.make_interval(secs=doc_id.cast("double"))).alias("updated_at"),
+    )
+
+
+def mixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active chunks of several kinds: documents (those of source src2 as config files), and turns of conversations after all of them."""
+    docs = chunked_documents(spark, sf_dir).filter("active")
+    config = F.element_at("metadata", "project") == "src2"
+    docs = docs.withColumn("metadata", F.when(config, F.map_concat(F.map_filter("metadata", lambda k, _: k != "extension"), F.create_map(F.lit("extension"), F.lit(".yaml")))).otherwise(F.col("metadata")))
+    turns = chunking.chunked(session_records(spark, sf_dir))
+    conv, turn = (F.regexp_extract("source_path", r"^chat/(\d+)\.jsonl#message:(\d+)$", k).cast("long") for k in (1, 2))
+    made = {"id": F.lit(1 << 40) + (conv * 4096 + turn) * 64 + F.col("ordinal"), "active": F.lit(True), "vector_status": F.lit("indexed"), "created_at": F.expr(EPOCH), "updated_at": F.expr(EPOCH)}
+    return docs.unionByName(turns.withColumns(made).select(docs.columns))
+
+
+@dataclass
+class Built:
+    chunks: str
+    postings: str
+    vectors: str
+    totals: lexical.Totals
+
+
+_BUILT: dict[tuple[str, str, str], Built] = {}
+
+
+def build(spark: SparkSession, sf_dir: str, name: str = "documents") -> Built:
+    """Write the tables of a search: chunks, postings by term, and vectors."""
+    paths = [new_path(spark, f"{name}-{x}") for x in ("chunks", "postings", "vectors")]
+    rows = chunked_documents(spark, sf_dir) if name == "documents" else mixed_chunks(spark, sf_dir)
+    rows.write.parquet(paths[0])
+    chunks = spark.read.parquet(paths[0])
+    lexical.dealt(lexical.postings(chunks)).write.partitionBy("bucket").parquet(paths[1])
+    vectors.embedded(chunks, DIM).write.parquet(paths[2])
+    return Built(*paths, lexical.totals(chunks, spark.read.parquet(paths[1])))
+
+
+def built(spark: SparkSession, sf_dir: str, name: str = "documents") -> Built:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = build(spark, sf_dir, name)
+    return _BUILT[key]
+
+
+def chunk_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(built(spark, sf_dir, name).chunks)
 
 
 def query_vector(text: str, dim: int = DIM) -> list[float]:
@@ -65,10 +112,10 @@ def query_vector(text: str, dim: int = DIM) -> list[float]:
     return [x / norm for x in raw] if norm else raw
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> hybrid.Corpus:
+def corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> hybrid.Corpus:
     """All tables of a search."""
-    chunks = chunk_table(spark, sf_dir)
-    return hybrid.Corpus(chunks, lexical.postings(chunks), lexical.lengths(chunks).persist(), vectors.embedded(chunks, DIM).persist(), query_vector)
+    b = built(spark, sf_dir, name)
+    return hybrid.Corpus(spark.read.parquet(b.chunks), spark.read.parquet(b.postings), b.totals, spark.read.parquet(b.vectors), query_vector)
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:

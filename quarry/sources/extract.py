@@ -1,8 +1,9 @@
 """File contents to records: one extractor a format, chosen by a Column rule.
 
-Text formats that lines and JSON describe stay in built-in functions. Containers (PDF, office files, zip,
-MIME, SQLite) are parsed in `mapInPandas`, one file at a time; a file that can't be parsed gives no record
-and a row of `failed`.
+Plain text and the formats that lines and JSON describe stay in built-in functions. Containers (PDF, office
+files, zip, MIME) and quoted CSV are parsed in `mapInPandas`, one file at a time; a file that can't be
+parsed gives no record and a row of `failed`. Session and fact databases come as tables, by `spark.read.jdbc`
+or any other reader, with a column `path` for the database.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import email.policy
 import io
 import posixpath
 import re
-import sqlite3
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -65,10 +65,15 @@ def visible_text_of(html: pd.Series) -> pd.Series:
     return html.map(lambda x: visible_text(x or ""))
 
 
+# What counts as a stream, a literal and a hexadecimal string of a PDF, and a printable run.
+PDF_STREAM, PDF_LITERAL, PDF_HEX = rb"stream\r?\n(.*?)\r?\nendstream", r"\((.*?)\)", r"<([0-9A-Fa-f]{4,})>"
+PRINTABLE = r"[\w\s.,:;!?@#%&/\\\-+()]{4,}"
+
+
 def pdf_text(data: bytes) -> str:
     """Literal strings of all content streams, then the hexadecimal ones; a literal ends at its first closing bracket."""
     pages = []
-    for body in re.findall(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
+    for body in re.findall(PDF_STREAM, data, re.S):
         body = body.strip(b"\r\n")
         try:
             body = zlib.decompress(body)
@@ -77,11 +82,11 @@ def pdf_text(data: bytes) -> str:
         pages.append(body.decode("latin-1"))
     page = "\n".join(pages)
     found = []
-    for literal in re.findall(r"\((.*?)\)", page):
+    for literal in re.findall(PDF_LITERAL, page):
         for written, meant in ((r"\(", "("), (r"\)", ")"), (r"\\", "\\"), (r"\n", "\n")):
             literal = literal.replace(written, meant)
         found.append(literal)
-    found += [bytes.fromhex(x).decode("utf-8", "replace") for x in re.findall(r"<([0-9A-Fa-f]{4,})>", page)]
+    found += [bytes.fromhex(x).decode("utf-8", "replace") for x in re.findall(PDF_HEX, page)]
     return "\n".join(x for x in found if x.strip())
 
 
@@ -142,13 +147,9 @@ def mhtml_text(data: bytes) -> str:
     return "\n".join(x for x in found if x)
 
 
-def plain_text(data: bytes) -> str:
-    return data.decode("utf-8", "replace")
-
-
 def printable_text(data: bytes) -> str:
     """Printable runs of four characters or more of a binary message log."""
-    found = re.findall(r"[\w\s.,:;!?@#%&/\\\-+()]{4,}", data.decode("utf-8", "ignore"))
+    found = re.findall(PRINTABLE, data.decode("utf-8", "ignore"))
     return "\n".join(" ".join(x.split()) for x in found if x.strip())
 
 
@@ -171,7 +172,7 @@ def zip_members(data: bytes) -> Iterator[tuple[str, str, str]]:
 
 
 ONE_RECORD: dict[str, Callable[[bytes], str]] = {
-    "pdf": pdf_text, "docx": docx_text, "pptx": pptx_text, "xlsx": xlsx_text, "csv": csv_text, "html": html_text, "mhtml": mhtml_text, "plain": plain_text, "strings": printable_text,
+    "pdf": pdf_text, "docx": docx_text, "pptx": pptx_text, "xlsx": xlsx_text, "csv": csv_text, "html": html_text, "mhtml": mhtml_text, "strings": printable_text,
 }
 BY_SUFFIX = {".pdf": "pdf", ".docx": "docx", ".pptx": "pptx", ".xlsx": "xlsx", ".csv": "csv", ".html": "html", ".htm": "html", ".mhtml": "mhtml", ".srt": "transcript", ".vtt": "transcript", ".ass": "transcript", ".zip": "zip", ".pb": "strings"}
 
@@ -184,9 +185,19 @@ def extractor(path: Column, kind: Column) -> Column:
     return out.otherwise("plain")
 
 
+def decoded(content: Column) -> Column:
+    """UTF-8 bytes as text, bad ones replaced."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def plain_files(files: DataFrame) -> DataFrame:
+    facts = F.create_map(F.lit("extension"), S.suffix(F.col("path")))
+    return files.select(F.col("path").alias("source_path"), F.col("kind").alias("source_kind"), S.file_name(F.col("path")).alias("title"), decoded(F.col("content")).alias("text"), facts.alias("metadata"), F.lit(None).cast("string").alias("failed"))
+
+
 def transcripts(files: DataFrame) -> DataFrame:
     """Spoken lines of subtitles: no counters, time codes, headers or notes."""
-    line = F.transform(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), S.LINE_END), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    line = F.transform(F.split(F.regexp_replace(decoded(F.col("content")), "^﻿", ""), S.LINE_END), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     spoken = F.filter(line, lambda x: (x != "") & (F.upper(x) != "WEBVTT") & ~x.rlike(r"^\d+$") & ~(x.contains("-->") & S.is_timecode(x)) & ~x.rlike("^(NOTE|STYLE|REGION)"))
     facts = F.create_map(F.lit("extension"), S.suffix(F.col("path")), F.lit("extractor"), F.lit("transcript"), F.lit("file_type"), F.lit("transcript"))
     return files.select(F.col("path").alias("source_path"), F.col("kind").alias("source_kind"), S.file_name(F.col("path")).alias("title"), F.array_join(spoken, "\n").alias("text"), facts.alias("metadata"), F.lit(None).cast("string").alias("failed"))
@@ -204,7 +215,7 @@ def content_text(content: Column) -> Column:
 
 def sessions(files: DataFrame, source: str) -> DataFrame:
     """A record a message of a user or assistant in JSON-lines logs; path#L<line> says where it stood. Bad lines are passed over."""
-    line = files.select("path", "kind", F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r\n|\n")).alias("at", "line"))
+    line = files.select("path", "kind", F.posexplode(F.split(decoded(F.col("content")), r"\r\n|\n")).alias("at", "line"))
     e = line.withColumn("e", F.from_json("line", _EVENT)).withColumn("text", content_text(F.col("e.payload.content")))
     said = e.filter((F.col("e.payload.type") == "message") & F.col("e.payload.role").isin("user", "assistant") & (F.col("text") != ""))
     number = (F.col("at") + 1).cast("string")
@@ -225,48 +236,41 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     text = ONE_RECORD[how](data)
                     if how != "strings" or text.strip():
-                        rows.append((path, kind, name, text, {"extension": ext} if how == "plain" else {"extension": ext, "extractor": how}, None))
+                        rows.append((path, kind, name, text, {"extension": ext, "extractor": how}, None))
             except Exception as e:  # one bad file must not end the job
                 rows.append((path, kind, name, None, {}, f"{type(e).__name__}: {e}"))
         yield pd.DataFrame(rows, columns=["source_path", "source_kind", "title", "text", "metadata", "failed"])
 
 
-def records(files: DataFrame, session_source: str = "sessions") -> DataFrame:
-    """path, kind, content (bytes) to records with a column failed, null where all went well."""
-    known = files.withColumn("how", extractor(F.col("path"), F.col("kind")))
-    rest = known.filter(~F.col("how").isin("transcript", "session")).select("path", "kind", "how", "content").mapInPandas(_parsed, RECORD)
-    return rest.unionByName(transcripts(known.filter("how = 'transcript'"))).unionByName(sessions(known.filter("how = 'session'"), session_source))
-
+def records(files: DataFrame, session_source: str = "sessions", read: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """path, kind, content (bytes) to records with a column failed, null where all went well.
 
-def sqlite_rows(files: DataFrame, query: str, schema: str) -> DataFrame:
-    """path and the rows of a query over each SQLite file, opened from its bytes and never written."""
-    names = [x.split()[0] for x in schema.split(",")]
+    With read, files have path and kind only: each extractor's own files are read through it, each once.
+    """
+    how = extractor(F.col("path"), F.col("kind"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                with sqlite3.connect(":memory:") as db:
-                    db.deserialize(data)
-                    got = db.execute(query).fetchall()
-                yield pd.DataFrame([(path, *r) for r in got], columns=["path", *names])
+    def of(keep: Column) -> DataFrame:
+        mine = files.filter(keep)
+        return read(mine) if read else mine
 
-    return files.select("path", "content").mapInPandas(run, f"path string, {schema}")
+    others = of(~how.isin("plain", "transcript", "session")).select("path", "kind", how.alias("how"), "content")
+    out = others.mapInPandas(_parsed, RECORD).unionByName(plain_files(of(how == "plain"))).unionByName(transcripts(of(how == "transcript")))
+    return out.unionByName(sessions(of(how == "session"), session_source))
 
 
-def session_db(files: DataFrame, source: str) -> DataFrame:
-    """Messages of session databases with their session's model, in the order of time and id."""
-    m = sqlite_rows(files, "SELECT id, session_id, role, content, CAST(timestamp AS TEXT) FROM messages WHERE content IS NOT NULL", "id long, session_id string, role string, content string, timestamp string")
-    s = sqlite_rows(files, "SELECT id, model FROM sessions", "sid string, model string").withColumnRenamed("path", "spath")
-    both = m.join(s, (m["path"] == s["spath"]) & (m["session_id"] == s["sid"]), "left")
-    keys = {"source": F.lit(source), "session_id": F.col("session_id"), "message_id": F.col("id").cast("string"), "role": F.col("role"), "timestamp": F.col("timestamp"), "model": F.col("model")}
+def session_messages(messages: DataFrame, sessions: DataFrame, source: str) -> DataFrame:
+    """Records of messages (path, id, session_id, role, content, timestamp) with the model of their session (path, id, model), if it is known."""
+    m = messages.filter("content is not null")
+    s = sessions.select(F.col("path").alias("__path"), F.col("id").alias("__session"), "model")
+    both = m.join(s, (F.col("path") == F.col("__path")) & (F.col("session_id") == F.col("__session")), "left")
+    keys = {"source": F.lit(source), "session_id": F.col("session_id"), "message_id": F.col("id").cast("string"), "role": F.col("role"), "timestamp": F.col("timestamp").cast("string"), "model": F.col("model")}
     facts = F.create_map(*[x for k, v in keys.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))])
-    return both.select(F.concat("path", F.lit("#message:"), "id").alias("source_path"), F.lit("ai_session").alias("source_kind"), F.concat_ws(" ", F.lit(source), "session_id", "role").alias("title"), F.col("content").alias("text"), facts.alias("metadata"))
+    return both.select(F.concat("path", F.lit("#message:"), F.col("id").cast("string")).alias("source_path"), F.lit("ai_session").alias("source_kind"), F.concat_ws(" ", F.lit(source), "session_id", "role").alias("title"), F.col("content").alias("text"), facts.alias("metadata"))
 
 
-def fact_db(files: DataFrame, source: str) -> DataFrame:
-    """Facts of memory databases."""
-    columns = "fact_id, content, category, tags, trust_score, created_at, updated_at"
-    casts = ", ".join(f"CAST({c} AS TEXT)" for c in columns.split(", "))
-    f = sqlite_rows(files, f"SELECT {casts} FROM facts WHERE content IS NOT NULL ORDER BY fact_id", ", ".join(f"{c} string" for c in columns.split(", ")))
-    facts = F.create_map(F.lit("source"), F.lit(source), *[x for c in columns.split(", ") if c != "content" for x in (F.lit(c), F.coalesce(c, F.lit("")))])
-    return f.select(F.concat("path", F.lit("#fact:"), "fact_id").alias("source_path"), F.lit("ai_memory").alias("source_kind"), F.concat_ws(" ", F.lit(source), "category").alias("title"), F.col("content").alias("text"), facts.alias("metadata"))
+def facts(rows: DataFrame, source: str) -> DataFrame:
+    """Records of facts (path, fact_id, content, category, tags, trust_score, created_at, updated_at)."""
+    kept = ("fact_id", "category", "tags", "trust_score", "created_at", "updated_at")
+    about = F.create_map(F.lit("source"), F.lit(source), *[x for c in kept for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("")))])
+    f = rows.filter("content is not null")
+    return f.select(F.concat("path", F.lit("#fact:"), F.col("fact_id").cast("string")).alias("source_path"), F.lit("ai_memory").alias("source_kind"), F.concat_ws(" ", F.lit(source), "category").alias("title"), F.col("content").alias("text"), about.alias("metadata"))

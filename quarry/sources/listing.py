@@ -1,8 +1,9 @@
-"""File trees as a Spark data source: format `tree`, one partition for each folder under the roots.
+"""File trees as a Spark data source: format `tree`, folders under the roots dealt over the tasks.
 
 Unlike Spark's own file listing it shows names that start with a dot, keeps nanosecond times, never follows
-links, and does not enter folders that are pruned by name. Register it with
-`spark.dataSource.register(TreeSource)`; roots must be readable at the same path on every executor.
+links, and does not enter folders that are pruned by name. A folder that can't be read gives a row with an
+error. Register it with `spark.dataSource.register(TreeSource)`; roots must be readable at the same path on
+every executor.
 """
 
 from __future__ import annotations
@@ -15,13 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..operators.filters import SKIPPED_FOLDERS
+from ..operators.filters import SKIPPED_FOLDERS, SKIPPED_PREFIX
 from ..schema import LISTING
 
+#: The driver looks into folders, level by level, until it has so many for the tasks, and deals them to so many partitions at most.
+ENOUGH = 256
+
 
 class Branch(InputPartition):
-    def __init__(self, root: str, folder: str, deep: bool):
-        self.root, self.folder, self.deep = root, folder, deep
+    """(root, folder, whether to go below it) for one task."""
+
+    def __init__(self, folders: list[tuple[str, str, bool]]):
+        self.folders = folders
 
 
 class TreeReader(DataSourceReader):
@@ -29,40 +35,52 @@ class TreeReader(DataSourceReader):
         self.roots, self.pruned = roots, frozenset(pruned)
 
     def partitions(self) -> list[Branch]:
-        out = []
-        for root in self.roots:
-            out.append(Branch(root, root, False))  # files of the root itself, or the root if it is a file
-            out += [Branch(root, e.path, True) for e in self._entries(root) if self._enters(e)]
-        return out or [Branch("", "", False)]
-
-    def _entries(self, folder: str) -> list[os.DirEntry]:
+        known, level = [], [(root, root) for root in self.roots]
+        while level and len(known) + len(level) < ENOUGH:
+            known += [(root, folder, False) for root, folder in level]  # its own files; or a root that is a file
+            level = [(root, e.path) for root, folder in level for e in self._entries(folder)[0] if self._enters(e)]
+        known += [(root, folder, True) for root, folder in level]
+        return [Branch(known[k::ENOUGH]) for k in range(min(ENOUGH, len(known)))] or [Branch([])]
+
+    def _entries(self, folder: str) -> tuple[list[os.DirEntry], str | None]:
+        """By lower-case name, links left out; nothing, and the reason, where the folder can't be read."""
         try:
             with os.scandir(folder) as it:
-                return sorted((e for e in it if not e.is_symlink()), key=lambda e: e.name.lower())
-        except OSError:
-            return []  # missing or unreadable
+                return sorted((e for e in it if not e.is_symlink()), key=lambda e: e.name.lower()), None
+        except (FileNotFoundError, NotADirectoryError):
+            return [], None
+        except OSError as e:
+            return [], f"{type(e).__name__}: {e.strerror}"
 
     def _enters(self, entry: os.DirEntry) -> bool:
-        return entry.is_dir(follow_symlinks=False) and entry.name.lower() not in self.pruned
+        name = entry.name.lower()
+        return entry.is_dir(follow_symlinks=False) and name not in self.pruned and not (self.pruned and name.startswith(SKIPPED_PREFIX))
 
     def read(self, partition: Branch) -> Iterator[tuple]:
-        if not partition.deep and os.path.isfile(partition.folder):
-            s = os.stat(partition.folder)
-            yield partition.folder, partition.root, s.st_size, s.st_mtime_ns
+        for root, folder, deep in partition.folders:
+            yield from self._walk(root, folder, deep)
+
+    def _walk(self, root: str, top: str, deep: bool) -> Iterator[tuple]:
+        if os.path.isfile(top):
+            s = os.stat(top)
+            yield top, root, s.st_size, s.st_mtime_ns, None
             return
-        todo = [partition.folder] if partition.folder else []
+        todo = [top]
         while todo:
-            below = []
-            for e in self._entries(todo.pop()):
+            folder, below = todo.pop(), []
+            entries, error = self._entries(folder)
+            if error:
+                yield folder, root, None, None, error
+            for e in entries:
                 if self._enters(e):
                     below.append(e.path)
                 elif e.is_file(follow_symlinks=False):
                     try:
                         s = e.stat(follow_symlinks=False)
-                        yield e.path, partition.root, s.st_size, s.st_mtime_ns
+                        yield e.path, root, s.st_size, s.st_mtime_ns, None
                     except OSError:
-                        yield e.path, partition.root, None, None
-            if partition.deep:
+                        yield e.path, root, None, None, None
+            if deep:
                 todo += reversed(below)
 
 
@@ -77,13 +95,45 @@ class TreeSource(DataSource):
         return LISTING
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return TreeReader(json.loads(self.options["roots"]), json.loads(self.options.get("pruned", json.dumps(SKIPPED_FOLDERS))))
+        return TreeReader(json.loads(self.options["roots"]), json.loads(self.options.get("pruned", json.dumps(sorted(SKIPPED_FOLDERS)))))
 
 
-def listed(spark: SparkSession, roots: Sequence[str], pruned: Sequence[str] = SKIPPED_FOLDERS) -> DataFrame:
-    """path, root, size_bytes, mtime_ns of all files under the roots; a root that is missing gives none."""
+def listed(spark: SparkSession, roots: Sequence[str], pruned: Sequence[str] | frozenset[str] = SKIPPED_FOLDERS) -> DataFrame:
+    """path, root, size_bytes, mtime_ns of all files under the roots, and folders that can't be read with their error; a root that is missing gives none."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("tree").option("roots", json.dumps(list(roots))).option("pruned", json.dumps(list(pruned))).load()
+    return spark.read.format("tree").option("roots", json.dumps(list(roots))).option("pruned", json.dumps(sorted(pruned))).load()
+
+
+def stated(paths: DataFrame) -> DataFrame:
+    """The listing of single files, each its own root: paths that are gone give none."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [row for path in batch.column("path").to_pylist() for row in TreeReader([path], ())._walk(path, path, False)]
+            yield pa.RecordBatch.from_pylist([dict(zip(LISTING.names, r, strict=True)) for r in rows], schema=pa.schema([("path", pa.string()), ("root", pa.string()), ("size_bytes", pa.int64()), ("mtime_ns", pa.int64()), ("error", pa.string())]))
+
+    return paths.select("path").mapInArrow(run, LISTING)
+
+
+def gone(paths: DataFrame) -> DataFrame:
+    """The paths where there is nothing any more; one that can't be looked at is not among them."""
+
+    def is_gone(path: str) -> bool:
+        try:
+            os.lstat(path)
+        except (FileNotFoundError, NotADirectoryError):
+            return True
+        except OSError:
+            pass
+        return False
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter([is_gone(p) for p in batch.column("path").to_pylist()])
+
+    return paths.select("path").mapInArrow(run, "path string")
 
 
 def contents(files: DataFrame) -> DataFrame:

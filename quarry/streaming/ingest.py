@@ -1,19 +1,44 @@
-"""Incremental ingest: what changed is chunked, embedded and activated in one version; what vanished is retired."""
+"""Incremental ingest: what changed is chunked, embedded and activated in one change of the store; what vanished is retired.
+
+A change reads the folders of its own sources and writes its own rows, so its cost follows what was touched,
+not the corpus. Periodic scans are a Structured Streaming trigger (`stream(every=...)`) or the caller's own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import shared
 from ..functions import scalars as S
-from ..operators import chunking, context, filters, store, vectors
+from ..operators import chunking, context, filters, hybrid, lexical, store, vectors
 from ..sources import extract, listing
 
+Embed = Callable[[DataFrame], DataFrame]
+
+
+class BudgetExceeded(RuntimeError):
+    """The store holds more bytes than allowed."""
+
+
+@dataclass(frozen=True)
+class Budget:
+    """Bytes of a store: from `warn` of target on a scan goes on and says so, from stop on it ends as an error."""
+
+    target: int = 10 << 30
+    stop: int = 12 << 30
+    warn: float = 0.8
+
+    def checked(self, used: int) -> str:
+        if used >= self.stop:
+            raise BudgetExceeded(f"{used} bytes are in use, {self.stop} are allowed")
+        return "warning" if used >= int(self.target * self.warn) else "ok"
+
 
 def changed(listed: DataFrame, files: DataFrame, chunks: DataFrame, vecs: DataFrame) -> DataFrame:
     """Listed files with a new fingerprint, an unfinished state, or active chunks that lack vectors."""
@@ -25,103 +50,185 @@ def changed(listed: DataFrame, files: DataFrame, chunks: DataFrame, vecs: DataFr
 
 
 def vanished(files: DataFrame, seen: DataFrame, roots: Sequence[str]) -> DataFrame:
-    """Paths of stored files under the roots that were not seen."""
+    """Paths of stored files under the roots that were not seen and are not there any more: what an unreadable folder hides stays."""
     under = F.lit(False)
     for r in roots:
         under |= filters.under_root(r)
-    return files.filter(under & (F.col("status") != "deleted")).join(seen.select("path"), "path", "left_anti").select("path")
+    return listing.gone(files.filter(under & (F.col("status") != "deleted")).join(seen.select("path"), "path", "left_anti"))
 
 
-def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFrame, embed: Callable[[DataFrame], DataFrame], now: datetime) -> None:
-    """One version: records of the touched files staged, embedded and activated, older chunks of those files and all of the gone ones retired.
+def retired(chunks: DataFrame, paths: DataFrame, kept: DataFrame, at: Column) -> DataFrame:
+    """chunks of the paths made inactive, but for the kept ids."""
+    dead = paths.select("path", F.lit(True).alias("__dead")).distinct()
+    left = chunks.withColumn("path", S.physical_path(F.col("source_path"))).join(dead, "path", "left").join(kept.select("id", F.lit(True).alias("__kept")).distinct(), "id", "left")
+    off = F.col("__dead").isNotNull() & F.col("__kept").isNull() & F.col("active")
+    left = left.withColumn("__off", off)
+    return left.withColumns({
+        "active": F.col("active") & ~F.col("__off"), "vector_status": F.when(F.col("__off"), "inactive").otherwise(F.col("vector_status")), "updated_at": F.when(F.col("__off"), at).otherwise(F.col("updated_at")),
+    }).select(store.CHUNKS.names)
+
+
+def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFrame, embed: Embed, now: datetime) -> None:
+    """One change: records of the touched files staged, embedded and activated, older chunks of those files and all of the gone ones retired.
 
     touched: path, kind, fingerprint, size_bytes, mtime_ns, reason (of a skip, or null). Nothing is visible
-    before the commit, so a failure leaves the last version in place and the next run repeats the work.
+    before the commit, so a failure leaves the last state in place and the next run repeats the work. If the
+    embedder fails, the new chunks are kept inactive and their files are vector_pending, to be retried.
     """
-    at = F.lit(now)
-    chunks, vecs, files = s.read("chunks"), s.read("vectors"), s.read("source_files")
-    new = chunking.chunked(records.filter("failed is null").select("source_path", "source_kind", "title", "text", "metadata")).persist()
-    staged = store.upserted(chunks, new, False, at, s.next_id).persist()
+    at, c = F.lit(now), s.change()
+    # What follows reads these several times; with their lineage cut its plans stay small.
+    paths = shared.checkpointed(touched.select("path").union(gone.select("path")).distinct().withColumn("part", store.part_of("path")))
+    parts = [r["part"] for r in paths.select("part").distinct().collect()]  # PARTS at most
+    mine = F.col("path") == S.physical_path(F.col("source_path"))
+    old = shared.checkpointed(s.read("chunks", parts, whole=True).join(paths.select("path"), mine, "left_semi"))
+    vecs = s.read("vectors", parts).join(old.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    files = s.read("source_files", parts).join(paths.select("path"), "path", "left_semi")
+    new = chunking.chunked(records.filter("failed is null").select("source_path", "source_kind", "title", "text", "metadata"))
+    new = shared.checkpointed(new)
+    staged = shared.checkpointed(store.upserted(old.select(store.CHUNKS.names), new, False, at, c.state.next_id))
     ids = staged.join(new.select(store.KEY), store.KEY, "left_semi").select(F.col("id").alias("chunk_id"), S.physical_path(F.col("source_path")).alias("physical_path"))
-    live, _ = store.activated(staged, ids, at)
-    dead = touched.select("path").union(gone.select("path")).distinct()
-    left = live.withColumn("path", S.physical_path(F.col("source_path"))).join(dead.withColumn("__dead", F.lit(True)), "path", "left").join(ids.select(F.col("chunk_id").alias("id"), F.lit(True).alias("__kept")), "id", "left")
-    left = left.withColumn("__off", F.col("__dead").isNotNull() & F.col("__kept").isNull())
-    superseded = F.col("__off")
-    left = left.withColumns({"active": F.col("active") & ~superseded, "vector_status": F.when(superseded & F.col("active"), "inactive").otherwise(F.col("vector_status")), "updated_at": F.when(superseded & F.col("active"), at).otherwise(F.col("updated_at"))})
-    chunks = s.stage("chunks", left.select(store.CHUNKS.names))
+
+    def written(chunks: DataFrame) -> DataFrame:
+        return c.stage("chunks", chunks.withColumn("part", store.part_of(S.physical_path(F.col("source_path")))))
+
+    live = retired(store.activated(staged, ids, at)[0], paths, ids.withColumnRenamed("chunk_id", "id"), at)
+    chunks, failure = written(live), None
+    part = chunks.select(F.col("id").alias("chunk_id"), "part")
     kept = vecs.join(chunks.filter("active").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    fresh = embed(vectors.missing(chunks, kept)).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    try:
+        fresh = embed(vectors.missing(chunks, kept)).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+        c.stage("vectors", kept.unionByName(fresh).join(part, "chunk_id"))
+    except Exception as e:
+        failure = str(e)[:1000]
+        chunks = written(pending(live, ids, at))
+        kept = vecs.join(chunks.filter("active").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+        c.stage("vectors", kept.join(chunks.select(F.col("id").alias("chunk_id"), "part"), "chunk_id"))
+    c.stage("dead", old.select("id", F.lit(c.state.at).cast("long").alias("upto")))
+    index = c.stage("postings", lexical.dealt(lexical.postings(chunks)))
     count = ids.groupBy(F.col("physical_path").alias("path")).agg(F.count("*").alias("n"))
     bad = records.filter("failed is not null").groupBy(S.physical_path(F.col("source_path")).alias("path")).agg(F.first("failed").alias("failed"))
+    ok = F.lit("indexed" if failure is None else "vector_pending")
     state = touched.join(count, "path", "left").join(bad, "path", "left").select(
         "path", F.col("kind").alias("source_kind"), "fingerprint", "size_bytes", "mtime_ns",
-        F.when(F.col("failed").isNotNull(), "error").when(F.col("reason").isNotNull() | F.col("n").isNull(), "skipped").otherwise("indexed").alias("status"), F.coalesce("failed", "reason").alias("error"),
+        F.when(F.col("failed").isNotNull(), "error").when(F.col("reason").isNotNull() | F.col("n").isNull(), "skipped").otherwise(ok).alias("status"), F.coalesce("failed", "reason", F.when(F.col("n").isNotNull(), F.lit(failure))).alias("error"),
     )
     lost = files.join(gone, "path", "left_semi").select("path", "source_kind", "fingerprint", "size_bytes", "mtime_ns", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"))
-    s.commit(vectors=kept.unionByName(fresh), source_files=store.merged_files(files, state.unionByName(lost), at))
-    new.unpersist()
-    staged.unpersist()
+    c.stage("source_files", store.merged_files(files, state.unionByName(lost), at).withColumn("part", store.part_of("path")))
+    before, after = lexical.totals(old, lexical.postings(old)), lexical.totals(chunks, index)
+    last = chunks.agg(F.max("id")).first()[0] or 0
+    c.commit(next_id=max(c.state.next_id, last + 1), totals=c.state.totals - before + after)
+
 
+def pending(chunks: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
+    """chunks with those of ids inactive and waiting for vectors."""
+    mine = ids.select(F.col("chunk_id").alias("id"), F.lit(True).alias("__mine")).distinct()
+    return store.deactivated(chunks.join(mine, "id", "left"), F.coalesce("__mine", F.lit(False)), at, "vector_pending")
 
-def crawl(spark: SparkSession, s: store.Store, roots: Sequence[str], now: datetime, embed: Callable[[DataFrame], DataFrame] = vectors.embedded, rules: Sequence[filters.PathRule] = filters.RULES, archives: bool = False) -> dict[str, int]:
-    """Scan the roots once; the counters of what was discovered and what became of it."""
+
+def seen_files(listed: DataFrame, rules: Sequence[filters.PathRule], archives: bool) -> DataFrame:
+    """path, kind, reason (of a skip, or null), fingerprint, size_bytes, mtime_ns of a listing."""
     rule = filters.classified_under(F.col("path"), F.col("root"), rules)
-    seen = listing.listed(spark, roots).dropDuplicates(["path"]).withColumn("rule", rule).withColumns({
+    return listed.filter("error is null").dropDuplicates(["path"]).withColumn("rule", rule).withColumns({
         "kind": F.col("rule.kind"), "reason": filters.skip_reason(F.col("path"), F.col("size_bytes"), F.col("rule"), archives), "fingerprint": S.file_fingerprint(F.col("path"), F.col("size_bytes"), F.col("mtime_ns")),
-    }).select("path", "kind", "reason", "fingerprint", "size_bytes", "mtime_ns").cache()
-    touched = changed(seen, s.read("source_files"), s.read("chunks"), s.read("vectors")).cache()
-    records = extract.records(listing.contents(touched.filter("reason is null"))).cache()
-    apply(s, touched, records, vanished(s.read("source_files"), seen, roots), embed, now)
-    done = s.read("source_files").join(touched.select("path"), "path", "left_semi")
-    out = {**context.outcomes(done).first().asDict(), "discovered": seen.count(), "unchanged": seen.count() - touched.count()}
-    for df in (seen, touched, records):
-        df.unpersist()
+    }).select("path", "kind", "reason", "fingerprint", "size_bytes", "mtime_ns")
+
+
+def ingested(s: store.Store, seen: DataFrame, gone: DataFrame, now: datetime, embed: Embed, flush: int, budget: Budget | None) -> dict[str, int]:
+    """What is new or changed among the seen files, in changes of about `flush` files each; the counters."""
+    seen, gone = shared.checkpointed(seen), shared.checkpointed(gone)
+    touched = shared.checkpointed(changed(seen, s.read("source_files"), s.read("chunks"), s.read("vectors")))
+    total, n = seen.count(), touched.count()
+    rounds = -(-n // flush) or int(not gone.isEmpty())
+    for k in range(rounds):
+        if budget:
+            budget.checked(s.size_bytes())
+        some = touched.filter(F.pmod(F.xxhash64("path", F.lit("flush")), F.lit(rounds)) == k) if rounds > 1 else touched
+        records = shared.checkpointed(extract.records(some.filter("reason is null"), read=listing.contents))
+        apply(s, some, records, gone if k == 0 else gone.limit(0), embed, now)
+    out = {**context.outcomes(s.read("source_files").join(touched.select("path"), "path", "left_semi")).first().asDict(), "discovered": total, "unchanged": total - n}
     return out
 
 
-def stream(spark: SparkSession, s: store.Store, source: str, schema: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame] = vectors.embedded, files_per_batch: int = 32) -> StreamingQuery:
-    """Records that arrive as Parquet files, each micro-batch one version; pause by stop(), resume from the checkpoint."""
+def crawl(
+    spark: SparkSession, s: store.Store, roots: Sequence[str], now: datetime, embed: Embed = vectors.embedded, rules: Sequence[filters.PathRule] = filters.RULES, archives: bool = False,
+    flush: int = 10_000, budget: Budget | None = None,
+) -> dict[str, int]:
+    """Scan the roots once, as a job; the counters of what was discovered and what became of it, and `unreadable` folders.
+
+    A store over its budget ends the job as an error and raises.
+    """
+    at = F.lit(now)
+    s.put(index_jobs=store.created_job(s.read("index_jobs"), "; ".join(roots), at))
+    job = context.latest(s.read("index_jobs")).first()["id"]
+    try:
+        listed = shared.checkpointed(listing.listed(spark, roots))
+        seen = seen_files(listed, rules, archives)
+        out = ingested(s, seen, vanished(s.read("source_files"), seen, roots), now, embed, flush, budget)
+        out["unreadable"] = listed.filter("error is not null").select("path").distinct().count()
+    except BudgetExceeded as e:
+        s.put(index_jobs=store.updated_job(s.read("index_jobs"), job, "error", str(e), at))
+        raise
+    counters = {k: out[k] for k in ("discovered", "indexed", "skipped", "error")}
+    s.put(index_jobs=store.updated_job(s.read("index_jobs"), job, "completed", "", at, **counters))
+    return out
+
+
+def retry(s: store.Store, now: datetime, embed: Embed = vectors.embedded, rules: Sequence[filters.PathRule] = filters.RULES, flush: int = 10_000, archives: bool = False) -> dict[str, int]:
+    """Failed and pending sources once more, each as a root of its own; those that are gone are retired and counted as missing."""
+    todo = shared.checkpointed(store.to_retry(s.read("source_files")).select("path"))
+    gone = shared.checkpointed(listing.gone(todo))
+    out = ingested(s, seen_files(listing.stated(todo), rules, archives), gone, now, embed, flush, None)
+    return out | {"retried": todo.count(), "missing": gone.count()}
+
+
+def rebuild_vectors(s: store.Store, embed: Embed = vectors.embedded) -> int:
+    """Vectors for all active chunks that lack one, as one change; how many they are."""
+    c, chunks = s.change(), s.read("chunks", whole=True)
+    lacking = vectors.missing(chunks, s.read("vectors")).persist()
+    n = lacking.count()
+    if n:
+        fresh = embed(lacking).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+        c.stage("vectors", fresh.join(lacking.select(F.col("id").alias("chunk_id"), "part"), "chunk_id"))
+        c.commit()
+    lacking.unpersist()
+    return n
+
+
+def recent_without_vectors(chunks: DataFrame, vecs: DataFrame, recent: int = 25, limit: int = 5) -> DataFrame:
+    """Sources of the chunks changed last that lack vectors: what a start looks at after a run was cut short."""
+    last = context.recent_sources(chunks, recent)
+    mine = chunks.join(F.broadcast(last), S.physical_path(F.col("source_path")) == F.col("physical_path"), "left_semi")  # at most `recent` sources
+    lacking = context.complete_sources(mine, vecs).filter("not complete")
+    return last.join(lacking.select("physical_path"), "physical_path").orderBy("position").limit(limit)
+
+
+def corpus(s: store.Store, embed_query: Callable[[str], Sequence[float]]) -> hybrid.Corpus:
+    """What was ingested, as the tables of a search."""
+    return hybrid.Corpus(s.read("chunks"), s.read("postings"), s.state().totals, s.read("vectors"), embed_query)
+
+
+def stream(spark: SparkSession, s: store.Store, source: str, schema: str, checkpoint: str, embed: Embed = vectors.embedded, files_per_batch: int = 32, every: str | None = None, budget: Budget | None = None) -> StreamingQuery:
+    """Records that arrive as Parquet files, each micro-batch one change; pause by stop(), resume from the checkpoint.
+
+    every: a processing-time interval such as `1 hour`; without one, what is there now and no more.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
+        if budget:
+            budget.checked(s.size_bytes())
         df = df.withColumn("failed", F.lit(None).cast("string")).persist()
         path = S.physical_path(F.col("source_path"))
         touched = df.groupBy(path.alias("path")).agg(
             F.min("source_kind").alias("kind"), F.sha2(F.array_join(F.array_sort(F.collect_set(S.content_hash(F.col("text")))), ""), 256).alias("fingerprint"),
             F.sum(F.octet_length("text")).cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(None).cast("string").alias("reason"),
         )
-        touched = changed(touched, s.read("source_files"), s.read("chunks"), s.read("vectors")).persist()
+        parts = [r["p"] for r in touched.select(store.part_of("path").alias("p")).distinct().collect()]  # PARTS at most
+        touched = changed(touched, s.read("source_files", parts), s.read("chunks", parts), s.read("vectors", parts)).persist()
         fresh = df.join(touched.select("path"), path == F.col("path"), "left_semi")
         apply(s, touched, fresh, touched.limit(0).select("path"), embed, datetime.now())
         df.unpersist()
         touched.unpersist()
 
     read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return read.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-@dataclass
-class Schedule:
-    """When a background scan may start; the first guard that objects gives the reason."""
-
-    enabled: bool = True
-    interval: timedelta = timedelta(hours=1)
-    idle_needed: timedelta = timedelta(minutes=10)
-    needs_power: bool = True
-    last_start: datetime | None = None
-
-    def objection(self, now: datetime, running: bool, on_power: bool | None, idle: timedelta | None) -> str | None:
-        if not self.enabled:
-            return "disabled"
-        if running:
-            return "running"
-        if self.last_start and now < self.last_start + self.interval:
-            return "interval"
-        if self.needs_power and not on_power:
-            return "not charging"
-        if idle is None or idle < self.idle_needed:
-            return "not idle"
-        return None
-
-    def due(self, now: datetime) -> datetime:
-        return max(now, self.last_start + self.interval) if self.last_start else now
+    writer = read.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -29,34 +29,49 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-#: The chunk table in SQL.
-CHUNKS = r"""
-rec AS (
-  SELECT doc_id, source, lang, 'doc/' || source || '/' || doc_id || '.txt' AS source_path, 'document ' || doc_id AS title, text FROM documents
-), wl AS (
+def chunk_ctes(records: str) -> str:
+    """CTEs up to `chunks`, from records with doc_id, base (the first chunk's id), source, lang, source_path, source_kind, extension, title and text."""
+    return rf"""
+rec AS ({records}), wl AS (
   SELECT rec.* EXCLUDE (text), flatten(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]'),
-         lambda l, i: list_transform(list_filter(regexp_split_to_array(l, '[\s\x0b\x1c-\x1f]+'), lambda x: x <> ''), lambda x: {'word': x, 'line': i}))) AS ws
+         lambda l, i: list_transform(list_filter(regexp_split_to_array(l, '[\s\x0b\x1c-\x1f]+'), lambda x: x <> ''), lambda x: {{'word': x, 'line': i}}))) AS ws
   FROM rec
 ), wn AS (
   SELECT *, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0 ELSE CAST(greatest(0, ceil((len(ws) - 900) / 780.0)) AS BIGINT) + 1 END)) AS ordinal FROM wl
 ), wp AS (
   SELECT * EXCLUDE (ws), ws[ordinal * 780 + 1 : ordinal * 780 + 900] AS part FROM wn
 ), chunks AS (
-  SELECT doc_id * 65536 + ordinal AS id, doc_id, source, lang, source_path, 'normal_file' AS source_kind, title, CAST(ordinal AS INTEGER) AS ordinal,
+  SELECT base + ordinal AS id, doc_id, source, lang, source_path, source_kind, extension, title, CAST(ordinal AS INTEGER) AS ordinal,
          array_to_string(list_transform(part, lambda p: p.word), ' ') AS text, CAST(part[1].line AS INTEGER) AS start_line, CAST(part[-1].line AS INTEGER) AS end_line,
          source <> 'src3' AS active, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS updated_at
   FROM wp
 )"""
-TERMS = (
-    CHUNKS
-    + r""", tok AS (
-  SELECT id, active, source_path, title, text, source, regexp_extract_all(strip_accents(lower(title)), '[\p{L}\p{N}]+') AS tt, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS tx FROM chunks
+
+
+#: The chunk tables in SQL: of documents, and of active documents and conversations (`P.mixed_chunks`).
+DOCUMENTS = """SELECT doc_id, doc_id * 65536 AS base, source, lang, 'doc/' || source || '/' || doc_id || '.txt' AS source_path, 'normal_file' AS source_kind, '.txt' AS extension, 'document ' || doc_id AS title, text FROM documents"""
+CHUNKS = chunk_ctes(DOCUMENTS)
+MIXED = chunk_ctes(
+    DOCUMENTS.replace("'.txt' AS extension", "CASE WHEN source = 'src2' THEN '.yaml' ELSE '.txt' END AS extension")
+    + """ WHERE source <> 'src3' UNION ALL SELECT 0, 1099511627776 + (conv_id * 4096 + turn) * 64, 'chat', '', 'chat/' || conv_id || '.jsonl#message:' || turn, 'ai_session', '.jsonl', 'chat ' || role, text
+FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''"""
+)
+
+
+def terms(chunks: str) -> str:
+    return (
+        chunks
+        + r""", tok AS (
+  SELECT id, active, source_path, source_kind, extension, title, text, source, regexp_extract_all(strip_accents(lower(title)), '[\p{L}\p{N}]+') AS tt, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS tx FROM chunks
 ), st AS (
   SELECT count(*) AS total, avg(len(tt) + len(tx)) AS mean FROM tok
 ), term AS (
   SELECT id, t AS term, count(*) AS f FROM (SELECT id, unnest(tt || tx) AS t FROM tok) GROUP BY ALL
 )"""
-)
+    )
+
+
+TERMS = terms(CHUNKS)
 
 
 def weight(f: str, n: str) -> str:
@@ -64,14 +79,15 @@ def weight(f: str, n: str) -> str:
     return f"-(CASE WHEN {idf} <= 0 THEN 1e-6 ELSE {idf} END) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * (len(tt) + len(tx)) / mean))"
 
 
-def hits(words: list[str], every: bool = True) -> str:
-    """CTEs `lex(id, score)` for chunks with all, or any, of the words."""
+def lexical_ctes(words: list[str], every: bool = True, name: str = "") -> str:
+    """CTE `lex<name>(id, score)` for chunks with all, or any, of the words."""
     names = ", ".join(f"'{w}'" for w in words)
-    return (
-        TERMS
-        + f""", hit AS (SELECT * FROM term WHERE term IN ({names})), cnt AS (SELECT term, count(*) AS n FROM hit GROUP BY term),
-lex AS (SELECT id, sum({weight('f', 'n')}) AS score FROM hit JOIN cnt USING (term) JOIN tok USING (id) CROSS JOIN st GROUP BY id HAVING count(*) >= {len(words) if every else 1})"""
-    )
+    return f"""hit{name} AS (SELECT * FROM term WHERE term IN ({names})), cnt{name} AS (SELECT term, count(*) AS n FROM hit{name} GROUP BY term),
+lex{name} AS (SELECT id, sum({weight('f', 'n')}) AS score FROM hit{name} JOIN cnt{name} USING (term) JOIN tok USING (id) CROSS JOIN st GROUP BY id HAVING count(*) >= {len(words) if every else 1})"""
+
+
+def hits(words: list[str], every: bool = True) -> str:
+    return f"{TERMS}, {lexical_ctes(words, every)}"
 
 
 def embedded(dim: int) -> str:
@@ -89,8 +105,9 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win5_chunks", f"WITH {CHUNKS} SELECT id, source_path, ordinal, sha256(text) AS content_hash, start_line, end_line, active FROM chunks")
 def win5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made from the documents, not read from the table that was built."""
     lines = [F.element_at("metadata", k).cast("int").alias(k) for k in ("start_line", "end_line")]
-    return P.chunk_table(spark, sf_dir).select("id", "source_path", "ordinal", "content_hash", *lines, "active")
+    return P.chunked_documents(spark, sf_dir).select("id", "source_path", "ordinal", "content_hash", *lines, "active")
 
 
 @query("scl1_hashes", r"""SELECT doc_id, sha256(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f]+', ' ', 'g'))) AS content_hash,
@@ -106,7 +123,15 @@ def udf1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 9).alias("total"), F.round(F.element_at("embedding", 32), 9).alias("last"))
 
 
-@query("scl16_redaction")
+def redacted_sql(column: str) -> str:
+    """The assignments with double quotes, single quotes and none, then tokens: RE2 has no references back to a quote."""
+    name = rf"(?i)([A-Za-z0-9_.-]*(?:{S.SECRET_NAMES})[A-Za-z0-9_.-]*)(\s*[:=]\s*)"
+    for quote in ('"', "''", ""):
+        column = rf"regexp_replace({column}, '{name}{quote}[^\s\"'';&]+{quote}', '\1\2{quote}[REDACTED_SECRET]{quote}', 'g')"
+    return f"regexp_replace({column}, '{S.SECRET_TOKEN}', '[REDACTED_SECRET]', 'g')"
+
+
+@query("scl16_redaction", f"SELECT doc_id, {redacted_sql('text')} AS text FROM documents")
 def scl16_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "documents").select("doc_id", S.redacted(F.col("text")).alias("text"))
 
@@ -116,14 +141,12 @@ def scl16_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg11_terms", f"WITH {TERMS} SELECT term, count(*) AS df, CAST(sum(f) AS BIGINT) AS tf FROM term GROUP BY term")
 def agg11_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lexical.term_counts(P.chunk_table(spark, sf_dir))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("tf"))
+    return lexical.term_statistics(P.corpus(spark, sf_dir).postings)
 
 
 def scores(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     c = P.corpus(spark, sf_dir)
-    found = lexical.matched(c.postings, c.sizes, text).join(c.chunks.filter("active").select(F.col("id").alias("chunk_id")), "chunk_id")
-    return found.select("chunk_id", F.round("score", 9).alias("score"))
+    return lexical.matched(c.postings, c.totals, text).filter("active").select("chunk_id", F.round("score", 9).alias("score"))
 
 
 SCORED = " SELECT id AS chunk_id, round(score, 9) AS score FROM lex JOIN tok USING (id) WHERE active"
@@ -161,21 +184,36 @@ def txt1_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir, "attion*")
 
 
-@query("txt1_near")
+def positions(word: str) -> str:
+    return f"""list_filter(range(0, len(tt)), lambda i: tt[i + 1] = '{word}') || list_transform(list_filter(range(0, len(tx)), lambda i: tx[i + 1] = '{word}'), lambda i: i + 16777216)"""
+
+
+@query("txt1_near", f"""WITH {TERMS}, ps AS (SELECT *, {positions('attion')} AS pa, {positions('to')} AS pb FROM tok),
+pe AS (SELECT *, list_filter(list_distinct(pa || pb), lambda m: len(list_filter(pa, lambda a: a <= m AND a >= m - 6)) > 0 AND len(list_filter(pb, lambda b: b <= m AND b >= m - 6)) > 0) AS ends FROM ps),
+pf AS (SELECT *, len(list_filter(pa, lambda a: len(list_filter(ends, lambda m: a <= m AND a >= m - 6)) > 0)) AS fa, len(list_filter(pb, lambda b: len(list_filter(ends, lambda m: b <= m AND b >= m - 6)) > 0)) AS fb,
+  len(list_filter(pa, lambda a: a = 0 OR a = 16777216)) AS ff FROM pe),
+pn AS (SELECT count(*) FILTER (len(pa) > 0) AS na, count(*) FILTER (len(pb) > 0) AS nb, count(*) FILTER (ff > 0) AS nf FROM pf)
+SELECT id AS chunk_id, round(CASE WHEN fa > 0 THEN {weight('fa', 'na')} + {weight('fb', 'nb')} ELSE 0 END + CASE WHEN ff > 0 THEN {weight('ff', 'nf')} ELSE 0 END, 9) AS score
+FROM pf CROSS JOIN pn CROSS JOIN st WHERE active AND (fa > 0 OR ff > 0)""")
 def txt1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir, "NEAR(attion thing, 20) OR ^attion")
+    return scores(spark, sf_dir, "NEAR(attion to, 5) OR ^attion")
 
 
 @query("txt2_top20", f"WITH {hits(['attion', 'thing'])} SELECT id AS chunk_id, source_path, round(score, 9) AS score FROM lex JOIN tok USING (id) WHERE active ORDER BY lex.score, id LIMIT 20")
 def txt2_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = P.corpus(spark, sf_dir)
-    return lexical.lexical_search(c.chunks, c.postings, c.sizes, TEXT).select("chunk_id", "source_path", F.round("score", 9).alias("score"))
+    return lexical.lexical_search(c.chunks, c.postings, c.totals, TEXT).select("chunk_id", "source_path", F.round("score", 9).alias("score"))
 
 
-@query("txt3_snippets")
+@query("txt3_snippets", rf"""WITH {CHUNKS}, w AS (SELECT id, string_split(text, ' ') AS ws FROM chunks WHERE active),
+m AS (SELECT *, greatest(0, len(ws) - 8) AS last, list_filter(range(0, len(ws)), lambda i: list_has_any(regexp_extract_all(strip_accents(lower(ws[i + 1])), '[\p{{L}}\p{{N}}]+'), ['attion', 'thing'])) AS hits FROM w),
+b AS (SELECT *, list_distinct(list_transform(hits, lambda i: least(i, last))) AS starts FROM m),
+c AS (SELECT *, list_max(list_transform(starts, lambda s: len(list_filter(hits, lambda j: j >= s AND j < s + 8)))) AS most FROM b),
+d AS (SELECT *, coalesce(list_min(list_filter(starts, lambda s: len(list_filter(hits, lambda j: j >= s AND j < s + 8)) = most)), 0) AS s FROM c)
+SELECT id, CASE WHEN s > 0 THEN '...' ELSE '' END || array_to_string(ws[s + 1 : s + 8], ' ') || CASE WHEN s < last THEN '...' ELSE '' END AS snippet FROM d""")
 def txt3_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = P.chunk_table(spark, sf_dir)
-    return c.filter("active").select("id", lexical.snippet(F.col("text"), ["attion", "thing"]).alias("snippet"))
+    return c.filter("active").select("id", lexical.snippet(F.col("text"), F.array(F.lit("attion"), F.lit("thing"))).alias("snippet"))
 
 
 # Vectors and hybrid search
@@ -189,26 +227,34 @@ def vec1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(v, q, 50).select("chunk_id", F.round("score", 9).alias("score"))
 
 
-def semantic_sql(text: str, n: int, k: int) -> str:
+def semantic_ctes(text: str, n: int, k: int, name: str = "") -> str:
+    """CTE `sem<name>(id, score)`, after `embedded`."""
     q = ", ".join(repr(x) for x in P.query_vector(text))
-    return f"""{embedded(P.DIM)}, near AS (SELECT id, list_dot_product(embedding, [{q}]::DOUBLE[]) AS score FROM vec ORDER BY score DESC, id LIMIT {k}),
-sem AS (SELECT id, score FROM near JOIN chunks USING (id) WHERE active ORDER BY score DESC, id LIMIT {n})"""
+    return f"""near{name} AS (SELECT id, list_dot_product(embedding, [{q}]::DOUBLE[]) AS score FROM vec ORDER BY score DESC, id LIMIT {k}),
+sem{name} AS (SELECT id, score FROM near{name} JOIN chunks USING (id) WHERE active ORDER BY score DESC, id LIMIT {n})"""
 
 
-@query("sem1_search", f"WITH {CHUNKS}, {semantic_sql(TEXT, 10, 80)} SELECT id AS chunk_id, source_path, substr(text, 1, 240) AS snippet, round(score, 9) AS score FROM sem JOIN chunks USING (id)")
+@query("sem1_search", f"WITH {CHUNKS}, {embedded(P.DIM)}, {semantic_ctes(TEXT, 10, 80)} SELECT id AS chunk_id, source_path, substr(text, 1, 240) AS snippet, round(score, 9) AS score FROM sem JOIN chunks USING (id)")
 def sem1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid.semantic(P.corpus(spark, sf_dir), TEXT, 10).select("chunk_id", "source_path", "snippet", F.round("score", 9).alias("score"))
+    return hybrid.semantic(P.corpus(spark, sf_dir), TEXT, limit=10).select("chunk_id", "source_path", "snippet", F.round("score", 9).alias("score"))
 
 
-def fused_sql(words: list[str], text: str, n: int, k: int, limit: int, where: str = "true") -> str:
-    return f"""WITH {hits(words)}, {semantic_sql(text, n, k)},
-a AS (SELECT id, row_number() OVER (ORDER BY sem.score DESC, id) AS rank FROM sem JOIN chunks USING (id) WHERE {where} QUALIFY rank <= {limit}),
-b0 AS (SELECT id, lex.score FROM lex JOIN tok USING (id) WHERE active ORDER BY lex.score, id LIMIT {n}),
-b AS (SELECT id, row_number() OVER (ORDER BY b0.score, id) AS rank FROM b0 JOIN chunks USING (id) WHERE {where} QUALIFY rank <= {limit}),
-u AS (SELECT id, 0 AS list, rank, 1.0::DOUBLE / (rank + 60) AS part FROM a UNION ALL SELECT id, 1, rank, 1.25::DOUBLE / (rank + 60) FROM b),
-g AS (SELECT id, sum(part) AS score, count(*) AS lists, min(list) AS list, arg_min(rank, list) AS rank FROM u GROUP BY id)
-SELECT g.id AS chunk_id, source_path, round(g.score, 9) AS score, CASE WHEN lists > 1 THEN 'hybrid' WHEN list = 0 THEN 'vector' ELSE 'fts' END AS rank_source
-FROM g JOIN chunks USING (id) ORDER BY g.score DESC, list, rank, g.id LIMIT {limit}"""
+def fused_ctes(words: list[str], text: str, n: int, k: int, limit: int, where: str = "true", name: str = "") -> str:
+    """CTE `g<name>(id, score, lists, list, place, rank)`: both lists filtered, cut and fused."""
+    return f"""{lexical_ctes(words, name=name)}, {semantic_ctes(text, n, k, name)},
+a{name} AS (SELECT id, row_number() OVER (ORDER BY s.score DESC, id) AS rank FROM sem{name} s JOIN chunks USING (id) WHERE {where} QUALIFY rank <= {limit}),
+b0{name} AS (SELECT id, l.score FROM lex{name} l JOIN tok USING (id) WHERE active ORDER BY l.score, id LIMIT {n}),
+b{name} AS (SELECT id, row_number() OVER (ORDER BY l.score, id) AS rank FROM b0{name} l JOIN chunks USING (id) WHERE {where} QUALIFY rank <= {limit}),
+u{name} AS (SELECT id, 0 AS list, rank, 1.0::DOUBLE / (rank + 60) AS part FROM a{name} UNION ALL SELECT id, 1, rank, 1.25::DOUBLE / (rank + 60) FROM b{name}),
+f{name} AS (SELECT id, sum(part) AS score, count(*) AS lists, min(list) AS list, arg_min(rank, list) AS place FROM u{name} GROUP BY id),
+g{name} AS (SELECT *, row_number() OVER (ORDER BY score DESC, list, place, id) AS rank FROM f{name} QUALIFY rank <= {limit})"""
+
+
+RESULT = "g.id AS chunk_id, source_path, round(g.score, 9) AS score, CASE WHEN lists > 1 THEN 'hybrid' WHEN list = 0 THEN 'vector' ELSE 'fts' END AS rank_source"
+
+
+def fused_sql(words: list[str], text: str, n: int, k: int, limit: int, where: str = "true", chunks: str = CHUNKS, kept: str = "true", cut: int | None = None) -> str:
+    return f"WITH {terms(chunks)}, {embedded(P.DIM)}, {fused_ctes(words, text, n, k, limit, where)} SELECT {RESULT} FROM g JOIN chunks USING (id) WHERE {kept} ORDER BY g.rank LIMIT {cut or limit}"
 
 
 def _fused(df: DataFrame) -> DataFrame:
@@ -225,14 +271,47 @@ def hyb1_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(hybrid.search(P.corpus(spark, sf_dir), TEXT, 10, FILTERS))
 
 
-@query("hyb5_files", fused_sql(["attion", "thing"], TEXT, 30, 240, 30))
+@query("hyb4_all", fused_sql(["attion", "thing"], TEXT, 50, 400, 50))
+def hyb4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit beyond the largest is cut to it."""
+    return _fused(hybrid.search_all(P.corpus(spark, sf_dir), TEXT, limit="500"))
+
+
+ASKED = "thing"
+
+
+@query("hyb5_files", fused_sql([ASKED], ASKED, 30, 240, 30, chunks=MIXED, kept="source_kind = 'normal_file'", cut=7))
 def hyb5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(hybrid.search_files(P.corpus(spark, sf_dir), TEXT, limit=30))
+    return _fused(hybrid.search_files(P.corpus(spark, sf_dir, "mixed"), ASKED, limit=7))
+
+
+@query("hyb5_sessions", fused_sql([ASKED], ASKED, 30, 240, 30, chunks=MIXED, kept="source_kind = 'ai_session' AND source = 'chat'", cut=5))
+def hyb5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(hybrid.search_sessions(P.corpus(spark, sf_dir, "mixed"), ASKED, "chat", limit=5))
 
 
-@query("hyb6_secrets")
+VARIANTS = hybrid.secret_variants("thing key")
+
+
+@query("hyb6_secrets", f"""WITH {terms(MIXED)}, {embedded(P.DIM)}, {', '.join(fused_ctes(v.split(), v, 320, 2560, 40, "extension = '.yaml'", str(k)) for k, v in enumerate(VARIANTS))},
+v AS ({' UNION ALL '.join(f'SELECT {k} AS query, id, score, lists, list, rank FROM g{k}' for k in range(len(VARIANTS)))}), g AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY query, rank) = 1)
+SELECT {RESULT} FROM g JOIN chunks USING (id) ORDER BY query, g.rank LIMIT 40""")
 def hyb6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid.find_secrets(P.corpus(spark, sf_dir), "api key", 10).select("chunk_id", "source_path")
+    """Files of one source pass as config files. The limit is above the longest list, so several variants give rows."""
+    return _fused(hybrid.find_secrets(P.corpus(spark, sf_dir, "mixed"), "thing key", 40))
+
+
+@query("prj9_compact", fused_sql(["attion", "thing"], TEXT, 10, 80, 10).replace("AS chunk_id, source_path,", "AS id, source_path AS path,"))
+def prj9_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid.compact(hybrid.search(P.corpus(spark, sf_dir), TEXT, 10)).select("id", "path", F.round("score", 9).alias("score"), "rank_source")
+
+
+@query("top9_resorted", f"WITH s AS ({fused_sql(['attion', 'thing'], TEXT, 50, 400, 50)}), t AS (SELECT chunk_id, 'document ' || (chunk_id // 65536) AS title FROM s) SELECT chunk_id, title, CAST(row_number() OVER (ORDER BY title DESC, chunk_id) AS INTEGER) AS place FROM t")
+def top9_resorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each result by name, from Z to A; places are the rows' order, numbered in one small partition."""
+    out = hybrid.resorted(hybrid.search_all(P.corpus(spark, sf_dir), TEXT, limit=50), "name", descending=True).select("chunk_id", "title")
+    numbered = out.coalesce(1).withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))
+    return numbered
 
 
 # Filters
@@ -266,15 +345,6 @@ def fil3_under_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.source_files(spark, sf_dir).filter(filters.under_root("doc/src1")).select("path")
 
 
-@query("fil19_classes", """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'media' WHEN page_id % 5 = 1 THEN 'ai_session' WHEN page_id % 5 = 2 THEN 'system_cache' WHEN page_id % 5 = 3 THEN 'project_source' ELSE 'normal_file' END AS kind,
-  CASE WHEN page_id % 5 = 0 THEN 'media_extension' WHEN page_id % 5 = 2 THEN 'skip_dir' WHEN length(html) * 4096 > CASE WHEN page_id % 5 = 4 THEN 150 * 1048576 ELSE 20 * 1048576 END AND page_id % 5 <> 1 THEN 'too_large' END AS reason FROM pages""")
-def fil19_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = P.table(spark, sf_dir, "pages")
-    names = F.array(*map(F.lit, (r"C:\pics\A.PNG", "home/sessions/log.jsonl", "/srv/App/Node_Modules/x.js", r"d:\Projects\x\main.py", "/srv/papers/report.pdf")))
-    path = F.element_at(names, (F.col("page_id") % 5 + 1).cast("int"))
-    return p.withColumn("rule", filters.classified(path)).select("page_id", F.col("rule.kind").alias("kind"), filters.skip_reason(path, F.length("html") * 4096, F.col("rule")).alias("reason"))
-
-
 # Joins, roll-ups and listings
 
 
@@ -431,7 +501,16 @@ def snk9_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Extraction
 
 
-@query("src10_pages")
+def visible_sql(html: str) -> str:
+    """Text nodes, a line each; only the entities that the fixture has."""
+    for entity, put in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "\xa9"), ("&middot;", "\xb7"), ("&amp;", "&")):
+        html = f"list_transform({html}, lambda x: replace(x, '{entity}', '{put}'))"
+    return html
+
+
+@query("src10_pages", rf"""WITH n AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '<x>', 'g'), '<[^>]*>') AS nodes FROM pages),
+e AS (SELECT page_id, {visible_sql('nodes')} AS nodes FROM n)
+SELECT page_id, array_to_string(list_filter(list_transform(nodes, lambda x: trim(regexp_replace(x, '[\s\x{{a0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM e""")
 def src10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_records(spark, sf_dir).select("page_id", "text")
 

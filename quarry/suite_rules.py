@@ -1,13 +1,11 @@
 """More registered queries: scalar rules, filters, lookups, table changes and extractors over the fixture tables.
 
-Rules that depend on names are tried on a fixed list of names, dealt out by the row's id; the SQL states
-the expected values themselves, not the rule.
+Rules on names are tried on names made from the tables' own columns (urls, sources, ids), and the SQL states
+the rule. Their odd cases are in the tests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +16,30 @@ from .schema import JOBS, SAVED_SEARCHES
 from .sources import extract
 from .suite import CHUNKS, NOW, SESSIONS, STATE, query
 
-PATHS = (
-    r"C:\pics\A.PNG", "home/sessions/log.jsonl", "/srv/App/Node_Modules/x.js", r"d:\Projects\x\main.py", "/srv/papers/report.pdf", "notes/.env", "talk/part.SRT", "conf/app.yaml", "a/b#L12", "arch/x.tar.gz", "doc/Readme.md#message:3",
-    "noext",
-)
 FILE = "'doc/' || source || '/' || doc_id || '.txt'"
 
 
-def dealt(values: Sequence[str | None], key: str) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+#: A path a page: its url's host as a drive or folder, its language and number as names, and an extension by its number.
+EXTENSIONS = (".md", ".PY", ".srt", ".yaml", ".pdf", ".zip", ".PNG", "", ".env", ".jsonl", ".docx")
+SQL_HOST = "regexp_extract(url, '://([^/]+)', 1)"
+SQL_FOLDER = f"CASE WHEN contains({SQL_HOST}, '.net') THEN 'D:\\Projects\\' WHEN contains({SQL_HOST}, '.org') THEN 'home/sessions/' ELSE '/srv/' END"
+SQL_EXTENSION = f"([{', '.join(repr(x) for x in EXTENSIONS)}])[page_id % {len(EXTENSIONS)} + 1]"
+SQL_PATH = f"{SQL_FOLDER} || {SQL_HOST} || '/' || page_id || {SQL_EXTENSION}"
+SQL_NAMED = f"n AS (SELECT page_id, {SQL_PATH} AS path, {SQL_EXTENSION} AS ext, url, length(html) AS size FROM pages)"
 
 
-def sql_dealt(values: Sequence[object], key: str) -> str:
-    quoted = ("NULL" if v is None else str(v) if isinstance(v, bool | int) else "'" + v.replace("'", "''") + "'" for v in values)
-    return f"([{', '.join(quoted)}])[{key} % {len(values)} + 1]"
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", "://([^/]+)", 1)
+    folder = F.when(host.contains(".net"), "D:\\Projects\\").when(host.contains(".org"), "home/sessions/").otherwise("/srv/")
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("page_id") % len(EXTENSIONS) + 1).cast("int"))
+    p = P.table(spark, sf_dir, "pages")
+    return p.select("page_id", F.concat(folder, host, F.lit("/"), "page_id", ext).alias("path"), "url", F.length("html").alias("size"))
 
 
-def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.table(spark, sf_dir, "pages").select("page_id", dealt(PATHS, "page_id").alias("path"))
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as search results: sessions by their folder, and a language as metadata."""
+    kind = F.when(F.col("path").startswith("home/sessions"), "ai_session").otherwise("normal_file")
+    return names(spark, sf_dir).select("page_id", F.col("path").alias("source_path"), kind.alias("source_kind"), pair("lang", F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1)).alias("metadata"))
 
 
 def pair(key: str, value: Column) -> Column:
@@ -50,48 +54,46 @@ def scl2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.source_files(spark, sf_dir).select("path", "fingerprint")
 
 
-LINES, STARTS = ("7", " 12 ", "0", "-3", "x", None), (None, None, "4", "", "2.5")
-
-
-@query("scl4_base_lines", f"SELECT event_id, coalesce({sql_dealt((None, None, 4, None, None), 'event_id')}, {sql_dealt((7, 12, None, None, None, None), 'event_id')}, 1) AS line FROM events")
+@query("scl4_base_lines", "SELECT doc_id, CASE WHEN n_chars % 7 > 0 THEN n_chars % 7 WHEN doc_id > 0 THEN doc_id ELSE 1 END AS line FROM documents")
 def scl4_base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.create_map(F.lit("line"), dealt(LINES, "event_id"), F.lit("start_line"), dealt(STARTS, "event_id"))
-    return P.table(spark, sf_dir, "events").select("event_id", S.base_line(m).alias("line"))
-
+    """start_line where it is above 0, else line, else 1; with blanks around."""
+    m = F.create_map(F.lit("start_line"), (F.col("n_chars") % 7).cast("string"), F.lit("line"), F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(" ")))
+    return P.table(spark, sf_dir, "documents").select("doc_id", S.base_line(m).cast("long").alias("line"))
 
-OWN = ("", "MD", " .Csv ", "", "")
-SUFFIXES = (".png", ".jsonl", ".js", ".py", ".pdf", "", ".srt", ".yaml", "", ".gz", ".md", "")
 
-
-@query("scl5_record_extensions", f"SELECT page_id, coalesce({sql_dealt((None, 'md', '.csv', None, None), 'page_id')}, {sql_dealt((*SUFFIXES[:-2], '.md#message:3', ''), 'page_id')}) AS extension FROM pages")
+@query("scl5_record_extensions", f"WITH {SQL_NAMED} SELECT page_id, lower(ext) AS extension, CASE WHEN regexp_matches(url, '[^./]\\.html$') THEN '.html' WHEN regexp_matches(url, '\\.[a-z]+$') THEN regexp_extract(url, '(\\.[a-z]+)$', 1) ELSE '' END AS of_url FROM n")
 def scl5_record_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("page_id", S.record_extension(pair("extension", dealt(OWN, "page_id")), F.col("path")).alias("extension"))
+    none = pair("lang", F.lit("en"))
+    return names(spark, sf_dir).select("page_id", S.record_extension(none, F.col("path")).alias("extension"), S.record_extension(none, F.regexp_replace("url", r"[?#].*$|/$", "")).alias("of_url"))
 
 
-@query("scl6_result_extensions", f"SELECT page_id, coalesce({sql_dealt((None, '.md', '.csv', None, None), 'page_id')}, {sql_dealt(SUFFIXES, 'page_id')}) AS extension FROM pages")
+@query("scl6_result_extensions", f"WITH {SQL_NAMED} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '.' || regexp_extract(url, '/([a-z][a-z])/', 1) ELSE lower(ext) END AS extension FROM n")
 def scl6_result_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("page_id", S.result_extension(pair("extension", dealt(OWN, "page_id")), F.col("path")).alias("extension"))
+    """The metadata's, in capitals and without a dot, or else the path's, whose fragment doesn't count."""
+    own = F.when(F.col("page_id") % 2 == 0, F.upper(F.regexp_extract("url", "/([a-z][a-z])/", 1))).otherwise("")
+    return names(spark, sf_dir).select("page_id", S.result_extension(pair("extension", own), F.concat("path", F.lit("#a.b"))).alias("extension"))
 
 
-KINDS = ("normal_file", "ai_session", *["normal_file"] * 9, "ai_memory")
+SQL_TYPE = "CASE WHEN path LIKE 'home/sessions%' THEN 'session' WHEN lower(ext) = '.srt' THEN 'transcript' WHEN lower(ext) IN ('.yaml', '.env') THEN 'config' WHEN lower(ext) = '.py' THEN 'code' WHEN lower(ext) IN ('.md', '.pdf', '.docx') THEN 'document' ELSE 'file' END"
 
 
-@query("scl7_file_types", f"SELECT page_id, {sql_dealt(('file', 'session', 'code', 'code', 'document', 'file', 'transcript', 'config', 'file', 'file', 'document', 'memory'), 'page_id')} AS file_type FROM pages")
+@query("scl7_file_types", f"WITH {SQL_NAMED} SELECT page_id, {SQL_TYPE} AS file_type FROM n")
 def scl7_file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("page_id", S.file_type(pair("lang", F.lit("en")), dealt(KINDS, "page_id"), F.col("path")).alias("file_type"))
+    return results(spark, sf_dir).select("page_id", S.file_type(F.col("metadata"), F.col("source_kind"), F.col("source_path")).alias("file_type"))
 
 
-@query("scl8_type_aliases", f"SELECT event_id, {sql_dealt(('code', 'code', 'session', 'transcript', 'odd-one', 'config'), 'event_id')} AS file_type FROM events")
+@query("scl8_type_aliases", "SELECT event_id, CASE event_type WHEN 'view' THEN 'view-settings' WHEN 'click' THEN 'session' WHEN 'error' THEN 'code' ELSE event_type END AS file_type FROM events")
 def scl8_type_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.table(spark, sf_dir, "events").select("event_id", S.normalized_type(dealt((" Source_Code ", "code", "AI_SESSION", "Captions", "odd_one", "settings"), "event_id")).alias("file_type"))
-
-
-DAYS = ("2024-02-29", "2024-03-01T10:00:00Z", "20240302", "2024-02-30", "soon", None, " 2024-03-05 ")
+    kind = F.when(F.col("event_type") == "view", " View_Settings ").when(F.col("event_type") == "click", "AI_SESSION").when(F.col("event_type") == "error", "source_code").otherwise(F.upper("event_type"))
+    return P.table(spark, sf_dir, "events").select("event_id", S.normalized_type(kind).alias("file_type"))
 
 
-@query("scl10_iso_dates", f"SELECT event_id, CAST({sql_dealt(('2024-02-29', '2024-03-01', '2024-03-02', None, None, None, '2024-03-05'), 'event_id')} AS DATE) AS day FROM events")
+@query("scl10_iso_dates", "SELECT event_id, CAST(ts AS DATE) AS day, CAST(ts AS DATE) AS basic, CASE WHEN day(ts) <= 12 THEN make_date(2024, day(ts), 30) ELSE NULL END AS odd FROM events WHERE day(ts) <> 2")
 def scl10_iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.table(spark, sf_dir, "events").select("event_id", S.iso_date(dealt(DAYS, "event_id")).alias("day"))
+    """Dates with a time, as eight digits, and with day and month changed over, which may be none."""
+    e = P.table(spark, sf_dir, "events").filter(F.day("ts") != 2)
+    made = {"day": F.concat(F.lit(" "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), "basic": F.date_format("ts", "yyyyMMdd"), "odd": F.concat(F.lit("2024-"), F.date_format("ts", "dd"), F.lit("-30"))}
+    return e.select("event_id", *[S.iso_date(v).alias(k) for k, v in made.items()])
 
 
 @query("scl9_record_dates", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(ts AS DATE) ELSE DATE '2024-05-06' END AS day FROM events")
@@ -117,10 +119,10 @@ def scl15_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, hybrid.SNIPPET_CHARS).alias("snippet"), F.length(F.substring("text", 1, 6000)).cast("long").alias("embedded_chars"))
 
 
-@query("scl17_console_safe", "SELECT doc_id, replace(text, chr(65279), '') AS text FROM documents")
+@query("scl17_console_safe", r"SELECT doc_id, replace(text, chr(65279), '') AS text, regexp_replace(replace(text, chr(65279), ''), '[^\x00-\x7f]', '?', 'g') AS ascii FROM documents")
 def scl17_console_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = P.table(spark, sf_dir, "documents")
-    return d.select("doc_id", S.without_bom(F.concat(F.lit("\ufeff"), "text")).alias("text"))
+    marked = F.concat(F.lit("\ufeff"), "text")
+    return P.table(spark, sf_dir, "documents").select("doc_id", S.without_bom(marked).alias("text"), S.without_bom(marked, "US-ASCII").alias("ascii"))
 
 
 @query("scl18_collapsed", r"SELECT doc_id, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f]+', ' ', 'g')) AS text FROM documents")
@@ -128,37 +130,54 @@ def scl18_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "documents").select("doc_id", S.collapsed(F.col("text")).alias("text"))
 
 
-@query("scl19_timecodes", f"SELECT event_id, {sql_dealt((True, True, False, False), 'event_id')} AS timecode FROM events")
+@query("scl19_timecodes", "SELECT event_id, user_id % 2 = 0 AS timecode FROM events")
 def scl19_timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.date_format("ts", "HH:mm:ss")
-    line = F.array(F.concat(at, F.lit(",123 --> x")), F.concat(at, F.lit(".5004")), at, F.lit("at noon"))
-    return P.table(spark, sf_dir, "events").select("event_id", S.is_timecode(F.element_at(line, (F.col("event_id") % 4 + 1).cast("int"))).alias("timecode"))
+    """Times with thousandths are time codes, with hundredths they aren't."""
+    at = F.when(F.col("user_id") % 2 == 0, F.date_format("ts", "HH:mm:ss,SSS")).otherwise(F.date_format("ts", "HH:mm:ss.SS"))
+    return P.table(spark, sf_dir, "events").select("event_id", S.is_timecode(F.concat(at, F.lit(" --> x"))).alias("timecode"))
 
 
-@query("scl22_positive_ints", f"SELECT event_id, {sql_dealt((7, 12, None, None, None, None), 'event_id')} AS n FROM events")
+@query("scl22_positive_ints", "SELECT event_id, CASE WHEN user_id % 3 = 0 AND event_id > 0 THEN event_id END AS n FROM events")
 def scl22_positive_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.table(spark, sf_dir, "events").select("event_id", S.positive_int(dealt(LINES, "event_id")).alias("n"))
+    """Numbers with blanks around, negative ones, and with a fraction: only the first are one."""
+    text = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(" "))).when(F.col("user_id") % 3 == 1, F.concat(F.lit("-"), F.col("event_id").cast("string"))).otherwise(F.concat(F.col("event_id").cast("string"), F.lit(".5")))
+    return P.table(spark, sf_dir, "events").select("event_id", S.positive_int(text).cast("long").alias("n"))
+
+
+SQL_BYTES = "CASE WHEN b >= 1073741824 THEN printf('%.2f GB', floor(b / 1073741824.0::DOUBLE * 100 + 0.5) / 100) WHEN b >= 1048576 THEN printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) ELSE CAST(floor(b / 1024.0::DOUBLE + 0.5) AS BIGINT) || ' KB' END"
+SQL_SIZES = "z AS (SELECT doc_id, CAST(strlen(text) * (1 << (doc_id % 24)) AS BIGINT) AS b FROM documents)"
+
 
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes from bytes to tens of gigabytes: each text's, times a power of two by its id."""
+    return P.table(spark, sf_dir, "documents").select("doc_id", (F.octet_length("text") * F.pow(F.lit(2.0), F.col("doc_id") % 24)).cast("long").alias("b"))
 
-@query("scl23_byte_labels", """SELECT doc_id, CASE WHEN b >= 1073741824 THEN printf('%.1f GB', b / 1073741824.0::DOUBLE) WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) ELSE printf('%.1f KB', b / 1024.0::DOUBLE) END AS label
-FROM (SELECT doc_id, CAST(floor(pow(2, doc_id % 32) * 1.37) AS BIGINT) % 900000000000 AS b FROM documents) WHERE b < 1000 * 1024 OR b >= 1048576""")
+
+@query("scl23_byte_labels", f"WITH {SQL_SIZES} SELECT doc_id, {SQL_BYTES} AS label FROM z")
 def scl23_byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.floor(F.pow(F.lit(2.0), F.col("doc_id") % 32) * 1.37).cast("long")
-    return P.table(spark, sf_dir, "documents").select("doc_id", S.byte_label(b).alias("label"))
+    return sizes(spark, sf_dir).select("doc_id", S.byte_label(F.col("b")).alias("label"))
 
 
-@query("scl24_labels", f"""SELECT page_id, {sql_dealt(('PNG', 'Session', 'JS', 'PY', 'PDF', 'File', 'SRT', 'YAML', 'File', 'GZ', 'MD', 'Memory'), 'page_id')} AS type_label,
-{sql_dealt(('line 3', 'lines 3-9', '', 'line 3'), 'page_id')} AS line_label FROM pages""")
+@query("scl24_labels", f"""WITH {SQL_NAMED} SELECT page_id, CASE WHEN path LIKE 'home/sessions%' THEN 'Session' WHEN ext = '' THEN CASE WHEN contains(path, '.example.') THEN 'File' END ELSE upper(substr(ext, 2)) END AS type_label,
+CASE WHEN path LIKE 'home/sessions%' THEN 'ai session' ELSE 'normal file' END AS source_label, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN 'Line ' || size ELSE 'Lines ' || size || '-' || (size + page_id) END AS line_label FROM n""")
 def scl24_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.create_map(F.lit("start_line"), dealt(("3", "3", "none", "3"), "page_id"), F.lit("end_line"), dealt(("3", "9", "4", "x"), "page_id"))
-    label = S.type_label(F.create_map().cast("map<string,string>"), dealt(KINDS, "page_id"), F.col("path"))
-    return names(spark, sf_dir).select("page_id", label.alias("type_label"), S.line_label(m).alias("line_label"))
+    n = names(spark, sf_dir).select("page_id", "size")
+    third = F.col("page_id") % 3
+    lines = F.create_map(F.lit("start_line"), F.when(third > 0, F.col("size").cast("string")), F.lit("end_line"), F.when(third == 2, (F.col("size") + F.col("page_id")).cast("string")).otherwise(F.col("size").cast("string")))
+    return results(spark, sf_dir).join(n, "page_id").select("page_id", S.type_label(F.col("metadata"), F.col("source_kind"), F.col("source_path")).alias("type_label"), S.source_label(F.col("source_kind")).alias("source_label"), S.line_label(lines).alias("line_label"))
+
+
+@query("scl24_scan_labels", """SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'Auto: off' ELSE 'Auto: ' || CASE WHEN event_id % 5 = 0 THEN (user_id % 9 + 1) || 'h' ELSE CAST(floor((user_id % 9 * 60 + 90) / 60.0::DOUBLE + 0.5) AS BIGINT) || 'm' END || CASE WHEN event_type = 'view' THEN ' charging/idle' ELSE ' idle' END END AS label FROM events""")
+def scl24_scan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.when(F.col("event_id") % 5 == 0, (F.col("user_id") % 9 + 1) * 3600).otherwise(F.col("user_id") % 9 * 60 + 90)
+    return P.table(spark, sf_dir, "events").select("event_id", S.scan_label(F.col("user_id") % 4 != 0, seconds, F.col("event_type") == "view").alias("label"))
 
 
-@query("scl25_log_levels", f"SELECT event_id, {sql_dealt(('error', 'info', '', ''), 'event_id')} AS level FROM events")
+@query("scl25_log_levels", "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'info' ELSE '' END AS level FROM events")
 def scl25_log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = dealt(("12:00 ERROR disk", "12:00 INFO WARNING ok", "12:00 error disk", "ERROR"), "event_id")
-    return P.table(spark, sf_dir, "events").select("event_id", S.log_level(line).alias("level"))
+    """Log lines of events: a level counts in capitals and between blanks, the first one only."""
+    word = F.when(F.col("event_type") == "view", "INFO WARNING").when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "click", "debug").otherwise("xINFO")
+    return P.table(spark, sf_dir, "events").select("event_id", S.log_level(F.concat(F.col("ts").cast("string"), F.lit(" "), word, F.lit(" "), "props")).alias("level"))
 
 
 @query("scl26_code_chunks", """SELECT 'code/' || item_id || '.py' AS source_path, n AS ordinal, CASE n WHEN 0 THEN 'def load' || item_id || '(x): return x' ELSE 'class Item' || item_id || ': y = 1' END AS text,
@@ -192,22 +211,27 @@ def fil4_source_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.filter(filters.predicate({"source_kind": "AI_Session"})).select("source_path")
 
 
-@query("fil5_drive", "SELECT page_id FROM pages WHERE page_id % 12 = 3")
+@query("fil5_drive", f"WITH {SQL_NAMED} SELECT page_id FROM n WHERE path LIKE 'D:%'")
 def fil5_drive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = names(spark, sf_dir).select("page_id", F.col("path").alias("source_path"), F.lit("normal_file").alias("source_kind"), pair("lang", F.lit("en")).alias("metadata"))
-    return rows.filter(filters.predicate({"drive": "D:\\"})).select("page_id")
+    return results(spark, sf_dir).filter(filters.predicate({"drive": "d:\\"})).select("page_id")
 
 
-@query("fil6_extension", "SELECT page_id FROM pages WHERE page_id % 12 IN (10)")
+@query("fil6_extension", f"WITH {SQL_NAMED} SELECT page_id FROM n WHERE ext = '.PY'")
 def fil6_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = names(spark, sf_dir).select("page_id", F.col("path").alias("source_path"), F.lit("normal_file").alias("source_kind"), pair("lang", F.lit("en")).alias("metadata"))
-    return rows.filter(filters.predicate({"extension": "MD"})).select("page_id")
+    return results(spark, sf_dir).filter(filters.predicate({"extension": "py"})).select("page_id")
 
 
-@query("fil8_file_type", "SELECT page_id FROM pages WHERE page_id % 12 IN (2, 3)")
+@query("fil8_file_type", f"WITH {SQL_NAMED} SELECT page_id FROM n WHERE {SQL_TYPE} = 'config'")
 def fil8_file_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = names(spark, sf_dir).select("page_id", F.col("path").alias("source_path"), dealt(KINDS, "page_id").alias("source_kind"), pair("lang", F.lit("en")).alias("metadata"))
-    return rows.filter(filters.predicate({"file_type": "source_code", "path_contains": None})).select("page_id")
+    return results(spark, sf_dir).filter(filters.predicate({"file_type": "settings", "path_contains": None})).select("page_id")
+
+
+@query("fil11_sessions", f"WITH {SESSIONS} SELECT source_path FROM s WHERE role = 'user'")
+def fil11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of one source, which is the role here, among sessions and documents."""
+    turns = P.session_records(spark, sf_dir).withColumn("metadata", pair("source", F.element_at("metadata", "role"))).select("source_path", "source_kind", "metadata")
+    both = turns.unionByName(P.document_records(spark, sf_dir).select("source_path", "source_kind", "metadata"))
+    return both.filter((F.col("source_kind") == "ai_session") & (F.element_at("metadata", "source") == "user")).select("source_path")
 
 
 @query("fil12_active", f"WITH {CHUNKS} SELECT id FROM chunks WHERE active")
@@ -226,24 +250,40 @@ def fil13_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.changed(listed, files, c, have).select("path")
 
 
-@query("fil15_size_caps", f"SELECT page_id, CAST({sql_dealt((20, 20, 20, 20, 150, 20, 20, 20, 20, 20, 20, 20), 'page_id')} * 1048576 AS BIGINT) AS cap FROM pages")
+@query("fil15_size_caps", f"WITH {SQL_NAMED} SELECT page_id, CAST(CASE lower(ext) WHEN '.docx' THEN 500 WHEN '.pdf' THEN 150 ELSE 20 END * 1048576 AS BIGINT) AS cap FROM n")
 def fil15_size_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names(spark, sf_dir).select("page_id", filters.size_cap(F.col("path")).cast("long").alias("cap"))
 
 
-@query("fil20_relaxed_rules", f"SELECT page_id, {sql_dealt(('skip_dir', 'normal_file', 'project'), 'page_id')} AS reason FROM pages")
+SQL_REASON = """CASE WHEN ext = '.PNG' THEN 'media_extension' WHEN ext = '.zip' THEN 'archive_extension' WHEN path LIKE 'home/sessions%' AND ext = '.jsonl' THEN 'session_log' WHEN path LIKE 'D:%' THEN 'project' ELSE 'normal_file' END"""
+
+
+@query("fil19_classes", f"""WITH {SQL_NAMED}, r AS (SELECT *, {SQL_REASON} AS reason FROM n) SELECT page_id, reason,
+  CASE WHEN reason IN ('media_extension', 'archive_extension') THEN reason WHEN reason = 'session_log' THEN NULL WHEN size * 4096 > CASE lower(ext) WHEN '.docx' THEN 500 WHEN '.pdf' THEN 150 ELSE 20 END * 1048576 THEN 'too_large' END AS skip FROM r""")
+def fil19_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page's path is, and why it is skipped if it is 4096 times as large."""
+    rule = filters.classified(F.col("path"))
+    return names(spark, sf_dir).select("page_id", rule["reason"].alias("reason"), filters.skip_reason(F.col("path"), F.col("size") * 4096, rule).alias("skip"))
+
+
+@query("fil20_relaxed_rules", "SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 'normal_file' WHEN source LIKE 'src%' THEN 'skip_dir' END AS reason FROM documents")
 def fil20_relaxed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder that is skipped elsewhere is not skipped where it is part of the root."""
-    path = dealt(("/data/build/tmp/a.txt", "/data/build/a.txt", "/data/build/projects/a.txt"), "page_id")
-    return P.table(spark, sf_dir, "pages").select("page_id", filters.classified_under(path, F.lit("/data/build"))["reason"].alias("reason"))
+    """Files below a folder `build`, which is skipped; the root of some sources is that folder, so it doesn't count."""
+    path = F.concat(F.lit("/data/build/"), "source", F.lit("/"), "doc_id", F.lit(".txt"))
+    root = F.when(F.col("source").startswith("src1"), "/data/build").otherwise("/data")
+    return P.table(spark, sf_dir, "documents").select("doc_id", filters.classified_under(path, root)["reason"].alias("reason"))
 
 
-@query("fil22_scope_rules", f"SELECT page_id, {sql_dealt(('backup', 'normal_file', 'scope', 'scope'), 'page_id')} AS reason FROM pages")
+@query("fil22_scope_rules", "SELECT doc_id, CASE WHEN source LIKE '%1' AND lang = 'fr' THEN 'backup' WHEN source = 'src2' THEN 'scope' WHEN source LIKE '%3' AND lang IN ('de', 'es') THEN 'scope' ELSE 'normal_file' END AS reason FROM documents")
 def fil22_scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules by prefix, by a sequence of parts and by a part after another, as a caller's data."""
-    rules = (filters.PathRule("backup", "system_cache", True, sequence=("old", "copies")), filters.PathRule("scope", "project_source", False, prefix=("d:", "work")), filters.PathRule("scope", "project_source", False, after=("users", "notes")))
-    path = dealt((r"D:\Work\Old\Copies\a.txt", r"e:\work\a.txt", r"d:\work\a.txt", "/users/me/deep/notes/a.txt"), "page_id")
-    return P.table(spark, sf_dir, "pages").select("page_id", filters.classified(path, rules)["reason"].alias("reason"))
+    last = F.right("source", F.lit(1))
+    path = F.concat_ws("\\", "source", F.concat(F.lit("Kind"), last), "lang", F.col("doc_id").cast("string"))
+    rules = (
+        filters.PathRule("backup", "system_cache", True, sequence=("kind1", "fr")), filters.PathRule("scope", "project_source", False, prefix=("src2",)), filters.PathRule("scope", "project_source", False, after=("kind3", "de")),
+        filters.PathRule("scope", "project_source", False, after=("kind3", "es")),
+    )
+    return P.table(spark, sf_dir, "documents").select("doc_id", filters.classified(path, rules)["reason"].alias("reason"))
 
 
 # Lookups and listings
@@ -286,10 +326,12 @@ def agg5_retry_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.retry_totals(P.source_files(spark, sf_dir), there)
 
 
-@query("agg7_storage_states", f"SELECT event_id, {sql_dealt(('ok', 'ok', 'warning', 'warning', 'hard_stop'), 'event_id')} AS state FROM events")
+SQL_STATE = "CASE WHEN b >= 12884901888 THEN 'hard_stop' WHEN b >= 7516192768 THEN 'warning' ELSE 'ok' END"
+
+
+@query("agg7_storage_states", f"WITH {SQL_SIZES} SELECT doc_id, {SQL_STATE} AS state, CASE {SQL_STATE} WHEN 'hard_stop' THEN 'Storage stop: ' WHEN 'warning' THEN 'Storage warning: ' ELSE 'Storage: ' END || {SQL_BYTES} AS label FROM z")
 def agg7_storage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = F.element_at(F.array(*[F.lit(x).cast("long") for x in (0, (7 << 30) - 1, 7 << 30, (12 << 30) - 1, 12 << 30)]), (F.col("event_id") % 5 + 1).cast("int"))
-    return P.table(spark, sf_dir, "events").select("event_id", S.storage_state(used).alias("state"))
+    return sizes(spark, sf_dir).select("doc_id", S.storage_state(F.col("b")).alias("state"), S.storage_label(F.col("b")).alias("label"))
 
 
 @query("top12_source_chunks", f"WITH {CHUNKS} SELECT id FROM chunks WHERE active AND source_path = 'doc/src1/1.txt' OR active AND source_path LIKE 'doc/src1/1.txt#%'")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry import suite
 from quarry.functions import scalars as S
-from quarry.operators import chunking, context, filters, hybrid, lexical, store, vectors
+from quarry.operators import chunking, context, filters, hybrid, lexical, match, store, vectors
 from quarry.sources import extract, listing
 from quarry.streaming import ingest
 
@@ -53,13 +53,32 @@ def chunks_of(spark, texts, inactive=()):
     return spark.createDataFrame(rows, CHUNK)
 
 
-TEXTS = ["the quick brown fox", "quick quick slow", "Crème brûlée and fox", "a b c d e f g fox quick", "red-green n.1 it's", "foxes quickly foxtrot", "brown fox quick", ""]
+TEXTS = [
+    "the quick brown fox", "quick quick slow", "Crème brûlée and fox", "a b c d e f g fox quick", "red-green n.1 it's", "foxes quickly foxtrot", "brown fox quick", "", "b a q q q q q q c a", "a b c", "a a b q c c b a", "İSTANBUL fox title",
+    "the fox q q q quick brown q a b", "a q b q c q quick brown fox", "c b a c b a c b a",
+]
 EXPRESSIONS = [
     "quick", "fox quick", "fox OR slow", "quick NOT brown", '"brown fox"', "fox*", "creme", "^quick", "NEAR(quick fox, 2)", "NEAR(brown quick)", "title:title", "text:fox", "(fox OR slow) NOT brown", "quick + brown",
+    "NEAR(a b c, 2)", "NEAR(a b c, 0)", "NEAR(c a b, 1)", "NEAR(a c, 3) OR fox", 'NEAR("quick brown" a fox, 3)', 'NEAR("quick brown" fox a, 1) NOT the', "NEAR(fo* qu*, 1)", "NEAR(title fox)", "text:NEAR(a b)", "^a", "^title", "title:^title",
+    "text:^a b", "istanbul", "title:1*", "NEAR(a b, 2) NEAR(b c, 2)", "NEAR(fox)", "NEAR(a, b)", "NEAR(a OR b)", "((fox) AND (quick OR slow))", "(fox) (quick)", "(fox", "fox)", "text:fo*", "a NOT b c", "fox OR slow quick", '"quick brown" + fox', "^fox + quick",
     "fox AND brown OR slow", "what?", "n.1", "it's", "AND", "red-green", "x:y", '"open', "*", "fox NOT", "", "title:(fox OR title)", '"it s"', "zebra",
 ]
 
 
+def indexed(c):
+    index = lexical.postings(c)
+    return index, lexical.totals(c, index)
+
+
+def test_expressions_as_values(spark):
+    """What a text says can be put together as values, and several texts are answered at once."""
+    a, b, near = match.Phrase(("fox",)), match.Phrase(("quick",)), match.Near((match.Phrase(("quick",)), match.Phrase(("fox",))), 2)
+    assert match.expression("(fox OR NEAR(quick fox, 2)) NOT quick") == (a | near) - b and match.expression("fox quick") == a & b
+    c = chunks_of(spark, TEXTS)
+    both = lexical.matched(*indexed(c), "fox NOT quick", a - b, "no)", "slow").collect()
+    assert {r.chunk_id for r in both if r.query == 0} == {r.chunk_id for r in both if r.query == 1} and {r.query for r in both} == {0, 1, 3}
+
+
 @pytest.mark.parametrize("text", EXPRESSIONS)
 def test_match_language_like_fts5(spark, text):
     con = sqlite3.connect(":memory:")
@@ -70,22 +89,20 @@ def test_match_language_like_fts5(spark, text):
     except sqlite3.OperationalError:
         want = {}
     c = chunks_of(spark, TEXTS)
-    got = {r.chunk_id: round(r.score, 9) for r in lexical.matched(lexical.postings(c), lexical.lengths(c), text).collect()}
-    assert set(got) == set(want)
-    if not any(x in text for x in ("NEAR", "^", ":")):  # scores of restricted phrases count their own rows
-        assert got == pytest.approx(want)
+    got = {r.chunk_id: round(r.score, 9) for r in lexical.matched(*indexed(c), text).collect()}
+    assert got == pytest.approx(want)
 
 
 def test_inactive_rows_count_in_statistics_only(spark):
     c = chunks_of(spark, TEXTS, inactive={1})
-    got = lexical.lexical_search(c, lexical.postings(c), lexical.lengths(c), "quick").collect()
+    got = lexical.lexical_search(c, *indexed(c), "quick").orderBy("rank").collect()
     assert 1 not in {r.chunk_id for r in got} and [r.score for r in got] == sorted(r.score for r in got)
 
 
 def test_snippet(spark):
     text = " ".join(f"w{k}" for k in range(20)) + " fox x fox"
     df = spark.createDataFrame([(text,), ("short fox",), ("",)], "text string")
-    got = [r[0] for r in df.select(lexical.snippet(F.col("text"), ["fox"])).collect()]
+    got = [r[0] for r in df.select(lexical.snippet(F.col("text"), F.array(F.lit("fox")))).collect()]
     assert got[0].startswith("...") and got[0].endswith("fox x fox") and got[1:] == ["short fox", ""]
 
 
@@ -178,7 +195,7 @@ def test_vectors(spark):
 
 def test_hybrid_edges(spark):
     c = chunks_of(spark, TEXTS)
-    corpus = hybrid.Corpus(c, lexical.postings(c), lexical.lengths(c), vectors.embedded(c, 16), lambda t: [0.25] * 16)
+    corpus = hybrid.Corpus(c, *indexed(c), vectors.embedded(c, 16), lambda t: [0.25] * 16)
     assert hybrid.search(corpus, "  ", 5).count() == 0 == hybrid.search(corpus, "fox", 0).count()
     best = hybrid.search(corpus, "fox", 5).collect()
     assert len(best) == 5 and best[0].score <= 2.25 / 61 + 1e-12 and {r.rank_source for r in best} <= {"hybrid", "fts", "vector"}
@@ -204,8 +221,6 @@ def zipped(files):
 
 def test_extractors(spark):
     t = "<a><t>{}</t></a>".format
-    db = sqlite3.connect(":memory:")
-    db.executescript("CREATE TABLE sessions(id TEXT, model TEXT); CREATE TABLE messages(id INTEGER, session_id TEXT, role TEXT, content TEXT, timestamp REAL); INSERT INTO sessions VALUES('s','m1'); INSERT INTO messages VALUES(1,'s','user','hi',1.5),(2,'z','user','yo',2),(3,'s','user',NULL,3);")
     log = "\n".join([json.dumps({"timestamp": "2024-01-01", "payload": {"type": "message", "role": "user", "content": [{"text": ""}, {"input_text": " one "}, {"output_text": "two"}]}}), "bad", json.dumps({"payload": {"type": "other", "role": "user"}})])
     files = {
         "a.txt": "caf\xe9".encode("latin-1"), "a.csv": "﻿x, y ,\n\n1,2\n".encode(), "a.html": b"<p>A &amp;  b<script>x</script></p><p>c", "a.srt": "1\n00:00:01,000 --> 00:00:02,000\nHello\n\nNOTE x\n".encode(),
@@ -222,8 +237,16 @@ def test_extractors(spark):
         "a.mhtml": "m", "s.jsonl#L1": "one\ntwo", "a.pb": "abcd efgh",
     }
     assert [r.source_path for r in rows if r.failed] == ["bad.docx"]
-    dbs = spark.createDataFrame([("x.db", bytearray(db.serialize()))], "path string, content binary")
-    assert sorted((r.source_path, r.text, r.metadata["model"]) for r in extract.session_db(dbs, "chat").collect()) == [("x.db#message:1", "hi", "m1"), ("x.db#message:2", "yo", "")]
+
+
+def test_session_and_fact_tables(spark):
+    m = spark.createDataFrame([("x.db", 1, "s", "user", "hi", 1.5), ("x.db", 2, "z", "user", "yo", 2.0), ("x.db", 3, "s", "user", None, 3.0), ("y.db", 4, "s", "user", "other", 3.0)], "path string, id long, session_id string, role string, content string, timestamp double")
+    s = spark.createDataFrame([("x.db", "s", "m1")], "path string, id string, model string")
+    got = sorted((r.source_path, r.text, r.metadata["model"]) for r in extract.session_messages(m, s, "chat").collect())
+    assert got == [("x.db#message:1", "hi", "m1"), ("x.db#message:2", "yo", ""), ("y.db#message:4", "other", "")]
+    f = spark.createDataFrame([("x.db", 1, "water boils", "science", None, 0.5, "2024", "2024"), ("x.db", 2, None, "c", "t", 1.0, "", "")], "path string, fact_id long, content string, category string, tags string, trust_score double, created_at string, updated_at string")
+    got = extract.facts(f, "notes").collect()
+    assert [(r.source_path, r.source_kind, r.title, r.text, r.metadata["trust_score"], r.metadata["tags"]) for r in got] == [("x.db#fact:1", "ai_memory", "notes science", "water boils", "0.5", "")]
 
 
 def test_tree_source(spark, tmp_path):
@@ -258,6 +281,205 @@ def test_crawl_twice_change_and_delete(spark, tmp_path):
     assert live[str(root / "f2.txt")].id == ids[str(root / "f2.txt")] and live[str(root / "f0.txt")].id > max(ids.values())
     assert {r.chunk_id for r in s.read("vectors").collect()} == {r.id for r in live.values()}
     assert {r.status for r in s.read("source_files").filter(F.col("path").endswith("f1.txt")).collect()} == {"deleted"}
+    assert consistent(s)
+    assert [r.source_path for r in hybrid.search(ingest.corpus(s, lambda t: [0.2] * 32), "changed", 5).filter("rank_source != 'vector'").collect()] == [str(root / "f0.txt")]
+    before = {r.id: (r.source_path, r.active) for r in s.read("chunks").collect()}
+    s.compact()
+    assert before == {r.id: (r.source_path, r.active) for r in s.read("chunks").collect()} and consistent(s)
+    assert all(len(folders) == 1 for folders in s.state().tables.values()) and "dead" not in s.state().tables
+    jobs = s.read("index_jobs").orderBy("id").collect()
+    assert [(j.id, j.status, j.indexed) for j in jobs] == [(1, "completed", 4), (2, "completed", 0), (3, "completed", 1)]
+
+
+def consistent(s):
+    """Postings and totals are those of the live chunks."""
+    c = s.read("chunks")
+    own = lexical.postings(c)
+    return s.state().totals == lexical.totals(c, own) and own.exceptAll(s.read("postings").drop("bucket")).isEmpty() and s.read("postings").drop("bucket").exceptAll(own).isEmpty()
+
+
+def written_bytes(s, before):
+    return s.size_bytes() - before
+
+
+def test_a_change_writes_its_own_rows_only(spark, tmp_path):
+    """What a change of one file writes doesn't grow with the corpus."""
+    cost = []
+    for n in (4, 64):
+        root = tmp_path / f"data{n}"
+        root.mkdir()
+        for k in range(n):
+            (root / f"f{k}.txt").write_text(" ".join(f"w{k}x{i}" for i in range(2000)))
+        s = store.Store(spark, str(tmp_path / f"store{n}"))
+        ingest.crawl(spark, s, [str(root)], T0)
+        (root / "f0.txt").write_text(" ".join(f"new{i}" for i in range(2000)))
+        before = s.size_bytes()
+        assert ingest.crawl(spark, s, [str(root)], T0)["indexed"] == 1
+        cost.append(s.size_bytes() - before)
+    assert cost[1] < 1.2 * cost[0]
+
+
+def test_two_writers(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    s.create()
+    one, two = s.change(), s.change()
+    one.stage("index_jobs", store.created_job(s.read("index_jobs"), "a", F.lit(T0)), replacing=True)
+    two.stage("index_jobs", store.background_error(s.read("index_jobs"), "boom", F.lit(T0)), replacing=True)
+    one.commit()
+    with pytest.raises(store.Conflict):
+        two.commit()
+    assert [(j.id, j.root_path, j.status) for j in s.read("index_jobs").collect()] == [(1, "a", "running")]
+    s.put(index_jobs=store.background_error(s.read("index_jobs"), "boom", F.lit(T0)))
+    last = context.latest(s.read("index_jobs")).first()
+    assert (last.id, last.root_path, last.status, last.error, last.finished_at) == (2, "background", "error", 1, T0)
+    assert context.shown_job(context.by_id(s.read("index_jobs"), 1)).first().indexed_count == 0
+
+
+def test_unreadable_folders_retire_nothing(spark, tmp_path, monkeypatch):
+    root = tmp_path / "data"
+    (root / "deep").mkdir(parents=True)
+    (root / "deep" / "f.txt").write_text("words in a folder")
+    (root / "g.txt").write_text("other words")
+    s = store.Store(spark, str(tmp_path / "store"))
+    ingest.crawl(spark, s, [str(root)], T0)
+    entries = listing.TreeReader._entries
+    denied = lambda self, folder: ([], "PermissionError: denied") if folder == str(root) else entries(self, folder)
+    reader = listing.TreeReader([str(root)], ())
+    monkeypatch.setattr(listing.TreeReader, "_entries", denied)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert rows == [(str(root), str(root), None, None, "PermissionError: denied")]
+    monkeypatch.setattr(listing, "listed", lambda *a: spark.createDataFrame(rows, listing.LISTING))
+    out = ingest.crawl(spark, s, [str(root)], T0)
+    assert out["unreadable"] == 1 and s.read("chunks").filter("active").count() == 2
+    assert {r.status for r in s.read("source_files").collect()} == {"indexed"}
+
+
+def test_failed_embedder_retry_and_rebuild(spark, tmp_path):
+    root = tmp_path / "data"
+    root.mkdir()
+    for k in range(3):
+        (root / f"f{k}.txt").write_text(f"words of file {k}")
+    s = store.Store(spark, str(tmp_path / "store"))
+
+    def down(chunks):
+        return chunks.select(F.col("id").alias("chunk_id"), F.array(F.raise_error(F.lit("no model")).cast("float")).alias("embedding"))
+
+    out = ingest.crawl(spark, s, [str(root)], T0, embed=down)
+    assert out["indexed"] == 0 and {(r.status, "no model" in r.error) for r in s.read("source_files").collect()} == {("vector_pending", True)}
+    assert {(r.active, r.vector_status) for r in s.read("chunks").collect()} == {(False, "vector_pending")}
+    os.remove(root / "f2.txt")
+    out = ingest.retry(s, T0)
+    assert (out["retried"], out["missing"], out["indexed"]) == (3, 1, 2) and s.read("vectors").count() == 2 and consistent(s)
+    lost = s.change()
+    lost.stage("vectors", s.read("vectors", whole=True).filter("chunk_id = 1"), replacing=True)
+    lost.commit()
+    assert [r.physical_path for r in ingest.recent_without_vectors(s.read("chunks"), s.read("vectors")).collect()] and ingest.rebuild_vectors(s) == 1
+    assert s.read("vectors").count() == 2 and ingest.rebuild_vectors(s) == 0
+
+
+def test_budget(spark, tmp_path):
+    root = tmp_path / "data"
+    root.mkdir()
+    (root / "a.txt").write_text("some words")
+    s = store.Store(spark, str(tmp_path / "store"))
+    with pytest.raises(ingest.BudgetExceeded):
+        ingest.crawl(spark, s, [str(root)], T0, budget=ingest.Budget(stop=1))
+    job = s.read("index_jobs").first()
+    assert job.status == "error" and "allowed" in job.message
+    assert ingest.Budget(100, 120).checked(79) == "ok" and ingest.Budget(100, 120).checked(80) == "warning"
+    ingest.crawl(spark, s, [str(root)], T0, flush=1)
+    used = s.usage()
+    assert used["tables"] > 0 < used["vectors"] and used["total"] == used["tables"] + used["vectors"] + used["logs"] + used["other"]
+
+
+def test_diagnostics(spark):
+    c = chunks_of(spark, ["token=abc", "plain"])
+    jobs = store.created_job(spark.createDataFrame([], store.JOBS), "root", F.lit(T0))
+    files = spark.createDataFrame([("a", "normal_file", "f", 1, 1, "indexed", None, T0, T0)], store.SOURCE_FILES)
+    got = json.loads(context.diagnostics(jobs, files, c, 1, redact=True).first()[0])
+    assert got["latest_job"]["root_path"] == "root" and got["active_chunk_counts"] == [{"source_kind": "normal_file", "chunks": 2}]
+    assert got["source_status_counts"] == [{"source_kind": "normal_file", "status": "indexed", "files": 1}] and got["chunk_samples"][0]["text"] == "token=[REDACTED_SECRET]"
+
+
+class FakeClient:
+    """Fails as told before it answers."""
+
+    def __init__(self, *failures):
+        self.failures = list(failures)
+        self.asked = []
+
+    def __call__(self, model, texts):
+        self.asked.append((model, len(texts)))
+        if self.failures and (status := self.failures.pop(0)) is not True:
+            raise vectors.ClientError("failed", status)
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_client_embedder(spark):
+    def answer(model, texts):
+        return [[float(len(t)), float(len(texts))] for t in texts]
+
+    waits = []
+    client = FakeClient(503, None, True)
+    e = vectors.ClientEmbedder(client, ("m",), dim=2, max_chars=5, wait=waits.append)
+    assert e.query("too long") == [5.0, 1.0] and waits == [1.0, 2.0] and len(client.asked) == 3
+    for failures in ((400,), (429, 500, 503)):
+        with pytest.raises(OSError):
+            vectors.ClientEmbedder(FakeClient(*failures), ("m",), dim=2, wait=waits.append).query("x")
+    client = FakeClient(404)
+    assert vectors.ClientEmbedder(client, ("m", "n"), dim=2).batch(["x"])[1] == 1 and [m for m, _ in client.asked] == ["m", "n"]
+    with pytest.raises(ValueError):
+        vectors.ClientEmbedder(answer, ("m",), dim=3).query("x")
+    e = vectors.ClientEmbedder(answer, ("m",), dim=2, batch_size=2)
+    df = spark.createDataFrame([(k, "x" * k) for k in range(5)], "id long, text string").coalesce(1)
+    assert sorted((r.chunk_id, *r.embedding) for r in e.chunks(df).collect()) == [(0, 0.0, 2.0), (1, 1.0, 2.0), (2, 2.0, 2.0), (3, 3.0, 2.0), (4, 4.0, 1.0)]
+
+
+def test_ids_in_key_order(spark):
+    new = spark.createDataFrame([(f"p{k:02d}", 0, "h", "t") for k in range(40)], "source_path string, ordinal int, content_hash string, title string").repartition(5)
+    got = store.gapless(new, store.KEY, "id", 100).orderBy("source_path").collect()
+    assert [r.id for r in got] == list(range(100, 140))
+
+
+def test_repeated_ids_activate_once(spark):
+    c = chunks_of(spark, ["a", "b"], inactive={0, 1})
+    ids = spark.createDataFrame([(0, "f0.txt"), (0, "f0.txt")], "chunk_id long, physical_path string")
+    assert sorted((r.id, r.active) for r in store.activated(c, ids, F.lit(T0))[0].collect()) == [(0, True), (1, False)]
+
+
+def test_labels(spark):
+    sizes = {0: "0 KB", 512: "1 KB", 1010 * 1024: "1010 KB", 1 << 20: "1.0 MB", 5 << 30: "5.00 GB"}
+    df = spark.createDataFrame([(k,) for k in sizes], "b long")
+    assert [r[0] for r in df.select(S.byte_label(F.col("b"))).collect()] == list(sizes.values())
+    rows = [({"start_line": "3"}, "Line 3"), ({"start_line": "3", "end_line": "3"}, "Line 3"), ({"start_line": "3", "end_line": "9"}, "Lines 3-9"), ({}, None), ({"start_line": ""}, None)]
+    df = spark.createDataFrame([(m,) for m, _ in rows], "m map<string,string>")
+    assert [r[0] for r in df.select(S.line_label(F.col("m"))).collect()] == [x for _, x in rows]
+    names = [("a/.env", "ENV"), ("a/b.tar.gz#c.d", "GZ"), ("a.b/c", "File")]
+    df = spark.createDataFrame([(p,) for p, _ in names], "p string")
+    none = F.create_map().cast("map<string,string>")
+    assert [r[0] for r in df.select(S.type_label(none, F.lit("normal_file"), F.col("p"))).collect()] == [x for _, x in names]
+
+
+def test_odd_scalars(spark):
+    """Cases that the registered queries' names don't have."""
+    df = spark.range(1)
+    one = lambda c: df.select(c).first()[0]
+    for text, day in (("2024-02-29", "2024-02-29"), ("20240302", "2024-03-02"), ("2024-02-30", None), ("soon", None), (" 2024-03-05 ", "2024-03-05"), ("2024-03-01T10:00:00Z", "2024-03-01")):
+        assert str(one(S.iso_date(F.lit(text)))) == str(day)
+    for text, n in (("7", 7), (" 12 ", 12), ("0", None), ("-3", None), ("x", None), ("2.5", None)):
+        assert one(S.positive_int(F.lit(text))) == n
+    for text, kind in ((" Source_Code ", "code"), ("AI_SESSION", "session"), ("Captions", "transcript"), ("odd_one", "odd-one"), ("settings", "config")):
+        assert one(S.normalized_type(F.lit(text))) == kind
+    for line, level in (("12:00 ERROR disk", "error"), ("12:00 INFO WARNING ok", "info"), ("12:00 error disk", ""), ("ERROR", "")):
+        assert one(S.log_level(F.lit(line))) == level
+    for line, is_code in (("00:00:01,123 --> x", True), ("0:00:01.5004", True), ("00:00:01", False)):
+        assert one(S.is_timecode(F.lit(line))) is is_code
+    for path, ext in (("notes/.env", ""), ("a/b#L12", ""), ("arch/x.tar.gz", ".gz"), ("doc/Readme.md#message:3", ".md"), ("noext", "")):
+        assert one(S.result_extension(F.create_map().cast("map<string,string>"), F.lit(path))) == ext
+    with pytest.raises(ValueError):
+        S.without_bom(F.lit("x"), "latin-1")
+
+
 
 
 def test_stream_resumes(spark, tmp_path):
@@ -274,15 +496,6 @@ def test_stream_resumes(spark, tmp_path):
         put(3, "three")
 
 
-def test_schedule():
-    x = ingest.Schedule(last_start=T0)
-    hour = timedelta(hours=1)
-    assert x.objection(T0, False, True, hour) == "interval" and x.due(T0) == T0 + hour
-    assert x.objection(T0 + hour, True, True, hour) == "running" and x.objection(T0 + hour, False, False, hour) == "not charging"
-    assert x.objection(T0 + hour, False, True, timedelta(0)) == "not idle" and x.objection(T0 + hour, False, True, hour) is None
-    assert ingest.Schedule(enabled=False).objection(T0, False, True, hour) == "disabled"
-
-
 def test_jobs_and_saved_searches(spark):
     jobs = spark.createDataFrame([(1, "r", "running", 0, 0, 0, 0, "", T0, T0, None)], store.JOBS)
     now = F.lit(T0 + timedelta(1))
