@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, new_path, removed, spread, width
+
+__all__ = ["WORD", "checkpointed", "discarded", "fold", "least_draws", "spread", "table", "width", "written"]
+
 #: ASCII white space, written as the contracts of the operators write it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,37 +18,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="quarry-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+_WRITTEN: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again; later passes prune its columns."""
-    path = f"{shared_dir(df.sparkSession)}/quarry-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def width(spark: SparkSession) -> int:
-    """Partitions of an explicit exchange: what the cluster sets for its shuffles."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def discarded(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete what this process has had `written`, but for the files that keep reads. Frames over the others can't be used any more."""
+    needed = keep.inputFiles() if keep is not None else []
+    gone = [p for p in _WRITTEN if not any(p.rpartition("/")[2] in f for f in needed)]
+    removed(spark, *gone)
+    _WRITTEN[:] = [p for p in _WRITTEN if p not in gone]
+
+
+def fold(doc_id: Column, n: int, k: int) -> Column:
+    """Whether crc32 of the id's text modulo n is k; a null id is in no fold."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n == k, F.lit(False))
+
 
+def least_draws(rows: DataFrame, by: str, draw: Column, n: int) -> DataFrame:
+    """At most n rows for each value of `by`: those with the least draws, so that repeated draws can't pass the bound.
 
-def crc_mod(doc_id: Column, n: int) -> Column:
-    """crc32 of the id's text modulo n: the fold of a row."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
+    The cut is found on draws alone, of which each task keeps n; only rows below it are then compared whole.
+    """
+    order = W.partitionBy(by).orderBy("__draw")
+    drawn = rows.withColumn("__draw", draw)
+    cuts = drawn.select(by, "__draw").withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= n).groupBy(by).agg(F.max("__draw").alias("__cut"))
+    # A row for each value: languages or classes.
+    near = drawn.join(F.broadcast(cuts), by).filter("__draw <= __cut")
+    return near.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= n).drop("__draw", "__cut", "__nth")

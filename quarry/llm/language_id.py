@@ -3,21 +3,21 @@
 Subwords are the byte 2-, 3- and 4-grams of lower-cased words (letters only, with a mark at each end),
 hashed into BUCKETS embeddings. A text's vector is the mean over all of its subwords; a linear layer and
 a softmax give the languages' probabilities. Both layers are trained by stochastic gradient descent in
-numpy, on segments of a bounded, documented sample of labelled rows. As both layers are linear, the
-embeddings are folded into one table of BUCKETS x languages that the tasks get.
+numpy, on segments of a bounded, documented sample of labelled rows. As both layers are linear, for few
+languages the embeddings are folded into one table of BUCKETS x languages that the tasks get.
 
 Rejection is calibrated on rows held out from the training: a temperature makes the probabilities honest,
 and a text is rejected if it has no letters or if its probability is below the level that all but
 REJECTED of the calibration rows reach, or half, whichever is lower.
 
-A null text, an empty one and one without letters are `und` with score 0, and rejected. Without labelled
-rows every text is. Whole texts are scored, in chunks of bounded size. Repeated rows get equal results.
+A null text, an empty one and one without letters (of Unicode's category L) are `und` with score 0, and
+rejected. Without labelled rows every text is. A row with a null id is in no fold: it is not held out, and
+may be learned from. Whole texts are scored, in chunks of bounded size. Repeated rows get equal results.
 Columns named like the results are replaced; others pass through.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import fold, least_draws, spread, table
 from .vectext import chunks
 
 BUCKETS = 1 << 15
 DIM = 16
-#: The bound of the sample: so many labelled rows over all languages, in expectation, dealt evenly to them.
-SAMPLE = 3000
-#: At most so many languages are learned: the most frequent.
-LANGUAGES = 100
+#: The bounds of the sample: so many labelled rows over all languages, dealt evenly to them, but LEAST for each; of each text a run of so many characters.
+SAMPLE, LEAST, CHARS = 3000, 20, 20_000
 REJECTED = 0.005
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters and all bytes of other characters stay; the rest separates words.
 _CLEAN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _GRAMS = (2, 3, 4)
@@ -62,22 +59,24 @@ def subwords(part: bytes) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages, the two layers folded
+    table: np.ndarray  # BUCKETS x languages, the two layers folded; with more languages than DIM, BUCKETS x DIM
     bias: np.ndarray
+    head: np.ndarray | None = None  # DIM x languages, where the layers aren't folded
     temperature: float = 1.0
     threshold: float = 0.0
 
     def logits(self, text: str) -> np.ndarray | None:
         """None where the text has no letter."""
-        if not _LETTER.search(text):
+        if not any(map(str.isalpha, text)):
             return None
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for part in chunks(text.lower().encode("utf-8", "surrogatepass")):
             for at in range(0, len(part), 1 << 16):
                 ids = subwords(part[at : at + (1 << 16)])
                 total += self.table[ids].sum(axis=0, dtype=np.float64)
                 n += len(ids)
-        return total / max(n, 1) + self.bias
+        mean = total / max(n, 1)
+        return (mean if self.head is None else mean @ self.head) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         z = self.logits(text) if text and self.languages else None
@@ -138,7 +137,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64, r
             used, where = np.unique(ids, return_inverse=True)
             for k in range(DIM):
                 e[used, k] -= 20 * step * np.bincount(where, weights=dx[row, k], minlength=len(used))
-    model = Model(languages, (e @ w).astype(np.float32), bias)
+    folded = len(languages) <= DIM
+    model = Model(languages, (e @ w if folded else e).astype(np.float32), bias, None if folded else w)
     held = [(z, y_of[label]) for text, label in list(zip(texts, labels, strict=True))[::5] if (z := model.logits(text)) is not None]
     if held:
         z, y = np.stack([z for z, _ in held]), np.array([y for _, y in held])
@@ -148,17 +148,20 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64, r
 
 
 def sample(docs: DataFrame, learn: Column, rows: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Texts and languages of a bounded sample of the rows where learn holds, by a hash of the row, evenly over languages."""
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    """Texts and languages of a bounded sample of the rows where learn holds, evenly over languages.
+
+    Rows are drawn by a hash of id and text: reruns agree, and rows that share an id (or have none) are
+    drawn one by one. Of a text longer than CHARS a run that starts at a place drawn by the same hash.
+    """
+    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    languages = known.select("lang").distinct().count()
+    if not languages:
         return [], []
-    each = rows / len(counts)
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "lang string, __share double")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    chosen = known.select("doc_id", "text", "lang", draw.alias("__draw")).join(F.broadcast(shares), "lang").filter("__draw < __share")
-    got = chosen.select("text", "lang", "doc_id").toPandas().sort_values(["doc_id", "text"])
-    return got["text"].tolist(), got["lang"].tolist()
+    draw = F.xxhash64("doc_id", "text", F.lit("sample"))
+    chosen = least_draws(known, "lang", draw, max(LEAST, rows // languages))
+    run = F.substring("text", (F.pmod(draw, F.greatest(F.lit(1), F.length("text") - CHARS + 1)) + 1).cast("int"), F.lit(CHARS))
+    got = sorted(chosen.select(draw.alias("draw"), run.alias("text"), "lang").collect())
+    return [r["text"] for r in got], [r["lang"] for r in got]
 
 
 def train(docs: DataFrame, learn: Column | None = None, rows: int = SAMPLE) -> Model:
@@ -181,6 +184,6 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    held_out = fold(F.col("doc_id"), 4, 2)
     model = train(docs, ~held_out)
-    return identified(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return identified(spread(docs), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
