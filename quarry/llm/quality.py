@@ -10,13 +10,14 @@ descent, give a logit, and a temperature fitted on rows held out from training m
 The network is fitted on a bounded, documented sample of labelled rows, evenly from both classes; the
 logit is then moved back to the classes' true shares. All rows are scored on their whole texts, in chunks.
 A null text scores as an empty one. Without labels of both classes every score is 0.5, or the share of
-the class there is. Rows whose id has several labels use each. Columns named like the results are
-replaced; others pass through.
+the class there is. Rows whose id has several labels use each; labels without an id are not used. A row
+with a null id is in no fold: it is not held out. Columns named like the results are replaced; others pass
+through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,13 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import fold, least_draws, spread, table, written
 from .vectext import chunks, run_hashes, runs
 
 WORDS, SHAPES, DIM, NONZERO = 1 << 15, 64, 32, 4
 HIDDEN = 32
-#: The bound of the sample: so many labelled rows, in expectation, half of each class.
-SAMPLE = 6000
+#: The bounds of the sample: so many labelled rows, half of each class; the context vectors are made from a run of so many characters of each.
+SAMPLE, CHARS = 6000, 20_000
 _KIND = np.array([0 if c in b" \t\n\r\x0b\x0c" else 1 if c >= 128 or chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
 _UPPER = np.array([65 <= c <= 90 for c in range(256)], np.int64)
 
@@ -106,15 +107,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(texts: list[str], labels: list[int], share: float, epochs: int = 60, batch: int = 64, rate: float = 0.1, seed: int = 5) -> Model:
-    """share: of label 1 among all labelled rows. Every fifth text calibrates and doesn't train."""
+def fit(texts: list[str], labels: list[int], share: float, features: Callable[[np.ndarray], np.ndarray] | None = None, epochs: int = 60, batch: int = 64, rate: float = 0.1, seed: int = 5) -> Model:
+    """share: of label 1 among all labelled rows; features: the pooled rows from word vectors, if texts are only runs of them. Every fifth text calibrates and doesn't train."""
     logit = float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1 - 1e-6)))
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return Model(np.zeros((0, DIM)), np.zeros(0), np.ones(0), shift=logit)
     rng, held = np.random.default_rng(seed), np.arange(len(y)) % 5 == 0
     vectors = word_vectors([t for t, h in zip(texts, held, strict=True) if not h], seed)
-    x = np.stack([pooled(t, vectors) for t in texts])
+    x = features(vectors) if features else np.stack([pooled(t, vectors) for t in texts])
     model = Model(vectors, x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-6)
     w1, b1 = rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN)
     w2, b2 = rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(())
@@ -144,16 +145,34 @@ def fit(texts: list[str], labels: list[int], share: float, epochs: int = 60, bat
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: int = SAMPLE) -> Model:
-    """A model from a bounded sample of labelled rows; learn, on doc_id, says which labels may be seen."""
-    known = labels.filter(F.col("quality").isin(0, 1)).filter(F.lit(True) if learn is None else learn).select("doc_id", "quality")
+    """A model from a bounded sample of labelled rows; learn, on doc_id, says which labels may be seen.
+
+    Labels are drawn by a hash of their id, then documents by a hash of id and text, both bounded for each
+    class. The driver gets runs of CHARS characters for the context vectors, and of each document, whatever
+    its length, the pooled features that the tasks make of its whole text.
+    """
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(F.lit(True) if learn is None else learn).select("doc_id", "quality")
     n = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    keep = F.lit(False)
-    for label, count in n.items():
-        keep |= (F.col("quality") == label) & (draw < min(1.0, rows / 2 / count))
-    got = docs.select("doc_id", "text").join(F.broadcast(known.filter(keep)), "doc_id").toPandas()  # about `rows` ids
-    got = got.dropna(subset=["text"]).sort_values(["doc_id", "quality", "text"])
-    return fit(got["text"].tolist(), got["quality"].astype(int).tolist(), n.get(1, 0) / sum(n.values()) if n else 0.5)
+    if len(n) < 2:
+        return fit([], [], 1.0 * n.get(1, 0) / sum(n.values()) if n else 0.5)
+    chosen = least_draws(known, "quality", F.xxhash64("doc_id", F.lit("sample")), rows // 2)
+    draw = F.xxhash64("doc_id", "text", F.lit("sample"))
+    got = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `rows` labels at most
+    got = written(least_draws(got, "quality", draw, rows // 2).withColumn("draw", draw), "quality-sample")
+    run = F.substring("text", (F.pmod("draw", F.greatest(F.lit(1), F.length("text") - CHARS + 1)) + 1).cast("int"), F.lit(CHARS))
+    texts = sorted(got.select("draw", "quality", run.alias("text")).collect())
+
+    def features(vectors: np.ndarray) -> np.ndarray:
+        shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+        @F.pandas_udf("array<double>")
+        def pool(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for whole in parts:
+                yield pd.Series([pooled(t, shared.value) for t in whole])
+
+        return np.array([r["x"] for r in sorted(got.select("draw", "quality", run.alias("text"), pool("text").alias("x")).collect())])
+
+    return fit([r["text"] for r in texts], [int(r["quality"]) for r in texts], n.get(1, 0) / sum(n.values()), features)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,6 +190,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    held_out = fold(F.col("doc_id"), 3, 1)
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out)
-    return scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return scored(spread(docs), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
