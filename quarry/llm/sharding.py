@@ -12,13 +12,14 @@ Columns named like the results are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, width, written
 
 INF = float("inf")
 
@@ -63,13 +64,14 @@ def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def resharded(df: DataFrame, old: Column, size: Column, order: list[Column], shards: int, blocks: int = 256, cost: list[list[int]] | None = None) -> DataFrame:
+def resharded(df: DataFrame, old: Column, size: Column, order: list[Column], shards: int, blocks: int | None = None, cost: list[list[int]] | None = None) -> DataFrame:
     """df with size, old_shard, shard and slot (gapless from 0 in each shard).
 
     The new shards' sizes differ by at most about one row. cost[i][j] is the price of a byte moved from
     old shard i to new shard j; by default 0 where i equals j, else 1.
     """
     spark = df.sparkSession
+    blocks = blocks or max(256, width(spark))  # so that a block stays one task's work
     spread = F.xxhash64(*order)
     block = W.partitionBy("old_shard", "__block").orderBy(*order)
     # One narrow row for each input row, kept in the shared folder: texts are read once.
@@ -113,16 +115,36 @@ def resharded(df: DataFrame, old: Column, size: Column, order: list[Column], sha
     )
 
 
-def rewrite(df: DataFrame, assignment: DataFrame, keys: list[str], path: str) -> list[int]:
-    """Write the shards that gained or lost rows, as folders `shard=K` under path; return their numbers.
+def laid_out(rows: DataFrame, path: str) -> None:
+    """Write rows with shard and slot as folders `shard=K` under path, each shard's files in the order of slots."""
+    rows.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
-    The others' files can stay as they are. Rows are joined to their shard by keys, which tell rows apart.
+
+def rewrite(spark: SparkSession, folders: dict[int, str], path: str, shards: int, size: Column, **options) -> dict[int, str]:
+    """Reshard a layout (shard to its folder, as `laid_out` writes them) to so many shards; the folder of each new shard.
+
+    Only shards that gain or lose rows are written, under path, which must be new; the folders of the others
+    are listed as they are, and no folder is ever overwritten or deleted. Rows are told apart by their old
+    shard and slot, so null and repeated ids and equal rows come through one by one. Options go to `resharded`.
     """
-    moved = assignment.filter(F.col("old_shard") != F.col("shard"))
-    affected = sorted(r[0] for r in moved.select(F.col("shard").alias("s")).union(moved.select("old_shard")).distinct().collect())
-    out = df.join(assignment.select(*keys, "shard", "slot").filter(F.col("shard").isin(affected)), keys)
-    out.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
-    return affected
+
+    def read(which: Iterable[int]) -> DataFrame:
+        parts = [spark.read.parquet(folders[k]).withColumn("__old", F.lit(k)) for k in sorted(which)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    narrow = read(folders).select("__old", F.col("slot").alias("__slot"), size.alias("__size"))
+    plan = resharded(narrow, F.col("__old"), F.col("__size"), [F.col("__old"), F.col("__slot")], shards, **options)
+    moved = plan.filter("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("k")).distinct()
+    affected = {r["k"] for r in moved.collect()}  # shards at most
+    out = {k: folders[k] for k in range(shards) if k in folders and k not in affected}
+    if sources := affected & set(folders):
+        now = plan.filter(F.col("shard").isin(sorted(affected))).select("__old", "__slot", "shard", F.col("slot").alias("__new"))
+        full = read(sources).withColumnRenamed("slot", "__slot").join(now, ["__old", "__slot"])
+        laid_out(full.withColumn("slot", F.col("__new")).drop("__old", "__slot", "__new"), path)
+    return out | {k: f"{path}/shard={k}" for k in sorted(affected) if k < shards and plan.filter(F.col("shard") == k).limit(1).count()}
 
 
 #: The layout that the query starts from, and the one it makes.
