@@ -1,19 +1,25 @@
 """WARC derivatives: responses become linked metadata and plain-text conversion records.
 
-Each response (identifier, target URI, date, HTTP header block, payload) gives two records that refer to
-it: `metadata` (application/warc-fields: title, language, links, the source's status, type, length and
-digest) and `conversion` (the visible text). Identifiers are derived from the source's, so a rerun gives
-the same ones; digests are `sha1:` with hex digits over the UTF-8 bytes of a block. Built-in functions only.
+`read` takes WARC files as text records with the records' own separator, so Spark splits and decompresses
+them, and `parsed` takes a record's bytes apart. Each response gives two records that refer to it:
+`metadata` (application/warc-fields: title, language, links, every header line of the source's HTTP
+response, and its length and digest) and `conversion` (the visible text). Identifiers are derived from the
+source's, so a rerun gives the same ones; digests are `sha1:` with hex digits over the bytes of a block.
+Headers, tags and digests are built-in functions; a small Python step decodes character references.
 
 A null payload is an empty one; a null target URI leaves its header lines out; a null identifier is
-derived from URI and payload digest. Repeated responses give repeated derivatives, empty tables none.
-Texts are converted whole. Extra columns are left out, but for those named in `keep`.
+derived from URI and payload digest. Header names may repeat: `parsed` keeps all values in their order.
+A block that is shorter than its Content-Length is `complete = false`. Repeated responses give repeated
+derivatives, empty tables none. Texts are converted whole. Extra columns are left out, but for those named
+in `keep`, which must not be named like results.
 """
 
 from __future__ import annotations
 
+import html as entities
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,21 +28,31 @@ from .common import table
 #: The pages table has no fetch time; responses made from it carry this one.
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
-#: Patterns that both Java and RE2 read alike, in this order; then plain replacements, and signs trimmed at both ends.
+#: What lies between two records of a file; the digit of the minor version is left at the start of the next.
+SEPARATOR = f"{CRLF}{CRLF}WARC/1."
+#: A tag ends at the first `>` that isn't in quotes.
+_ATTRIBUTES = """(?:[^>"']|"[^"]*"|'[^']*')*>"""
+_BREAKING = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|article|nav|section|header|footer|pre"
+#: Patterns that both Java and RE2 read alike, in this order: what isn't shown, breaking tags, other tags.
 TO_TEXT = (
-    (r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head( [^>]*)?>.*?</head>", " "),
-    (r"(?i)</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|article|nav|section|header|footer|pre)[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
+    (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<head\b[^>]*>.*?</head>", " "),
+    (rf"(?i)</?(?:{_BREAKING})\b{_ATTRIBUTES}", "\n"),
+    (rf"</?[a-zA-Z!?]{_ATTRIBUTES}", ""),
 )
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 SPACES = ((r"[ \t\r]+", " "), (r" ?\n[ \n]*", "\n"))
+RESULTS = ("record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "payload_digest", "block")
+
+
+@F.pandas_udf("string")
+def decoded(text: pd.Series) -> pd.Series:
+    """Character references of HTML, named and numeric."""
+    return text.map(lambda t: entities.unescape(t) if t and "&" in t else t)
 
 
 def visible_text(html: Column) -> Column:
     for pattern, put in TO_TEXT:
         html = F.regexp_replace(html, pattern, put)
-    for entity, put in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(put))
+    html = decoded(html)
     for pattern, put in SPACES:
         html = F.regexp_replace(html, pattern, put)
     return F.trim(html, F.lit(" \n"))
@@ -47,41 +63,95 @@ def sha1_of(text: Column) -> Column:
 
 
 def urn(*parts: Column) -> Column:
-    """A name-based identifier of the parts."""
+    """A name-based identifier (version 3) of the parts."""
     h = F.md5(F.concat_ws("|", *parts))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
+
+
+def checked(keep: Sequence[str]) -> None:
+    if clash := set(keep) & {*RESULTS, "http_header", "payload"}:
+        raise ValueError(f"kept columns named like results: {sorted(clash)}")
 
 
-def responses(pages: DataFrame, date: str = DATE, keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Response records for rows of url and html."""
+def http_responses(pages: DataFrame, date: str = DATE, keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """WARC response records, as bytes in `record`, for rows of url and html."""
+    checked(keep)
     payload = F.coalesce("html", F.lit(""))
-    header = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(CRLF))
-    return pages.select(*keep, F.col("url").alias("target_uri"), F.lit(date).alias("date"), header.alias("http_header"), payload.alias("payload")).withColumn(
-        "record_id", urn(F.coalesce("target_uri", F.lit("")), sha1_of(F.col("payload")))
-    )
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(CRLF * 2), payload)
+    uri = F.concat(F.lit("WARC-Target-URI: "), "url")
+    head = F.concat_ws(
+        CRLF, F.lit("WARC/1.0"), F.lit("WARC-Type: response"), F.concat(F.lit("WARC-Record-ID: "), urn(F.coalesce("url", F.lit("")), sha1_of(payload))), uri, F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Payload-Digest: "), sha1_of(payload)), F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(http).cast("string")),
+    )
+    return pages.select(*keep, F.concat(head, F.lit(CRLF * 2), http, F.lit(CRLF * 2)).cast("binary").alias("record"))
+
+
+def read(spark: SparkSession, *paths: str) -> DataFrame:
+    """The records of WARC files, compressed or not, as bytes in `record`. Files are split at record boundaries."""
+    lines = spark.read.option("lineSep", SEPARATOR).text(list(paths))
+    head = F.when(F.col("value").startswith("WARC/"), "").otherwise("WARC/1.")
+    return lines.filter("value <> ''").select(F.concat(head.cast("binary"), F.col("value").cast("binary")).alias("record"))
+
+
+def fields_of(head: Column) -> Column:
+    """The name and value of each line of a header but the first, in order; folded lines are joined."""
+    whole = F.split(F.regexp_replace(head, r"\r\n[ \t]+", " "), CRLF)
+    lines = F.filter(F.slice(whole, 2, F.greatest(F.size(whole) - 1, F.lit(0))), lambda x: x.contains(":"))
+    return F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+
+
+def by_name(fields: Column) -> Column:
+    """A map of lower-case names to all of their values."""
+    names = F.array_distinct(F.transform(fields, lambda f: F.lower(f["name"])))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(fields, lambda f: F.lower(f["name"]) == n), lambda f: f["value"])))
+
+
+def split_at_blank_line(data: Column) -> tuple[Column, Column]:
+    """The header of bytes as text, and the bytes that follow."""
+    head = F.substring_index(data.cast("string"), CRLF * 2, 1)
+    return head, F.substring(data, F.octet_length(head) + 5, F.octet_length(data))
+
+
+def parsed(records: DataFrame, column: str = "record") -> DataFrame:
+    """records with header (a map of lower-case names to lists of values), block (bytes) and complete."""
+    head, rest = split_at_blank_line(F.col(column))
+    out = records.withColumns({"__head": head, "__rest": rest}).withColumn("header", by_name(fields_of(F.col("__head"))))
+    length = F.try_element_at(F.col("header"), F.lit("content-length"))[0].try_cast("int")
+    return out.withColumns({"block": F.substring("__rest", F.lit(1), F.coalesce(length, F.lit(0))), "complete": F.coalesce(F.octet_length("__rest") >= length, F.lit(False))}).drop("__head", "__rest")
+
+
+def responses(records: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """record_id, target_uri, date, http_header and payload of the response records among WARC records (bytes in `record`)."""
+    checked(keep)
+    one = lambda name: F.try_element_at(F.col("header"), F.lit(name))[0]
+    head, payload = split_at_blank_line(F.col("block"))
+    out = parsed(records).filter(one("warc-type") == "response")
+    return out.select(*keep, one("warc-record-id").alias("record_id"), one("warc-target-uri").alias("target_uri"), one("warc-date").alias("date"), head.alias("http_header"), F.make_valid_utf8(payload.cast("string")).alias("payload"))
 
 
 def derivatives(source: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """Two rows a response: record_type, record_id, refers_to, target_uri, date, content_type, content_length, block_digest, payload_digest, block."""
+    checked(keep)
     payload = F.coalesce("payload", F.lit(""))
     s = source.select(
         *keep, "target_uri", "date", payload.alias("__payload"), F.coalesce("http_header", F.lit("")).alias("__http"), sha1_of(payload).alias("payload_digest"),
         F.coalesce("record_id", urn(F.coalesce("target_uri", F.lit("")), sha1_of(payload))).alias("refers_to"),
     )
-    title = F.regexp_replace(F.regexp_extract("__payload", r"(?is)<title[^>]*>(.*?)</title>", 1), r"[ \t\r\n]+", " ")
+    title = F.trim(F.regexp_replace(decoded(F.regexp_extract("__payload", r"(?is)<title[^>]*>(.*?)</title>", 1)), r"[ \t\r\n]+", " "))
     fields = [
         ("title", title),
         ("language", F.regexp_extract("__payload", r"(?i)<html[^>]* lang=\"([^\"]*)\"", 1)),
         ("links", F.regexp_count("__payload", F.lit(r"(?i)<a [^>]*href=")).cast("string")),
         ("source-status", F.regexp_extract("__http", r"^HTTP/[0-9.]+ ([0-9]+)", 1)),
-        ("source-content-type", F.regexp_extract("__http", r"(?i)content-type: ([^\r\n]*)", 1)),
-        ("source-content-length", F.octet_length("__payload").cast("string")),
+        ("source-payload-length", F.octet_length("__payload").cast("string")),
         ("source-payload-digest", F.col("payload_digest")),
     ]
-    metadata = F.concat(*[F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)) for name, value in fields])
-    made = [("metadata", "application/warc-fields", metadata), ("conversion", "text/plain; charset=utf-8", visible_text(F.col("__payload")))]
+    source_lines = F.array_join(F.transform(fields_of(F.col("__http")), lambda f: F.concat(F.lit("source-header: "), f["name"], F.lit(": "), f["value"], F.lit(CRLF))), "")
+    metadata = F.concat(*[F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)) for name, value in fields], source_lines)
+    made = [("metadata", "application/warc-fields", F.col("__metadata")), ("conversion", "text/plain; charset=utf-8", F.col("__text"))]
     both = F.explode(F.array(*[F.struct(F.lit(t).alias("record_type"), F.lit(c).alias("content_type"), b.alias("block")) for t, c, b in made]))
-    out = s.select(*keep, "target_uri", "date", "refers_to", "payload_digest", both.alias("r")).select("*", "r.*").drop("r")
+    out = s.withColumns({"__metadata": metadata, "__text": visible_text(F.col("__payload"))}).select(*keep, "target_uri", "date", "refers_to", "payload_digest", both.alias("r")).select("*", "r.*").drop("r")
     return out.select(
         *keep, "record_type", urn(F.col("refers_to"), F.col("record_type")).alias("record_id"), "refers_to", "target_uri", "date", "content_type",
         F.octet_length("block").cast("long").alias("content_length"), sha1_of(F.col("block")).alias("block_digest"), "payload_digest", "block",
@@ -89,64 +159,69 @@ def derivatives(source: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFr
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """records with `record`: the bytes of the WARC/1.1 record, header lines, block and closing lines."""
+    """records with `record`: the bytes of the WARC/1.0 record, header lines, block and closing lines. The digest of the source's payload is a field of its own."""
     uri = F.col("target_uri")
     lines = [
         F.concat(F.lit("WARC-Type: "), "record_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"), F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
         F.concat(F.lit("WARC-Target-URI: "), uri), F.concat(F.lit("WARC-Refers-To-Target-URI: "), uri), F.concat(F.lit("WARC-Refers-To-Date: "), "date"), F.concat(F.lit("WARC-Date: "), "date"),
-        F.concat(F.lit("WARC-Block-Digest: "), "block_digest"), F.concat(F.lit("Content-Type: "), "content_type"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
+        F.concat(F.lit("WARC-Refers-To-Payload-Digest: "), "payload_digest"), F.concat(F.lit("WARC-Block-Digest: "), "block_digest"), F.concat(F.lit("Content-Type: "), "content_type"),
+        F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     ]
-    text = F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *lines), F.lit(CRLF * 2), "block", F.lit(CRLF * 2))
+    text = F.concat(F.concat_ws(CRLF, F.lit("WARC/1.0"), *lines), F.lit(CRLF * 2), "block", F.lit(CRLF * 2))
     return records.withColumn("record", text.cast("binary"))
 
 
-def parsed(records: DataFrame, column: str = "record") -> DataFrame:
-    """The header fields (a map with lower-case names) and block of serialized records."""
-    text = F.col(column).cast("string")
-    head, block = F.substring_index(text, CRLF * 2, 1), F.expr(f"substring(cast(`{column}` as string), locate('\\r\\n\\r\\n', cast(`{column}` as string)) + 4)")
-    pair = F.transform(F.slice(F.split(head, CRLF), 2, 1000), lambda x: F.struct(F.lower(F.substring_index(x, ": ", 1)).alias("key"), F.regexp_replace(x, "^[^:]*: ", "").alias("value")))
-    return records.withColumns({"header": F.map_from_entries(pair), "block": F.regexp_replace(block, r"\r\n\r\n\z", "")})
-
-
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derivatives(responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    """Pages as the bytes of WARC responses, parsed, and their derivatives."""
+    return derivatives(responses(http_responses(table(spark, sf_dir, "pages").select("page_id", "url", "html"))))
 
 
 def _sql_text(column: str) -> str:
+    """For the SQL twin, which knows those character references that the fixture has."""
+
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
     for pattern, put in TO_TEXT:
         column = f"regexp_replace({column}, {quoted(pattern)}, {quoted(put)}, 'g')"
-    for entity, put in ENTITIES:
-        column = f"replace({column}, {quoted(entity)}, {quoted(put)})"
+    column = _sql_decoded(column)
     for pattern, put in SPACES:
         column = f"regexp_replace({column}, {quoted(pattern)}, {quoted(put)}, 'g')"
     return f"trim({column}, ' ' || chr(10))"
 
 
+def _sql_decoded(column: str) -> str:
+    for entity, put in (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\xa9"), ("&middot;", "\xb7"), ("&amp;", "&")):
+        column = f"replace({column}, '{entity}', '{put}')"
+    return column
+
+
+def _sql_urn(h: str) -> str:
+    variant = f"substr('89ab', CAST(('0x' || {h}[17]) AS INTEGER) % 4 + 1, 1)"
+    return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-3' || {h}[14:16] || '-' || {variant} || {h}[18:20] || '-' || {h}[21:32] || '>'"
+
+
 OP6_SQL = rf"""
 WITH p AS (
-  SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, 'sha1:' || sha1(coalesce(html, '')) AS payload_digest FROM pages
+  SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, 'sha1:' || sha1(coalesce(html, '')) AS payload_digest, chr(13) || chr(10) AS nl FROM pages
 ), s AS (
   SELECT *, md5(coalesce(target_uri, '') || '|' || payload_digest) AS h FROM p
 ), u AS (
-  SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS refers_to FROM s
+  SELECT *, {_sql_urn("h")} AS refers_to FROM s
 ), m AS (
   SELECT page_id, target_uri, refers_to, payload_digest, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-         'title: ' || regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n]+', ' ', 'g') || chr(13) || chr(10)
-         || 'language: ' || regexp_extract(payload, '(?i)<html[^>]* lang="([^"]*)"', 1) || chr(13) || chr(10)
-         || 'links: ' || len(regexp_extract_all(payload, '(?i)<a [^>]*href=')) || chr(13) || chr(10)
-         || 'source-status: 200' || chr(13) || chr(10) || 'source-content-type: text/html; charset=utf-8' || chr(13) || chr(10)
-         || 'source-content-length: ' || strlen(payload) || chr(13) || chr(10)
-         || 'source-payload-digest: ' || payload_digest || chr(13) || chr(10) AS block
+         'title: ' || trim(regexp_replace({_sql_decoded("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '[ \t\r\n]+', ' ', 'g')) || nl
+         || 'language: ' || regexp_extract(payload, '(?i)<html[^>]* lang="([^"]*)"', 1) || nl
+         || 'links: ' || len(regexp_extract_all(payload, '(?i)<a [^>]*href=')) || nl
+         || 'source-status: 200' || nl || 'source-payload-length: ' || strlen(payload) || nl || 'source-payload-digest: ' || payload_digest || nl
+         || 'source-header: Content-Type: text/html; charset=utf-8' || nl || 'source-header: Content-Length: ' || strlen(payload) || nl AS block
   FROM u
   UNION ALL
   SELECT page_id, target_uri, refers_to, payload_digest, 'conversion', 'text/plain; charset=utf-8', {_sql_text("payload")} FROM u
 ), r AS (
   SELECT *, md5(refers_to || '|' || record_type) AS k FROM m
 )
-SELECT page_id, record_type, '<urn:uuid:' || k[1:8] || '-' || k[9:12] || '-' || k[13:16] || '-' || k[17:20] || '-' || k[21:32] || '>' AS record_id,
-       refers_to, target_uri, '{DATE}' AS date, content_type, CAST(strlen(block) AS BIGINT) AS content_length, 'sha1:' || sha1(block) AS block_digest, payload_digest, block
+SELECT page_id, record_type, {_sql_urn("k")} AS record_id, refers_to, target_uri, '{DATE}' AS date, content_type,
+       CAST(strlen(block) AS BIGINT) AS content_length, 'sha1:' || sha1(block) AS block_digest, payload_digest, block
 FROM r
 """
