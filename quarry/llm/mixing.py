@@ -30,6 +30,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_key(seed: int) -> Column:
+    """What a source's queue is ordered by: id and text, so that rows that share an id, or have none, are in different bins."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+
+
 def shares(sizes: DataFrame, weights: Sequence[float], repeats: int) -> DataFrame:
     """source, source_size, rank, weight, target from one row a source (the only unpartitioned windows: a row a source)."""
     by_name, dry_first = W.orderBy(F.col("source").asc_nulls_last()), W.orderBy("__dry", "rank")
@@ -48,8 +53,10 @@ def shares(sizes: DataFrame, weights: Sequence[float], repeats: int) -> DataFram
 
 
 def mixed_counts(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 7, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row a document: the kept columns, source, size, source_size, target, copies (times taken) and first (its first finish time)."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    """One row a document: the kept columns (none named like a result), source, size, source_size, target, copies (times taken) and first (its first finish time)."""
+    key = shuffle_key(seed)
+    if clash := set(keep) & {"source", "size", "source_size", "target", "copies", "first"}:
+        raise ValueError(f"kept columns named like results: {sorted(clash)}")
     rows = checkpointed(docs.select(*keep, F.col("source"), size.alias("size"), key.alias("__key")).withColumn("__bin", F.conv(F.substring("__key", 1, BIN_DIGITS), 16, 10).cast("int")))
     bins = rows.groupBy("source", "__bin").agg(F.sum("size").alias("__sum"))
     sources = shares(bins.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, repeats)
@@ -96,18 +103,16 @@ def _by_source_and_bin(rows: DataFrame, offsets: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 7) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with all of its columns.
 
-    Counts are made on narrow rows and joined to the documents once. Rows that share id, source and
-    size are told apart by their order.
+    Counts are made on narrow rows and joined to the documents once, by a hash of id and text. Equal rows
+    are interchangeable, and told apart by a number.
     """
     size = word_count(F.col("text"))
-    keys = ("__k_id", "__k_source", "__k_size")
+    keys = ("__k_row", "__k_source")
     same = W.partitionBy(*keys)
-    counts = mixed_counts(docs, size, weights, repeats, seed).select(
-        F.col("doc_id").alias("__k_id"), F.col("source").alias("__k_source"), F.col("size").alias("__k_size"), "copies"
-    )
+    counts = mixed_counts(docs.withColumn("__k_row", shuffle_key(seed)), size, weights, repeats, seed, keep=("doc_id", "__k_row")).select("__k_row", F.col("source").alias("__k_source"), "copies")
     counts = counts.withColumn("__nth", F.row_number().over(same.orderBy("copies"))).filter("copies > 0")
-    rows = docs.withColumns(dict(zip(keys, (F.col("doc_id"), F.col("source"), size), strict=True)))
-    rows = rows.withColumn("__nth", F.row_number().over(same.orderBy("text"))).alias("d")
+    rows = docs.withColumns(dict(zip(keys, (shuffle_key(seed), F.col("source")), strict=True)))
+    rows = rows.withColumn("__nth", F.row_number().over(same.orderBy("doc_id"))).alias("d")
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "__nth")]
     joined = rows.join(counts.alias("c"), on)
     return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("__copy")).drop("__copy")
@@ -121,7 +126,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('7:' || CAST(doc_id AS VARCHAR)) AS key,
+  SELECT doc_id, source, concat_ws(':', '7', CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS unhashed, md5(unhashed) AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s0 AS (
