@@ -3,8 +3,9 @@
 A fingerprint is split so that close pairs share a block; rows are joined on blocks and every pair of a
 block is verified. A block that many rows share is a grid of cells of about CELL rows, dealt out by pairs
 of cells, so that no task holds it whole and no pair of it is lost. A task returns at most one link a row
-(to the first row of its cluster), never all pairs. Components come from alternating large and small
-stars over links, with a checkpoint each round; nothing but two numbers a round reaches the driver.
+(to the first row of its cluster), never all pairs. Components come from contractions: each round every
+node moves to the neighbour that comes first in a random order, and links within one place vanish; the
+moves are then composed. A hub is a key on one side of plain joins only, which adaptive execution splits.
 
 `linked` takes word shingles of any size and a radius within which the blocks find every link.
 `deduplicated` finds texts whose five-word shingles are 0.8 alike or more: distances of that size differ
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, width, written
+from .common import checkpointed, spread, table, width, written
 from .vectext import bit_votes, chunks, mixed, run_hashes, runs
 
 CELL = 1024
@@ -174,21 +175,34 @@ def links(prints: DataFrame, most: int, similarity: float | None = None) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of edges (a, b) reaches, by large and small stars."""
-    edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # Large star: a node's larger neighbours go to its smallest one; small star: its smaller ones do.
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
+    """node, root: for each node of edges (a, b) one node of its component, the same for all of them.
+
+    In expectation a round leaves at most three quarters of the nodes, whatever the graph. Rounds are written
+    to the shared folder; the driver only asks whether a link is left.
+    """
+
+    def links_of(a: str, b: str, df: DataFrame) -> DataFrame:
+        return df.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+    moves: list[DataFrame] = []
+    edges = written(links_of("a", "b", edges), "links")
+    while not edges.isEmpty():
+        turn = len(moves)
+        first = F.struct(F.xxhash64("v", F.lit(turn)).alias("order"), "v")
+        both = edges.select("a", F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        own = F.struct(F.xxhash64("u", F.lit(turn)).alias("order"), F.col("u").alias("v"))
+        to = both.groupBy("u").agg(F.min(first).alias("least")).select(F.col("u").alias("node"), F.least("least", own)["v"].alias("to"))
+        moves.append(to := written(to, "moves"))
+        for end in ("a", "b"):
+            edges = edges.join(to.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end)
+        edges = written(links_of("a_to", "b_to", edges), "links")
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = moves.pop().withColumnRenamed("to", "root")
+    while moves:
+        later = roots.select(F.col("node").alias("to"), "root")
+        roots = written(moves.pop().join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")), "roots")
+    return roots
 
 
 def linked(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
@@ -209,7 +223,7 @@ def linked(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 4)
     def raw(x: pd.Series) -> pd.Series:
         return pd.Series([int(v).to_bytes(8, "little", signed=True) for v in x])
 
-    rows = checkpointed(docs.select("doc_id", prints("text").alias("node")))
+    rows = checkpointed(spread(docs.select("doc_id", "text")).select("doc_id", prints("text").alias("node")))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("node").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
@@ -235,15 +249,17 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
             yield pd.DataFrame(out, columns=["keys", "print", "few"])
 
     text = F.coalesce("text", F.lit(""))
-    rows = written(docs.select("doc_id", F.md5(text).alias("node"), prints(text).alias("p")).select("doc_id", "node", "p.*"), "prints")
+    rows = written(spread(docs.select("doc_id", "text")).select("doc_id", F.md5(text).alias("node"), prints(text).alias("p")).select("doc_id", "node", "p.*"), "prints")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("keys", "print", "few")).alias("p")).select("node", "first", "p.*")
     found = components(links(nodes, most, similarity))
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     best = firsts.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("first", "node").alias("best")).groupBy("root").agg(F.min("best").alias("best"))
-    keep = best.select(F.col("best.node").alias("__node"), F.col("best.first").alias("__first"))
-    same = W.partitionBy("__node").orderBy(F.col("doc_id").asc_nulls_last())
-    kept = docs.withColumn("__node", F.md5(text)).join(keep, "__node").filter(F.col("doc_id").eqNullSafe(F.col("__first")))
-    return kept.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").drop("__node", "__first", "__nth")
+    keep = best.select(F.col("best.node").alias("__best"), F.col("best.first").alias("__first"))
+    mine = docs.withColumn("__node", F.md5(text))
+    # On text and id: copies of a text with other ids are dealt over all tasks.
+    kept = mine.join(keep, (F.col("__node") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__first")))
+    same = W.partitionBy("__node", "doc_id").orderBy("__first")
+    return kept.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").drop("__node", "__best", "__first", "__nth")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
