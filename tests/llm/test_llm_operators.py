@@ -1,15 +1,20 @@
 """Each operator against a brute-force twin, and the cases that its docstring states."""
 
+import gzip
 import hashlib
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
+from itertools import product
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm import fingerprint, language_id, mixing, neighbours, packing, quality, registry, sharding, simhash, url_filter, vectext, warc
@@ -308,8 +313,25 @@ def test_deduplicated_short_texts(spark):
 def test_components_chain(spark):
     n = 300
     chain = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
-    got = {r.node: r.root for r in simhash.components(chain).collect()}
-    assert got == {**{k: 0 for k in range(n + 1)}, 1000: 1000, 1001: 1000}
+    got = simhash.components(chain).collect()
+    assert sorted(r.node for r in got) == [*range(n + 1), 1000, 1001]
+    places = defaultdict(set)
+    for r in got:
+        places[r.root].add(r.node)
+    assert sorted(map(len, places.values())) == [2, n + 1] and all(root in nodes for root, nodes in places.items())
+    assert simhash.components(chain.limit(0)).count() == 0
+
+
+def test_components_random(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(7, 1000 + k) for k in range(300)]
+    root = brute_components({k: k for e in edges for k in e}, lambda a, b: (a, b) in known or (b, a) in known) if (known := set(edges)) else {}
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == {k for a, b in edges if a != b for k in (a, b)}
+    first = {}
+    for node, r in got.items():
+        assert first.setdefault(r, root[node]) == root[node]
+    assert len(set(first.values())) == len(first)
 
 
 # 4: sharding
@@ -348,10 +370,70 @@ def test_sharding_law(request, spark, which, tmp_path):
         assert max(size[k] for k in range(8)) - min(size[k] for k in range(8)) <= 2 * max(r["size"] for r in rows)
 
 
-def test_rewrite_affected(spark, docs, tmp_path):
-    a = sharding.resharded(docs.select("doc_id"), F.pmod("doc_id", F.lit(2)), F.lit(1), [F.col("doc_id")], 3)
-    assert sharding.rewrite(docs, a, ["doc_id"], f"{tmp_path}/out") == [0, 1, 2]
-    assert spark.read.parquet(f"{tmp_path}/out").count() == docs.count()
+def least_cost(supply, demand, cost):
+    """The least cost by trying all flows."""
+
+    @lru_cache(None)
+    def best(i, room):
+        if i == len(supply):
+            return 0
+        out = None
+        for parts in product(*(range(min(r, supply[i]) + 1) for r in room)):
+            if sum(parts) == supply[i] and (rest := best(i + 1, tuple(r - p for r, p in zip(room, parts)))) is not None:
+                price = rest + sum(p * c for p, c in zip(parts, cost[i]))
+                out = price if out is None else min(out, price)
+        return out
+
+    return best(0, tuple(demand))
+
+
+def test_flow_with_uneven_prices():
+    rng = random.Random(17)
+    for _ in range(60):
+        supply, demand = [rng.randrange(5) for _ in range(3)], [rng.randrange(2, 7) for _ in range(3)]
+        cost = [[rng.randrange(10) for _ in range(3)] for _ in range(3)]
+        want = least_cost(supply, demand, cost)
+        if want is None:
+            with pytest.raises(ValueError):
+                sharding.min_cost_flow(supply, demand, cost)
+        else:
+            flow = sharding.min_cost_flow(supply, demand, cost)
+            assert sum(f * c for row, prices in zip(flow, cost) for f, c in zip(row, prices)) == want
+
+
+def test_rewrite_affected(spark, tmp_path):
+    """One shard is full and stays as it is; rows without an id, repeated ids and equal rows all come through."""
+    rows = [(0, k if k % 2 else None, "text") for k in range(20)] + [(1, 5, "same")] * 10 + [(2, k, f"t{k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "shard int, doc_id long, text string")
+    slot = F.row_number().over(W.partitionBy("shard").orderBy("doc_id")) - 1
+    sharding.laid_out(df.withColumn("slot", slot.cast("long")), f"{tmp_path}/old")
+    folders = {k: f"{tmp_path}/old/shard={k}" for k in range(3)}
+    cost = [[0, 1, 9], [1, 0, 9], [9, 9, 0]]
+    monkey = sharding.even_capacities
+    try:
+        sharding.even_capacities = lambda total, shards: [15, 15, 30]
+        out = sharding.rewrite(spark, folders, f"{tmp_path}/new", 3, F.lit(1), cost=cost)
+    finally:
+        sharding.even_capacities = monkey
+    assert out == {2: folders[2], 0: f"{tmp_path}/new/shard=0", 1: f"{tmp_path}/new/shard=1"}
+    got, slots = Counter(), {}
+    for k, folder in out.items():
+        part = spark.read.parquet(folder).collect()
+        got += Counter((r.doc_id, r.text) for r in part)
+        slots[k] = sorted(r.slot for r in part)
+    assert got == Counter((i, t) for _, i, t in rows) and {k: len(v) for k, v in slots.items()} == {0: 15, 1: 15, 2: 30}
+    assert all(v == list(range(len(v))) for v in slots.values())
+    for k in range(3):
+        assert spark.read.parquet(folders[k]).count() == (20, 10, 30)[k]  # nothing old is touched
+
+
+def test_rewrite_to_more_shards(spark, docs, tmp_path):
+    laid = sharding.resharded(docs, F.pmod("doc_id", F.lit(2)), F.lit(1), [F.col("doc_id")], 2)
+    sharding.laid_out(laid.select(*docs.columns, "shard", "slot"), f"{tmp_path}/old")
+    out = sharding.rewrite(spark, {k: f"{tmp_path}/old/shard={k}" for k in range(2)}, f"{tmp_path}/new", 3, F.lit(1))
+    assert sorted(out) == [0, 1, 2]
+    rows = [r for folder in out.values() for r in spark.read.parquet(folder).collect()]
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in docs.collect())
 
 
 # 5 and 10: classifiers
@@ -392,24 +474,190 @@ def test_quality_odd(spark, docs, odd, empty):
     assert {r.score for r in quality.scored(odd, quality.train(empty, labels.limit(0))).collect()} == {0.5}
 
 
+def test_samples_are_bounded(spark):
+    """Many rows that share an id, or have none, neither pass the bound nor drop out."""
+    n = 4000
+    rows = [(7, f"shared {k} words here", "en") for k in range(n)] + [(None, f"none {k} mots ici", "fr") for k in range(n)] + [(7, "equal rows", "en")] * n + [(k, "ein Text", f"l{k}") for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = language_id.sample(df, F.lit(True), 640)
+    assert Counter(langs) == {**{"en": 20, "fr": 20}, **{f"l{k}": 1 for k in range(100, 130)}}
+    assert len({t for t, x in zip(texts, langs) if x == "fr"}) == 20
+    model = language_id.train(df)
+    assert len(model.languages) == 32 and model.head is not None and model.predict("mots ici none")[0] in model.languages
+    long = df.limit(1).withColumn("text", F.repeat(F.lit("word "), F.lit(100_000)))
+    assert len(language_id.sample(long, F.lit(True))[0][0]) == language_id.CHARS
+    labels = spark.createDataFrame([(7, 1)] * n + [(None, 0)] * n + [(k, 0) for k in range(100, 130)], "doc_id long, quality int")
+    model = quality.train(df, labels, rows=60)
+    assert model.layers and 0 <= model.score("shared 5 words here") <= 1
+    seen = []
+    fit, quality.fit = quality.fit, lambda texts, labels, share, features=None: seen.append(Counter(labels)) or fit(texts, labels, share, features)
+    try:
+        quality.train(df, labels, rows=60)
+    finally:
+        quality.fit = fit
+    assert max(seen[0].values()) <= 30 and set(seen[0]) == {0, 1}
+
+
+def test_letters():
+    model = language_id.Model(["a", "b"], np.zeros((language_id.BUCKETS, 2), np.float32), np.zeros(2))
+    assert [model.predict(t)[0] for t in ("\xbd \xb2", "12_!", "\u2160", None, "")] == ["und"] * 5 and model.predict("\xbd x")[0] == "a" == model.predict("\u65e5")[0]
+
+
+def slow_subwords(text):
+    """The grams of subwords(), byte by byte."""
+    b = b" " + text.lower().encode().translate(language_id._CLEAN) + b" "
+    out = []
+    for n in (2, 3, 4):
+        for k in range(len(b) - n + 1):
+            g = b[k : k + n]
+            if 32 not in g[1:-1] and not (g[0] == 32 and g[-1] == 32):
+                h = g[0]
+                for c in g[1:]:
+                    h = (h * 0x01000193 + c * 0x9E3779B1) % 2**32
+                out.append((((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32) >> 17)
+    return sorted(out)
+
+
+def test_language_brute_force(monkeypatch):
+    """Subwords, training and scores against a slow twin in plain Python."""
+    for text in ("Hello, wor1d", "é a  bc", "x", "日本 y"):
+        assert sorted(language_id.subwords(text.lower().encode()).tolist()) == slow_subwords(text)
+    monkeypatch.setattr(language_id, "DIM", 3)
+    texts, labels = ["hello you there", "bonjour toi la", "hello again you", "bonjour encore toi", "guten tag", "hello old world"] * 2, ["en", "fr", "en", "fr", "de", "en"] * 2
+    model = language_id.fit(texts, labels, epochs=2, batch=4)
+    names, rng = sorted(set(labels)), np.random.default_rng(11)
+    segments = []
+    for k, (t, y) in enumerate(zip(texts, labels)):
+        if k % 5:
+            data = t.lower().encode()
+            for _ in range(4):
+                size = int(2 ** rng.uniform(4, 10))
+                at = int(rng.integers(0, max(1, len(data) - size)))
+                if ids := slow_subwords(data[at : at + size].decode()):
+                    segments.append((ids, names.index(y)))
+    e = rng.normal(0, 0.1, (language_id.BUCKETS, 3)).tolist()
+    w = rng.normal(0, 0.3, (3, 3)).tolist()
+    bias = [0.0] * 3
+    for epoch in range(2):
+        step, order = 2.0 * (1 - epoch / 2), rng.permutation(len(segments)).tolist()
+        for at in range(0, len(order), 4):
+            part = [segments[k] for k in order[at : at + 4]]
+            de, dw, db = defaultdict(lambda: [0.0] * 3), [[0.0] * 3 for _ in range(3)], [0.0] * 3
+            for ids, y in part:
+                x = [sum(e[i][d] for i in ids) / len(ids) for d in range(3)]
+                z = [sum(x[d] * w[d][c] for d in range(3)) + bias[c] for c in range(3)]
+                p = np.exp(np.array(z) - max(z))
+                g = [(float(v / p.sum()) - (c == y)) / len(part) for c, v in enumerate(p)]
+                for c in range(3):
+                    db[c] += g[c]
+                    for d in range(3):
+                        dw[d][c] += x[d] * g[c]
+                for i in ids:
+                    for d in range(3):
+                        de[i][d] += sum(g[c] * w[d][c] for c in range(3)) / len(ids)
+            for i, row in de.items():
+                for d in range(3):
+                    e[i][d] -= 20 * step * row[d]
+            for d in range(3):
+                bias[d] -= step * db[d]
+                for c in range(3):
+                    w[d][c] -= step * dw[d][c]
+    table = np.array(e) @ np.array(w)
+    assert np.allclose(model.table, table, atol=1e-4) and np.allclose(model.bias, bias, atol=1e-6)
+    z = table[slow_subwords("hello world")].mean(axis=0) + bias
+    p = np.exp(z / model.temperature) / np.exp(z / model.temperature).sum()
+    name, score, _ = model.predict("hello world")
+    assert name == names[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
+def test_quality_brute_force(monkeypatch):
+    """Context vectors, pooling and the score against slow twins in plain Python."""
+    texts = ["Good words in a good order", "bad bad bad 12 !!", "Fine words again", "bad 9 bad !!", "Good order of words"] * 3
+    labels = [1, 0, 1, 0, 1] * 3
+    where, sign = quality.index_vectors(5)
+    flat = defaultdict(lambda: np.zeros(quality.DIM))
+    for t in texts:
+        a, b = quality.word_ids(t.encode())
+        for k in range(len(a)):
+            for j in (k - 2, k - 1, k + 1, k + 2):
+                if 0 <= j < len(a):
+                    for mine in (a[k], b[k]):
+                        for theirs in (a[j], b[j]):
+                            for n in range(quality.NONZERO):
+                                flat[int(mine)][where[theirs, n]] += sign[theirs, n]
+    got = quality.word_vectors(texts, 5)
+    for k, v in flat.items():
+        if v.any():
+            assert np.allclose(got[k], v / np.linalg.norm(v), atol=1e-6)
+    t = texts[0]
+    a, b = quality.word_ids(t.encode())
+    v = [got[i].astype(float) + got[j] for i, j in zip(a, b)]
+    product = sum(x * y for x, y in zip(v, v[1:]))
+    same = [sum(x == y for x, y in zip(a, a[1:])), sum(x == y for x, y in zip(a, a[2:]))]
+    pairs = len(v) - 1
+    want = [*(sum(v) / len(v)), *(product / pairs), same[0] / pairs, same[1] / pairs, product.sum() / pairs, np.log1p(len(v)) / 10]
+    assert np.allclose(quality.pooled(t, got), want, atol=1e-5)
+    model = quality.fit(texts, labels, 0.6)
+    w1, b1, w2, b2 = model.layers
+    x = (quality.pooled(t, model.vectors) - model.centre) / model.scale
+    hidden = [np.tanh(sum(x[i] * w1[i, h] for i in range(len(x))) + b1[h]) for h in range(quality.HIDDEN)]
+    z = (sum(h * w for h, w in zip(hidden, w2)) + b2) / model.temperature + model.shift
+    assert abs(model.score(t) - 1 / (1 + np.exp(-z))) < 1e-9
+    assert np.mean([(model.score(t) >= 0.5) == y for t, y in zip(texts, labels)]) > 0.9
+
+
 # 6: WARC
 
 
 def test_warc_round_trip(spark):
-    rows = [(1, "http://a/", "<html lang=\"en\"><head><title>T &amp; x</title></head><body><p>One<br>two &lt;3&gt;</p><script>x()</script></body></html>"), (2, None, None), (2, None, None)]
+    rows = [(1, "http://a/", '<html lang="en"><head><title>T &amp; x</title></head><body><p title="a>b">One<br>two &lt;3&gt; caf&eacute; &#8217; &copy;</p><script>x()</script></body></html>'), (2, None, None), (2, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    out = warc.parsed(warc.serialized(warc.derivatives(warc.responses(df)))).collect()
-    assert len(out) == 6
-    source = {r.page_id: r for r in warc.responses(df).collect()}
+    source = warc.responses(warc.http_responses(df))
+    out = warc.parsed(warc.serialized(warc.derivatives(source)).drop("block")).collect()
+    assert len(out) == 6 and all(r.complete for r in out)
+    known = {r.page_id: r for r in source.collect()}
+    assert known[1].payload == rows[0][2] and known[1].date == warc.DATE
     for r in out:
-        assert r.header["warc-refers-to"] == source[r.page_id].record_id == r.refers_to and r.header["warc-type"] == r.record_type
-        assert r.header["warc-block-digest"] == "sha1:" + hashlib.sha1(r.block.encode()).hexdigest()
-        assert int(r.header["content-length"]) == len(r.block.encode())
+        one = {k: v[0] for k, v in r.header.items()}
+        assert one["warc-refers-to"] == known[r.page_id].record_id == r.refers_to and one["warc-type"] == r.record_type
+        assert one["warc-block-digest"] == "sha1:" + hashlib.sha1(r.block).hexdigest()
+        assert int(one["content-length"]) == len(r.block)
         assert ("warc-target-uri" in r.header) == (r.page_id == 1)
-        assert r.payload_digest == "sha1:" + hashlib.sha1((rows[0][2] if r.page_id == 1 else "").encode()).hexdigest()
-    assert {r.block for r in out if r.page_id == 1 and r.record_type == "conversion"} == {"One\ntwo <3>"}
-    assert any("source-status: 200\r\n" in r.block and "language: en\r\n" in r.block for r in out)
-    assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
+        assert one["warc-refers-to-payload-digest"] == r.payload_digest == "sha1:" + hashlib.sha1((rows[0][2] if r.page_id == 1 else "").encode()).hexdigest()
+        u = uuid.UUID(r.record_id[1:-1])
+        assert u.version == 3 and u.variant == uuid.RFC_4122
+    assert {r.block.decode() for r in out if r.page_id == 1 and r.record_type == "conversion"} == {"One\ntwo <3> caf\xe9 \u2019 \xa9"}
+    meta = next(r.block.decode() for r in out if r.page_id == 1 and r.record_type == "metadata")
+    assert "title: T & x\r\n" in meta and "source-status: 200\r\n" in meta and "language: en\r\n" in meta
+    assert warc.derivatives(warc.responses(warc.http_responses(df.limit(0)))).count() == 0
+    with pytest.raises(ValueError):
+        warc.derivatives(source.withColumn("block", F.lit(1)), keep=("block",))
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_files(spark, tmp_path, packed):
+    """Made-up files, plain and of one gzip member a record: odd bytes, repeated and folded headers, and a torn last record."""
+
+    def record(kind, block, *more):
+        return b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:x:%d>" % len(block), b"WARC-Date: 2020-02-03T04:05:06Z", *more, b"Content-Length: %d" % len(block), b"", block, b"", b""])
+
+    http = b"HTTP/1.1 404 Not Found\r\nServer: odd\r\nX-Long: one\r\n two\r\nSet-Cookie: a\r\nset-cookie: b\r\n" + b"".join(b"H%d: v\r\n" % k for k in range(1200)) + b"\r\n"
+    pages = [b"<p>one \xff</p>", b"\r\n\r\ntwo blank lines\r\n\r\n", b""]
+    files = [record(b"warcinfo", b"software: x\r\n", b"WARC-Concurrent-To: <a>", b"WARC-Concurrent-To: <b>"), *[record(b"response", http + p, b"WARC-Target-URI: http://x/%d" % k) for k, p in enumerate(pages)]]
+    torn = record(b"response", http + b"cut", b"WARC-Target-URI: http://x/9")[:-12]
+    data = [*files, torn]
+    name = tmp_path / ("a.warc.gz" if packed else "a.warc")
+    name.write_bytes(b"".join(map(gzip.compress, data)) if packed else b"".join(data))
+    rows = warc.parsed(warc.read(spark, str(name))).collect()
+    assert len(rows) == 5 and sorted(r.complete for r in rows) == [False, True, True, True, True]
+    info = next(r for r in rows if r.header["warc-type"] == ["warcinfo"])
+    assert info.header["warc-concurrent-to"] == ["<a>", "<b>"] and bytes(info.block) == b"software: x\r\n"
+    got = {r.target_uri: r for r in warc.responses(warc.read(spark, str(name)), keep=()).collect()}
+    assert got["http://x/0"].payload == "<p>one \ufffd</p>" and got["http://x/1"].payload == pages[1].decode() and got["http://x/2"].payload == ""
+    meta = {r.target_uri: r.block for r in warc.derivatives(warc.responses(warc.read(spark, str(name)), keep=()), keep=()).filter("record_type = 'metadata'").collect()}
+    lines = meta["http://x/0"].split("\r\n")
+    assert "source-status: 404" in lines and "source-header: X-Long: one two" in lines and "source-header: H1199: v" in lines
+    assert [x for x in lines if "ookie" in x] == ["source-header: Set-Cookie: a", "source-header: set-cookie: b"]
 
 
 # 7: mixing
@@ -541,6 +789,85 @@ def test_radius_hot_block(spark, monkeypatch):
         assert side.groupBy("key", "row", "column").count().agg(F.max("count")).first()[0] < 4 * 16
 
 
+def test_pipeline_brute_force(spark, tmp_path):
+    """Each stage on what the stage before it kept, against a plain twin on the driver."""
+    import corpus_pipeline
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rng, rows = random.Random(31), [tuple(r) for r in base]
+    for k, r in enumerate([r for r in base if r.text and 60 < len(r.text.split()) < 400][:25]):
+        w = r.text.split()
+        for c, text in enumerate((r.text, " ".join(w + [f"extra{k}"]), " ".join(w[1:]))):  # equal, one word more, one less
+            rows.append((9000 + 10 * k + c, text, r.lang, r.source, len(text)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, DOCS)
+    sf = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    one = stages["language_id"](spark, docs, sf).cache()
+    model = language_id.train(docs)
+    assert key(one) == Counter((i, t) for i, t, *_ in rows if not model.predict(t)[2])
+
+    two = stages["quality"](spark, one, sf).cache()
+    model = quality.train(one, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert key(two) == Counter((r.doc_id, r.text) for r in one.collect() if model.score(r.text) >= 0.5)
+
+    three = stages["near_duplicates"](spark, two, sf).cache()
+    sets = {r.doc_id: five_words(r.text) for r in two.collect()}
+    ids = sorted(sets)
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(ids) for b in ids[:i] if sets[a] & sets[b]}
+    sure = brute_components({k: k for k in ids}, lambda a, b: likeness.get((a, b), likeness.get((b, a), 0)) >= 0.8)
+    may = brute_components({k: k for k in ids}, lambda a, b: likeness.get((a, b), likeness.get((b, a), 0)) >= 0.68)
+    kept = {r.doc_id for r in three.collect()}
+    assert {sure[k] for k in ids} >= kept and {may[k] for k in ids} <= kept  # the smallest id of each group, and none but for a link
+
+    four = stages["mixing"](spark, three, sf).cache()
+    docs3 = three.collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in docs3}
+    names = sorted({r.source for r in docs3 if r.source is not None}) + [None] * any(r.source is None for r in docs3)
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
+    queue = []
+    for rank, s in enumerate(names):
+        mine = sorted((hashlib.md5(f"7:{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest(), r.doc_id) for r in docs3 if r.source == s)
+        total, upto = sum(size[i] for _, i in mine), 0
+        for _, i in mine:
+            upto += size[i]
+            queue += [((e * total + upto) / weight[s], rank, i) for e in range(3) if size[i]]
+    want, run, budget = Counter(), 0, sum(size.values())
+    for _, _, i in sorted(queue):
+        run += size[i]
+        if run > budget:
+            break
+        want[i] += 1
+    assert Counter(r.doc_id for r in four.collect()) == want
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_path())
+    pieces = sorted(stages["packing"](spark, four, sf).collect(), key=lambda p: (p.sequence_id, p.offset))
+    stream = [i for p in pieces for i in np.frombuffer(p.ids, "<u2").tolist()]
+    assert all((p.sequence_id * 2048 + p.offset) == at for p, at in zip(pieces, [0, *np.cumsum([p.length for p in pieces])]))
+    got, part = Counter(), []
+    for i in stream:
+        part.append(i)
+        if i == 1:
+            got[tuple(part)] += 1
+            part = []
+    assert not part and got == Counter((*t.encode(r.text, add_special_tokens=False).ids, 1) for r in four.collect())
+
+
+def test_mixing_without_ids(spark):
+    """Half of the rows have no id: their bins are as even as the others'."""
+    df = spark.createDataFrame([(None if k % 2 else k, "s", f"text number {k}") for k in range(4000)], "doc_id long, source string, text string")
+    bins = df.select(F.substring(mixing.shuffle_key(7), 1, mixing.BIN_DIGITS).alias("bin")).groupBy("bin").count().agg(F.max("count")).first()[0]
+    assert bins < 12
+    rows = mixing.mixed_counts(df, mixing.word_count(F.col("text"))).collect()
+    assert sum(r["copies"] * r["size"] for r in rows) <= 12_000 and mixing.mixture(df).count() == sum(r["copies"] for r in rows)
+    with pytest.raises(ValueError):
+        mixing.mixed_counts(df.withColumn("size", F.lit(1)), F.lit(1), keep=("doc_id", "size"))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
