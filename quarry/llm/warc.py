@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.scalars import let
 from .common import table
 
 #: The pages table has no fetch time; responses made from it carry this one.
@@ -32,11 +33,11 @@ CRLF = "\r\n"
 #: What lies between two records of a file; the digit of the minor version is left at the start of the next.
 SEPARATOR = f"{CRLF}{CRLF}WARC/1."
 #: A tag ends at the first `>` that isn't in quotes.
-_ATTRIBUTES = """(?:[^>"']|"[^"]*"|'[^']*')*>"""
+_ATTRIBUTES = """[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
 _BREAKING = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|article|nav|section|header|footer|pre"
 #: Patterns that both Java and RE2 read alike, in this order: what isn't shown, breaking tags, other tags.
 TO_TEXT = (
-    (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<head\b[^>]*>.*?</head>", " "),
+    (r"(?s)<(?:!--.*?-->|(?i:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style|head\b[^>]*>.*?</head)>)", " "),
     (rf"(?i)</?(?:{_BREAKING})\b{_ATTRIBUTES}", "\n"),
     (rf"</?[a-zA-Z!?]{_ATTRIBUTES}", ""),
 )
@@ -98,14 +99,18 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
 def fields_of(head: Column) -> Column:
     """The name and value of each line of a header but the first, in order; folded lines are joined."""
     whole = F.split(F.regexp_replace(head, r"\r\n[ \t]+", " "), CRLF)
-    lines = F.filter(F.slice(whole, 2, F.greatest(F.size(whole) - 1, F.lit(0))), lambda x: x.contains(":"))
+    lines = F.filter(whole, lambda x, i: (i > 0) & x.contains(":"))
     return F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
 
 
 def by_name(fields: Column) -> Column:
     """A map of lower-case names to all of their values."""
-    names = F.array_distinct(F.transform(fields, lambda f: F.lower(f["name"])))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(fields, lambda f: F.lower(f["name"]) == n), lambda f: f["value"])))
+
+    def grouped(low: Column) -> Column:
+        names = F.array_distinct(F.transform(low, lambda f: f["name"]))
+        return let(names, lambda ns: F.map_from_arrays(ns, F.transform(ns, lambda n: F.transform(F.filter(low, lambda f: f["name"] == n), lambda f: f["value"]))))
+
+    return let(F.transform(fields, lambda f: F.struct(F.lower(f["name"]).alias("name"), f["value"].alias("value"))), grouped)
 
 
 def split_at_blank_line(data: Column) -> tuple[Column, Column]:
@@ -127,7 +132,9 @@ def responses(records: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFra
     checked(keep)
     one = lambda name: F.try_element_at(F.col("header"), F.lit(name))[0]
     head, payload = split_at_blank_line(F.col("block"))
-    out = parsed(records).filter(one("warc-type") == "response")
+    # The filter reads the header's text: on the map it would be pushed below, and the map made twice.
+    is_response = split_at_blank_line(F.col("record"))[0].rlike(r"(?i)\r\nWARC-Type:[ \t]*response[ \t]*(\r\n|$)")
+    out = parsed(records.filter(is_response))
     return out.select(*keep, one("warc-record-id").alias("record_id"), one("warc-target-uri").alias("target_uri"), one("warc-date").alias("date"), head.alias("http_header"), F.make_valid_utf8(payload.cast("string")).alias("payload"))
 
 
