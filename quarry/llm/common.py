@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..shared import checkpointed, new_path, removed, spread, width
 
-__all__ = ["WORD", "checkpointed", "discarded", "fold", "least_draws", "spread", "table", "width", "written"]
+__all__ = ["WORD", "checkpointed", "discarded", "fold", "least_draws", "mark", "spread", "table", "width", "written"]
 
 #: ASCII white space, written as the contracts of the operators write it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,10 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discarded(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete what this process has had `written`, but for the files that keep reads. Frames over the others can't be used any more."""
+def mark() -> int:
+    """How much has been written so far, for `discarded`."""
+    return len(_WRITTEN)
+
+
+def discarded(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was `written` since a mark, but for the files that keep reads. Frames over the others can't be used any more."""
     needed = keep.inputFiles() if keep is not None else []
-    gone = [p for p in _WRITTEN if not any(p.rpartition("/")[2] in f for f in needed)]
+    gone = [p for p in _WRITTEN[since:] if not any(p.rpartition("/")[2] in f for f in needed)]
     removed(spark, *gone)
     _WRITTEN[:] = [p for p in _WRITTEN if p not in gone]
 
