@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import language_id, mixing, packing, quality, simhash
-from quarry.llm.common import written
+from quarry.llm.common import discarded, mark, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are 0.8 alike or more."""
+    """One document of each group whose five-word shingles are 0.8 alike or more; by the estimate of larger sets, some from 0.72 on too."""
     return simhash.deduplicated(docs).select(docs.columns)
 
 
@@ -45,14 +45,16 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL expresses neither the trained models nor SimHash; tests hold each stage against brute force.
+#: SQL expresses neither the trained models nor SimHash; `test_pipeline_brute_force` holds each stage against a plain twin on its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what a stage has written on the way goes when its result is there."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
+            discarded(spark, start, keep=docs)
     return docs
