@@ -6,20 +6,21 @@ with that weight, and a bit of the fingerprint is 1 where the votes for it are m
 likeness of two fingerprints is the cosine that their share of differing bits estimates, 0 at least.
 
 A null text is an empty one, whose fingerprint is zero. Rows are ordered by doc_id, null first, and
-repeated ids by their text's hash; a single row is its own next document. An empty table gives an empty
-result. Columns but doc_id and text are left out.
+repeated ids by their text's hash; equal rows stay in one task. A single row is its own next document.
+An empty table gives an empty result. Columns but doc_id and text are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import accumulate, combinations
 from math import pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, width
@@ -65,20 +66,46 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text, part, guard: rows in ranges of doc_id, the first row of each range also as guard of the one before.
+def ranges(rows: DataFrame, parts: int) -> tuple[Column, int]:
+    """The range of a row by (doc_id, hash of the text), null ids first, and how many ranges there are.
 
-    Sorted by (part, doc_id, ...), each row that isn't a guard is followed by its next document; the
-    first of all guards the last range. Only `parts` ids reach the driver.
+    Cuts are percentiles of doc_id. An id that several of them fall on holds that many shares of the rows:
+    its rows are ranged by the hash, and so are those without an id, which have ranges of their own.
+    """
+    if parts == 1:
+        return F.lit(0), 1
+    shares = ",".join(str(k / parts) for k in range(1, parts))
+    seen = rows.selectExpr("count(*) AS n", "count(doc_id) AS with_id", f"percentile_approx(doc_id, array({shares}), 10000) AS cuts").first()
+    missing = -((seen["with_id"] - seen["n"]) * parts // seen["n"]) if seen["n"] else 0  # rounded up
+    held = Counter(seen["cuts"] or [])
+    cuts = sorted(held)
+    lasts = list(accumulate((held[c] for c in cuts), initial=missing))  # of the ids below the first cut, then from each cut on
+    share = F.xxhash64("text") / F.lit(2.0**64) + F.lit(0.5)
+
+    def dealt_by_hash(n: Column) -> Column:
+        return F.least(F.floor(share * n), n - 1).cast("int")
+
+    if not cuts:  # no row has an id
+        return (dealt_by_hash(F.lit(missing)), missing) if missing else (F.lit(0), 1)
+    known = F.array(*map(F.lit, cuts)).cast("array<long>")
+    nth = F.size(F.filter(known, lambda x: x <= F.col("doc_id")))
+    last = F.get(F.array(*map(F.lit, lasts)), nth)
+    at_cut = F.get(known, nth - 1) == F.col("doc_id")
+    shared = F.get(F.array(*(F.lit(held[c]) for c in cuts)), nth - 1)
+    part = F.when(at_cut, last - shared + 1 + dealt_by_hash(shared)).otherwise(last)
+    return F.when(F.col("doc_id").isNull(), dealt_by_hash(F.lit(missing))).otherwise(part), lasts[-1] + 1
+
+
+def neighbours(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """doc_id, text, part, guard, and the number of ranges: the first row of each range is also the guard of the one before.
+
+    Sorted by (part, guard, doc_id, hash of the text), each row that isn't a guard is followed by its next
+    document; the first of all guards the last range. Only a few ids a range reach the driver.
     """
     tie = F.xxhash64("text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts: list[int] = []
-    if parts > 1:
-        shares = ",".join(str(k / parts) for k in range(1, parts))
-        cuts = sorted(set(rows.selectExpr(f"percentile_approx(doc_id, array({shares}), 10000)").first()[0] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda x: x <= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", F.coalesce(part, F.lit(0)).cast("int"))
+    part, count = ranges(rows, parts)
+    rows = rows.withColumn("part", part.cast("int"))
     firsts = {r["part"]: r["first"] for r in rows.groupBy("part").agg(F.min(F.struct("doc_id", tie.alias("tie"))).alias("first")).collect()}
     used = sorted(firsts)
     guards = [(firsts[p]["doc_id"], firsts[p]["tie"], used[k - 1]) for k, p in enumerate(used)]
@@ -88,7 +115,7 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
         rows.filter(few).join(F.broadcast(g), F.col("doc_id").eqNullSafe(F.col("g_id")) & (tie == F.col("g_tie")))
         .dropDuplicates(["g_part"]).select("doc_id", "text", F.col("g_part").alias("part"), F.lit(True).alias("guard"))
     )
-    return rows.withColumn("guard", F.lit(False)).unionByName(copies)
+    return rows.withColumn("guard", F.lit(False)).unionByName(copies), count
 
 
 def fingerprinted(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -121,8 +148,8 @@ def fingerprinted(docs: DataFrame, parts: int | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    dealt = neighbours(docs, parts).repartitionById(parts, "part")
-    ordered = dealt.sortWithinPartitions(F.col("guard"), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows, count = neighbours(docs, parts)
+    ordered = rows.repartitionById(count, "part").sortWithinPartitions(F.col("guard"), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return ordered.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
