@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..shared import checkpointed, new_path, removed, spread, width
 
-__all__ = ["WORD", "checkpointed", "discarded", "fold", "least_draws", "mark", "spread", "table", "width", "written"]
+__all__ = ["WORD", "by_key", "checkpointed", "discarded", "fold", "least_draws", "mark", "spread", "table", "width", "written"]
 
 #: ASCII white space, written as the contracts of the operators write it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,3 +58,22 @@ def least_draws(rows: DataFrame, by: str, draw: Column, n: int) -> DataFrame:
     below = known.select(by, (F.lit(float(1 << 63)) * F.least(F.lit(1.0), (1.5 * n + 100) / F.col("__known"))).alias("__below"))
     near = drawn.join(F.broadcast(below), by).filter(F.col("__draw") < F.col("__below"))  # a row for each value: languages or classes
     return near.withColumn("__nth", F.row_number().over(W.partitionBy(by).orderBy("__draw"))).filter(F.col("__nth") <= n).drop("__draw", "__below", "__nth")
+
+
+#: A key is hot if it holds at least one in so many of the rows; there are at most that many such keys.
+HOT = 1000
+
+
+def by_key(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of left with right, which has at most one row a key, however the rows of left are dealt over the keys.
+
+    Hot keys are joined where left's rows are: they are at most HOT rows, so those of right are broadcast.
+    The other keys, each under a HOTth of the rows, are shuffled. counts: rows of left for each key, as
+    `company`, if they are known (rows that left has lost since may count). Null keys are in no result.
+    left is read twice, and once more without counts.
+    """
+    counts = left.groupBy(keys).agg(F.count("*").alias("company")) if counts is None else counts
+    total = counts.agg(F.sum("company").alias("n")).first()["n"] or 0
+    hot = counts.filter(F.col("company") >= max(1, -(-total // HOT))).select(keys)
+    near = left.join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys)
+    return near.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys))
