@@ -3,9 +3,9 @@
 Tasks add the hashes of words and pairs to a sketch of two rows of counters, which are summed block by block
 on the cluster; a count can only be too high, so a counter under the least count rules a phrase out. A second
 sketch takes the triples whose pairs passed. What passes both is listed: a superset of the frequent phrases.
-The list is cut into shards of a bounded size, each compiled into pyahocorasick automata (one a language)
-whose patterns begin and end with a delimiter; every task scans its texts, reduced to runs of words whose
-pairs passed, with the shard's automata and counts all overlapping matches. Sums over tasks are exact, and
+The list is cut by the first pair into shards of a bounded size, each compiled into pyahocorasick automata
+(one a language) whose patterns begin and end with a delimiter; every task scans its texts, reduced to the
+words that follow such a pair, with the shard's automata and counts all overlapping matches. Sums over tasks are exact, and
 the thresholds are applied to them. Words themselves are counted while phrases are listed. Sketch and
 automata bound memory; a sketch that fills up lets more phrases into the list and changes no result.
 
@@ -19,9 +19,9 @@ any length are whole. Columns but text and lang are left out.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -41,9 +41,13 @@ LOG = 25
 #: Counters that are sent as one row.
 BLOCK = 1 << 16
 #: Phrases that are compiled at once; about 160 bytes each in a worker.
-SHARD = 1_500_000
-#: Characters of text that are joined to one block of work, if they are of the same language.
-JOINED = CHUNK // 4
+SHARD = 1_000_000
+#: Characters of text that are joined to one block of work, if they are of the same language, and that wait for it in all.
+JOINED, WAITING = 2 << 20, 8 << 20
+#: Bytes that are hashed at once; longer words are hashed one by one.
+SPAN = CHUNK // 8
+#: Words and phrases that a task holds before it passes them on.
+HELD = 300_000
 _WORD = np.ones(256, np.uint8)
 _WORD[list(b" \t.,;:!?\n\x0b\x0c\r")] = 0
 _CUT = np.zeros(256, np.uint8)
@@ -61,22 +65,23 @@ class Block:
         found = [self._words(lo, hi) for lo, hi in self._spans()]
         self.starts, self.ends, h = (np.concatenate([f[k] for f in found]) for k in range(3))
         h = mixed(h + np.uint64(xxhash.xxh64_intdigest(lang)))
-        self.piece = np.cumsum(_CUT[self.bytes], dtype=np.int64)[self.starts]
+        self.piece = np.cumsum(_CUT[self.bytes], dtype=np.int32)[self.starts]
         self.h, self.inside = [h], [np.ones(len(h), bool)]
         for k in range(1, WORDS):
             n = max(0, len(h) - k)
             self.h.append(mixed(self.h[-1][:n] * np.uint64(2 * k + 1) + h[k:]))
             self.inside.append(self.piece[:n] == self.piece[k:])
+        self.part = (self.h[1] & np.uint64(0x7FFFFFFF)).astype(np.int32)
 
     def _spans(self) -> Iterator[tuple[int, int]]:
-        """The data in spans of at most CHUNK bytes that end after a blank or cut, or up to the end of a longer word."""
+        """The data in spans of at most SPAN bytes that end after a blank or cut, or up to the end of a longer word."""
         at, n = 0, len(self.data)
-        while n - at > CHUNK:
-            gaps = np.flatnonzero(_WORD[self.bytes[at : at + CHUNK]] == 0)
-            end = at + int(gaps[-1]) + 1 if len(gaps) else at + CHUNK
+        while n - at > SPAN:
+            gaps = np.flatnonzero(_WORD[self.bytes[at : at + SPAN]] == 0)
+            end = at + int(gaps[-1]) + 1 if len(gaps) else at + SPAN
             while _WORD[self.bytes[end - 1]]:
-                more = np.flatnonzero(_WORD[self.bytes[end : end + CHUNK]] == 0)
-                end += int(more[0]) + 1 if len(more) else CHUNK
+                more = np.flatnonzero(_WORD[self.bytes[end : end + SPAN]] == 0)
+                end += int(more[0]) + 1 if len(more) else SPAN
             yield at, end
             at = end
         yield at, n
@@ -84,8 +89,8 @@ class Block:
     def _words(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = self.bytes[lo:hi]
         starts, ends = runs(_WORD[part])
-        if len(starts) and (ends - starts).max() >= CHUNK:  # alone in its span, or nearly
-            h = np.array([xxhash.xxh64_intdigest(part[s:e].tobytes()) if e - s >= CHUNK else int(run_hashes(part[s:e], np.array([0]), np.array([e - s]))[0]) for s, e in zip(starts, ends, strict=True)], np.uint64)
+        if len(starts) and (ends - starts).max() >= SPAN:  # alone in its span, or nearly
+            h = np.array([xxhash.xxh64_intdigest(part[s:e].tobytes()) if e - s >= SPAN else int(run_hashes(part[s:e], np.array([0]), np.array([e - s]))[0]) for s, e in zip(starts, ends, strict=True)], np.uint64)
         else:
             h = run_hashes(part, starts, ends)
         return starts + lo, ends + lo, h
@@ -95,18 +100,21 @@ class Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    waiting: dict[str, list[str]] = defaultdict(list)
+    size: dict[str, int] = defaultdict(int)
     for batch in batches:
-        waiting: dict[str, list[str]] = defaultdict(list)
-        size: dict[str, int] = defaultdict(int)
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
             lang, text = lang.as_py(), text.as_py()
             waiting[lang].append(text)
-            size[lang] += len(text)
+            size[lang] += len(text) + 1
             if size[lang] >= JOINED:
                 yield Block(lang, waiting.pop(lang))
                 del size[lang]
-        for lang, texts in waiting.items():
-            yield Block(lang, texts)
+        if sum(size.values()) >= WAITING:
+            yield from (Block(lang, texts) for lang, texts in waiting.items())
+            waiting.clear()
+            size.clear()
+    yield from (Block(lang, texts) for lang, texts in waiting.items())
 
 
 def places(h: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,56 +181,79 @@ def sketch(texts: DataFrame, hashes: Callable[[Block], list[np.ndarray]], least:
 
 
 def listed(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
-    """lang, phrase, words, n: all that may be frequent, n for single words; a null phrase has the number of all words."""
-    names = ["lang", "phrase", "words", "n"]
+    """lang, phrase, words, part, n: all that may be frequent, n for single words; a null phrase has the number of all words.
+
+    part is made of the hash of a phrase's first pair: `scanned` finds the phrases of a part in the texts by it.
+    """
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "phrase", "words", "part", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str]] = set()
+        rows: list[tuple] = []
+        words: dict[int, list] = {}
+        seen: set[int] = set()
         for block in blocks(batches):
-            rows: list[tuple] = [(block.lang, None, 0, len(block.h[0]))]
-            for words, may in enumerate(passing(block, pairs.value, triples.value), 1):
+            rows.append((block.lang, None, 0, 0, len(block.h[0])))
+            for k, may in enumerate(passing(block, pairs.value, triples.value), 1):
                 at = np.flatnonzero(may)
-                _, first, n = np.unique(block.h[words - 1][at], return_index=True, return_counts=True)
-                for i, m in zip(at[first].tolist(), n.tolist(), strict=True):
-                    phrase = block.phrase(i, words)
-                    if words == 1:
-                        rows.append((block.lang, phrase, 1, m))
-                    elif (block.lang, phrase) not in seen:
-                        seen.add((block.lang, phrase))
-                        rows.append((block.lang, phrase, words, None))
-            if len(seen) > 1_000_000:
-                seen.clear()
+                hashes, first, n = np.unique(block.h[k - 1][at], return_index=True, return_counts=True)
+                for h, i, m in zip(hashes.tolist(), at[first].tolist(), n.tolist(), strict=True):
+                    if k == 1:
+                        if (held := words.get(h)) is None:
+                            words[h] = [block.lang, block.phrase(i, 1), 1, 0, m]
+                        else:
+                            held[4] += m
+                    elif h not in seen:
+                        seen.add(h)
+                        rows.append((block.lang, block.phrase(i, k), k, int(block.part[i]), None))
+            if len(words) > HELD:
+                rows += words.values()
+                words = {}
+            if len(seen) > 4 * HELD:
+                seen = set()
+            if len(rows) > HELD // 4:
+                yield packed(rows)
+                rows = []
+        if rows := [*rows, *words.values()]:
             yield packed(rows)
 
-    found = texts.mapInArrow(run, "lang string, phrase string, words int, n long")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(run, "lang string, phrase string, words int, part int, n long")
+    return found.groupBy("lang", "phrase", "words", "part").agg(F.sum("n").alias("n"))
+
+
+#: The automata that this worker holds, by the name of their shard.
+_HELD: dict[str, tuple[dict[str, object], np.ndarray]] = {}
+
 
+def compiled(name: str, shard: Broadcast) -> tuple[dict[str, object], np.ndarray]:
+    """An automaton for each language of the shard, and the ids of its phrases; those of another shard go first."""
+    if name not in _HELD:
+        import ahocorasick
 
-@lru_cache(maxsize=1)
-def _compiled(_: str, shard: Broadcast) -> tuple[dict[str, object], np.ndarray]:
-    """An automaton for each language of the shard, and the ids of its phrases; kept by a worker while it counts this shard."""
-    import ahocorasick
+        _HELD.clear()
+        phrases, automata = pa.ipc.open_stream(shard.value).read_all(), {}
+        for k, (lang, phrase) in enumerate(zip(phrases.column("lang"), phrases.column("phrase"), strict=True)):
+            lang = lang.as_py()
+            if lang not in automata:
+                automata[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            automata[lang].add_word(f" {phrase.as_py()} ", k)
+        for automaton in automata.values():
+            automaton.make_automaton()
+        _HELD[name] = automata, phrases.column("id").to_numpy()
+    return _HELD[name]
 
-    phrases = pa.ipc.open_stream(shard.value).read_all()
-    out: dict[str, object] = {}
-    for k, (lang, phrase) in enumerate(zip(phrases.column("lang"), phrases.column("phrase"), strict=True)):
-        lang = lang.as_py()
-        if lang not in out:
-            out[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        out[lang].add_word(f" {phrase.as_py()} ", k)
-    for automaton in out.values():
-        automaton.make_automaton()
-    return out, phrases.column("id").to_numpy()
 
+def guarded(block: Block, two: np.ndarray, first: np.ndarray) -> str:
+    """The words of phrases whose first pair is chosen: one space within a pair, ` . ` elsewhere, spaces at both ends.
 
-def guarded(block: Block, two: np.ndarray) -> str:
-    """The words that lie in pairs that may be frequent: one space within such a pair, ` . ` elsewhere, spaces at both ends."""
-    linked = np.append(two, False)
+    two: the pairs that may be frequent; first: those of them that are chosen. A third word follows if its pair may be frequent.
+    """
+    linked = np.append(first, False)
+    linked[1:-1] |= first[:-1] & two[1:]
     keep = linked.copy()
-    keep[1:] |= two
+    keep[1:] |= linked[:-1]
     starts, ends, out = block.starts[keep], block.ends[keep], block.bytes.copy()
     out[ends] = np.where(linked[keep], 0x20, 0x2E)
     edge = np.zeros(len(out) + 1, np.int8)
@@ -231,25 +262,24 @@ def guarded(block: Block, two: np.ndarray) -> str:
     return f" {out[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes().replace(b'.', b' . ').decode()} "
 
 
-def scanned(texts: DataFrame, shard: DataFrame, pairs: Broadcast) -> DataFrame:
-    """id, n: overlapping matches of the shard's phrases (id, lang, phrase) in all texts."""
-    held = pa.BufferOutputStream()
-    rows = shard.toArrow()  # SHARD phrases, about
+def scanned(texts: DataFrame, shard: DataFrame, k: int, shards: int, pairs: Broadcast) -> DataFrame:
+    """id, n: overlapping matches of the phrases (id, lang, phrase) of shard k in all texts."""
+    held, rows = pa.BufferOutputStream(), shard.toArrow()  # about SHARD phrases
     with pa.ipc.new_stream(held, rows.schema) as out:
         out.write_table(rows)
     sent = texts.sparkSession.sparkContext.broadcast(held.getvalue().to_pybytes())
-    name = f"{texts.sparkSession.sparkContext.applicationId}-{sent._jbroadcast.id()}"
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, ids = _compiled(name, sent)
+        automata, ids = compiled(name, sent)
         counts = np.zeros(len(ids), np.int64)
         for block in blocks(batches):
             if block.lang in automata and len(block.h[0]) > 1:
-                text = guarded(block, passing(block, pairs.value)[1])
+                two = passing(block, pairs.value)[1]
+                text = guarded(block, two, two & (block.part % shards == k))
                 np.add.at(counts, np.fromiter(map(itemgetter(1), automata[block.lang].iter(text)), np.int64), 1)
         there = np.flatnonzero(counts)
-        for k in range(0, len(there), 1 << 16):
-            at = there[k : k + (1 << 16)]
+        for at in np.array_split(there, -(-len(there) // (1 << 16)) or 1):
             yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
 
     return texts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -263,13 +293,13 @@ def counted(docs: DataFrame, least: int = LEAST, shard: int = SHARD, log: int =
     pairs = send(sketch(texts, lambda b: [b.h[0], b.h[1][b.inside[1]]], least, log))
     triples = send(sketch(texts, lambda b: [b.h[2][passing(b, pairs.value)[2]]], least, log))
     found = written(listed(texts, pairs, triples), "listed")
-    phrases = written(found.filter("words > 1").select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "words"), "phrases")
+    phrases = written(found.filter("words > 1").select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "words", "part"), "phrases")
     shards = -(-phrases.count() // shard)
-    part = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, shards)))
-    sums = [written(scanned(texts, phrases.filter(part == k).select("id", "lang", "phrase"), pairs), "sums") for k in range(shards)]
     out = found.filter("words < 2").select("lang", "phrase", "words", "n")
-    for s in sums:
-        out = out.unionByName(phrases.join(s, "id").select("lang", "phrase", "words", "n"))
+    for k in range(shards):
+        own = phrases.filter(F.col("part") % shards == k)
+        sums = written(scanned(texts, own.select("id", "lang", "phrase"), k, shards, pairs), "sums")
+        out = out.unionByName(own.join(sums, "id").select("lang", "phrase", "words", "n"))
     return out
 
 

@@ -200,7 +200,7 @@ def test_collocations_other_thresholds(phrases):
 
 
 def test_long_words_and_texts(monkeypatch):
-    monkeypatch.setattr(collocations, "CHUNK", 64)
+    monkeypatch.setattr(collocations, "SPAN", 64)
     data = ["a " * 100 + "w" * 200 + " b. c " + "w" * 200, "v" * 64 + " " + "w" * 200, "é" * 90]
     block = collocations.Block("en", data)
     words = [w for t in data for p in t.split(".") for w in p.split()]
