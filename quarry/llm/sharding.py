@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, width, written
+from .common import HOT, table, width, written
 
 INF = float("inf")
 
@@ -72,12 +72,17 @@ def resharded(df: DataFrame, old: Column, size: Column, order: list[Column], sha
     """
     spark = df.sparkSession
     blocks = blocks or max(256, width(spark))  # so that a block stays one task's work
-    spread = F.xxhash64(*order)
+    df = df.withColumn("__row", F.xxhash64(*order))
+    counts = df.groupBy("__row").agg(F.count("*").alias("n"))
+    least = max(2, -(-(counts.agg(F.sum("n")).first()[0] or 0) // HOT))
+    often = counts.filter(F.col("n") >= least).select("__row", F.lit(True).alias("__often"))  # at most HOT rows
+    # Rows that are equal and many are interchangeable: they are dealt over the blocks by where they lie.
+    spread = F.xxhash64("__row", F.when(F.col("__often"), F.monotonically_increasing_id()))
     block = W.partitionBy("old_shard", "__block").orderBy(*order)
     # One narrow row for each input row, kept in the shared folder: texts are read once.
     rows = written(
-        df.withColumns({"size": size.cast("long"), "old_shard": old.cast("int"), "__block": F.pmod(F.shiftright(spread, 7), F.lit(blocks)).cast("int")})
-        .withColumns({"__end": F.sum("size").over(block), "__n": F.row_number().over(block)}),
+        df.join(F.broadcast(often), "__row", "left").withColumns({"size": size.cast("long"), "old_shard": old.cast("int"), "__block": F.pmod(F.shiftright(spread, 7), F.lit(blocks)).cast("int")})
+        .withColumns({"__end": F.sum("size").over(block.rowsBetween(W.unboundedPreceding, W.currentRow)), "__n": F.row_number().over(block)}).drop("__row", "__often"),
         "reshard",
     )
     totals = {(r[0], r[1]): r[2] for r in rows.groupBy("old_shard", "__block").agg(F.sum("size")).collect()}
