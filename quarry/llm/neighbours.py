@@ -10,7 +10,7 @@ fewer than k vectors so are scored against all, by the same grid. Scores are inn
 original vectors in double precision.
 
 Vectors that are null, zero, of another length than `dim` (by default the most frequent one), or hold null
-or non-finite components take no part. Rows that repeat an id and a vector count once. Ties go to smaller ids. An empty table gives an
+or non-finite components take no part, nor do rows without an id. Rows that repeat an id and a vector count once. Ties go to smaller ids. An empty table gives an
 empty result. Extra columns are ignored.
 """
 
@@ -93,7 +93,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     e = F.col("embedding")
     whole = e.isNotNull() & (F.size(e) == dim) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.filter(whole & F.exists(e, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), e)
+    return vectors.filter(F.col("vec_id").isNotNull() & whole & F.exists(e, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), e)
 
 
 def hashed(vectors: DataFrame, hashing: CrossPolytope, probes: int) -> DataFrame:

@@ -125,6 +125,14 @@ def test_neighbours_odd_vectors_and_ties(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_without_ids(spark):
+    """Rows without an id are no queries and no candidates; a table of nothing else gives nothing."""
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (0, [1.0, 0.1]), (1, [0.9, 0.0]), (None, [1.0, 0.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)]
+    assert neighbours.nearest(df.filter("vec_id is null"), F.col("vec_id") % 20 == 0).count() == 0
+
+
 def test_neighbours_several_hashes(spark):
     """Groups of 20 near vectors: two hashes a table find them and score few others."""
     rng = np.random.default_rng(5)
@@ -387,6 +395,21 @@ def least_cost(supply, demand, cost):
     return best(0, tuple(demand))
 
 
+def test_sharding_many_equal_rows(spark):
+    """A third of the rows is equal: they are dealt over all blocks, and the law holds."""
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), "id")).otherwise("same").alias("text")).repartition(8)
+    size, order = F.octet_length("text") + 1, [F.col("doc_id"), F.col("text")]
+    out = sharding.resharded(docs, F.pmod(F.xxhash64(*order), F.lit(6)), size, order, 8, blocks=64).collect()
+    assert len(out) == 6000
+    totals = Counter()
+    for r in out:
+        totals[r["shard"]] += r["size"]
+    assert max(totals.values()) - min(totals.values()) <= 20
+    for k in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
+    assert {r["doc_id"] for r in out if r["doc_id"] is not None} == {k for k in range(6000) if k % 3}
+
+
 def test_flow_with_uneven_prices():
     rng = random.Random(17)
     for _ in range(60):
@@ -660,6 +683,58 @@ def test_warc_files(spark, tmp_path, packed):
     assert [x for x in lines if "ookie" in x] == ["source-header: Set-Cookie: a", "source-header: set-cookie: b"]
 
 
+def test_warc_bodies(spark, tmp_path):
+    """Chunked, packed and other charsets; digests are of bytes, and those of the source stay; cells and lists break."""
+    latin = "<p>caf\xe9</p>".encode("latin-1")
+    cases = [
+        (b"Content-Type: text/html; charset=ISO-8859-1", latin, "<p>caf\xe9</p>", latin),
+        (b"Content-Type: text/html", b'<meta charset="windows-1252"><p>\x80</p>', '<meta charset="windows-1252"><p>\u20ac</p>', None),
+        (b"Transfer-Encoding: chunked", b"5;x=1\r\n<p>he\r\n6\r\nllo</p\r\n1\r\n>\r\n0\r\n\r\n", "<p>hello</p>", b"<p>hello</p>"),
+        (b"Transfer-Encoding: chunked", b"no length\r\n<p>", "no length\r\n<p>", None),
+        (b"Content-Encoding: gzip", gzip.compress(b"<p>packed</p>"), "<p>packed</p>", None),
+        (b"Content-Encoding: deflate", zlib.compress(b"<p>packed</p>")[2:-4], "<p>packed</p>", None),
+        (b"Content-Encoding: gzip", b"<p>plain</p>", "<p>plain</p>", None),
+        (b"Content-Type: text/html; charset=none-such", b"\xff", "\ufffd", None),
+    ]
+    rows = []
+    for k, (head, payload, _, _) in enumerate(cases):
+        http = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + payload
+        own = b"WARC-Payload-Digest: sha1:OWN\r\n" if k == 4 else b""
+        rows.append((k, b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\n" % k + own + b"Content-Length: %d\r\n\r\n" % len(http) + http))
+    source = warc.responses(spark.createDataFrame([(k, bytearray(r)) for k, r in rows], "page_id long, record binary"))
+    got = {r.page_id: r for r in source.collect()}
+    for k, (_, payload, text, sent) in enumerate(cases):
+        sent = payload if sent is None else sent
+        assert got[k].payload == text and got[k].complete and got[k].payload_length == len(sent), k
+        assert got[k].payload_digest == ("sha1:OWN" if k == 4 else "sha1:" + hashlib.sha1(sent).hexdigest()), k
+    meta = {r.page_id: r for r in warc.derivatives(source).filter("record_type = 'metadata'").collect()}
+    assert "source-payload-digest: sha1:OWN\r\n" in meta[4].block and f"source-payload-length: {len(latin)}\r\n" in meta[0].block
+    html = "<table><tr><td>alpha</td><td>beta</td></tr></table><dl><dt>a<dd>b</dl><blockquote>c</blockquote>d<option>e<script>code()"
+    assert spark.createDataFrame([(html,)], "html string").select(warc.visible_text(F.col("html"))).first()[0] == "alpha\nbeta\na\nb\nc\nd\ne"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_records_by_length(spark, tmp_path, packed):
+    """Payloads that quote records stay whole, wherever the file is split; a record that is too short loses no other."""
+
+    def record(k, payload, length=None):
+        http = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/%d\r\nContent-Length: %d\r\n\r\n" % (k, length or len(http)) + http + b"\r\n\r\n"
+
+    quoted = b"see\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1 again" + b" fill" * 300
+    payloads = [b"first", quoted, b"middle", quoted + b"\r\n\r\nWARC/1.", b"short", b"last " * 50]
+    data = [record(k, p, 90_000 if k == 4 else None) for k, p in enumerate(payloads)]
+    name = tmp_path / ("a.warc.gz" if packed else "a.warc")
+    name.write_bytes(b"".join(map(gzip.compress, data)) if packed else b"".join(data))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = {r.target_uri: r for r in warc.responses(warc.read(spark, str(name)), keep=()).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert {u: (r.payload, r.complete) for u, r in got.items()} == {f"http://x/{k}": (p.decode(), k != 4) for k, p in enumerate(payloads)}
+
+
 # 7: mixing
 
 
