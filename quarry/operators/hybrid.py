@@ -17,6 +17,7 @@ from ..functions import scalars as S
 from ..schema import RESULT_COLUMNS
 from . import filters as FL
 from . import lexical, vectors
+from .lookup import winners
 
 SEMANTIC_WEIGHT, LEXICAL_WEIGHT, RANK_OFFSET = 1.0, 1.25, 60
 SNIPPET_CHARS = 240
@@ -43,7 +44,7 @@ def best(results: DataFrame, limit: int, *order: Column | str) -> DataFrame:
 def semantic(corpus: Corpus, *texts: str, limit: int) -> DataFrame:
     """The best active chunks by inner product, from max(8 * limit, 50) candidates a text."""
     hits = vectors.nearest_of_each(corpus.vectors, [corpus.embed(t) for t in texts], max(8 * limit, 50))
-    found = corpus.chunks.filter("active").withColumnRenamed("id", "chunk_id").join(F.broadcast(hits), "chunk_id")  # hits: at most the limit above
+    found = winners(corpus.chunks.filter("active"), hits)
     rows = found.select("query", "chunk_id", "source_path", "source_kind", "title", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"), "score", F.lit("vector").alias("rank_source"), "metadata")
     return best(rows, limit, F.desc("score"), "chunk_id")
 

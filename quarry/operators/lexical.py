@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .lookup import winners
 from .match import Expression, MatchError, Pair, expression, words_of
 
 K1, B = 1.2, 0.75
@@ -241,6 +242,6 @@ def lexical_search(chunks: DataFrame, index: DataFrame, total: Totals, *texts: s
     """
     order = W.partitionBy("query").orderBy("score", "chunk_id")
     best = matched(index, total, *texts).filter("active").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("active")
-    rows = chunks.withColumnRenamed("id", "chunk_id").join(F.broadcast(best), "chunk_id")
+    rows = winners(chunks, best)
     words = F.get(marked_words(texts), F.col("query"))
     return rows.select("query", "rank", "chunk_id", "source_path", "source_kind", "title", snippet(F.col("text"), words).alias("snippet"), "score", F.lit("fts").alias("rank_source"), "metadata")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
@@ -88,6 +89,12 @@ class ClientError(Exception):
         self.status = status
 
 
+def unreachable(e: Exception) -> bool:
+    """Whether a task failed in a client or on the way to its server, by the last error of its trace."""
+    said = [line for line in str(e).splitlines() if re.match(r"\s*[\w.]+(Error|Exception)\b", line)]
+    return any(re.match(r"\s*[\w.]*(ClientError|ConnectionError|Connection\w+Error|TimeoutError|OSError|URLError)\b", line) for line in said)
+
+
 @dataclass(frozen=True)
 class ClientEmbedder(Embedder):
     """Embeds through a client, a picklable `client(model, texts) -> vectors`, in batches on the executors.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import chunking, hybrid, lexical, vectors
+from ..operators import chunking, hybrid, lexical, lookup, vectors
 from ..shared import new_path, spread
 from ..sources import extract
 
@@ -86,10 +86,10 @@ def build(spark: SparkSession, sf_dir: str, name: str = "documents") -> Built:
     """Write the tables of a search: chunks, postings by term, and vectors."""
     paths = [new_path(spark, f"{name}-{x}") for x in ("chunks", "postings", "vectors")]
     rows = chunked_documents(spark, sf_dir) if name == "documents" else mixed_chunks(spark, sf_dir)
-    rows.write.parquet(paths[0])
+    lookup.by_id_order(rows, "id").write.parquet(paths[0])
     chunks = spark.read.parquet(paths[0])
     lexical.dealt(lexical.postings(chunks)).write.partitionBy("bucket").parquet(paths[1])
-    vectors.embedded(chunks, DIM).write.parquet(paths[2])
+    lookup.by_id_order(vectors.embedded(chunks, DIM), "chunk_id").write.parquet(paths[2])
     return Built(*paths, lexical.totals(chunks, spark.read.parquet(paths[1])))
 
 

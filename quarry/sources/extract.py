@@ -17,6 +17,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -192,7 +193,7 @@ def decoded(content: Column) -> Column:
 
 def plain_files(files: DataFrame) -> DataFrame:
     facts = F.create_map(F.lit("extension"), S.suffix(F.col("path")))
-    return files.select(F.col("path").alias("source_path"), F.col("kind").alias("source_kind"), S.file_name(F.col("path")).alias("title"), decoded(F.col("content")).alias("text"), facts.alias("metadata"), F.lit(None).cast("string").alias("failed"))
+    return files.select(F.col("path").alias("source_path"), F.col("kind").alias("source_kind"), S.file_name(F.col("path")).alias("title"), decoded(F.col("content")).alias("text"), facts.alias("metadata"), why(files).alias("failed"))
 
 
 def transcripts(files: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def transcripts(files: DataFrame) -> DataFrame:
     line = F.transform(F.split(F.regexp_replace(decoded(F.col("content")), "^﻿", ""), S.LINE_END), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     spoken = F.filter(line, lambda x: (x != "") & (F.upper(x) != "WEBVTT") & ~x.rlike(r"^\d+$") & ~(x.contains("-->") & S.is_timecode(x)) & ~x.rlike("^(NOTE|STYLE|REGION)"))
     facts = F.create_map(F.lit("extension"), S.suffix(F.col("path")), F.lit("extractor"), F.lit("transcript"), F.lit("file_type"), F.lit("transcript"))
-    return files.select(F.col("path").alias("source_path"), F.col("kind").alias("source_kind"), S.file_name(F.col("path")).alias("title"), F.array_join(spoken, "\n").alias("text"), facts.alias("metadata"), F.lit(None).cast("string").alias("failed"))
+    return files.select(F.col("path").alias("source_path"), F.col("kind").alias("source_kind"), S.file_name(F.col("path")).alias("title"), F.array_join(spoken, "\n").alias("text"), facts.alias("metadata"), why(files).alias("failed"))
 
 
 _PART = "struct<text:string,input_text:string,output_text:string>"
@@ -215,20 +216,23 @@ def content_text(content: Column) -> Column:
 
 def sessions(files: DataFrame, source: str) -> DataFrame:
     """A record a message of a user or assistant in JSON-lines logs; path#L<line> says where it stood. Bad lines are passed over."""
-    line = files.select("path", "kind", F.posexplode(F.split(decoded(F.col("content")), r"\r\n|\n")).alias("at", "line"))
+    line = files.select("path", "kind", why(files).alias("failed"), F.posexplode_outer(F.split(decoded(F.col("content")), r"\r\n|\n")).alias("at", "line"))
     e = line.withColumn("e", F.from_json("line", _EVENT)).withColumn("text", content_text(F.col("e.payload.content")))
-    said = e.filter((F.col("e.payload.type") == "message") & F.col("e.payload.role").isin("user", "assistant") & (F.col("text") != ""))
+    said = e.filter(F.col("failed").isNotNull() | (F.col("e.payload.type") == "message") & F.col("e.payload.role").isin("user", "assistant") & (F.col("text") != ""))
     number = (F.col("at") + 1).cast("string")
     facts = F.create_map(F.lit("source"), F.lit(source), F.lit("role"), F.col("e.payload.role"), F.lit("timestamp"), F.coalesce("e.timestamp", F.lit("")), F.lit("line"), number)
     title = F.concat(S.file_name(F.col("path")), F.lit(" "), F.col("e.payload.role"))
-    return said.select(F.concat("path", F.lit("#L"), number).alias("source_path"), F.lit("ai_session").alias("source_kind"), title.alias("title"), "text", facts.alias("metadata"), F.lit(None).cast("string").alias("failed"))
+    return said.select(F.coalesce(F.concat("path", F.lit("#L"), number), "path").alias("source_path"), F.lit("ai_session").alias("source_kind"), title.alias("title"), "text", facts.alias("metadata"), "failed")
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for path, kind, how, data in zip(batch["path"], batch["kind"], batch["how"], batch["content"], strict=True):
+        for path, kind, how, data, failed in zip(batch["path"], batch["kind"], batch["how"], batch["content"], batch["failed"], strict=True):
             name, ext = re.split(r"[\\/]", path)[-1], posixpath.splitext(path)[1].lower()
+            if failed is not None:
+                rows.append((path, kind, name, None, {}, failed))
+                continue
             try:
                 if how == "zip":
                     for member, member_ext, text in zip_members(data):
@@ -245,7 +249,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def records(files: DataFrame, session_source: str = "sessions", read: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """path, kind, content (bytes) to records with a column failed, null where all went well.
 
-    With read, files have path and kind only: each extractor's own files are read through it, each once.
+    With read, files have path and kind only: each extractor's own files are read through it, and what it gives may have failed.
     """
     how = extractor(F.col("path"), F.col("kind"))
 
@@ -253,11 +257,17 @@ def records(files: DataFrame, session_source: str = "sessions", read: Callable[[
         mine = files.filter(keep)
         return read(mine) if read else mine
 
-    others = of(~how.isin("plain", "transcript", "session")).select("path", "kind", how.alias("how"), "content")
-    out = others.mapInPandas(_parsed, RECORD).unionByName(plain_files(of(how == "plain"))).unionByName(transcripts(of(how == "transcript")))
+    others = of(~how.isin("plain", "transcript", "session"))
+    parsed = others.select("path", "kind", how.alias("how"), "content", why(others).alias("failed")).mapInPandas(_parsed, RECORD)
+    out = parsed.unionByName(plain_files(of(how == "plain"))).unionByName(transcripts(of(how == "transcript")))
     return out.unionByName(sessions(of(how == "session"), session_source))
 
 
+def why(files: DataFrame) -> Column:
+    """The reason why a file couldn't be read, where its reader gives one."""
+    return F.col("failed") if "failed" in files.columns else F.lit(None).cast("string")
+
+
 def session_messages(messages: DataFrame, sessions: DataFrame, source: str) -> DataFrame:
     """Records of messages (path, id, session_id, role, content, timestamp) with the model of their session (path, id, model), if it is known."""
     m = messages.filter("content is not null")

@@ -137,18 +137,23 @@ def gone(paths: DataFrame) -> DataFrame:
 
 
 def contents(files: DataFrame) -> DataFrame:
-    """path, kind and content of listed files, read in the tasks; files that went meanwhile are left out."""
+    """path, kind, content and failed of listed files, read in the tasks.
+
+    A file that can't be read has a null content and the reason in failed, one that went meanwhile too.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = pa.schema([("path", pa.string()), ("kind", pa.string()), ("content", pa.binary()), ("failed", pa.string())])
         for batch in batches:
             for path, kind in zip(batch.column("path").to_pylist(), batch.column("kind").to_pylist(), strict=True):
+                data, failed = None, None
                 try:
                     with open(path, "rb") as f:
                         data = f.read()
-                except OSError:
-                    continue
-                yield pa.RecordBatch.from_pydict({"path": [path], "kind": [kind], "content": [data]}, schema=pa.schema([("path", pa.string()), ("kind", pa.string()), ("content", pa.binary())]))
+                except OSError as e:
+                    failed = f"{type(e).__name__}: {e.strerror}"
+                yield pa.RecordBatch.from_pydict({"path": [path], "kind": [kind], "content": [data], "failed": [failed]}, schema=kinds)
 
-    return files.select("path", "kind").mapInArrow(run, "path string, kind string, content binary")
+    return files.select("path", "kind").mapInArrow(run, "path string, kind string, content binary, failed string")

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -73,7 +74,9 @@ def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFram
 
     touched: path, kind, fingerprint, size_bytes, mtime_ns, reason (of a skip, or null). Nothing is visible
     before the commit, so a failure leaves the last state in place and the next run repeats the work. If the
-    embedder fails, the new chunks are kept inactive and their files are vector_pending, to be retried.
+    embedder can't be reached, the new chunks are kept inactive and their files are vector_pending, to be
+    retried; any other failure ends the run. A file that can't be read or parsed keeps its chunks and is an
+    error, to be retried.
     """
     at, c = F.lit(now), s.change()
     # What follows reads these several times; with their lineage cut its plans stay small.
@@ -83,7 +86,9 @@ def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFram
     old = shared.checkpointed(s.read("chunks", parts, whole=True).join(paths.select("path"), mine, "left_semi"))
     vecs = s.read("vectors", parts).join(old.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     files = s.read("source_files", parts).join(paths.select("path"), "path", "left_semi")
-    new = chunking.chunked(records.filter("failed is null").select("source_path", "source_kind", "title", "text", "metadata"))
+    bad = shared.checkpointed(records.filter("failed is not null").groupBy(S.physical_path(F.col("source_path")).alias("path")).agg(F.first("failed").alias("failed")))
+    whole = records.filter("failed is null").join(bad.select("path"), F.col("path") == S.physical_path(F.col("source_path")), "left_anti")
+    new = chunking.chunked(whole.select("source_path", "source_kind", "title", "text", "metadata"))
     new = shared.checkpointed(new)
     staged = shared.checkpointed(store.upserted(old.select(store.CHUNKS.names), new, False, at, c.state.next_id))
     ids = staged.join(new.select(store.KEY), store.KEY, "left_semi").select(F.col("id").alias("chunk_id"), S.physical_path(F.col("source_path")).alias("physical_path"))
@@ -91,14 +96,16 @@ def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFram
     def written(chunks: DataFrame) -> DataFrame:
         return c.stage("chunks", chunks.withColumn("part", store.part_of(S.physical_path(F.col("source_path")))))
 
-    live = retired(store.activated(staged, ids, at)[0], paths, ids.withColumnRenamed("chunk_id", "id"), at)
+    live = retired(store.activated(staged, ids, at)[0], paths.join(bad, "path", "left_anti"), ids.withColumnRenamed("chunk_id", "id"), at)
     chunks, failure = written(live), None
     part = chunks.select(F.col("id").alias("chunk_id"), "part")
     kept = vecs.join(chunks.filter("active").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     try:
         fresh = embed(vectors.missing(chunks, kept)).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
         c.stage("vectors", kept.unionByName(fresh).join(part, "chunk_id"))
-    except Exception as e:
+    except (OSError, vectors.ClientError, PythonException) as e:
+        if isinstance(e, PythonException) and not vectors.unreachable(e):
+            raise
         failure = str(e)[:1000]
         chunks = written(pending(live, ids, at))
         kept = vecs.join(chunks.filter("active").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
@@ -106,7 +113,6 @@ def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFram
     c.stage("dead", old.select("id", F.lit(c.state.at).cast("long").alias("upto")))
     index = c.stage("postings", lexical.dealt(lexical.postings(chunks)))
     count = ids.groupBy(F.col("physical_path").alias("path")).agg(F.count("*").alias("n"))
-    bad = records.filter("failed is not null").groupBy(S.physical_path(F.col("source_path")).alias("path")).agg(F.first("failed").alias("failed"))
     ok = F.lit("indexed" if failure is None else "vector_pending")
     state = touched.join(count, "path", "left").join(bad, "path", "left").select(
         "path", F.col("kind").alias("source_kind"), "fingerprint", "size_bytes", "mtime_ns",

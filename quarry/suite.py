@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import context, filters, hybrid, lexical, store, vectors
+from .operators import context, filters, hybrid, lexical, quantized, store, vectors
 from .plans import corpus as P
+from .shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,6 +235,17 @@ def semantic_ctes(text: str, n: int, k: int, name: str = "") -> str:
 sem{name} AS (SELECT id, score FROM near{name} JOIN chunks USING (id) WHERE active ORDER BY score DESC, id LIMIT {n})"""
 
 
+@query("vec2_topk", """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT max(vec_id) FROM embeddings))
+SELECT vec_id AS chunk_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), e), 9) AS score FROM embeddings CROSS JOIN q ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), e) DESC, vec_id LIMIT 10""")
+def vec2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a quantized index, written like an ingest would, and the exact vectors of its best."""
+    v = P.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    q = v.orderBy(F.desc("chunk_id")).first()["embedding"]
+    path = new_path(spark, "quantized")
+    quantized.quantized(v, len(q)).write.parquet(path)
+    return quantized.nearest(spark.read.parquet(path), v, q, 10).withColumn("score", F.round("score", 9))
+
+
 @query("sem1_search", f"WITH {CHUNKS}, {embedded(P.DIM)}, {semantic_ctes(TEXT, 10, 80)} SELECT id AS chunk_id, source_path, substr(text, 1, 240) AS snippet, round(score, 9) AS score FROM sem JOIN chunks USING (id)")
 def sem1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.semantic(P.corpus(spark, sf_dir), TEXT, limit=10).select("chunk_id", "source_path", "snippet", F.round("score", 9).alias("score"))
@@ -402,9 +414,16 @@ def agg4_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.outcomes(P.source_files(spark, sf_dir))
 
 
-@query("agg6_usage", "SELECT CAST(sum(strlen(text)) AS BIGINT) AS total, 0::BIGINT AS tables, 0::BIGINT AS vectors, 0::BIGINT AS logs, CAST(sum(strlen(text)) AS BIGINT) AS other, CASE WHEN sum(strlen(text)) >= 12884901888 THEN 'hard_stop' WHEN sum(strlen(text)) >= 7516192768 THEN 'warning' ELSE 'ok' END AS state FROM documents")
+@query("agg6_usage", """WITH b AS (SELECT doc_id % 5 AS part, strlen(text) AS n FROM documents), u AS (
+  SELECT CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (part IN (0, 2)), 0) AS BIGINT) AS tables, CAST(coalesce(sum(n) FILTER (part = 1), 0) AS BIGINT) AS vectors,
+         CAST(coalesce(sum(n) FILTER (part = 3), 0) AS BIGINT) AS logs, CAST(coalesce(sum(n) FILTER (part = 4), 0) AS BIGINT) AS other FROM b)
+SELECT *, CASE WHEN total >= 12884901888 THEN 'hard_stop' WHEN total >= 7516192768 THEN 'warning' ELSE 'ok' END AS state FROM u""")
 def agg6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.usage(P.source_files(spark, sf_dir))
+    """The documents as files of a data folder, a fifth of them each in chunks, vectors, source_files, logs and elsewhere."""
+    d = P.table(spark, sf_dir, "documents")
+    names = F.array(*map(F.lit, ("data/chunks/%d.parquet", "data/vectors/%d.parquet", "data/Source_Files/%d.parquet", "data/run-%d.LOG", "data/%d.bin")))
+    path = F.replace(F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")), F.lit("%d"), F.col("doc_id").cast("string"))
+    return context.usage(d.select(path.alias("path"), F.octet_length("text").cast("long").alias("size_bytes")))
 
 
 @query("agg9_chunks_per_file", f"WITH {CHUNKS} SELECT source_path AS physical_path, count(*) AS chunks FROM chunks GROUP BY source_path")

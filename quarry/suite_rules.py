@@ -88,10 +88,10 @@ def scl8_type_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "events").select("event_id", S.normalized_type(kind).alias("file_type"))
 
 
-@query("scl10_iso_dates", "SELECT event_id, CAST(ts AS DATE) AS day, CAST(ts AS DATE) AS basic, CASE WHEN day(ts) <= 12 THEN make_date(2024, day(ts), 30) ELSE NULL END AS odd FROM events WHERE day(ts) <> 2")
+@query("scl10_iso_dates", "SELECT event_id, CAST(ts AS DATE) AS day, CAST(ts AS DATE) AS basic, TRY_CAST('2024-' || strftime(ts, '%d') || '-30' AS DATE) AS odd FROM events")
 def scl10_iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates with a time, as eight digits, and with day and month changed over, which may be none."""
-    e = P.table(spark, sf_dir, "events").filter(F.day("ts") != 2)
+    e = P.table(spark, sf_dir, "events")
     made = {"day": F.concat(F.lit(" "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), "basic": F.date_format("ts", "yyyyMMdd"), "odd": F.concat(F.lit("2024-"), F.date_format("ts", "dd"), F.lit("-30"))}
     return e.select("event_id", *[S.iso_date(v).alias(k) for k, v in made.items()])
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry import suite
 from quarry.functions import scalars as S
-from quarry.operators import chunking, context, filters, hybrid, lexical, match, store, vectors
+from quarry.operators import chunking, context, filters, hybrid, lexical, lookup, match, quantized, store, vectors
 from quarry.sources import extract, listing
 from quarry.streaming import ingest
 
@@ -291,6 +291,87 @@ def test_crawl_twice_change_and_delete(spark, tmp_path):
     assert [(j.id, j.status, j.indexed) for j in jobs] == [(1, "completed", 4), (2, "completed", 0), (3, "completed", 1)]
 
 
+def test_unreadable_files_keep_their_chunks(spark, tmp_path):
+    """A file that can't be read is an error with its last chunks in place, whatever its format; a retry takes it up."""
+    root = tmp_path / "data"
+    root.mkdir()
+    names = ("a.txt", "b.srt", "c.html", "d.txt")
+    for n in names:
+        (root / n).write_text(f"<p>first words of {n[0]}</p>")
+    s = store.Store(spark, str(tmp_path / "store"))
+    assert ingest.crawl(spark, s, [str(root)], T0)["indexed"] == 4
+    before = {r.source_path: r.id for r in s.read("chunks").filter("active").collect()}
+    for n in names[:3]:
+        (root / n).write_text(f"<p>later words of {n[0]}</p>")
+    real = listing.contents
+
+    def torn(files):
+        gone = F.endswith("path", F.lit("d.txt"))
+        return real(files).withColumn("failed", F.when(~gone, "OSError: input/output error")).withColumn("content", F.when(gone, F.col("content")))
+
+    listing.contents = torn
+    try:
+        out = ingest.crawl(spark, s, [str(root)], T0 + timedelta(days=1))
+    finally:
+        listing.contents = real
+    assert (out["indexed"], out["error"], out["unchanged"]) == (0, 3, 1)
+    assert {r.error for r in s.read("source_files").filter("status = 'error'").collect()} == {"OSError: input/output error"}
+    assert before == {r.source_path: r.id for r in s.read("chunks").filter("active").collect()} and consistent(s)
+    out = ingest.retry(s, T0 + timedelta(days=2))
+    assert (out["retried"], out["indexed"], out["error"]) == (3, 3, 0)
+    assert sum("later words" in r.text for r in s.read("chunks").filter("active").collect()) == 3 and consistent(s)
+    rows = listing.contents(spark.createDataFrame([(str(root / "none"), "normal_file"), (str(root / "a.txt"), "normal_file")], "path string, kind string")).collect()
+    assert [(r.content is None, r.failed) for r in rows] == [(True, "FileNotFoundError: No such file or directory"), (False, None)]
+
+
+def test_winners_by_pushed_ids(spark, tmp_path):
+    """The scan gets the ids, and passes over the row groups that have none of them."""
+    rows = spark.range(4000).select("id", F.concat(F.lit("text "), "id").alias("text"), F.lit(True).alias("active"))
+    path = str(tmp_path / "chunks")
+    lookup.by_id_order(rows.repartition(8), "id").write.option("maxRecordsPerFile", 100).parquet(path)
+    chunks = spark.read.parquet(path)
+    ids = [5, 6, 7, 1234, *range(2000, 2030), 3999]
+    hits = spark.createDataFrame([(k, i / 10) for i, k in enumerate(ids)], "chunk_id long, score double")
+    got = lookup.winners(chunks.filter("active"), hits)
+    assert {(r.chunk_id, r.text, r.score) for r in got.collect()} == {(k, f"text {k}", i / 10) for i, k in enumerate(ids)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "In(id" in plan.partition("PushedFilters")[2].partition("ReadSchema")[0]
+    few = lookup.by_ids(chunks, "id", ids).select("id")
+    few.collect()
+    leaves = few._jdf.queryExecution().executedPlan().collectLeaves()
+    read = sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+    assert len(ids) <= read <= 500  # of 4000 rows, in row groups of 100
+    assert lookup.by_ids(chunks, "id", []).count() == 0 and lookup.winners(chunks, hits.limit(0)).count() == 0
+
+
+def test_quantized_index(spark, tmp_path):
+    """Recall of the codes against exact search, bytes on disk, odd widths, faults, and empty tables."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    path, dim = str(tmp_path / "index"), 64
+    quantized.quantized(e, dim).write.parquet(path)
+    index = spark.read.parquet(path)
+    assert index.agg(F.max(F.octet_length("codes"))).first()[0] == dim // 2  # of 4 * dim bytes
+    queries = [r.embedding for r in e.filter("chunk_id % 50 = 7").collect()]
+    same = found = 0
+    for q in queries:
+        exact = [(r.chunk_id, r.score) for r in vectors.nearest(e, q, 10).collect()]
+        assert [(r.chunk_id, r.score) for r in quantized.nearest(index, e, q, 10).collect()] == exact
+        same += len({i for i, _ in exact} & {r.chunk_id for r in quantized.candidates(index, q, 20).collect()})
+        found += len(exact)
+    assert same / found >= 0.95  # two candidates a result are enough
+    odd = spark.createDataFrame([(1, [0.0, 0.0, 0.0]), (2, [1.0, -2.0, 0.5]), (3, [1.0, -2.0, 0.5]), (4, None)], "chunk_id long, embedding array<float>")
+    small = quantized.quantized(odd, 3)
+    assert [(r.chunk_id, round(r.score, 6)) for r in quantized.nearest(small, odd, [1.0, 1.0, 2.0], 3).collect()] == [(1, 0.0), (2, 0.0), (3, 0.0)]
+    assert quantized.nearest(small, odd, [1.0, 1.0, 2.0], 0).count() == 0 and quantized.nearest(small.limit(0), odd, [1.0, 1.0, 2.0], 5).count() == 0
+    for bad, dim in ((odd, 4), (spark.createDataFrame([(1, [float("nan"), 1.0])], "chunk_id long, embedding array<float>"), 2)):
+        with pytest.raises(Exception, match="expected|finite"):
+            quantized.quantized(bad, dim).collect()
+    with pytest.raises(Exception, match="expected"):
+        quantized.candidates(small, [1.0] * 9, 3).collect()
+    with pytest.raises(ValueError):
+        quantized.nearest(small, odd, [1.0, 1.0, 2.0], -1)
+
+
 def consistent(s):
     """Postings and totals are those of the live chunks."""
     c = s.read("chunks")
@@ -361,9 +442,17 @@ def test_failed_embedder_retry_and_rebuild(spark, tmp_path):
         (root / f"f{k}.txt").write_text(f"words of file {k}")
     s = store.Store(spark, str(tmp_path / "store"))
 
-    def down(chunks):
-        return chunks.select(F.col("id").alias("chunk_id"), F.array(F.raise_error(F.lit("no model")).cast("float")).alias("embedding"))
+    def broken(chunks):
+        return chunks.select(F.col("id").alias("chunk_id"), F.array(F.raise_error(F.lit("a fault")).cast("float")).alias("embedding"))
+
+    with pytest.raises(Exception, match="a fault"):  # no matter of the model's server
+        ingest.crawl(spark, s, [str(root)], T0, embed=broken)
+    assert s.read("source_files").count() == 0
+
+    def refused(model, texts):
+        raise vectors.ClientError("no model", 401)
 
+    down = vectors.ClientEmbedder(refused, ("m",), dim=32).chunks
     out = ingest.crawl(spark, s, [str(root)], T0, embed=down)
     assert out["indexed"] == 0 and {(r.status, "no model" in r.error) for r in s.read("source_files").collect()} == {("vector_pending", True)}
     assert {(r.active, r.vector_status) for r in s.read("chunks").collect()} == {(False, "vector_pending")}
