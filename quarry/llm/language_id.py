@@ -148,17 +148,22 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64, r
 
 
 def sample(docs: DataFrame, learn: Column, rows: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Texts and languages of a bounded sample of the rows where learn holds, evenly over languages.
+    """Texts and languages of a sample of at most `rows` rows where learn holds, evenly over languages.
+
+    If there are more than rows / LEAST languages, those with the most rows are learned.
 
     Rows are drawn by a hash of id and text: reruns agree, and rows that share an id (or have none) are
     drawn one by one. Of a text longer than CHARS a run that starts at a place drawn by the same hash.
     """
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    languages = known.select("lang").distinct().count()
+    most = max(1, rows // LEAST)
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
+    languages = counts.count()
     if not languages:
         return [], []
+    known = known.join(F.broadcast(counts.select("lang")), "lang")  # `most` rows
     draw = F.xxhash64("doc_id", "text", F.lit("sample"))
-    chosen = least_draws(known, "lang", draw, max(LEAST, rows // languages))
+    chosen = least_draws(known, "lang", draw, rows // languages)
     run = F.substring("text", (F.pmod(draw, F.greatest(F.lit(1), F.length("text") - CHARS + 1)) + 1).cast("int"), F.lit(CHARS))
     got = sorted(chosen.select(draw.alias("draw"), run.alias("text"), "lang").collect())
     return [r["text"] for r in got], [r["lang"] for r in got]

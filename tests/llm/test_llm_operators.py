@@ -507,6 +507,9 @@ def test_samples_are_bounded(spark):
     assert len({t for t, x in zip(texts, langs) if x == "fr"}) == 20
     model = language_id.train(df)
     assert len(model.languages) == 32 and model.head is not None and model.predict("mots ici none")[0] in model.languages
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("l"), F.when(F.col("id") < 10_000, F.col("id")).otherwise(F.col("id") % 40)).alias("lang"))
+    texts, langs = language_id.sample(many, F.lit(True), 640)
+    assert len(texts) == 640 and set(langs) == {f"l{k}" for k in sorted(range(40), key=lambda k: f"l{k}")[:32]}
     long = df.limit(1).withColumn("text", F.repeat(F.lit("word "), F.lit(100_000)))
     assert len(language_id.sample(long, F.lit(True))[0][0]) == language_id.CHARS
     labels = spark.createDataFrame([(7, 1)] * n + [(None, 0)] * n + [(k, 0) for k in range(100, 130)], "doc_id long, quality int")
