@@ -41,13 +41,13 @@ LOG = 25
 #: Counters that are sent as one row.
 BLOCK = 1 << 16
 #: Phrases that are compiled at once; about 160 bytes each in a worker.
-SHARD = 1_000_000
+SHARD = 700_000
 #: Characters of text that are joined to one block of work, if they are of the same language, and that wait for it in all.
-JOINED, WAITING = 2 << 20, 8 << 20
+JOINED, WAITING = 1 << 18, 8 << 20
 #: Bytes that are hashed at once; longer words are hashed one by one.
 SPAN = CHUNK // 8
 #: Words and phrases that a task holds before it passes them on.
-HELD = 300_000
+HELD = 100_000
 _WORD = np.ones(256, np.uint8)
 _WORD[list(b" \t.,;:!?\n\x0b\x0c\r")] = 0
 _CUT = np.zeros(256, np.uint8)
@@ -55,6 +55,10 @@ _CUT[list(b".,;:!?\n\x0b\x0c\r")] = 1
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: The automata that this worker holds, by the name of their shard.
+_HELD: dict[str, tuple[dict[str, object], np.ndarray]] = {}
+
+
 class Block:
     """Texts of one language: where their words are, hashes of words (h[0]), pairs and triples, and where these lie in a piece."""
 
@@ -95,8 +99,10 @@ class Block:
             h = run_hashes(part, starts, ends)
         return starts + lo, ends + lo, h
 
-    def phrase(self, i: int, words: int) -> str:
-        return b" ".join(self.data[s:e] for s, e in zip(self.starts[i : i + words], self.ends[i : i + words], strict=True)).decode()
+    def phrases(self, at: np.ndarray, words: int) -> list[str]:
+        """The words that begin at these places, joined by one space."""
+        data = self.data
+        return [b" ".join(data[s:e].split()).decode() for s, e in zip(self.starts[at].tolist(), self.ends[at + words - 1].tolist(), strict=True)]
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -153,6 +159,7 @@ def sketch(texts: DataFrame, hashes: Callable[[Block], list[np.ndarray]], least:
     """Counters of all hashes, summed over the tasks, as the bits of those that reach least."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _HELD.clear()  # of an earlier table
         counters = np.zeros(2 << log, np.uint16)
         for block in blocks(batches):
             for h in hashes(block):
@@ -199,21 +206,23 @@ def listed(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
             for k, may in enumerate(passing(block, pairs.value, triples.value), 1):
                 at = np.flatnonzero(may)
                 hashes, first, n = np.unique(block.h[k - 1][at], return_index=True, return_counts=True)
-                for h, i, m in zip(hashes.tolist(), at[first].tolist(), n.tolist(), strict=True):
-                    if k == 1:
-                        if (held := words.get(h)) is None:
-                            words[h] = [block.lang, block.phrase(i, 1), 1, 0, m]
-                        else:
-                            held[4] += m
-                    elif h not in seen:
-                        seen.add(h)
-                        rows.append((block.lang, block.phrase(i, k), k, int(block.part[i]), None))
+                known, counts = hashes.tolist(), n.tolist()
+                new = np.array([h not in (words if k == 1 else seen) for h in known], bool)
+                fresh = at[first[new]]
+                if k == 1:
+                    for h, phrase in zip(hashes[new].tolist(), block.phrases(fresh, 1), strict=True):
+                        words[h] = [block.lang, phrase, 1, 0, 0]
+                    for h, m in zip(known, counts, strict=True):
+                        words[h][4] += m
+                else:
+                    seen.update(hashes[new].tolist())
+                    rows += [(block.lang, phrase, k, part, None) for phrase, part in zip(block.phrases(fresh, k), block.part[fresh].tolist(), strict=True)]
             if len(words) > HELD:
                 rows += words.values()
                 words = {}
             if len(seen) > 4 * HELD:
                 seen = set()
-            if len(rows) > HELD // 4:
+            if len(rows) > HELD // 2:
                 yield packed(rows)
                 rows = []
         if rows := [*rows, *words.values()]:
@@ -223,10 +232,6 @@ def listed(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
     return found.groupBy("lang", "phrase", "words", "part").agg(F.sum("n").alias("n"))
 
 
-#: The automata that this worker holds, by the name of their shard.
-_HELD: dict[str, tuple[dict[str, object], np.ndarray]] = {}
-
-
 def compiled(name: str, shard: Broadcast) -> tuple[dict[str, object], np.ndarray]:
     """An automaton for each language of the shard, and the ids of its phrases; those of another shard go first."""
     if name not in _HELD:
@@ -234,11 +239,13 @@ def compiled(name: str, shard: Broadcast) -> tuple[dict[str, object], np.ndarray
 
         _HELD.clear()
         phrases, automata = pa.ipc.open_stream(shard.value).read_all(), {}
-        for k, (lang, phrase) in enumerate(zip(phrases.column("lang"), phrases.column("phrase"), strict=True)):
-            lang = lang.as_py()
-            if lang not in automata:
-                automata[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            automata[lang].add_word(f" {phrase.as_py()} ", k)
+        k = 0
+        for batch in phrases.to_batches(max_chunksize=50_000):
+            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
+                if lang not in automata:
+                    automata[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+                automata[lang].add_word(f" {phrase} ", k)
+                k += 1
         for automaton in automata.values():
             automaton.make_automaton()
         _HELD[name] = automata, phrases.column("id").to_numpy()

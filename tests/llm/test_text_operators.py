@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import duckdb
+import numpy as np
 import pytest
 
 from quarry.llm import audit, collocations, common, pieces
@@ -204,7 +205,7 @@ def test_long_words_and_texts(monkeypatch):
     data = ["a " * 100 + "w" * 200 + " b. c " + "w" * 200, "v" * 64 + " " + "w" * 200, "é" * 90]
     block = collocations.Block("en", data)
     words = [w for t in data for p in t.split(".") for w in p.split()]
-    assert [block.phrase(k, 1) for k in range(len(words))] == words
+    assert block.phrases(np.arange(len(words)), 1) == words
     same = defaultdict(set)
     for w, h in zip(words, block.h[0].tolist(), strict=True):
         same[w].add(h)
