@@ -20,6 +20,7 @@ any length are whole. Columns but text and lang are left out.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from operator import itemgetter
@@ -46,8 +47,8 @@ SHARD = 700_000
 JOINED, WAITING = 1 << 18, 8 << 20
 #: Bytes that are hashed at once; longer words are hashed one by one.
 SPAN = CHUNK // 8
-#: Words and phrases that a task holds before it passes them on.
-HELD = 100_000
+#: Words, and phrases' hashes, that a task holds before it passes them on or forgets them.
+WORDS_HELD, PHRASES_HELD = 250_000, 1_500_000
 _WORD = np.ones(256, np.uint8)
 _WORD[list(b" \t.,;:!?\n\x0b\x0c\r")] = 0
 _CUT = np.zeros(256, np.uint8)
@@ -157,6 +158,7 @@ def passing(block: Block, pairs: Passed, triples: Passed | None = None) -> list[
 
 def sketch(texts: DataFrame, hashes: Callable[[Block], list[np.ndarray]], least: int, log: int) -> Passed:
     """Counters of all hashes, summed over the tasks, as the bits of those that reach least."""
+    top = min(least, 255)  # what is above makes no difference
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _HELD.clear()  # of an earlier table
@@ -171,16 +173,16 @@ def sketch(texts: DataFrame, hashes: Callable[[Block], list[np.ndarray]], least:
         for k in range(0, len(counters), BLOCK):
             part = counters[k : k + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())], names=["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([zlib.compress(np.minimum(part, top).astype(np.uint8).tobytes(), 1)], pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
                 own = sums.setdefault(block, np.zeros(BLOCK, np.uint16))
-                np.minimum(own + np.frombuffer(counts.as_buffer(), np.uint8), 255, out=own)
+                np.minimum(own + np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint8), top, out=own)
         for block, own in sums.items():
-            bits = np.packbits(own >= min(least, 255), bitorder="little").tobytes()
+            bits = np.packbits(own >= top, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], names=["block", "bits"])
 
     parts = texts.mapInArrow(count, "block int, counts binary").repartition(width(texts.sparkSession), "block")
@@ -217,12 +219,12 @@ def listed(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
                 else:
                     seen.update(hashes[new].tolist())
                     rows += [(block.lang, phrase, k, part, None) for phrase, part in zip(block.phrases(fresh, k), block.part[fresh].tolist(), strict=True)]
-            if len(words) > HELD:
+            if len(words) > WORDS_HELD:
                 rows += words.values()
                 words = {}
-            if len(seen) > 4 * HELD:
+            if len(seen) > PHRASES_HELD:
                 seen = set()
-            if len(rows) > HELD // 2:
+            if len(rows) > 50_000:
                 yield packed(rows)
                 rows = []
         if rows := [*rows, *words.values()]:
