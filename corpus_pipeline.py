@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are 0.8 alike or more; by the estimate of larger sets, some from 0.72 on too."""
+    """One document of each group whose sets of five-word shingles are 0.8 alike or more."""
     return simhash.deduplicated(docs).select(docs.columns)
 
 

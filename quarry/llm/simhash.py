@@ -12,7 +12,10 @@ moves are then composed. A hub is a key on one side of plain joins only, which a
 in every block of a shingle fingerprint that is wide enough to tell unlike texts apart. Its blocks are
 therefore of least hashes of the shingle set: two sets share one with their likeness as probability,
 whether words are changed here and there or a whole passage is added, cut off or replaced, and whatever
-the length. Links are verified on a fingerprint of shingles, or where a set is small on the sets themselves.
+the length. A fingerprint of shingles sorts out most pairs of a block that are not alike; what it lets pass
+makes loose groups, and inside those every link is verified on the sets of shingles themselves, whatever
+their size. Only the texts of loose groups are read again, each into one cell; groups of more than a cell
+are contracted first, so that only what is still apart meets as a grid of cells.
 
 Null texts count as empty. Texts of any length are read whole. Equal texts have equal fingerprints and
 are one node. Rows with a null id belong to their group, whose id is its smallest non-null one (null if
@@ -22,7 +25,7 @@ left out by `linked`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import acos, pi
 
@@ -40,14 +43,16 @@ from .vectext import bit_votes, chunks, mixed, run_hashes, runs
 CELL = 1024
 SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8
-#: By so much the distance that the similarity stands for is widened: 1.6 standard deviations of the estimate from FINE words.
-SLACK = 1.12
+#: By so much the distance that the similarity stands for is widened for loose links: four standard deviations of the estimate from FINE words.
+SLACK = 1.3
 #: Words of 64 bits in the shingle fingerprint of `deduplicated`.
 FINE = 16
 #: Blocks of `deduplicated` and least hashes in each: sets that are 0.8 alike share a block with a chance of 1 - (1 - 0.8**6)**30 = 0.9999.
 BLOCKS, ROWS = 30, 6
-#: A set of so many shingles or fewer is compared exactly; those that can be alike to one of them are kept for it.
-SMALL = 50
+#: The estimate is not asked about sets of so many shingles or fewer: all that share a block with one are verified.
+SMALL = 64
+#: Bytes of text in a cell in which sets are compared, on average.
+CELL_BYTES = 1 << 24
 _SPACE = np.array([c in b" \t\n\r\x0b\x0c" for c in range(256)])
 _SALTS = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ORDERS = mixed(np.arange(101, 101 + BLOCKS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -98,27 +103,50 @@ def block_keys(h: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def alike(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """Where the sets, rows of distinct hashes filled up with zeros, have so large a likeness; two empty ones have it."""
-    a, b = (left != 0).sum(axis=1), (right != 0).sum(axis=1)
-    both = np.sort(np.concatenate((left, right), axis=1), axis=1)
-    common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != 0)).sum(axis=1)
-    return common >= similarity * (a + b - common) - 1e-9
+def alike(left: np.ndarray, right: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, sorted, have so large a likeness; two empty ones have it."""
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return common >= similarity * (len(left) + len(right) - common) - 1e-9
 
 
-def links(prints: DataFrame, most: int, similarity: float | None = None) -> DataFrame:
-    """a, b: nodes that share a key and are near, as one link a row and task.
+def joined(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """The clusters of rows a and b become one; first: the first row of each row's cluster."""
+    while (first[a] != first[b]).any():
+        low = np.minimum(first[a], first[b])
+        np.minimum.at(first, first[a], low)
+        np.minimum.at(first, first[b], low)
+        while (first[first] != first).any():
+            first[:] = first[first]
 
-    prints: node, print (bytes), keys (array of long), nodes distinct. Near are those within `most` bits;
-    where both have `few` (their set of hashes, null if it is large), those whose sets are alike instead.
-    """
-    more = ["few"] if similarity is not None else []
-    rows = prints.select("node", "print", *more, F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    mine = F.pmod(F.xxhash64("node", "key"), F.col("cells")).cast("int")
-    rows = rows.join(shared, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    cell = [F.col("key"), F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")]
-    dealt = rows.select(*cell, "node", "print", *more).repartition(width(prints.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+def pairs_apart(group: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Step by step the pairs of rows of one group that are not of one cluster yet; the caller joins clusters in between."""
+    at, step = np.arange(len(group)), 1
+    while True:
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            return
+        ask = at[first[at] != first[at + step]]
+        yield ask, ask + step
+        step += 1
+
+
+def to_first(node: pa.ChunkedArray, first: np.ndarray) -> pa.RecordBatch:
+    """A link from each row to the first one of its cluster."""
+    i, node = np.flatnonzero(first != np.arange(len(first))), node.combine_chunks()
+    return pa.RecordBatch.from_arrays([node.take(pa.array(first[i])), node.take(pa.array(i))], names=["a", "b"])
+
+
+def by_cell(cell: list[str], cells: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives whole cells of rows, sorted by the cell's columns, with a number for each row's cell."""
+
+    def group_of(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, np.int64)
+        for c in cell:
+            k = t[c].combine_chunks().dictionary_encode().indices.to_numpy()
+            new[1:] |= k[1:] != k[:-1]
+        return np.cumsum(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -127,51 +155,105 @@ def links(prints: DataFrame, most: int, similarity: float | None = None) -> Data
             group = group_of(kept)
             whole = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last cell may go on
             if whole:
-                yield clustered(kept.slice(0, whole), group[:whole])
+                yield from cells(kept.slice(0, whole), group[:whole])
                 kept = kept.slice(whole)
         if kept is not None and kept.num_rows:
-            yield clustered(kept, group_of(kept))
+            yield from cells(kept, group_of(kept))
 
-    def group_of(t: pa.Table) -> np.ndarray:
-        k = np.stack([t[c].to_numpy().astype(np.int64) for c in ("key", "low", "high")])
-        return np.concatenate(([0], np.cumsum((k[:, 1:] != k[:, :-1]).any(axis=0)))) if t.num_rows else np.zeros(0, np.int64)
+    return run
+
+
+def grid(rows: DataFrame, key: str, cells: DataFrame) -> DataFrame:
+    """rows dealt out and sorted by key, low, high: the pairs of a key's cells. cells: key, cells."""
+    mine = F.pmod(F.xxhash64("node", key), F.col("cells")).cast("int")
+    rows = rows.join(cells, key).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    cell = [F.col(key), F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")]
+    more = [c for c in rows.columns if c not in (key, "cells", "mine", "other")]
+    return in_cells(rows.select(*cell, *more), key, "low", "high")
 
-    def clustered(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+
+def in_cells(rows: DataFrame, *cell: str) -> DataFrame:
+    return rows.repartition(width(rows.sparkSession), *cell).sortWithinPartitions(*cell)
+
+
+def links(prints: DataFrame, most: int, similarity: float | None = None) -> DataFrame:
+    """a, b: nodes that share a key and are near, as one link a row and task.
+
+    prints: node, print (bytes), keys (array of long), nodes distinct. Near are those within `most` bits.
+    With a similarity, links are loose: prints has `size` (of the set), pairs whose sizes rule the similarity
+    out are not near, and those with a SMALL set are near without a look at the bits.
+    """
+    more = ["size"] if similarity is not None else []
+    rows = prints.select("node", "print", *more, F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"), F.count("*").alias("n")).filter("n > 1").drop("n")
+
+    def clustered(t: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(b"".join(t["print"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        exact, sets = np.zeros(len(group), bool), np.zeros((len(group), 0), np.uint64)
-        if more:
-            few = t["few"].to_pylist()
-            exact = np.array([x is not None for x in few])
-            sets = np.zeros((len(group), max((len(x) // 8 for x in few if x is not None), default=0)), np.uint64)
-            for k, x in enumerate(few):
-                if x:
-                    sets[k, : len(x) // 8] = np.frombuffer(x, np.uint64)
-        small = exact & ((sets != 0).sum(axis=1) <= SMALL)
-        at, step, first = np.arange(len(group)), 1, np.arange(len(group))
-        while True:
-            at = at[at + step < len(group)]
-            at = at[group[at] == group[at + step]]
-            if not len(at):
-                break
-            ask = at[first[at] != first[at + step]]  # the others are one cluster already
-            both = exact[ask] & exact[ask + step]
-            near = np.bitwise_count(bits[ask] ^ bits[ask + step]).sum(axis=1, dtype=np.int64) <= most
-            near[both] = alike(sets[ask[both]], sets[ask[both] + step], similarity)
-            near[(small[ask] | small[ask + step]) & ~both] = False  # a large set is unlike a small one
-            a = ask[near]
-            while (first[a] != first[a + step]).any():
-                low = np.minimum(first[a], first[a + step])
-                np.minimum.at(first, first[a], low)
-                np.minimum.at(first, first[a + step], low)
-                while (first[first] != first).any():
-                    first = first[first]
-            step += 1
-        i = np.flatnonzero(first != np.arange(len(group)))
-        node = t["node"].combine_chunks()
-        return pa.RecordBatch.from_arrays([node.take(pa.array(first[i])), node.take(pa.array(i))], names=["a", "b"])
+        first = np.arange(len(group))
+        size = t["size"].to_numpy() if more else first
+        for a, b in pairs_apart(group, first):
+            near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most
+            if more:
+                low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                near = (near | (low <= SMALL)) & (low >= similarity * high - 1e-9)
+            joined(first, a[near], b[near])
+        yield to_first(t["node"], first)
 
     kind = prints.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return grid(rows, "key", shared).mapInArrow(by_cell(["key", "low", "high"], clustered), f"a {kind}, b {kind}")
+
+
+def alike_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b: links that make one component of the nodes of a group that are joined by texts so alike.
+
+    texts: node, root (its group), text; nodes distinct. Each row is in one cell at first. Groups of several
+    cells go on: one node of each cluster meets those of the other cells, and only groups that are still
+    apart then are compared whole, as a grid of cells.
+    """
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        n = F.greatest(F.count("*") / CELL, F.sum(F.octet_length("text")) / CELL_BYTES)
+        return rows.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(n)).cast("int").alias("cells"))
+
+    def clustered(t: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1)).tolist()
+        for start, stop in zip(edges, edges[1:]):  # one cell's sets at a time
+            part = t.slice(start, stop - start)
+            label = part["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+            first = np.unique(label, return_index=True)[1][label]
+            known = first.copy()
+            if not known.any():
+                continue
+            sets = [shingles(x or "", shingle) for x in part["text"].to_pylist()]
+            size = np.array([len(x) for x in sets])
+            for a, b in pairs_apart(np.zeros(len(sets), np.int64), first):
+                can = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+                a, b = a[can], b[can]
+                near = np.array([alike(sets[i], sets[j], similarity) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+                joined(first, a[near], b[near])
+            yield to_first(part["node"], first)
+
+    def compared(dealt: DataFrame, name: str) -> DataFrame:
+        return written(dealt.mapInArrow(by_cell(["root", "low", "high"], clustered), "a string, b string"), name)
+
+    def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        label = components(found).withColumnRenamed("root", "label")
+        return rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    cells = written(sizes(texts), "cells")
+    low = F.pmod(F.xxhash64("node", "root"), F.col("cells")).cast("int")
+    single = texts.join(cells, "root").select("root", low.alias("low"), low.alias("high"), "node", F.col("node").alias("label"), "text")
+    found = compared(in_cells(single, "root", "low", "high"), "near")
+    many = cells.filter("cells > 1").select("root")
+    if many.isEmpty():
+        return found
+    large = texts.join(many, "root", "left_semi")
+    heads = labelled(large, found).filter(F.col("label") == F.col("node"))
+    found = found.union(compared(grid(heads, "root", sizes(heads)), "near-heads"))
+    rows = labelled(large, found)
+    apart = rows.groupBy("root").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("root")
+    rows = rows.join(apart, "root", "left_semi")
+    return found.union(compared(grid(rows, "root", sizes(rows)), "near-rest"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,20 +321,25 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     """docs with one document of each group of equal or near texts: the one with the smallest id."""
     most = int(64 * FINE * (acos(2 * similarity / (1 + similarity)) / pi) * SLACK)
 
-    @F.pandas_udf("keys array<long>, print binary, few binary")
+    @F.pandas_udf("keys array<long>, print binary, size int")
     def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             out = []
             for text in texts:
                 h = shingles(text or "", shingle)
-                out.append((block_keys(h), set_print(h, FINE), h.tobytes() if len(h) <= SMALL / similarity else None))
-            yield pd.DataFrame(out, columns=["keys", "print", "few"])
+                out.append((block_keys(h), set_print(h, FINE), len(h)))
+            yield pd.DataFrame(out, columns=["keys", "print", "size"])
 
     text = F.coalesce("text", F.lit(""))
     rows = written(spread(docs.select("doc_id", "text")).select("doc_id", F.md5(text).alias("node"), prints(text).alias("p")).select("doc_id", "node", "p.*"), "prints")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("keys", "print", "few")).alias("p")).select("node", "first", "p.*")
-    found = components(links(nodes, most, similarity))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("keys", "print", "size")).alias("p")).select("node", "first", "p.*")
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    loose = written(components(links(nodes, most, similarity)).join(firsts, "node"), "loose")
+    # Texts of loose groups only, each once; on text and id, so that copies of a text with other ids are dealt over all tasks.
+    meant = docs.select(F.col("doc_id").alias("__id"), text.alias("text")).withColumn("node", F.md5("text"))
+    once = meant.join(loose, ["node"]).filter(F.col("__id").eqNullSafe(F.col("first")))
+    texts = written(once.groupBy("node", "root").agg(F.first("text").alias("text")), "texts")
+    found = components(alike_links(texts, shingle, similarity))
     best = firsts.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("first", "node").alias("best")).groupBy("root").agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.node").alias("__best"), F.col("best.first").alias("__first"))
     mine = docs.withColumn("__node", F.md5(text))

@@ -318,6 +318,44 @@ def test_deduplicated_short_texts(spark):
     assert 200 < sum(want) < 700 and not wrong and lost <= 0.005 * sum(want)
 
 
+def test_deduplicated_is_exact(spark):
+    """A passage appended to texts of 5 to 5,000 words: under 0.8 all stay, from 0.8 on one goes."""
+    rng = random.Random(21)
+    rows, want = [], []
+    for size in (5, 12, 30, 64, 100, 300, 1000, 5000):
+        for likeness in (0.70, 0.74, 0.78, 0.79, 0.795, 0.8, 0.805, 0.82, 0.86):
+            for _ in range(6 if size < 1000 else 2):
+                words = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+                more = round((size - 4) / likeness - (size - 4))
+                texts = [" ".join(words), " ".join(words + [f"x{rng.randrange(10**9)}" for _ in range(more)])]
+                a, b = map(five_words, texts)
+                want.append(texts[0] == texts[1] or len(a & b) >= 0.8 * len(a | b))
+                rows += [(len(rows) + c, t) for c, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in kept for k in range(len(want)))
+    gone = [2 * k + 1 not in kept for k in range(len(want))]
+    assert not any(g and not w for g, w in zip(gone, want, strict=True))
+    lost = sum(w and not g for g, w in zip(gone, want, strict=True))
+    assert sum(want) > 100 and lost <= 1
+
+
+def test_deduplicated_large_groups(spark, monkeypatch):
+    """Groups far larger than a cell: copies of one text, and a chain whose ends are unlike, beside texts that are only loosely alike."""
+    monkeypatch.setattr(simhash, "CELL", 8)
+    rng = random.Random(22)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[:100], f"own{k}"])) for k in range(60)]
+    walk = [f"c{k}" for k in range(400)]
+    rows += [(100 + k, " ".join(walk[5 * k : 5 * k + 100])) for k in range(50)]  # neighbours are alike, far ones not
+    rows += [(200 + k, " ".join([*base[:88], *(f"y{k}z{rng.randrange(10**9)}" for _ in range(14))])) for k in range(30)]  # 0.72 to the copies and among themselves
+    rng.shuffle(rows)
+    sets = {i: five_words(t) for i, t in rows}
+    root = brute_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(root.values())
+    assert len(kept) == 32
+
+
 def test_components_chain(spark):
     n = 300
     chain = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
