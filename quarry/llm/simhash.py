@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .audit import possible
 from .common import checkpointed, spread, table, width, written
 from .vectext import bit_votes, chunks, mixed, run_hashes, runs
 
@@ -336,8 +337,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     loose = written(components(links(nodes, most, similarity)).join(firsts, "node"), "loose")
     # Texts of loose groups only, each once; on text and id, so that copies of a text with other ids are dealt over all tasks.
-    meant = docs.select(F.col("doc_id").alias("__id"), text.alias("text")).withColumn("node", F.md5("text"))
-    once = meant.join(loose, ["node"]).filter(F.col("__id").eqNullSafe(F.col("first")))
+    meant = docs.select(F.col("doc_id").alias("__id"), text.alias("text")).withColumn("node", F.md5("text")).withColumn("__key", F.xxhash64("node", "__id"))
+    once = possible(meant, loose.select(F.xxhash64("node", "first").alias("__key")), "__key").join(loose, ["node"]).filter(F.col("__id").eqNullSafe(F.col("first")))
     texts = written(once.groupBy("node", "root").agg(F.first("text").alias("text")), "texts")
     found = components(alike_links(texts, shingle, similarity))
     best = firsts.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("first", "node").alias("best")).groupBy("root").agg(F.min("best").alias("best"))
