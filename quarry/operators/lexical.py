@@ -1,8 +1,9 @@
 """Lexical search: postings, BM25 and match expressions.
 
 Postings are one row a term and chunk: the term's positions, the chunk's length, and whether it is active.
-They are made inside the chunk's row and written once, in folders by a hash of the term, sorted by term, so
-that a query reads only its terms' folders and row groups. A query gathers the postings of a chunk by one
+They are made inside the chunk's row and written once, in folders by a hash of the term's first characters,
+sorted by term, so that a query reads only its terms' folders and row groups; all terms of a prefix of LEAD
+characters or more are in one folder. A query gathers the postings of a chunk by one
 exchange and judges phrases, proximity and the whole expression inside the row. Totals (chunks and tokens,
 active or not) come with the index; inactive chunks are dropped after scoring.
 """
@@ -29,6 +30,8 @@ TEXT_AT = 1 << 24
 SNIPPET_WORDS = 8
 #: Folders of written postings, and how many chunk ids in a row share a file of each: a frequent term is in many files.
 BUCKETS, IDS_A_FILE = 32, 1 << 22
+#: Characters of a term that its folder depends on; shorter prefixes are looked for in all folders.
+LEAD = 3
 POSTINGS = "term string, chunk_id long, positions array<int>, len int, active boolean"
 _ROWS = 256
 
@@ -83,13 +86,13 @@ def totals(chunks: DataFrame, index: DataFrame) -> Totals:
 
 
 def bucket(term: str) -> int:
-    return zlib.crc32(term.encode()) % BUCKETS
+    return zlib.crc32(term[:LEAD].encode()) % BUCKETS
 
 
 def dealt(index: DataFrame) -> DataFrame:
     """postings with their bucket, dealt out and sorted as they are written: `.write.partitionBy("bucket")`."""
     file = F.floor(F.col("chunk_id") / IDS_A_FILE)
-    return index.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")).repartition("bucket", file).sortWithinPartitions("bucket", "term", "chunk_id")
+    return index.withColumn("bucket", (F.crc32(F.substring("term", 1, LEAD).cast("binary")) % BUCKETS).cast("int")).repartition("bucket", file).sortWithinPartitions("bucket", "term", "chunk_id")
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -97,6 +100,16 @@ def term_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("tf"))
 
 
+def dictionary(index: DataFrame) -> DataFrame:
+    """term_statistics as they are written beside the postings: ranges of terms, sorted, so that a term or a prefix is in a few row groups."""
+    return term_statistics(index).repartitionByRange("term").sortWithinPartitions("term")
+
+
+def terms_of(terms: DataFrame, prefix: str) -> DataFrame:
+    """The dictionary's entries that begin with prefix: a pushed filter on sorted files."""
+    return terms.filter(F.col("term").startswith(prefix))
+
+
 def bm25(f: Column, n: Column, total: Column, length: Column, mean: Column) -> Column:
     """The weight of one phrase in one chunk; lower is better."""
     idf = F.log((total - n + 0.5) / (n + 0.5))
@@ -128,7 +141,7 @@ def matched(index: DataFrame, total: Totals, *texts: str | Expression) -> DataFr
     for w in {w for w, prefix in slots if prefix}:
         wanted |= F.col("term").startswith(w)
     index = index.filter(wanted)
-    if "bucket" in index.columns and not any(prefix for _, prefix in slots):
+    if "bucket" in index.columns and all(len(w) >= LEAD for w, prefix in slots if prefix):
         index = index.filter(F.col("bucket").isin(sorted({bucket(w) for w, _ in slots})))
     mine = [F.flatten(F.collect_list(F.when(here, F.col("positions")))).alias(f"s{k}") for k, here in enumerate(is_slot)]
     rows = index.groupBy("chunk_id").agg(F.first("active").alias("active"), F.first("len").alias("len"), *mine)

@@ -76,6 +76,7 @@ class Built:
     chunks: str
     postings: str
     vectors: str
+    terms: str
     totals: lexical.Totals
 
 
@@ -83,14 +84,16 @@ _BUILT: dict[tuple[str, str, str], Built] = {}
 
 
 def build(spark: SparkSession, sf_dir: str, name: str = "documents") -> Built:
-    """Write the tables of a search: chunks, postings by term, and vectors."""
-    paths = [new_path(spark, f"{name}-{x}") for x in ("chunks", "postings", "vectors")]
+    """Write the tables of a search: chunks, postings by term, vectors, and the dictionary of terms."""
+    paths = [new_path(spark, f"{name}-{x}") for x in ("chunks", "postings", "vectors", "terms")]
     rows = chunked_documents(spark, sf_dir) if name == "documents" else mixed_chunks(spark, sf_dir)
     lookup.by_id_order(rows, "id").write.parquet(paths[0])
     chunks = spark.read.parquet(paths[0])
     lexical.dealt(lexical.postings(chunks)).write.partitionBy("bucket").parquet(paths[1])
     lookup.by_id_order(vectors.embedded(chunks, DIM), "chunk_id").write.parquet(paths[2])
-    return Built(*paths, lexical.totals(chunks, spark.read.parquet(paths[1])))
+    index = spark.read.parquet(paths[1])
+    lexical.dictionary(index).write.parquet(paths[3])
+    return Built(*paths, lexical.totals(chunks, index))
 
 
 def built(spark: SparkSession, sf_dir: str, name: str = "documents") -> Built:
@@ -104,6 +107,11 @@ def chunk_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> Da
     return spark.read.parquet(built(spark, sf_dir, name).chunks)
 
 
+def terms(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """The dictionary: term, df, tf."""
+    return spark.read.parquet(built(spark, sf_dir, name).terms)
+
+
 def query_vector(text: str, dim: int = DIM) -> list[float]:
     """The hash embedding of a query, on the driver."""
     h = hashlib.sha256(text.encode()).digest()

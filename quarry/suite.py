@@ -142,7 +142,7 @@ def scl16_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg11_terms", f"WITH {TERMS} SELECT term, count(*) AS df, CAST(sum(f) AS BIGINT) AS tf FROM term GROUP BY term")
 def agg11_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.term_statistics(P.corpus(spark, sf_dir).postings)
+    return P.terms(spark, sf_dir)
 
 
 def scores(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import os
+import re
 import sqlite3
 import zipfile
 import zlib
@@ -93,6 +94,27 @@ def test_match_language_like_fts5(spark, text):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("text, folders", [("quick*", {"qui"}), ("qui* OR fox", {"qui", "fox"}), ("émi* OR 東京都*", {"emi", "東京都"}), ("qu*", None), ("fox OR q*", None)])
+def test_prefix_folders(spark, tmp_path, text, folders):
+    """A prefix reads the folder of its first characters only, a shorter one all of them; the results are those of an index without folders."""
+    c = chunks_of(spark, [*TEXTS, "émile quit quiz", "東京都庁 qu q"])
+    index, total = indexed(c)
+    lexical.dealt(index).write.partitionBy("bucket").parquet(str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    got = lexical.matched(stored, total, text)
+    want = {r.chunk_id: round(r.score, 9) for r in lexical.matched(index, total, text).collect()}
+    assert want and {r.chunk_id: round(r.score, 9) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan)
+    if folders is None:
+        assert not any("bucket" in f for f in filters)
+    else:
+        assert filters and all(all(str(lexical.bucket(w)) in f for w in folders) for f in filters)
+    terms = lexical.dictionary(stored)
+    assert sorted(r.term for r in lexical.terms_of(terms, "qui").collect()) == sorted({r.term for r in index.collect() if r.term.startswith("qui")})
+    assert terms.exceptAll(lexical.term_statistics(index)).isEmpty() and lexical.dictionary(stored.limit(0)).isEmpty()
+
+
 def test_inactive_rows_count_in_statistics_only(spark):
     c = chunks_of(spark, TEXTS, inactive={1})
     got = lexical.lexical_search(c, *indexed(c), "quick").orderBy("rank").collect()
