@@ -50,8 +50,9 @@ class Totals:
         return Totals(self.chunks - other.chunks, self.tokens - other.tokens)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, positions, len, active. Grouped inside each row, without an exchange."""
+def postings(chunks: DataFrame, *carried: str) -> DataFrame:
+    """term, chunk_id, positions, len, active, and columns of the chunk that are carried along. Grouped inside each row, without an exchange."""
+    types = {f.name: f.dataType.simpleString() for f in chunks.select(*carried).schema} if carried else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,11 +74,12 @@ def postings(chunks: DataFrame) -> DataFrame:
                 row = pa.array([k for k, (n, _) in enumerate(counts) for _ in range(n)], pa.int32())
                 lens = pa.array([n for _, n in counts], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(terms, pa.string()), part.column("id").take(row), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), lens.take(row), part.column("active").take(row)],
-                    names=["term", "chunk_id", "positions", "len", "active"],
+                    [pa.array(terms, pa.string()), part.column("id").take(row), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), lens.take(row), part.column("active").take(row)]
+                    + [part.column(c).take(row) for c in carried],
+                    names=["term", "chunk_id", "positions", "len", "active", *carried],
                 )
 
-    return chunks.select("id", "title", "text", "active").mapInArrow(run, POSTINGS)
+    return chunks.select("id", "title", "text", "active", *carried).mapInArrow(run, ", ".join([POSTINGS, *(f"{c} {t}" for c, t in types.items())]))
 
 
 def totals(chunks: DataFrame, index: DataFrame) -> Totals:

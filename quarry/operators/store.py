@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import uuid
+import threading
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,18 +13,19 @@ from pyspark.sql import types as T
 
 from .. import shared
 from ..functions import scalars as S
-from ..schema import CHUNKS, JOBS, SAVED_SEARCHES, SOURCE_FILES, VECTORS
+from ..schema import CHUNKS, FILE_STATES, JOBS, SAVED_SEARCHES, SOURCE_FILES, VECTORS
 from ..schema import POSTINGS as POSTINGS_TABLE
-from .lexical import Totals
+from . import lexical
+from .lookup import by_ids
 
 KEY = ["source_path", "ordinal", "content_hash"]
 FINAL = ("completed", "paused", "error")
 
 
-def upserted(chunks: DataFrame, new: DataFrame, activate: bool, now: Column, next_id: int) -> DataFrame:
+def upserted(chunks: DataFrame, new: DataFrame, activate: bool, now: Column, next_id: int, order: Sequence[str] = KEY) -> DataFrame:
     """chunks with new merged on (source_path, ordinal, content_hash).
 
-    Ids are kept; new rows get ids from next_id on, in the order of their key. An active row stays active
+    Ids are kept; new rows get ids from next_id on, in the order of their key or of other columns that tell them apart. An active row stays active
     when staged again; activation makes a row active and indexed, staging leaves it inactive and pending.
     """
     last = new.withColumn("__n", F.row_number().over(W.partitionBy(*KEY).orderBy("title"))).filter("__n = 1").drop("__n")
@@ -35,7 +34,7 @@ def upserted(chunks: DataFrame, new: DataFrame, activate: bool, now: Column, nex
     fresh = both.filter("__id is null")
     # Ids in key order over all new rows: ranks in ranges of the key, then offsets of the ranges.
     known = both.filter("__id is not null")
-    fresh = gapless(fresh.drop("__id"), KEY, "__id", next_id)
+    fresh = gapless(fresh.drop("__id"), list(order), "__id", next_id)
     live = F.lit(True) if activate else F.coalesce("__active", F.lit(False))
     status = F.lit("indexed") if activate else F.when(F.coalesce("__active", F.lit(False)), F.col("__status")).otherwise("vector_pending")
     merged = known.unionByName(fresh).withColumns({"id": F.col("__id"), "active": live, "vector_status": status, "created_at": F.coalesce("__created", now), "updated_at": now})
@@ -112,9 +111,11 @@ def retry_totals(files: DataFrame, there: DataFrame) -> DataFrame:
     return todo.agg(F.count("*").alias("retried"), F.count_if(F.col("__there").isNull()).alias("missing"))
 
 
-def created_job(jobs: DataFrame, root_path: str, now: Column, status: str = "running", message: str = "", **counters: int) -> DataFrame:
-    """jobs with a new one under the next id; one that is created with a final status is finished."""
-    row = (jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"] + 1, root_path, status, *[counters.get(k, 0) for k in ("discovered", "indexed", "skipped", "error")], message)
+def created_job(jobs: DataFrame, root_path: str, now: Column, status: str = "running", message: str = "", job_id: int | None = None, **counters: int) -> DataFrame:
+    """jobs with a new one under job_id, or else the next id; one that is created with a final status is finished."""
+    if job_id is None:
+        job_id = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"] + 1
+    row = (job_id, root_path, status, *[counters.get(k, 0) for k in ("discovered", "indexed", "skipped", "error")], message)
     new = jobs.sparkSession.createDataFrame([row], T.StructType(JOBS.fields[:8]))
     return jobs.unionByName(new.withColumns({"started_at": now, "updated_at": now, "finished_at": now if status in FINAL else F.lit(None).cast("timestamp")}))
 
@@ -142,157 +143,156 @@ def saved_search(searches: DataFrame, name: str, query: str, filters: dict[str,
     return searches.filter(F.col("name") != name).unionByName(new)
 
 
-TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "source_files": SOURCE_FILES, "index_jobs": JOBS, "saved_searches": SAVED_SEARCHES, "postings": POSTINGS_TABLE}
-#: Tables whose segments are dealt into folders by their source, so that a change reads the folders of its sources only.
-BY_SOURCE = ("chunks", "vectors", "source_files")
-KEY_OF = {"chunks": "id", "vectors": "chunk_id", "postings": "chunk_id"}
-PARTS = 32
+TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "source_files": FILE_STATES, "index_jobs": JOBS, "saved_searches": SAVED_SEARCHES, "postings": POSTINGS_TABLE}
+#: What tells the rows of a table apart where a later run replaces them one by one.
+OWN_KEY = {"source_files": ["path", "place"], "index_jobs": ["id"], "saved_searches": ["name"]}
+#: Ids that a run may give to its new chunks; run n has those from n * RUN_IDS on.
+RUN_IDS = 1 << 32
+#: Up to so many files are looked up by a pushed list of their places; more are joined.
+FEW = 1000
+_CLAIMING = threading.Lock()
 
 
-def part_of(physical_path: Column | str) -> Column:
-    return F.pmod(F.xxhash64(physical_path), F.lit(PARTS)).cast("int")
-
-
-class Conflict(RuntimeError):
-    """Another writer has committed meanwhile; nothing of this change is visible."""
-
-
-@dataclass(frozen=True)
-class State:
-    """What readers see: the folders of each table, and what is counted on the way."""
-
-    at: int = 0
-    next_id: int = 1
-    totals: Totals = field(default_factory=Totals)
-    tables: dict[str, list[str]] = field(default_factory=dict)
+def place_of(physical_path: Column | str) -> Column:
+    """A file's number, by which its rows are found in all tables; files that share one are always written together."""
+    return F.xxhash64(physical_path)
 
 
 class Store:
-    """The tables of a corpus as Parquet folders under one path, through Spark, so any store that Spark writes will do.
+    """The tables of a corpus as plain Parquet, a folder `run=n` a table and run, in whatever store Spark writes.
 
-    A change appends folders with its own rows and never rewrites others: a row that it replaces is listed in
-    `dead` (an id, and the last change whose rows of that id are void). It becomes visible by one small row
-    that lists all folders, written last and under the change's number: if another writer was first, the
-    write fails with `Conflict`. `compact` merges the folders and deletes the old ones.
+    A run writes the rows of the files that it touches, all of them, and then their states; Spark's own mark of
+    a finished write under the states makes the run visible. Of each file the rows of its last visible run
+    count, so a run rewrites nothing, repeats without harm, and two that go on at once both count: of a file
+    that both touch, the one with the higher number. What a run that failed has written is never read.
+    Numbers are claimed by a file that only one writer can create (on local disks, only one of this process).
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def state(self) -> State:
-        try:
-            rows = self.spark.read.schema("at long, state string").option("recursiveFileLookup", "true").json(f"{self.path}/log").orderBy(F.desc("at")).limit(1).collect()
-        except AnalysisException as e:  # nothing was committed yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = []
-        if not rows:
-            return State()
-        s = json.loads(rows[0]["state"])
-        return State(s["at"], s["next_id"], Totals(**s["totals"]), s["tables"])
-
-    def read(self, name: str, parts: Sequence[int] | None = None, whole: bool = False) -> DataFrame:
-        """The live rows of a table; of some parts only, if given; with whole, their part and segment too."""
-        state, schema = self.state(), TABLES[name]
-        folders = state.tables.get(name, [])
-        extra = T.StructType([T.StructField("segment", T.LongType()), *([T.StructField("part" if name in BY_SOURCE else "bucket", T.IntegerType())] if name in BY_SOURCE or name == "postings" else [])])
-        full = T.StructType(schema.fields + extra.fields)
-        rows = self._folders(folders, full)
-        if parts is not None:
-            rows = rows.filter(F.col("part").isin(list(parts)))
-        if name in KEY_OF and state.tables.get("dead"):
-            dead = self._folders(state.tables["dead"], "id long, upto long").groupBy("id").agg(F.max("upto").alias("upto")).withColumnRenamed("id", "__id")
-            rows = rows.join(dead, (F.col(KEY_OF[name]) == F.col("__id")) & (F.col("segment") <= F.col("upto")), "left_anti")
-        if name == "source_files":
-            rows = rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in full.names if c != "path"]), "segment").alias("row")).select("path", "row.*")
-        return rows if whole else rows.select(*schema.names, *(["bucket"] if name == "postings" else []))
-
-    def _folders(self, folders: list[str], schema: T.StructType | str) -> DataFrame:
-        out = [self.spark.read.schema(schema).parquet(f) for f in folders]
-        if not out:
+    def __init__(self, spark: SparkSession, path: str, runs: Sequence[int] | None = None):
+        self.spark, self.path, self._pinned = spark, path.rstrip("/"), runs
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def claimed(self) -> int:
+        """A number for a run, above all others."""
+        fs, folder = self._fs(f"{self.path}/runs")
+        with _CLAIMING:
+            n = max((int(f.getPath().getName()) for f in fs.listStatus(folder)), default=0) if fs.exists(folder) else 0
+            while True:
+                n += 1
+                try:
+                    if fs.createNewFile(self._fs(f"{self.path}/runs/{n:012d}")[1]):
+                        return n
+                except Py4JJavaError as e:  # another process was faster
+                    if "AlreadyExists" not in str(e.java_exception):
+                        raise
+
+    def runs(self, name: str = "source_files") -> list[int]:
+        """The visible runs of a table."""
+        if self._pinned is not None and name not in ("index_jobs", "saved_searches"):
+            return list(self._pinned)
+        fs, marks = self._fs(f"{self.path}/{name}/run=*/_SUCCESS")
+        return sorted(int(f.getPath().getParent().getName().removeprefix("run=")) for f in fs.globStatus(marks) or [])
+
+    def snapshot(self) -> Store:
+        """The store as it is now; later runs don't show."""
+        return Store(self.spark, self.path, self.runs())
+
+    def _of_runs(self, name: str, runs: Sequence[int]) -> DataFrame:
+        extra = [("run", T.LongType())]
+        extra += [("place", T.LongType())] if name in ("chunks", "vectors", "postings") else []
+        extra += [("bucket", T.IntegerType())] if name == "postings" else []
+        schema = T.StructType(TABLES[name].fields + [T.StructField(*e) for e in extra])
+        if not runs:
             return self.spark.createDataFrame([], schema)
-        rows = out[0]
-        for more in out[1:]:
-            rows = rows.unionByName(more)
-        return rows
-
-    def change(self) -> Change:
-        return Change(self, self.state())
-
-    @property
-    def next_id(self) -> int:
-        return self.state().next_id
-
-    def put(self, **tables: DataFrame) -> None:
-        """New whole contents of small tables (jobs, saved searches), as one change."""
-        c = self.change()
-        for name, df in tables.items():
-            c.stage(name, df, replacing=True)
-        c.commit()
-
-    def create(self) -> None:
-        """Empty tables, where there are none yet; tables written before a column was added read it as null."""
-        if not self.state().at:
-            self.put(index_jobs=self.spark.createDataFrame([], JOBS), saved_searches=self.spark.createDataFrame([], SAVED_SEARCHES))
-
-    def compact(self) -> None:
-        """Every table in one folder without dead rows; then the folders and log rows that nobody needs any more go."""
-        c = self.change()
-        old = c.state
-        for name in [n for n in old.tables if n != "dead"]:
-            c.stage(name, self.read(name, whole=True), replacing=True)
-        c.commit(drop=("dead",))
-        shared.removed(self.spark, *[f for folders in old.tables.values() for f in folders], *[self._log(n) for n in range(1, old.at + 1)])
-
-    def _log(self, at: int) -> str:
-        return f"{self.path}/log/{at:012d}"
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/run={n}" for n in runs])
+
+    def read(self, name: str, whole: bool = False) -> DataFrame:
+        """The live rows of a table; with whole, their run and place too."""
+        if name in OWN_KEY:
+            rows, key = self._of_runs(name, self.runs(name)), OWN_KEY[name]
+            rest = [c for c in rows.columns if c not in (*key, "run")]
+            rows = rows.groupBy(*key).agg(F.max_by(F.struct(*rest, "run"), "run").alias("__row")).select(*key, "__row.*")
+            shown = SOURCE_FILES.names if name == "source_files" else TABLES[name].names
+        else:
+            runs = self.runs()
+            rows, shown = self._of_runs(name, runs), [*TABLES[name].names, *(["bucket"] if name == "postings" else [])]
+            if len(runs) > 1:  # only files of later runs can replace others
+                later = self._of_runs("source_files", runs[1:]).groupBy(F.col("place").alias("__place")).agg(F.max("run").alias("__last"))
+                rows = rows.join(later, (F.col("place") == F.col("__place")) & (F.col("run") < F.col("__last")), "left_anti")
+        return rows if whole else rows.select(*shown)
+
+    def files(self, places: DataFrame) -> DataFrame:
+        """The states of the files at the places (a column place)."""
+        states, few = self.read("source_files", whole=True), self._few(places)
+        return (states if few is None else by_ids(states, "place", few)).join(places.select("place").distinct(), "place", "left_semi")
+
+    def rows_of(self, name: str, states: DataFrame) -> DataFrame:
+        """The rows of the files with these states: of their runs only, and where they are few by a list that prunes row groups."""
+        at = states.select("place", "run").distinct()
+        rows, few = self._of_runs(name, sorted(r["run"] for r in at.select("run").distinct().collect())), self._few(at)
+        return (rows if few is None else by_ids(rows, "place", few)).join(at, ["place", "run"], "left_semi")
+
+    def _few(self, places: DataFrame) -> list[int] | None:
+        some = [r["place"] for r in places.select("place").distinct().limit(FEW + 1).collect()]
+        return some if len(some) <= FEW else None
+
+    def write(self, name: str, df: DataFrame, run: int) -> DataFrame:
+        """A table's rows of a run, in the order of their places, written and read back; a second write takes the place of the first."""
+        if name == "postings":
+            writer = lexical.dealt(df).write.partitionBy("bucket")
+        elif name in ("chunks", "vectors"):  # a file with many chunks is several partitions
+            block = F.shiftright(F.col("id" if name == "chunks" else "chunk_id"), 12)
+            writer = df.select(*TABLES[name].names, "place").repartition("place", block).sortWithinPartitions("place").write
+        else:
+            df = df.select(*TABLES[name].names)
+            writer = (df.repartition("place").sortWithinPartitions("place") if name == "source_files" else df.coalesce(1)).write
+        writer.mode("overwrite").parquet(f"{self.path}/{name}/run={run}")
+        return self._of_runs(name, [run])
+
+    def publish(self, run: int, chunks: DataFrame, vectors: DataFrame, states: DataFrame) -> None:
+        """Postings and states of a run whose chunks and vectors are written; it is visible when this returns.
+
+        states: rows of SOURCE_FILES; what is counted of their chunks is added.
+        """
+        index = self.write("postings", lexical.postings(chunks, "place"), run)
+        tokens = index.groupBy("chunk_id").agg(F.sum(F.size("positions")).alias("tokens")).withColumnRenamed("chunk_id", "id")
+        has = vectors.select(F.col("chunk_id").alias("id"), F.lit(True).alias("has"))
+        each = chunks.select("id", "active", S.physical_path(F.col("source_path")).alias("path")).join(tokens, "id", "left").join(has, "id", "left")
+        counts = each.groupBy("path").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count_if(F.col("active") & F.col("has").isNull()).alias("lacking"))
+        zero = {c: F.coalesce(c, F.lit(0)) for c in ("chunks", "tokens", "lacking")}
+        self.write("source_files", states.select(SOURCE_FILES.names).join(counts, "path", "left").withColumns(zero).withColumn("place", place_of("path")), run)
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        """Jobs or saved searches, new ones or in place of those with the same key."""
+        self.write(name, rows, self.claimed())
+
+    def totals(self) -> lexical.Totals:
+        """Chunks and tokens, summed over the states."""
+        row = self.read("source_files", whole=True).agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        return lexical.Totals(*row)
+
+    def copied(self, path: str) -> Store:
+        """The live rows as one run of a new store. The old one stays for its readers; whoever knows that there are none any more deletes it."""
+        now, new = self.snapshot(), Store(self.spark, path)
+        for name in ("index_jobs", "saved_searches"):
+            new.write(name, now.read(name), max(now.runs(name), default=0))
+        last = max([*now.runs(), 0])
+        for name in ("chunks", "vectors", "postings", "source_files"):
+            new.write(name, now.read(name, whole=True).drop("run", "bucket"), last)
+        fs, mark = self._fs(f"{path.rstrip('/')}/runs/{self.claimed():012d}")  # numbers, and so ids, go on from here
+        fs.createNewFile(mark)
+        return new
 
     def size_bytes(self, folder: str = "") -> int:
         """The bytes under the store's path, or under one of its folders."""
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}".rstrip("/"))
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs, p = self._fs(f"{self.path}/{folder}".rstrip("/"))
         return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
 
     def usage(self) -> dict[str, int]:
         """Bytes by part of the store."""
-        total, vectors, log = self.size_bytes(), self.size_bytes("vectors"), self.size_bytes("log")
+        total, vectors, log = self.size_bytes(), self.size_bytes("vectors"), self.size_bytes("runs")
         tables = sum(self.size_bytes(n) for n in TABLES if n != "vectors")
         return {"total": total, "tables": tables, "vectors": vectors, "logs": log, "other": max(0, total - tables - vectors - log)}
-
-
-class Change:
-    """Folders written for one change; `commit` shows them all at once."""
-
-    def __init__(self, store: Store, state: State):
-        self.store, self.state, self.number = store, state, state.at + 1
-        self._new: dict[str, str] = {}
-        self._whole: set[str] = set()
-
-    def stage(self, name: str, df: DataFrame, replacing: bool = False) -> DataFrame:
-        """Write rows without showing them to readers, and read them back. Tables by source need a column part."""
-        place = f"{self.store.path}/{name}/{self.number:012d}-{uuid.uuid4().hex}"
-        if "segment" not in df.columns and name != "dead":
-            df = df.withColumn("segment", F.lit(self.number).cast("long"))
-        by = "part" if name in BY_SOURCE else "bucket" if name == "postings" else None
-        writer = (df.repartition(by) if by == "part" else df).write
-        (writer.partitionBy(by) if by else writer).parquet(place)
-        if name in self._new:
-            shared.removed(self.store.spark, self._new[name])
-        self._new[name] = place
-        if replacing:
-            self._whole.add(name)
-        return self.store.spark.read.schema(df.schema).parquet(place)
-
-    def commit(self, next_id: int | None = None, totals: Totals | None = None, drop: Sequence[str] = ()) -> None:
-        tables = {k: list(v) for k, v in self.state.tables.items() if k not in drop}
-        for name, place in self._new.items():
-            tables[name] = [place] if name in self._whole else [*tables.get(name, []), place]
-        new = replace(self.state, at=self.number, next_id=next_id or self.state.next_id, totals=totals or self.state.totals, tables=tables)
-        row = self.store.spark.createDataFrame([(self.number, json.dumps(asdict(new)))], "at long, state string")
-        try:
-            row.coalesce(1).write.mode("error").json(self.store._log(self.number))
-        except AnalysisException as e:
-            if "PATH_ALREADY_EXISTS" not in str(e):
-                raise
-            shared.removed(self.store.spark, *self._new.values())
-            raise Conflict(f"change {self.number} was made by another writer") from e

@@ -22,6 +22,8 @@ POSTINGS = table("term string, chunk_id long, positions array<int>, len int, act
 SOURCE_FILES = table(
     "path string, source_kind string, fingerprint string, size_bytes long, mtime_ns long, status string, error string, last_indexed_at timestamp, updated_at timestamp"
 )
+#: A file's state in a store: its place, and of its chunks how many there are, their tokens, and how many active ones lack a vector.
+FILE_STATES = T.StructType(SOURCE_FILES.fields + table("place long, chunks long, tokens long, lacking long").fields)
 JOBS = table(
     "id long, root_path string, status string, discovered long, indexed long, skipped long, error long, message string, started_at timestamp, updated_at timestamp, finished_at timestamp"
 )

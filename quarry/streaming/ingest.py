@@ -1,7 +1,7 @@
-"""Incremental ingest: what changed is chunked, embedded and activated in one change of the store; what vanished is retired.
+"""Incremental ingest: what changed is chunked, embedded and activated in one run of the store; what vanished is retired.
 
-A change reads the folders of its own sources and writes its own rows, so its cost follows what was touched,
-not the corpus. Periodic scans are a Structured Streaming trigger (`stream(every=...)`) or the caller's own.
+What changed is told from the states of the files, a row each; of chunks and vectors a run reads those of its
+own files and writes them anew, so its cost follows what was touched, not the corpus. Periodic scans are a Structured Streaming trigger (`stream(every=...)`) or the caller's own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import shared
 from ..functions import scalars as S
-from ..operators import chunking, context, filters, hybrid, lexical, store, vectors
+from ..operators import chunking, context, filters, hybrid, store, vectors
+from ..schema import JOBS, SOURCE_FILES
 from ..sources import extract, listing
 
 Embed = Callable[[DataFrame], DataFrame]
@@ -42,12 +43,16 @@ class Budget:
 
 
 def changed(listed: DataFrame, files: DataFrame, chunks: DataFrame, vecs: DataFrame) -> DataFrame:
-    """Listed files with a new fingerprint, an unfinished state, or active chunks that lack vectors."""
-    known = files.select("path", F.col("fingerprint").alias("__was"), F.col("status").alias("__status"))
-    broken = context.complete_sources(chunks, vecs).filter("not complete").select(F.col("physical_path").alias("path"), F.lit(True).alias("__broken"))
-    all_ = listed.join(known, "path", "left").join(broken, "path", "left")
-    same = (F.col("__was") == F.col("fingerprint")) & F.col("__status").isin("indexed", "skipped") & F.col("__broken").isNull()
-    return all_.filter(~F.coalesce(same, F.lit(False))).select(listed.columns)
+    """Listed files with a new fingerprint, an unfinished state, or active chunks that lack vectors, counted from whole tables."""
+    broken = context.complete_sources(chunks, vecs).filter("not complete").select(F.col("physical_path").alias("path"), F.lit(1).alias("lacking"))
+    return unfinished(listed, files.join(broken, "path", "left"))
+
+
+def unfinished(listed: DataFrame, states: DataFrame) -> DataFrame:
+    """As changed, from the states of the files (path, fingerprint, status, lacking), which each run of a store keeps up."""
+    known = states.select("path", F.col("fingerprint").alias("__was"), F.col("status").alias("__status"), F.coalesce("lacking", F.lit(0)).alias("__lacking"))
+    same = (F.col("__was") == F.col("fingerprint")) & F.col("__status").isin("indexed", "skipped") & (F.col("__lacking") == 0)
+    return listed.join(known, "path", "left").filter(~F.coalesce(same, F.lit(False))).select(listed.columns)
 
 
 def vanished(files: DataFrame, seen: DataFrame, roots: Sequence[str]) -> DataFrame:
@@ -70,48 +75,42 @@ def retired(chunks: DataFrame, paths: DataFrame, kept: DataFrame, at: Column) ->
 
 
 def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFrame, embed: Embed, now: datetime) -> None:
-    """One change: records of the touched files staged, embedded and activated, older chunks of those files and all of the gone ones retired.
+    """One run: records of the touched files staged, embedded and activated, older chunks of those files and all of the gone ones retired.
 
     touched: path, kind, fingerprint, size_bytes, mtime_ns, reason (of a skip, or null). Nothing is visible
-    before the commit, so a failure leaves the last state in place and the next run repeats the work. If the
+    before the end, so a failure leaves the last state in place and the next run repeats the work. If the
     embedder can't be reached, the new chunks are kept inactive and their files are vector_pending, to be
     retried; any other failure ends the run. A file that can't be read or parsed keeps its chunks and is an
     error, to be retried.
     """
-    at, c = F.lit(now), s.change()
+    at, run, last = F.lit(now), s.claimed(), s.snapshot()
     # What follows reads these several times; with their lineage cut its plans stay small.
-    paths = shared.checkpointed(touched.select("path").union(gone.select("path")).distinct().withColumn("part", store.part_of("path")))
-    parts = [r["part"] for r in paths.select("part").distinct().collect()]  # PARTS at most
-    mine = F.col("path") == S.physical_path(F.col("source_path"))
-    old = shared.checkpointed(s.read("chunks", parts, whole=True).join(paths.select("path"), mine, "left_semi"))
-    vecs = s.read("vectors", parts).join(old.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    files = s.read("source_files", parts).join(paths.select("path"), "path", "left_semi")
+    paths = shared.checkpointed(touched.select("path").union(gone.select("path")).distinct().withColumn("place", store.place_of("path")))
+    files = shared.checkpointed(last.files(paths))
+    old = shared.checkpointed(last.rows_of("chunks", files))
+    vecs = last.rows_of("vectors", files).select("chunk_id", "embedding")
     bad = shared.checkpointed(records.filter("failed is not null").groupBy(S.physical_path(F.col("source_path")).alias("path")).agg(F.first("failed").alias("failed")))
     whole = records.filter("failed is null").join(bad.select("path"), F.col("path") == S.physical_path(F.col("source_path")), "left_anti")
     new = chunking.chunked(whole.select("source_path", "source_kind", "title", "text", "metadata"))
-    new = shared.checkpointed(new)
-    staged = shared.checkpointed(store.upserted(old.select(store.CHUNKS.names), new, False, at, c.state.next_id))
+    new = shared.checkpointed(new.withColumn("place", store.place_of(S.physical_path(F.col("source_path")))))
+    staged = shared.checkpointed(store.upserted(old.select(store.CHUNKS.names), new, False, at, run * store.RUN_IDS, ["place", *store.KEY]))
     ids = staged.join(new.select(store.KEY), store.KEY, "left_semi").select(F.col("id").alias("chunk_id"), S.physical_path(F.col("source_path")).alias("physical_path"))
 
     def written(chunks: DataFrame) -> DataFrame:
-        return c.stage("chunks", chunks.withColumn("part", store.part_of(S.physical_path(F.col("source_path")))))
+        return s.write("chunks", chunks.withColumn("place", store.place_of(S.physical_path(F.col("source_path")))), run)
 
     live = retired(store.activated(staged, ids, at)[0], paths.join(bad, "path", "left_anti"), ids.withColumnRenamed("chunk_id", "id"), at)
     chunks, failure = written(live), None
-    part = chunks.select(F.col("id").alias("chunk_id"), "part")
-    kept = vecs.join(chunks.filter("active").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    place = chunks.filter("active").select(F.col("id").alias("chunk_id"), "place")
     try:
-        fresh = embed(vectors.missing(chunks, kept)).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
-        c.stage("vectors", kept.unionByName(fresh).join(part, "chunk_id"))
+        fresh = embed(vectors.missing(chunks, vecs)).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+        held = s.write("vectors", vecs.unionByName(fresh).join(place, "chunk_id"), run)
     except (OSError, vectors.ClientError, PythonException) as e:
         if isinstance(e, PythonException) and not vectors.unreachable(e):
             raise
         failure = str(e)[:1000]
         chunks = written(pending(live, ids, at))
-        kept = vecs.join(chunks.filter("active").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-        c.stage("vectors", kept.join(chunks.select(F.col("id").alias("chunk_id"), "part"), "chunk_id"))
-    c.stage("dead", old.select("id", F.lit(c.state.at).cast("long").alias("upto")))
-    index = c.stage("postings", lexical.dealt(lexical.postings(chunks)))
+        held = s.write("vectors", vecs.join(chunks.filter("active").select(F.col("id").alias("chunk_id"), "place"), "chunk_id"), run)
     count = ids.groupBy(F.col("physical_path").alias("path")).agg(F.count("*").alias("n"))
     ok = F.lit("indexed" if failure is None else "vector_pending")
     state = touched.join(count, "path", "left").join(bad, "path", "left").select(
@@ -119,10 +118,7 @@ def apply(s: store.Store, touched: DataFrame, records: DataFrame, gone: DataFram
         F.when(F.col("failed").isNotNull(), "error").when(F.col("reason").isNotNull() | F.col("n").isNull(), "skipped").otherwise(ok).alias("status"), F.coalesce("failed", "reason", F.when(F.col("n").isNotNull(), F.lit(failure))).alias("error"),
     )
     lost = files.join(gone, "path", "left_semi").select("path", "source_kind", "fingerprint", "size_bytes", "mtime_ns", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"))
-    c.stage("source_files", store.merged_files(files, state.unionByName(lost), at).withColumn("part", store.part_of("path")))
-    before, after = lexical.totals(old, lexical.postings(old)), lexical.totals(chunks, index)
-    last = chunks.agg(F.max("id")).first()[0] or 0
-    c.commit(next_id=max(c.state.next_id, last + 1), totals=c.state.totals - before + after)
+    s.publish(run, chunks, held, store.merged_files(files.select(SOURCE_FILES.names), state.unionByName(lost), at))
 
 
 def pending(chunks: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
@@ -139,43 +135,55 @@ def seen_files(listed: DataFrame, rules: Sequence[filters.PathRule], archives: b
     }).select("path", "kind", "reason", "fingerprint", "size_bytes", "mtime_ns")
 
 
-def ingested(s: store.Store, seen: DataFrame, gone: DataFrame, now: datetime, embed: Embed, flush: int, budget: Budget | None) -> dict[str, int]:
-    """What is new or changed among the seen files, in changes of about `flush` files each; the counters."""
+def ingested(s: store.Store, seen: DataFrame, gone: DataFrame, now: datetime, embed: Embed, flush: int, budget: Budget | None, pause: Callable[[], bool] | None = None) -> dict[str, int]:
+    """What is new or changed among the seen files, in runs of about `flush` files each; the counters.
+
+    pause is asked before each run; where it says so, the files of later runs are left for the next crawl and counted as `left`.
+    """
     seen, gone = shared.checkpointed(seen), shared.checkpointed(gone)
-    touched = shared.checkpointed(changed(seen, s.read("source_files"), s.read("chunks"), s.read("vectors")))
+    touched = shared.checkpointed(unfinished(seen, s.read("source_files", whole=True)))
     total, n = seen.count(), touched.count()
-    rounds = -(-n // flush) or int(not gone.isEmpty())
+    rounds, done = -(-n // flush) or int(not gone.isEmpty()), 0
+    touched = touched.withColumn("__round", F.pmod(F.xxhash64("path", F.lit("flush")), F.lit(max(rounds, 1))))
     for k in range(rounds):
+        if pause and pause():
+            break
         if budget:
             budget.checked(s.size_bytes())
-        some = touched.filter(F.pmod(F.xxhash64("path", F.lit("flush")), F.lit(rounds)) == k) if rounds > 1 else touched
+        some = touched.filter(F.col("__round") == k).drop("__round")
         records = shared.checkpointed(extract.records(some.filter("reason is null"), read=listing.contents))
         apply(s, some, records, gone if k == 0 else gone.limit(0), embed, now)
-    out = {**context.outcomes(s.read("source_files").join(touched.select("path"), "path", "left_semi")).first().asDict(), "discovered": total, "unchanged": total - n}
-    return out
+        done += 1
+    mine = touched.filter(F.col("__round") < done).select("path")
+    out = context.outcomes(s.read("source_files").join(mine, "path", "left_semi")).first().asDict()
+    return {**out, "discovered": total, "unchanged": total - n, "left": n - mine.count(), "paused": int(done < rounds)}
 
 
 def crawl(
     spark: SparkSession, s: store.Store, roots: Sequence[str], now: datetime, embed: Embed = vectors.embedded, rules: Sequence[filters.PathRule] = filters.RULES, archives: bool = False,
-    flush: int = 10_000, budget: Budget | None = None,
+    flush: int = 10_000, budget: Budget | None = None, pause: Callable[[], bool] | None = None,
 ) -> dict[str, int]:
     """Scan the roots once, as a job; the counters of what was discovered and what became of it, and `unreadable` folders.
 
-    A store over its budget ends the job as an error and raises.
+    A store over its budget ends the job as an error and raises. Where pause says so, what was begun is
+    finished and the job ends as paused; the next crawl of these roots goes on with what is left.
     """
-    at = F.lit(now)
-    s.put(index_jobs=store.created_job(s.read("index_jobs"), "; ".join(roots), at))
-    job = context.latest(s.read("index_jobs")).first()["id"]
+    at, job = F.lit(now), s.claimed()
+    s.put("index_jobs", store.created_job(spark.createDataFrame([], JOBS), "; ".join(roots), at, job_id=job))
+
+    def ended(status: str, message: str, **counters: int) -> None:
+        s.put("index_jobs", store.updated_job(context.by_id(s.read("index_jobs"), job), job, status, message, at, **counters))
+
     try:
         listed = shared.checkpointed(listing.listed(spark, roots))
         seen = seen_files(listed, rules, archives)
-        out = ingested(s, seen, vanished(s.read("source_files"), seen, roots), now, embed, flush, budget)
+        out = ingested(s, seen, vanished(s.read("source_files"), seen, roots), now, embed, flush, budget, pause)
         out["unreadable"] = listed.filter("error is not null").select("path").distinct().count()
     except BudgetExceeded as e:
-        s.put(index_jobs=store.updated_job(s.read("index_jobs"), job, "error", str(e), at))
+        ended("error", str(e))
         raise
     counters = {k: out[k] for k in ("discovered", "indexed", "skipped", "error")}
-    s.put(index_jobs=store.updated_job(s.read("index_jobs"), job, "completed", "", at, **counters))
+    ended("paused" if out["paused"] else "completed", f"{out['left']} files left" if out["paused"] else "", **counters)
     return out
 
 
@@ -188,15 +196,17 @@ def retry(s: store.Store, now: datetime, embed: Embed = vectors.embedded, rules:
 
 
 def rebuild_vectors(s: store.Store, embed: Embed = vectors.embedded) -> int:
-    """Vectors for all active chunks that lack one, as one change; how many they are."""
-    c, chunks = s.change(), s.read("chunks", whole=True)
-    lacking = vectors.missing(chunks, s.read("vectors")).persist()
+    """Vectors for all active chunks that lack one, as one run; how many they are."""
+    last = s.snapshot()
+    lacking = shared.checkpointed(vectors.missing(last.read("chunks", whole=True), last.read("vectors")))
     n = lacking.count()
     if n:
+        run, files = s.claimed(), shared.checkpointed(last.files(lacking))
+        chunks = s.write("chunks", last.rows_of("chunks", files), run)
         fresh = embed(lacking).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
-        c.stage("vectors", fresh.join(lacking.select(F.col("id").alias("chunk_id"), "part"), "chunk_id"))
-        c.commit()
-    lacking.unpersist()
+        kept = last.rows_of("vectors", files).select("chunk_id", "embedding")
+        held = s.write("vectors", kept.unionByName(fresh).join(chunks.select(F.col("id").alias("chunk_id"), "place"), "chunk_id"), run)
+        s.publish(run, chunks, held, files)
     return n
 
 
@@ -210,11 +220,12 @@ def recent_without_vectors(chunks: DataFrame, vecs: DataFrame, recent: int = 25,
 
 def corpus(s: store.Store, embed_query: Callable[[str], Sequence[float]]) -> hybrid.Corpus:
     """What was ingested, as the tables of a search."""
-    return hybrid.Corpus(s.read("chunks"), s.read("postings"), s.state().totals, s.read("vectors"), embed_query)
+    now = s.snapshot()
+    return hybrid.Corpus(now.read("chunks"), now.read("postings"), now.totals(), now.read("vectors"), embed_query)
 
 
 def stream(spark: SparkSession, s: store.Store, source: str, schema: str, checkpoint: str, embed: Embed = vectors.embedded, files_per_batch: int = 32, every: str | None = None, budget: Budget | None = None) -> StreamingQuery:
-    """Records that arrive as Parquet files, each micro-batch one change; pause by stop(), resume from the checkpoint.
+    """Records that arrive as Parquet files, each micro-batch one run; pause by stop(), resume from the checkpoint.
 
     every: a processing-time interval such as `1 hour`; without one, what is there now and no more.
     """
@@ -228,8 +239,7 @@ def stream(spark: SparkSession, s: store.Store, source: str, schema: str, checkp
             F.min("source_kind").alias("kind"), F.sha2(F.array_join(F.array_sort(F.collect_set(S.content_hash(F.col("text")))), ""), 256).alias("fingerprint"),
             F.sum(F.octet_length("text")).cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(None).cast("string").alias("reason"),
         )
-        parts = [r["p"] for r in touched.select(store.part_of("path").alias("p")).distinct().collect()]  # PARTS at most
-        touched = changed(touched, s.read("source_files", parts), s.read("chunks", parts), s.read("vectors", parts)).persist()
+        touched = unfinished(touched, s.files(touched.select(store.place_of("path").alias("place")))).persist()
         fresh = df.join(touched.select("path"), path == F.col("path"), "left_semi")
         apply(s, touched, fresh, touched.limit(0).select("path"), embed, datetime.now())
         df.unpersist()

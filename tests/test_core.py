@@ -9,13 +9,14 @@ import sqlite3
 import zipfile
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import suite
+from quarry import shared, suite
 from quarry.functions import scalars as S
 from quarry.operators import chunking, context, filters, hybrid, lexical, lookup, match, quantized, store, vectors
 from quarry.sources import extract, listing
@@ -306,11 +307,14 @@ def test_crawl_twice_change_and_delete(spark, tmp_path):
     assert consistent(s)
     assert [r.source_path for r in hybrid.search(ingest.corpus(s, lambda t: [0.2] * 32), "changed", 5).filter("rank_source != 'vector'").collect()] == [str(root / "f0.txt")]
     before = {r.id: (r.source_path, r.active) for r in s.read("chunks").collect()}
-    s.compact()
-    assert before == {r.id: (r.source_path, r.active) for r in s.read("chunks").collect()} and consistent(s)
-    assert all(len(folders) == 1 for folders in s.state().tables.values()) and "dead" not in s.state().tables
+    reader, copy = s.read("chunks"), s.copied(str(tmp_path / "copy"))
+    assert len(copy.runs()) == 1 and copy.claimed() > max(s.runs())
+    assert before == {r.id: (r.source_path, r.active) for r in copy.read("chunks").collect()} and consistent(copy)
+    assert reader.count() == len(before)
+    (root / "f3.txt").write_text("words after the copy")
+    assert ingest.crawl(spark, copy, [str(root)], T0)["indexed"] == 1 and consistent(copy)
     jobs = s.read("index_jobs").orderBy("id").collect()
-    assert [(j.id, j.status, j.indexed) for j in jobs] == [(1, "completed", 4), (2, "completed", 0), (3, "completed", 1)]
+    assert [(j.status, j.indexed) for j in jobs] == [("completed", 4), ("completed", 0), ("completed", 1)]
 
 
 def test_unreadable_files_keep_their_chunks(spark, tmp_path):
@@ -398,7 +402,7 @@ def consistent(s):
     """Postings and totals are those of the live chunks."""
     c = s.read("chunks")
     own = lexical.postings(c)
-    return s.state().totals == lexical.totals(c, own) and own.exceptAll(s.read("postings").drop("bucket")).isEmpty() and s.read("postings").drop("bucket").exceptAll(own).isEmpty()
+    return s.totals() == lexical.totals(c, own) and own.exceptAll(s.read("postings").drop("bucket")).isEmpty() and s.read("postings").drop("bucket").exceptAll(own).isEmpty()
 
 
 def written_bytes(s, before):
@@ -423,19 +427,115 @@ def test_a_change_writes_its_own_rows_only(spark, tmp_path):
 
 
 def test_two_writers(spark, tmp_path):
+    """Two crawls at once both count, with ids of their own; of a file that both touch, one state and its chunks."""
+    roots = []
+    for n in range(2):
+        root = tmp_path / f"data{n}"
+        root.mkdir()
+        (root / "own.txt").write_text(f"words of writer {n}")
+        roots.append(str(root))
+    both = tmp_path / "both"
+    both.mkdir()
+    (both / "f.txt").write_text("words of both")
     s = store.Store(spark, str(tmp_path / "store"))
-    s.create()
-    one, two = s.change(), s.change()
-    one.stage("index_jobs", store.created_job(s.read("index_jobs"), "a", F.lit(T0)), replacing=True)
-    two.stage("index_jobs", store.background_error(s.read("index_jobs"), "boom", F.lit(T0)), replacing=True)
-    one.commit()
-    with pytest.raises(store.Conflict):
-        two.commit()
-    assert [(j.id, j.root_path, j.status) for j in s.read("index_jobs").collect()] == [(1, "a", "running")]
-    s.put(index_jobs=store.background_error(s.read("index_jobs"), "boom", F.lit(T0)))
+    with ThreadPoolExecutor(8) as pool:
+        claimed = list(pool.map(lambda _: s.claimed(), range(40)))
+        assert len(set(claimed)) == 40
+        outs = list(pool.map(lambda r: ingest.crawl(spark, store.Store(spark, s.path), [r, str(both)], T0), roots))
+    assert [o["indexed"] for o in outs] == [2, 2]
+    live = s.read("chunks").filter("active").collect()
+    assert sorted(r.text for r in live) == ["words of both", "words of writer 0", "words of writer 1"]
+    assert len({r.id for r in live}) == 3 == s.read("source_files").count() and consistent(s)
+    assert {r.chunk_id for r in s.read("vectors").collect()} == {r.id for r in live}
+    assert [j.status for j in s.read("index_jobs").collect()] == ["completed"] * 2
+    s.put("index_jobs", store.background_error(s.read("index_jobs"), "boom", F.lit(T0)).orderBy(F.desc("id")).limit(1))
     last = context.latest(s.read("index_jobs")).first()
-    assert (last.id, last.root_path, last.status, last.error, last.finished_at) == (2, "background", "error", 1, T0)
-    assert context.shown_job(context.by_id(s.read("index_jobs"), 1)).first().indexed_count == 0
+    assert (last.root_path, last.status, last.error, last.finished_at) == ("background", "error", 1, T0)
+    assert context.shown_job(context.by_id(s.read("index_jobs"), last.id)).first().error_count == 1
+
+
+def files_read(df):
+    """The folders of the files that df reads."""
+    return {os.path.basename(os.path.dirname(f)) for f in df.inputFiles() if "/run=" in f}
+
+
+def test_a_change_reads_its_own_files_only(spark, tmp_path):
+    """What a run reads of chunks and vectors is in the runs, and there in the row groups, of its files; a crawl without changes reads none."""
+    root = tmp_path / "data"
+    root.mkdir()
+    s = store.Store(spark, str(tmp_path / "store"))
+    shared.checkpointed(spark.range(1))
+    for n in range(3):
+        for k in range(4):
+            (root / f"r{n}f{k}.txt").write_text(f"words of file {k} of run {n}")
+        assert ingest.crawl(spark, s, [str(root)], T0)["indexed"] == 4
+    second = s.runs()[1]
+    states = s.files(spark.createDataFrame([(str(root / "r1f2.txt"),)], "path string").select(store.place_of("path").alias("place"))).checkpoint()
+    for name in ("chunks", "vectors"):
+        rows = s.rows_of(name, states)
+        assert files_read(rows) == {f"run={second}"} and rows.count() == 1
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PushedFilters: \[[^\]]*place", plan)
+    # Chunks and vectors of all other runs can be away: neither a quiet crawl nor one of a single file opens them.
+    for n in (s.runs()[0], s.runs()[2]):
+        for name in ("chunks", "vectors", "postings"):
+            os.rename(f"{s.path}/{name}/run={n}", tmp_path / f"away-{name}-{n}")
+    assert ingest.crawl(spark, s, [str(root)], T0)["unchanged"] == 12
+    (root / "r1f2.txt").write_text("other words")
+    assert ingest.crawl(spark, s, [str(root)], T0)["indexed"] == 1
+    for n in s.runs()[:1] + s.runs()[2:3]:
+        for name in ("chunks", "vectors", "postings"):
+            os.rename(tmp_path / f"away-{name}-{n}", f"{s.path}/{name}/run={n}")
+    assert s.read("chunks").filter("active").count() == 12 and consistent(s)
+
+
+def test_failed_run_is_never_read(spark, tmp_path):
+    root = tmp_path / "data"
+    root.mkdir()
+    (root / "a.txt").write_text("first words")
+    s = store.Store(spark, str(tmp_path / "store"))
+    ingest.crawl(spark, s, [str(root)], T0)
+    (root / "a.txt").write_text("later words")
+    real = store.Store.publish
+    store.Store.publish = lambda *a: (_ for _ in ()).throw(RuntimeError("lost driver"))
+    try:
+        with pytest.raises(RuntimeError, match="lost driver"):
+            ingest.crawl(spark, s, [str(root)], T0)
+    finally:
+        store.Store.publish = real
+    assert [r.text for r in s.read("chunks").filter("active").collect()] == ["first words"] and consistent(s)
+    assert ingest.crawl(spark, s, [str(root)], T0)["indexed"] == 1
+    assert [r.text for r in s.read("chunks").filter("active").collect()] == ["later words"] and consistent(s)
+
+
+def test_files_at_one_place(spark, tmp_path, monkeypatch):
+    """Files whose numbers are equal are written together: a change of one keeps the other."""
+    monkeypatch.setattr(store, "place_of", lambda c: F.lit(7).cast("long"))
+    root = tmp_path / "data"
+    root.mkdir()
+    for n in "ab":
+        (root / f"{n}.txt").write_text(f"first words of {n}")
+    s = store.Store(spark, str(tmp_path / "store"))
+    ingest.crawl(spark, s, [str(root)], T0)
+    (root / "a.txt").write_text("later words of a")
+    assert ingest.crawl(spark, s, [str(root)], T0)["unchanged"] == 1
+    assert sorted(r.text for r in s.read("chunks").filter("active").collect()) == ["first words of b", "later words of a"] and consistent(s)
+    assert s.read("source_files").count() == 2 == s.read("vectors").count()
+
+
+def test_paused_crawl_goes_on(spark, tmp_path):
+    root = tmp_path / "data"
+    root.mkdir()
+    for k in range(12):
+        (root / f"f{k}.txt").write_text(f"words of file {k}")
+    s, asked = store.Store(spark, str(tmp_path / "store")), []
+    out = ingest.crawl(spark, s, [str(root)], T0, flush=4, pause=lambda: asked.append(1) or len(asked) > 1)
+    job = context.latest(s.read("index_jobs")).first()
+    assert out["paused"] and 0 < out["indexed"] < 12 and out["indexed"] + out["left"] == 12
+    assert (job.status, job.indexed, job.finished_at) == ("paused", out["indexed"], T0)
+    assert s.read("chunks").filter("active").count() == out["indexed"] and consistent(s)
+    rest = ingest.crawl(spark, s, [str(root)], T0)
+    assert (rest["indexed"], rest["unchanged"], rest["paused"]) == (out["left"], out["indexed"], 0) and consistent(s)
 
 
 def test_unreadable_folders_retire_nothing(spark, tmp_path, monkeypatch):
@@ -481,9 +581,8 @@ def test_failed_embedder_retry_and_rebuild(spark, tmp_path):
     os.remove(root / "f2.txt")
     out = ingest.retry(s, T0)
     assert (out["retried"], out["missing"], out["indexed"]) == (3, 1, 2) and s.read("vectors").count() == 2 and consistent(s)
-    lost = s.change()
-    lost.stage("vectors", s.read("vectors", whole=True).filter("chunk_id = 1"), replacing=True)
-    lost.commit()
+    kept = s.read("vectors", whole=True).orderBy("chunk_id").limit(1).checkpoint()
+    s.write("vectors", kept, s.runs()[-1])  # as if a vector were lost
     assert [r.physical_path for r in ingest.recent_without_vectors(s.read("chunks"), s.read("vectors")).collect()] and ingest.rebuild_vectors(s) == 1
     assert s.read("vectors").count() == 2 and ingest.rebuild_vectors(s) == 0
 
