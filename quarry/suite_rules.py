@@ -14,6 +14,7 @@ from .operators import chunking, context, filters, hybrid, store, vectors
 from .plans import corpus as P
 from .schema import JOBS, SAVED_SEARCHES
 from .sources import extract
+from .streaming import status
 from .suite import CHUNKS, NOW, SESSIONS, STATE, query
 
 FILE = "'doc/' || source || '/' || doc_id || '.txt'"
@@ -454,3 +455,27 @@ def src15_session_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("in/"), F.col("conv_id"), F.lit("-"), F.col("turn"), F.lit(".jsonl"))
     made = files(P.table(spark, sf_dir, "conversations"), path, F.concat(F.lit("not json\n"), line), "ai_session")
     return extract.records(made).select("source_path", "text", F.element_at("metadata", "role").alias("role"))
+
+
+# Schedules: a user's events as the jobs of a root, whose next scans are due by intervals of 1 to 24 hours.
+
+
+@query("str7_scan_status", """WITH j AS (SELECT event_id AS id, user_id AS root,
+  CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' AND value < 1 THEN 'running' ELSE 'completed' END AS status,
+  CASE WHEN event_type <> 'error' OR value >= 20 THEN ts END AS started FROM events),
+s AS (SELECT DISTINCT user_id AS root, user_id % 11 <> 0 AS enabled, 3600 * (1 + user_id % 24) AS secs, user_id % 5 = 0 AS busy FROM events),
+e AS (SELECT root, max(started) FILTER (WHERE status <> 'error' OR started IS NOT NULL) AS last_at, bool_or(status = 'running') AS running, max(id) AS last_job, arg_max(status, id) AS last_status FROM j GROUP BY root)
+SELECT CAST(s.root AS VARCHAR) AS root_path, last_job, last_status, last_at AS last_triggered_at, last_at + to_seconds(secs) AS next_due_at,
+  CASE WHEN NOT enabled THEN 'disabled' WHEN running THEN 'scan_running' WHEN TIMESTAMP '2024-01-31 00:00:00' < last_at + to_seconds(secs) THEN 'waiting_for_interval' WHEN busy THEN 'cluster_busy' END AS reason
+FROM s JOIN e ON s.root = e.root""")
+def str7_scan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = P.table(spark, sf_dir, "events").withColumn("root_path", F.col("user_id").cast("string"))
+    kind, value = F.col("event_type"), F.col("value")
+    jobs = e.select(
+        F.col("event_id").alias("id"), "root_path", F.when(kind == "error", "error").when((kind == "signup") & (value < 1), "running").otherwise("completed").alias("status"),
+        F.when((kind != "error") | (value >= 20), F.col("ts")).alias("started_at"), kind.alias("message"),
+    )
+    schedules = e.select("root_path", (F.col("user_id") % 11 != 0).alias("enabled"), (3600 * (1 + F.col("user_id") % 24)).alias("interval_seconds"), (F.col("user_id") % 5 == 0).alias("busy")).distinct()
+    out = status.scans(jobs, schedules, F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'"), {"cluster_busy": F.col("busy")})
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_triggered_at", "next_due_at")]
+    return out.select("root_path", "last_job", "last_status", *times, "reason")

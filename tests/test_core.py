@@ -6,6 +6,7 @@ import json
 import os
 import re
 import sqlite3
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -20,7 +21,7 @@ from quarry import shared, suite
 from quarry.functions import scalars as S
 from quarry.operators import chunking, context, filters, hybrid, lexical, lookup, match, quantized, store, vectors
 from quarry.sources import extract, listing
-from quarry.streaming import ingest
+from quarry.streaming import ingest, status
 
 SF = "/root/testdata/sf0.001"
 CHUNK = "id long, source_path string, source_kind string, title string, text string, metadata map<string,string>, ordinal int, content_hash string, active boolean, vector_status string, created_at timestamp, updated_at timestamp"
@@ -706,6 +707,73 @@ def test_stream_resumes(spark, tmp_path):
         put(3, "three")
 
 
+def test_scan_status(spark):
+    """Reasons in their order; a start that failed moves no due time; nulls hold back."""
+    h = timedelta(hours=1)
+    jobs = spark.createDataFrame(
+        [(1, "a", "completed", "", T0), (2, "a", "error", "no start", None), (3, "b", "running", "", T0), (4, "c", "completed", "", T0 - h), (5, "f", "paused", "", T0), (6, "gone", "running", "", T0), (7, "g", "error", "no start", None)],
+        "id long, root_path string, status string, message string, started_at timestamp",
+    )
+    plans = [("a", True, 3600, False), ("b", True, 60, False), ("c", True, 3600, True), ("d", True, 3600, False), ("e", None, 3600, False), ("f", False, 1, False), ("g", True, 3600, None), ("h", True, None, False)]
+    schedules = spark.createDataFrame(plans, "root_path string, enabled boolean, interval_seconds long, busy boolean")
+
+    def at(now):
+        return {r.root_path: r for r in status.scans(jobs, schedules, F.lit(now), {"cluster_busy": F.col("busy")}).collect()}
+
+    rows = at(T0 + h / 2)
+    assert {k: r.reason for k, r in rows.items()} == {"a": "waiting_for_interval", "b": "scan_running", "c": "cluster_busy", "d": None, "e": "disabled", "f": "disabled", "g": "cluster_busy", "h": None}
+    assert (rows["a"].last_job, rows["a"].last_message, rows["a"].last_triggered_at, rows["a"].next_due_at) == (2, "no start", T0, T0 + h)
+    assert (rows["d"].last_job, rows["d"].next_due_at, rows["g"].last_triggered_at, rows["g"].last_job) == (None, None, None, 7)
+    assert at(T0 + h)["a"].reason is None
+    assert status.scans(jobs.limit(0), schedules.limit(0), F.lit(T0)).count() == 0
+    assert {r.reason for r in status.scans(jobs.limit(0), schedules.limit(2), F.lit(T0)).collect()} == {None}
+
+
+def test_stream_status(spark, tmp_path):
+    """Two triggers of one query, a query that fails, and one that waits for its next trigger."""
+    log, source = status.Progress(spark, str(tmp_path / "progress")), str(tmp_path / "in")
+    spark.streams.addListener(log)
+
+    def started(name, batch, **trigger):
+        read = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+        return read.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / name)).trigger(**trigger).start()
+
+    def broken(df, n):
+        raise ValueError("a fault")
+
+    def seen(state, q):
+        for _ in range(100):  # events come a little later than what they tell of
+            row = status.streams(log.read(), 3600).filter(F.col("id") == q.id).first()
+            if row and row.state in state:
+                return row
+            time.sleep(0.2)
+        raise AssertionError(row)
+
+    try:
+        for _ in range(2):
+            spark.range(3).coalesce(1).write.mode("append").parquet(source)
+        one = started("one", lambda df, n: df.count(), availableNow=True)
+        one.awaitTermination()
+        row = seen({"stopped"}, one)
+        assert (row.batches, row.rows, row.next_due_at, row.error) == (2, 6, None, None) and row.last_run_at
+        two = started("two", broken, availableNow=True)
+        with pytest.raises(Exception, match="a fault"):
+            two.awaitTermination()
+        assert "a fault" in seen({"failed"}, two).error
+        three = started("three", lambda df, n: None, processingTime="1 hour")
+        row = seen({"running", "waiting"}, three)
+        for _ in range(50):
+            if row.last_run_at:
+                break
+            time.sleep(0.2)
+            row = seen({"running", "waiting"}, three)
+        assert row.next_due_at == row.last_run_at + timedelta(hours=1)
+        three.stop()
+        assert seen({"stopped"}, three).next_due_at is None
+    finally:
+        spark.streams.removeListener(log)
+
+
 def test_jobs_and_saved_searches(spark):
     jobs = spark.createDataFrame([(1, "r", "running", 0, 0, 0, 0, "", T0, T0, None)], store.JOBS)
     now = F.lit(T0 + timedelta(1))
