@@ -78,12 +78,76 @@ def clamped(value: object, low: int = 1, high: int = 50, default: int = 10) -> i
         return default
 
 
+def parts_of(path: str) -> tuple[str, ...]:
+    """A path's lower-case parts, between slashes of either kind: what `scalars.path_parts` gives for a column (which drops a record's #fragment first)."""
+    return tuple(p for p in path.replace("/", "\\").lower().split("\\") if p)
+
+
+def _starts(parts: Column, folders: Sequence[str]) -> Column:
+    """Whether the parts begin with those of one of the folders: one lookup a length of folder."""
+    by_length: dict[int, list[str]] = {}
+    for f in map(parts_of, folders):
+        by_length.setdefault(len(f), []).append("\\".join(f))
+    out = F.lit(False)
+    for n, some in sorted(by_length.items()):
+        out |= F.array_join(F.slice(parts, 1, n), "\\").isin(*some)
+    return out
+
+
+def under_any(path: Column, folders: Sequence[str]) -> Column:
+    """Whether a path is one of the folders or in one of them, without regard to case or to the kind of slash."""
+    return _starts(S.path_parts(path), folders)
+
+
+def in_scope_or_above(path: Column, scopes: Sequence[str]) -> Column:
+    """Whether a path is a scope, in one, or one of the folders that lead to one."""
+    above = sorted({"\\".join(s[:n]) for s in map(parts_of, scopes) for n in range(1, len(s) + 1)})
+    parts = S.path_parts(path)
+    return _starts(parts, scopes) | F.array_join(parts, "\\").isin(*above)
+
+
+@dataclass(frozen=True)
+class Pruning:
+    """Which folders a walk enters below its root.
+
+    names and name_prefixes: of a folder, judged below the root only, so a root that has such a name itself is
+    walked. folders: left out with all that is in them, even as a root. scopes: a walk from the very top of
+    their drive (their first part) enters only what is in a scope or leads to one; any other root is free.
+    """
+
+    names: frozenset[str] = frozenset()
+    name_prefixes: tuple[str, ...] = ()
+    folders: tuple[str, ...] = ()
+    scopes: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "_folders", frozenset(map(parts_of, self.folders)))
+        object.__setattr__(self, "_scopes", frozenset(map(parts_of, self.scopes)))
+        object.__setattr__(self, "_above", frozenset(s[:n] for s in map(parts_of, self.scopes) for n in range(1, len(s) + 1)))
+
+    def begins(self, root: str) -> bool:
+        parts = parts_of(root)
+        return not any(parts[:n] in self._folders for n in range(1, len(parts) + 1))
+
+    def enters(self, root: str, folder: str) -> bool:
+        """folder: below root, in a folder that was entered."""
+        parts, top = parts_of(folder), parts_of(root)
+        name = parts[-1]
+        if name in self.names or name.startswith(self.name_prefixes) or parts in self._folders:
+            return False
+        if len(top) == 1 and top in self._above:
+            return parts in self._above or any(parts[:n] in self._scopes for n in range(1, len(parts)))
+        return True
+
+
 @dataclass(frozen=True)
 class PathRule:
     """The first rule whose condition holds decides a path's kind, whether it is skipped, and why.
 
-    sequence: consecutive parts anywhere; prefix: at the start; any_part: one of the parts; after: a part
-    somewhere after another; name_prefix: a part that starts so; suffixes: the extension. All that are given must hold.
+    sequence: consecutive parts anywhere; prefix: at the start; folders: one of them is the path or holds it;
+    outside: the path is on the drive (first part) of these scopes, but in none of them; any_part: one of the
+    parts; after: a part somewhere after another; name_prefix: a part that starts so; suffixes: the extension.
+    All that are given must hold.
     """
 
     reason: str
@@ -96,9 +160,16 @@ class PathRule:
     name_prefix: str = ""
     suffixes: tuple[str, ...] = ()
     depth: int = 0
-
-    def holds(self, path: Column) -> Column:
-        parts, out = S.path_parts(path), F.lit(True)
+    folders: tuple[str, ...] = ()
+    outside: tuple[str, ...] = ()
+
+    def holds(self, path: Column, parts: Column | None = None) -> Column:
+        """parts: those of the path, where they were split before."""
+        parts, out = S.path_parts(path) if parts is None else parts, F.lit(True)
+        if self.folders:
+            out &= _starts(parts, self.folders)
+        if self.outside:
+            out &= F.get(parts, 0).isin(*sorted({parts_of(s)[0] for s in self.outside})) & ~_starts(parts, self.outside)
         if self.sequence:
             n, want = len(self.sequence), F.array(*map(F.lit, self.sequence))
             at = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.slice(parts, i, F.lit(n)) == want)
@@ -123,12 +194,14 @@ class PathRule:
 MEDIA = (".mp4", ".mkv", ".avi", ".mov", ".wmv", ".webm", ".mp3", ".wav", ".flac", ".ogg", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp", ".svg")
 ARCHIVES = (".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz", ".zst")
 BINARIES = (".exe", ".dll", ".node", ".sys", ".iso", ".bin", ".dat", ".db", ".sqlite", ".sqlite-shm", ".sqlite-wal", ".tv", ".tvim")
-# A choice of folder names that are skipped everywhere; their order plays no part.
+# Folder names that are skipped everywhere.
 SKIPPED_FOLDERS = frozenset((
-    "$recycle.bin", ".android", ".angular", ".cache", ".dart_tool", ".fvm", ".git", ".gradle", ".hg", ".mypy_cache", ".next", ".nox", ".npm", ".nuxt", ".parcel-cache", ".pip-cache", ".pnpm-store",
-    ".pub-cache", ".pytest_cache", ".ruff_cache", ".svelte-kit", ".svn", ".tox", ".turbo", ".uv-cache", ".venv", ".vite", ".yarn", "__pycache__", "boot", "bower_components", "build", "cache", "dist",
-    "env", "logs", "node_modules", "npm-cache", "out", "perflogs", "pip-cache", "pnpm-store", "pods", "program files", "program files (x86)", "programdata", "pub-cache", "recovery", "site-packages",
-    "system volume information", "target", "temp", "tmp", "uv-cache", "venv", "windows", "windows kits",
+    "$recycle.bin", ".android", ".cache", ".dart_tool", ".ollama", ".pub-cache", "boot", "system volume information", "windows", "program files", "program files (x86)", "programdata", "recovery",
+    "chrome-debug-profile", "ffmpeg", "inetpub", "intel", "jaxcorecache", "node_modules", ".git", ".hg", ".svn", ".venv", "venv", "env", "__pycache__", "dist", "build", "buildtools", "target", "out",
+    ".next", ".nuxt", ".turbo", ".angular", ".claw", ".claude", ".nox", ".npm", ".parcel-cache", ".pip-cache", ".pnpm-store", ".svelte-kit", ".tox", ".tmp-skill-research", ".uv-cache", ".vite", ".yarn",
+    ".gradle", ".fvm", ".pytest_cache", ".mypy_cache", ".ruff_cache", "bower_components", "bugreports", "cache", "game a plague tale", "pods", "pub-cache", "tmp", "temp", "ollama", "hf_cache",
+    "image_cache", "logs", "msdownld.tmp", "npm-cache", "onedrivetemp", "perflogs", "pip-cache", "pnpm-store", "site-packages", "session_tiktok", "temp_pip", "uv-cache", "ubuntu", "windows kits",
+    "vs community", "wsl", "_commonredist", "a plague tale - innocence",
 ))
 SKIPPED_PREFIX = "ffmpeg-"
 RULES = (
@@ -149,13 +222,17 @@ OTHER_CAP = 20 << 20
 
 
 def classified(path: Column, rules: Sequence[PathRule] = RULES) -> Column:
-    """struct(kind, skip, reason) by the first rule that holds."""
-    out = None
-    for r in rules:
-        value = F.struct(F.lit(r.kind).alias("kind"), F.lit(r.skip).alias("skip"), F.lit(r.reason).alias("reason"))
-        out = F.when(r.holds(path), value) if out is None else out.when(r.holds(path), value)
+    """struct(kind, skip, reason) by the first rule that holds. The path is split once for all rules."""
     rest = F.struct(F.lit("normal_file").alias("kind"), F.lit(False).alias("skip"), F.lit("normal_file").alias("reason"))
-    return out.otherwise(rest) if out is not None else rest
+
+    def first(parts: Column) -> Column:
+        out = None
+        for r in rules:
+            value = F.struct(F.lit(r.kind).alias("kind"), F.lit(r.skip).alias("skip"), F.lit(r.reason).alias("reason"))
+            out = F.when(r.holds(path, parts), value) if out is None else out.when(r.holds(path, parts), value)
+        return out.otherwise(rest)
+
+    return F.get(F.transform(F.array(S.path_parts(path)), first), 0) if rules else rest
 
 
 def classified_under(path: Column, root: Column, rules: Sequence[PathRule] = RULES) -> Column:

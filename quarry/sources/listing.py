@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..operators.filters import SKIPPED_FOLDERS, SKIPPED_PREFIX
+from ..operators.filters import SKIPPED_FOLDERS, SKIPPED_PREFIX, Pruning
 from ..schema import LISTING
 
 #: The driver looks into folders, level by level, until it has so many for the tasks, and deals them to so many partitions at most.
@@ -31,14 +31,15 @@ class Branch(InputPartition):
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, roots: Sequence[str], pruned: Sequence[str]):
-        self.roots, self.pruned = roots, frozenset(pruned)
+    def __init__(self, roots: Sequence[str], pruned: Sequence[str], folders: Sequence[str] = (), scopes: Sequence[str] = ()):
+        self.pruning = Pruning(frozenset(pruned), (SKIPPED_PREFIX,) if pruned else (), tuple(folders), tuple(scopes))
+        self.roots = [r for r in roots if self.pruning.begins(r)]
 
     def partitions(self) -> list[Branch]:
         known, level = [], [(root, root) for root in self.roots]
         while level and len(known) + len(level) < ENOUGH:
             known += [(root, folder, False) for root, folder in level]  # its own files; or a root that is a file
-            level = [(root, e.path) for root, folder in level for e in self._entries(folder)[0] if self._enters(e)]
+            level = [(root, e.path) for root, folder in level for e in self._entries(folder)[0] if self._enters(root, e)]
         known += [(root, folder, True) for root, folder in level]
         return [Branch(known[k::ENOUGH]) for k in range(min(ENOUGH, len(known)))] or [Branch([])]
 
@@ -52,9 +53,8 @@ class TreeReader(DataSourceReader):
         except OSError as e:
             return [], f"{type(e).__name__}: {e.strerror}"
 
-    def _enters(self, entry: os.DirEntry) -> bool:
-        name = entry.name.lower()
-        return entry.is_dir(follow_symlinks=False) and name not in self.pruned and not (self.pruned and name.startswith(SKIPPED_PREFIX))
+    def _enters(self, root: str, entry: os.DirEntry) -> bool:
+        return entry.is_dir(follow_symlinks=False) and self.pruning.enters(root, entry.path)
 
     def read(self, partition: Branch) -> Iterator[tuple]:
         for root, folder, deep in partition.folders:
@@ -72,7 +72,7 @@ class TreeReader(DataSourceReader):
             if error:
                 yield folder, root, None, None, error
             for e in entries:
-                if self._enters(e):
+                if self._enters(root, e):
                     below.append(e.path)
                 elif e.is_file(follow_symlinks=False):
                     try:
@@ -85,7 +85,7 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """Options: roots (JSON list), pruned (JSON list of lower-case folder names)."""
+    """Options, JSON lists: roots, pruned (lower-case folder names), folders and scopes as in `filters.Pruning`."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,13 +95,17 @@ class TreeSource(DataSource):
         return LISTING
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return TreeReader(json.loads(self.options["roots"]), json.loads(self.options.get("pruned", json.dumps(sorted(SKIPPED_FOLDERS)))))
+        given = {k: json.loads(self.options.get(k, "[]")) for k in ("folders", "scopes")}
+        return TreeReader(json.loads(self.options["roots"]), json.loads(self.options.get("pruned", json.dumps(sorted(SKIPPED_FOLDERS)))), **given)
 
 
-def listed(spark: SparkSession, roots: Sequence[str], pruned: Sequence[str] | frozenset[str] = SKIPPED_FOLDERS) -> DataFrame:
-    """path, root, size_bytes, mtime_ns of all files under the roots, and folders that can't be read with their error; a root that is missing gives none."""
+def listed(spark: SparkSession, roots: Sequence[str], pruned: Sequence[str] | frozenset[str] = SKIPPED_FOLDERS, folders: Sequence[str] = (), scopes: Sequence[str] = ()) -> DataFrame:
+    """path, root, size_bytes, mtime_ns of all files under the roots, and folders that can't be read with their error; a root that is missing gives none.
+
+    pruned, folders, scopes: what is not walked, as in `filters.Pruning`.
+    """
     spark.dataSource.register(TreeSource)
-    return spark.read.format("tree").option("roots", json.dumps(list(roots))).option("pruned", json.dumps(sorted(pruned))).load()
+    return spark.read.format("tree").option("roots", json.dumps(list(roots))).options(pruned=json.dumps(sorted(pruned)), folders=json.dumps(list(folders)), scopes=json.dumps(list(scopes))).load()
 
 
 def stated(paths: DataFrame) -> DataFrame:

@@ -161,12 +161,13 @@ def ingested(s: store.Store, seen: DataFrame, gone: DataFrame, now: datetime, em
 
 def crawl(
     spark: SparkSession, s: store.Store, roots: Sequence[str], now: datetime, embed: Embed = vectors.embedded, rules: Sequence[filters.PathRule] = filters.RULES, archives: bool = False,
-    flush: int = 10_000, budget: Budget | None = None, pause: Callable[[], bool] | None = None,
+    flush: int = 10_000, budget: Budget | None = None, pause: Callable[[], bool] | None = None, folders: Sequence[str] = (), scopes: Sequence[str] = (),
 ) -> dict[str, int]:
     """Scan the roots once, as a job; the counters of what was discovered and what became of it, and `unreadable` folders.
 
     A store over its budget ends the job as an error and raises. Where pause says so, what was begun is
-    finished and the job ends as paused; the next crawl of these roots goes on with what is left.
+    finished and the job ends as paused; the next crawl of these roots goes on with what is left. folders and scopes: see `filters.Pruning`; what was
+    indexed before and is no longer walked stays as it is while its file is there.
     """
     at, job = F.lit(now), s.claimed()
     s.put("index_jobs", store.created_job(spark.createDataFrame([], JOBS), "; ".join(roots), at, job_id=job))
@@ -175,7 +176,7 @@ def crawl(
         s.put("index_jobs", store.updated_job(context.by_id(s.read("index_jobs"), job), job, status, message, at, **counters))
 
     try:
-        listed = shared.checkpointed(listing.listed(spark, roots))
+        listed = shared.checkpointed(listing.listed(spark, roots, filters.SKIPPED_FOLDERS, folders, scopes))
         seen = seen_files(listed, rules, archives)
         out = ingested(s, seen, vanished(s.read("source_files"), seen, roots), now, embed, flush, budget, pause)
         out["unreadable"] = listed.filter("error is not null").select("path").distinct().count()

@@ -287,6 +287,19 @@ def fil22_scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "documents").select("doc_id", filters.classified(path, rules)["reason"].alias("reason"))
 
 
+LEFT_OUT, ALLOWED = ("D:\\Projects\\Blog.tionsh.example.net\\", "home\\sessions\\thther.example.org", "/srv/www"), ("D:\\Projects\\blog.ththan.example.net", "d:/projects/m.ththth.example.net")
+
+
+@query("fil18_folders", f"""WITH {SQL_NAMED}, p AS (SELECT page_id, lower(replace(path, '/', '\\')) AS p FROM n),
+w AS (SELECT page_id, starts_with(p, 'd:\\projects\\blog.tionsh.example.net\\') OR starts_with(p, 'home\\sessions\\thther.example.org\\') OR starts_with(p, '\\srv\\www\\') AS left_out,
+  starts_with(p, 'd:\\projects\\blog.ththan.example.net\\') OR starts_with(p, 'd:\\projects\\m.ththth.example.net\\') AS scope, starts_with(p, 'd:') AS drive FROM p)
+SELECT page_id, left_out, scope, CASE WHEN left_out THEN 'left_out' WHEN drive AND NOT scope THEN 'unscoped' ELSE 'normal_file' END AS reason FROM w""")
+def fil18_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' paths in folders that are left out, and on a drive of which only scopes count."""
+    path, rules = F.col("path"), (filters.PathRule("left_out", "system_cache", True, folders=LEFT_OUT), filters.PathRule("unscoped", "system_cache", True, outside=ALLOWED))
+    return names(spark, sf_dir).select("page_id", filters.under_any(path, LEFT_OUT).alias("left_out"), filters.in_scope_or_above(path, ALLOWED).alias("scope"), filters.classified(path, rules)["reason"].alias("reason"))
+
+
 # Lookups and listings
 
 

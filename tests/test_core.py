@@ -199,6 +199,44 @@ def test_classification_and_skips(spark):
     assert [r[0] for r in df.select(filters.skip_reason(F.col("path"), big, F.col("rule"), archives=True)).collect()] == ["too_large", "skip_dir", None, None, "too_large"]
 
 
+def test_scopes_and_folders(spark):
+    """Folders and scopes as columns, as rules and as a walk's pruning agree with the plain definition."""
+    folders, scopes = ("D:\\Games", "D:\\tools\\old", "/srv/cache"), ("C:\\Users\\me\\notes", "C:\\Users\\me\\.x\\brain")
+    paths = ["D:\\games", "d:/GAMES/a.txt", "D:\\Games2\\a", "D:\\tools", "D:\\tools\\old\\x\\y", "/srv/cache/q", "/srv", "C:\\", "C:\\users", "C:\\Users\\me\\.x", "C:\\Users\\me\\.x\\brain\\deep\\f", "C:\\Users\\you", "", None]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    rules = [filters.PathRule("left_out", "system_cache", True, folders=folders), filters.PathRule("unscoped", "system_cache", True, outside=scopes)]
+    rows = df.select("path", filters.under_any(F.col("path"), folders).alias("under"), filters.in_scope_or_above(F.col("path"), scopes).alias("scope"), filters.classified(F.col("path"), rules)["reason"].alias("reason")).collect()
+
+    def under(p, some):
+        return any(filters.parts_of(p)[: len(f)] == f for f in map(filters.parts_of, some))
+
+    for r in rows:
+        if r.path is None:
+            continue
+        parts = filters.parts_of(r.path)
+        assert r.under == under(r.path, folders), r.path
+        assert r.scope == (under(r.path, scopes) or bool(parts) and any(f[: len(parts)] == parts for f in map(filters.parts_of, scopes))), r.path
+        assert r.reason == ("left_out" if r.under else "unscoped" if parts[:1] == ("c:",) and not under(r.path, scopes) else "normal_file"), r.path
+    p = filters.Pruning(frozenset(("build",)), ("ffmpeg-",), folders, scopes)
+    assert p.begins("D:\\tools") and p.begins("/r/build") and not p.begins("D:\\Games\\one") and not p.begins("/srv/cache")
+    assert [p.enters("C:\\", f) for f in ("C:\\Users", "C:\\Windows", "C:\\Users\\me\\notes", "C:\\Users\\me\\notes\\deep", "C:\\Users\\you")] == [True, False, True, True, False]
+    assert [p.enters(r, f) for r, f in (("C:\\Users", "C:\\Users\\you"), ("/r", "/r/Build"), ("/r", "/r/ffmpeg-7"), ("/srv", "/srv/Cache"), ("/srv", "/srv/caches"))] == [True, False, False, False, True]
+    assert len(filters.SKIPPED_FOLDERS) == 81
+
+
+def test_tree_leaves_out_folders(spark, tmp_path):
+    for p in ("a/one.txt", "a/deep/two.txt", "b/three.txt", "build/four.txt"):
+        (tmp_path / p).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / p).write_text("x")
+
+    def got(*roots, **given):
+        return sorted(os.path.relpath(r.path, tmp_path) for r in listing.listed(spark, [str(tmp_path / r) for r in roots], **given).collect())
+
+    assert got(".", folders=[str(tmp_path / "A" / "deep")]) == ["a/one.txt", "b/three.txt"]
+    assert got("a", "b", folders=[str(tmp_path / "b")]) == ["a/deep/two.txt", "a/one.txt"]
+    assert got("build") == ["build/four.txt"] and got(".", pruned=()) == ["a/deep/two.txt", "a/one.txt", "b/three.txt", "build/four.txt"]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("api_key = 'abc123' and ghp_abcdefghij; my.token:xyz plain",)], "t string")
     assert df.select(S.redacted(F.col("t"))).first()[0] == "api_key = '[REDACTED_SECRET]' and [REDACTED_SECRET]; my.token:[REDACTED_SECRET] plain"
