@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
+from collections import deque
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,14 +22,14 @@ from pyspark.sql.types import StructType
 from ..operators.filters import SKIPPED_FOLDERS, SKIPPED_PREFIX, Pruning
 from ..schema import LISTING
 
-#: The driver looks into folders, level by level, until it has so many for the tasks, and deals them to so many partitions at most.
+#: The driver looks into folders, breadth first, until it has so many for the tasks, and deals them to so many partitions at most.
 ENOUGH = 256
 
 
 class Branch(InputPartition):
-    """(root, folder, whether to go below it) for one task."""
+    """(root, folder, share) for one task: k of n parts of the folder with all below it, or None for its own files only."""
 
-    def __init__(self, folders: list[tuple[str, str, bool]]):
+    def __init__(self, folders: list[tuple[str, str, tuple[int, int] | None]]):
         self.folders = folders
 
 
@@ -36,11 +39,20 @@ class TreeReader(DataSourceReader):
         self.roots = [r for r in roots if self.pruning.begins(r)]
 
     def partitions(self) -> list[Branch]:
-        known, level = [], [(root, root) for root in self.roots]
-        while level and len(known) + len(level) < ENOUGH:
-            known += [(root, folder, False) for root, folder in level]  # its own files; or a root that is a file
-            level = [(root, e.path) for root, folder in level for e in self._entries(folder)[0] if self._enters(root, e)]
-        known += [(root, folder, True) for root, folder in level]
+        """Folders for the tasks, breadth first until there are enough; the driver holds about twice ENOUGH of them, however the tree is made.
+
+        A folder with more folders than that is not opened up here: ENOUGH tasks take a share each of what is in it, by the names' hash.
+        """
+        known, todo = [], deque((root, root) for root in self.roots)
+        while todo and len(known) + len(todo) < ENOUGH:
+            root, folder = todo.popleft()
+            below = list(islice((e.path for e in self._entries(folder)[0] if self._enters(root, e)), ENOUGH + 1))
+            if len(below) > ENOUGH:
+                known += [(root, folder, (k, ENOUGH)) for k in range(ENOUGH)]
+            else:
+                known.append((root, folder, None))  # its own files; or a root that is a file
+                todo += [(root, path) for path in below]
+        known += [(root, folder, (0, 1)) for root, folder in todo]
         return [Branch(known[k::ENOUGH]) for k in range(min(ENOUGH, len(known)))] or [Branch([])]
 
     def _entries(self, folder: str) -> tuple[list[os.DirEntry], str | None]:
@@ -57,10 +69,11 @@ class TreeReader(DataSourceReader):
         return entry.is_dir(follow_symlinks=False) and self.pruning.enters(root, entry.path)
 
     def read(self, partition: Branch) -> Iterator[tuple]:
-        for root, folder, deep in partition.folders:
-            yield from self._walk(root, folder, deep)
+        for root, folder, share in partition.folders:
+            yield from self._walk(root, folder, share)
 
-    def _walk(self, root: str, top: str, deep: bool) -> Iterator[tuple]:
+    def _walk(self, root: str, top: str, share: tuple[int, int] | None) -> Iterator[tuple]:
+        """share: k of n parts of what is in the top folder, with all below; None: its own files."""
         if os.path.isfile(top):
             s = os.stat(top)
             yield top, root, s.st_size, s.st_mtime_ns, None
@@ -71,6 +84,8 @@ class TreeReader(DataSourceReader):
             entries, error = self._entries(folder)
             if error:
                 yield folder, root, None, None, error
+            if share and share[1] > 1 and folder == top:
+                entries = [e for e in entries if zlib.crc32(os.fsencode(e.name)) % share[1] == share[0]]
             for e in entries:
                 if self._enters(root, e):
                     below.append(e.path)
@@ -80,7 +95,7 @@ class TreeReader(DataSourceReader):
                         yield e.path, root, s.st_size, s.st_mtime_ns, None
                     except OSError:
                         yield e.path, root, None, None, None
-            if deep:
+            if share:
                 todo += reversed(below)
 
 
@@ -115,7 +130,7 @@ def stated(paths: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [row for path in batch.column("path").to_pylist() for row in TreeReader([path], ())._walk(path, path, False)]
+            rows = [row for path in batch.column("path").to_pylist() for row in TreeReader([path], ())._walk(path, path, None)]
             yield pa.RecordBatch.from_pylist([dict(zip(LISTING.names, r, strict=True)) for r in rows], schema=pa.schema([("path", pa.string()), ("root", pa.string()), ("size_bytes", pa.int64()), ("mtime_ns", pa.int64()), ("error", pa.string())]))
 
     return paths.select("path").mapInArrow(run, LISTING)

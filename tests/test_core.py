@@ -224,6 +224,26 @@ def test_scopes_and_folders(spark):
     assert len(filters.SKIPPED_FOLDERS) == 81
 
 
+@pytest.mark.parametrize("wide, each", [(3 * listing.ENOUGH, 1), (100, 30), (1, 40)])
+def test_driver_holds_few_folders(tmp_path, wide, each):
+    """Whatever the tree's shape, the driver's list is bounded and the tasks find each file once."""
+    want = set()
+    for a in range(wide):
+        for b in range(each):
+            folder = tmp_path / f"d{a}" / f"e{b}"
+            folder.mkdir(parents=True)
+            (folder / "f.txt").write_text("x")
+            want.add(str(folder / "f.txt"))
+    (tmp_path / "own.txt").write_text("x")
+    reader = listing.TreeReader([str(tmp_path)], ("node_modules",))
+    branches = reader.partitions()
+    assert len(branches) <= listing.ENOUGH and sum(len(b.folders) for b in branches) <= 2 * listing.ENOUGH
+    got = [r[0] for b in branches for r in reader.read(b)]
+    assert len(got) == len(set(got)) and set(got) == want | {str(tmp_path / "own.txt")}
+    shares = Counter(sum(1 for _ in reader.read(b)) for b in branches)
+    assert wide < listing.ENOUGH or max(shares) < 20
+
+
 def test_tree_leaves_out_folders(spark, tmp_path):
     for p in ("a/one.txt", "a/deep/two.txt", "b/three.txt", "build/four.txt"):
         (tmp_path / p).parent.mkdir(exist_ok=True, parents=True)
