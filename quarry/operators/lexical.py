@@ -11,7 +11,7 @@ active or not) come with the index; inactive chunks are dropped after scoring.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -102,9 +102,30 @@ def term_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("tf"))
 
 
+def counted(chunks: DataFrame) -> DataFrame:
+    """term_statistics of chunks that have no postings yet: summed up batch by batch, so that no posting is made or moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            df, tf = Counter(), Counter()
+            for title, text in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(title or "") + words_of(text or "")
+                tf.update(words)
+                df.update(set(words))
+            yield pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array([df[t] for t in tf], pa.int64()), pa.array(list(tf.values()), pa.int64())], names=["term", "df", "tf"])
+
+    found = chunks.select("title", "text").mapInArrow(run, "term string, df long, tf long")
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
 def dictionary(index: DataFrame) -> DataFrame:
-    """term_statistics as they are written beside the postings: ranges of terms, sorted, so that a term or a prefix is in a few row groups."""
-    return term_statistics(index).repartitionByRange("term").sortWithinPartitions("term")
+    """term_statistics as they are written beside the postings."""
+    return as_dictionary(term_statistics(index))
+
+
+def as_dictionary(statistics: DataFrame) -> DataFrame:
+    """Statistics in ranges of terms, sorted, so that a term or a prefix is in a few row groups."""
+    return statistics.repartitionByRange("term").sortWithinPartitions("term")
 
 
 def terms_of(terms: DataFrame, prefix: str) -> DataFrame:

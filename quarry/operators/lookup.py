@@ -34,9 +34,9 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return any_of(conditions[:half]) | any_of(conditions[half:]) if half else conditions[0]
 
 
-def by_id_order(rows: DataFrame, column: str) -> DataFrame:
-    """rows as they are best written for `by_ids`: ranges of the column a file, sorted inside."""
-    return rows.repartitionByRange(column).sortWithinPartitions(column)
+def by_id_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows as they are best written for `by_ids`: ranges of the columns a file, sorted inside."""
+    return rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
 def winners(chunks: DataFrame, hits: DataFrame) -> DataFrame:

@@ -437,6 +437,31 @@ def test_many_winners(spark, tmp_path):
     assert {r.id for r in lookup.by_ids(spark.read.parquet(path), "id", ids).collect()} == set(ids)
 
 
+def test_tables_when_asked_for(spark, tmp_path):
+    """Queries of chunks or terms write no postings and no vectors; chunks are in ranges of their ids, whatever the order of the documents."""
+    from quarry.plans import corpus
+
+    for t in ("documents", "conversations"):
+        spark.read.parquet(f"{SF}/{t}.parquet").orderBy(F.rand(1)).write.parquet(str(tmp_path / f"{t}.parquet"))
+    there = str(tmp_path)
+    of = {name: suite.QUERIES[name](spark, there) for name in ("snk5_deactivated_source", "agg11_terms")}
+    assert {what for _, sf_dir, _, what in corpus._BUILT if sf_dir == there} == {"chunks", "terms"}
+    assert of["snk5_deactivated_source"].count() == suite.QUERIES["snk5_deactivated_source"](spark, SF).count()
+    rows = lambda df: sorted(map(tuple, df.select("term", "df", "tf").collect()))
+    assert rows(of["agg11_terms"]) == rows(lexical.term_statistics(lexical.postings(corpus.chunk_table(spark, SF))))
+    for name in ("documents", "mixed"):
+        c = corpus.built(spark, there, name, "chunks")
+        assert sorted(map(tuple, c.select("id", "text").collect())) == sorted(map(tuple, corpus.built(spark, SF, name, "chunks").select("id", "text").collect()))
+        ends = sorted(map(tuple, c.groupBy(F.input_file_name()).agg(F.min("id"), F.max("id")).select("min(id)", "max(id)").collect()))
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_folding():
+    """Letter by letter what str.translate does."""
+    for text in (*S._FOLDED, "".join(S._FOLDED), "Crème BRÛLÉE ß æ ø Ł İx ñ1_é", "日本 é"):
+        assert match.words_of(text) == re.findall(r"[^\W_]+", text.translate(str.maketrans(S._FOLDED)).lower())
+
+
 def test_bare_references(spark, tmp_path):
     """Character references without a semicolon: browsers read them, the pages' rule doesn't."""
     html = "<p>a&amp</p><p>x &ampy &#65 &lt;b&gt; &amp;lt; && &#66; &eacute; c&</p>"
