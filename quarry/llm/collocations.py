@@ -41,7 +41,7 @@ LEAST, WORDS, TOP, COVER = 10, 3, 2000, 50
 LOG = 25
 #: Counters that are sent as one row.
 BLOCK = 1 << 16
-#: Phrases that are compiled at once; about 160 bytes each in a worker.
+#: Phrases that are compiled at once; about 350 bytes each in a worker.
 SHARD = 700_000
 #: Characters of text that are joined to one block of work, if they are of the same language, and that wait for it in all.
 JOINED, WAITING = 1 << 18, 8 << 20
@@ -161,7 +161,7 @@ def sketch(texts: DataFrame, hashes: Callable[[Block], list[np.ndarray]], least:
     top = min(least, 255)  # what is above makes no difference
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _HELD.clear()  # of an earlier table
+        dropped()  # of an earlier table
         counters = np.zeros(2 << log, np.uint16)
         for block in blocks(batches):
             for h in hashes(block):
@@ -234,12 +234,17 @@ def listed(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
     return found.groupBy("lang", "phrase", "words", "part").agg(F.sum("n").alias("n"))
 
 
+def dropped() -> None:
+    """This worker's automata are let go. A function of the module, as one that is sent to a worker by value brings its own copy of `_HELD`."""
+    _HELD.clear()
+
+
 def compiled(name: str, shard: Broadcast) -> tuple[dict[str, object], np.ndarray]:
     """An automaton for each language of the shard, and the ids of its phrases; those of another shard go first."""
     if name not in _HELD:
         import ahocorasick
 
-        _HELD.clear()
+        dropped()
         phrases, automata = pa.ipc.open_stream(shard.value).read_all(), {}
         k = 0
         for batch in phrases.to_batches(max_chunksize=50_000):

@@ -200,6 +200,24 @@ def test_collocations_other_thresholds(phrases):
     assert collocations.collocations(phrases.limit(0), log=15).count() == 0
 
 
+def test_sketch_drops_automata():
+    """A worker that begins a sketch lets go of an earlier table's automata, also when the task was sent by value."""
+    from pyspark import cloudpickle
+
+    class Sent(Exception):
+        pass
+
+    class Texts:
+        def mapInArrow(self, f, schema):
+            raise Sent(f)
+
+    with pytest.raises(Sent) as sent:
+        collocations.sketch(Texts(), lambda b: [], 10, 15)
+    collocations._HELD["shard"] = ({}, None)
+    list(cloudpickle.loads(cloudpickle.dumps(sent.value.args[0]))(iter([])))
+    assert not collocations._HELD
+
+
 def test_long_words_and_texts(monkeypatch):
     monkeypatch.setattr(collocations, "SPAN", 64)
     data = ["a " * 100 + "w" * 200 + " b. c " + "w" * 200, "v" * 64 + " " + "w" * 200, "é" * 90]
