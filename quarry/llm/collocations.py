@@ -37,7 +37,7 @@ from .common import by_key, discarded, mark, spread, table, width, written
 from .vectext import CHUNK, mixed, run_hashes, runs
 
 LEAST, WORDS, TOP, COVER = 10, 3, 2000, 50
-#: Counters of a row of the sketch as a power of two: 2 x 2^25 counters of 16 bits are 128 MB in a worker.
+#: Counters of a row of the sketch as a power of two: 2 x 2^25 counters of 8 bits are 64 MB in a worker.
 LOG = 25
 #: Counters that are sent as one row.
 BLOCK = 1 << 16
@@ -47,8 +47,10 @@ SHARD = 700_000
 JOINED, WAITING = 1 << 18, 8 << 20
 #: Bytes that are hashed at once; longer words are hashed one by one.
 SPAN = CHUNK // 8
-#: Words, and phrases' hashes, that a task holds before it passes them on or forgets them.
-WORDS_HELD, PHRASES_HELD = 250_000, 1_500_000
+#: Words that a task holds before it passes them on, and places for the hashes of phrases that it has listed, as a power of two: 32 MB.
+WORDS_HELD, PHRASES_HELD = 250_000, 22
+#: Tasks a core. A task sends its own sketch and lists a phrase about once, however much it reads.
+TASKS = 2
 _WORD = np.ones(256, np.uint8)
 _WORD[list(b" \t.,;:!?\n\x0b\x0c\r")] = 0
 _CUT = np.zeros(256, np.uint8)
@@ -130,6 +132,30 @@ def places(h: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> shift).astype(np.int64), (mixed(h ^ _SALT) >> shift).astype(np.int64) + (1 << log)
 
 
+def added(counters: np.ndarray, at: np.ndarray, top: int) -> None:
+    """Counts at these places, repeats included, in counters that stop at top (255 at most)."""
+    at = np.sort(at.astype(np.int32))
+    first = np.flatnonzero(np.diff(at, prepend=np.int32(-1)))
+    n = np.minimum(np.diff(first, append=len(at)), top).astype(np.uint16)
+    own = at[first]
+    counters[own] = np.minimum(counters[own] + n, top)
+
+
+class Met:
+    """Hashes that were met, as far as they have room: two places for each; one that had to give way counts as new again."""
+
+    def __init__(self, log: int):
+        self.shift, self.held = np.uint64(64 - log), np.zeros(1 << log, np.uint64)
+
+    def new(self, h: np.ndarray) -> np.ndarray:
+        """Which of these different hashes were not met; from now on they are. Zero, which marks a free place, is always new."""
+        one, two = h >> self.shift, mixed(h ^ _SALT) >> self.shift
+        out = (self.held[one] != h) & (self.held[two] != h) | (h == 0)
+        h, one, two = h[out], one[out], two[out]
+        self.held[np.where(self.held[one] == 0, one, two)] = h
+        return out
+
+
 class Passed:
     """Bits of the counters that reached the least count."""
 
@@ -162,18 +188,15 @@ def sketch(texts: DataFrame, hashes: Callable[[Block], list[np.ndarray]], least:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dropped()  # of an earlier table
-        counters = np.zeros(2 << log, np.uint16)
+        counters = np.zeros(2 << log, np.uint8)
         for block in blocks(batches):
             for h in hashes(block):
                 for at in places(h, log):
-                    for k in range(0, len(at), 1 << 15):  # no counter can overflow in between
-                        part = at[k : k + (1 << 15)]
-                        np.add.at(counters, part, np.uint16(1))
-                        counters[part] = np.minimum(counters[part], 1 << 15)
+                    added(counters, at, top)
         for k in range(0, len(counters), BLOCK):
             part = counters[k : k + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([zlib.compress(np.minimum(part, top).astype(np.uint8).tobytes(), 1)], pa.binary())], names=["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -202,28 +225,25 @@ def listed(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         words: dict[int, list] = {}
-        seen: set[int] = set()
+        met = Met(PHRASES_HELD)
         for block in blocks(batches):
             rows.append((block.lang, None, 0, 0, len(block.h[0])))
             for k, may in enumerate(passing(block, pairs.value, triples.value), 1):
                 at = np.flatnonzero(may)
                 hashes, first, n = np.unique(block.h[k - 1][at], return_index=True, return_counts=True)
-                known, counts = hashes.tolist(), n.tolist()
-                new = np.array([h not in (words if k == 1 else seen) for h in known], bool)
-                fresh = at[first[new]]
                 if k == 1:
-                    for h, phrase in zip(hashes[new].tolist(), block.phrases(fresh, 1), strict=True):
+                    known = hashes.tolist()
+                    new = np.array([h not in words for h in known], bool)
+                    for h, phrase in zip(hashes[new].tolist(), block.phrases(at[first[new]], 1), strict=True):
                         words[h] = [block.lang, phrase, 1, 0, 0]
-                    for h, m in zip(known, counts, strict=True):
+                    for h, m in zip(known, n.tolist(), strict=True):
                         words[h][4] += m
                 else:
-                    seen.update(hashes[new].tolist())
+                    fresh = at[first[met.new(hashes)]]
                     rows += [(block.lang, phrase, k, part, None) for phrase, part in zip(block.phrases(fresh, k), block.part[fresh].tolist(), strict=True)]
             if len(words) > WORDS_HELD:
                 rows += words.values()
                 words = {}
-            if len(seen) > PHRASES_HELD:
-                seen = set()
             if len(rows) > 50_000:
                 yield packed(rows)
                 rows = []
@@ -303,6 +323,7 @@ def counted(docs: DataFrame, least: int = LEAST, shard: int = SHARD, log: int =
     """lang, phrase, words, n: exact counts of all words and phrases that occur `least` times, of some others, and of all words (phrase null)."""
     spark = docs.sparkSession
     texts = spread(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
+    texts = texts.coalesce(TASKS * spark.sparkContext.defaultParallelism)
     send = spark.sparkContext.broadcast
     pairs = send(sketch(texts, lambda b: [b.h[0], b.h[1][b.inside[1]]], least, log))
     triples = send(sketch(texts, lambda b: [b.h[2][passing(b, pairs.value)[2]]], least, log))

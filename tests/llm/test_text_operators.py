@@ -200,6 +200,41 @@ def test_collocations_other_thresholds(phrases):
     assert collocations.collocations(phrases.limit(0), log=15).count() == 0
 
 
+def test_sketch_counters():
+    """Counters of one byte stop at the top and count every repeat below it."""
+    rng = np.random.default_rng(13)
+    counters, own = np.zeros(64, np.uint8), np.zeros(64, np.int64)
+    for n in (0, 1, 40, 7, 5000):
+        at = rng.integers(0, 60, n)
+        collocations.added(counters, at, 10)
+        own += np.bincount(at, minlength=64)
+        assert counters.tolist() == np.minimum(own, 10).tolist()
+
+
+def test_met_is_never_wrong():
+    """A hash that was not met is always new, whatever has no room; where there is room, one that was met is not new again."""
+    rng = np.random.default_rng(13)
+    small, large, known = collocations.Met(4), collocations.Met(16), set()
+    for _ in range(20):
+        h = np.unique(np.concatenate(([0], rng.integers(0, 1 << 63, 30, np.uint64) * np.uint64(2) + np.uint64(1))).astype(np.uint64))
+        unmet = np.array([x not in known or x == 0 for x in h.tolist()])
+        assert (small.new(h) | ~unmet).all() and (large.new(h) | ~unmet).all()
+        again = large.new(h)
+        assert again[0] and again.sum() <= 3
+        known.update(h.tolist())
+
+
+def test_tasks_of_collocations(spark, monkeypatch):
+    """Sketches and lists are sent by a bounded number of tasks, so that their shuffles don't grow with the number of a table's files."""
+    seen = []
+    whole = collocations.sketch
+    monkeypatch.setattr(collocations, "sketch", lambda texts, *a: seen.append(texts.rdd.getNumPartitions()) or whole(texts, *a))
+    tasks = collocations.TASKS * spark.sparkContext.defaultParallelism
+    docs = spark.createDataFrame(rows(["new york city"] * 40, ("en",)), DOCS).repartition(3 * tasks)
+    assert {r.phrase: r.a for r in collocations.collocations(docs, log=15).collect()} == {"new york city": 40}
+    assert seen == [tasks, tasks]
+
+
 def test_sketch_drops_automata():
     """A worker that begins a sketch lets go of an earlier table's automata, also when the task was sent by value."""
     from pyspark import cloudpickle
