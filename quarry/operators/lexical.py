@@ -5,14 +5,15 @@ They are made inside the chunk's row and written once, in folders by a hash of t
 sorted by term, so that a query reads only its terms' folders and row groups; all terms of a prefix of LEAD
 characters or more are in one folder. A query gathers the postings of a chunk by one
 exchange and judges phrases, proximity and the whole expression inside the row. Totals (chunks and tokens,
-active or not) come with the index; inactive chunks are dropped after scoring.
+active or not) come with the index; inactive chunks are dropped after scoring. Chunks without an index are
+searched in one pass, which makes postings of the asked terms alone (`asked`).
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .lookup import winners
-from .match import Expression, MatchError, Pair, expression, words_of
+from .match import Expression, MatchError, Pair, Phrase, expression, words_of
 
 K1, B = 1.2, 0.75
 #: Positions in the text column start here, so that no phrase spans title and text.
@@ -52,6 +53,26 @@ class Totals:
 
 def postings(chunks: DataFrame, *carried: str) -> DataFrame:
     """term, chunk_id, positions, len, active, and columns of the chunk that are carried along. Grouped inside each row, without an exchange."""
+    return _postings(chunks, carried, enumerate)
+
+
+def asked(chunks: DataFrame, *texts: str | Expression) -> DataFrame:
+    """Postings of the terms of these texts alone, for a search in chunks that have no index: `matched` finds the same in them.
+
+    One pass over the chunks, which are all read, without an exchange; every chunk also has a row of the empty
+    term, without positions, so that its length is known (`totals_of_asked`).
+    """
+    slots = slots_of(phrases_of(read_all(texts)))
+    exact, prefixes = frozenset(w for w, prefix in slots if not prefix), tuple(w for w, prefix in slots if prefix)
+
+    def wanted(words: list[str], start: int = 0) -> list[tuple[int, str]]:
+        return [(k, w) for k, w in enumerate(words, start) if w in exact or w.startswith(prefixes)]
+
+    return _postings(chunks, (), wanted, lengths=True)
+
+
+def _postings(chunks: DataFrame, carried: Sequence[str], wanted: Callable[..., Iterable[tuple[int, str]]], lengths: bool = False) -> DataFrame:
+    """wanted: of a list of words, those that get postings, with their place, from the first one's place on."""
     types = {f.name: f.dataType.simpleString() for f in chunks.select(*carried).schema} if carried else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +83,11 @@ def postings(chunks: DataFrame, *carried: str) -> DataFrame:
                 for title, text in zip(part.column("title").to_pylist(), part.column("text").to_pylist(), strict=True):
                     places = defaultdict(list)
                     a, b = words_of(title or ""), words_of(text or "")
-                    for k, t in enumerate(a):
+                    if lengths:
+                        places[""] = []
+                    for k, t in wanted(a):
                         places[t].append(k)
-                    for k, t in enumerate(b, TEXT_AT):
+                    for k, t in wanted(b, TEXT_AT):
                         places[t].append(k)
                     terms += places
                     counts.append((len(places), len(a) + len(b)))
@@ -87,6 +110,10 @@ def totals(chunks: DataFrame, index: DataFrame) -> Totals:
     return Totals(chunks.count(), index.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0])
 
 
+def totals_of_asked(index: DataFrame) -> Totals:
+    return Totals(*index.filter("term = ''").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first())
+
+
 def bucket(term: str) -> int:
     return zlib.crc32(term[:LEAD].encode()) % BUCKETS
 
@@ -151,12 +178,21 @@ def read_all(texts: Sequence[str | Expression]) -> list[Expression | None]:
     return out
 
 
+def phrases_of(queries: Sequence[Expression | None]) -> list[Phrase]:
+    return list(dict.fromkeys(p for q in queries if q for leaf in q.leaves() for p in leaf.phrases))
+
+
+def slots_of(phrases: Sequence[Phrase]) -> list[tuple[str, bool]]:
+    """The words of phrases, and whether they are prefixes."""
+    return list(dict.fromkeys((w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)))
+
+
 def matched(index: DataFrame, total: Totals, *texts: str | Expression) -> DataFrame:
     """query (the text's number), chunk_id, active, score of all chunks that match; a text that is no expression matches nothing."""
     queries = read_all(texts)
     leaves = [leaf for q in queries if q for leaf in q.leaves()]
-    phrases = list(dict.fromkeys(p for leaf in leaves for p in leaf.phrases))
-    slots = list(dict.fromkeys((w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)))
+    phrases = phrases_of(queries)
+    slots = slots_of(phrases)
     if not slots:
         return index.limit(0).select(F.lit(0).alias("query"), "chunk_id", "active", F.lit(0.0).alias("score"))
     is_slot = [F.col("term").startswith(w) if prefix else F.col("term") == w for w, prefix in slots]

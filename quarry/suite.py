@@ -146,7 +146,7 @@ def agg11_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    c = P.corpus(spark, sf_dir)
+    c = P.corpus(spark, sf_dir, asked=[text])
     return lexical.matched(c.postings, c.totals, text).filter("active").select("chunk_id", F.round("score", 9).alias("score"))
 
 
@@ -202,7 +202,7 @@ def txt1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("txt2_top20", f"WITH {hits(['attion', 'thing'])} SELECT id AS chunk_id, source_path, round(score, 9) AS score FROM lex JOIN tok USING (id) WHERE active ORDER BY lex.score, id LIMIT 20")
 def txt2_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = P.corpus(spark, sf_dir)
+    c = P.corpus(spark, sf_dir, asked=[TEXT])
     return lexical.lexical_search(c.chunks, c.postings, c.totals, TEXT).select("chunk_id", "source_path", F.round("score", 9).alias("score"))
 
 
@@ -248,7 +248,7 @@ def vec2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sem1_search", f"WITH {CHUNKS}, {embedded(P.DIM)}, {semantic_ctes(TEXT, 10, 80)} SELECT id AS chunk_id, source_path, substr(text, 1, 240) AS snippet, round(score, 9) AS score FROM sem JOIN chunks USING (id)")
 def sem1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid.semantic(P.corpus(spark, sf_dir), TEXT, limit=10).select("chunk_id", "source_path", "snippet", F.round("score", 9).alias("score"))
+    return hybrid.semantic(P.corpus(spark, sf_dir, asked=[TEXT]), TEXT, limit=10).select("chunk_id", "source_path", "snippet", F.round("score", 9).alias("score"))
 
 
 def fused_ctes(words: list[str], text: str, n: int, k: int, limit: int, where: str = "true", name: str = "") -> str:
@@ -275,18 +275,18 @@ def _fused(df: DataFrame) -> DataFrame:
 
 @query("hyb1_search", fused_sql(["attion", "thing"], TEXT, 10, 80, 10))
 def hyb1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(hybrid.search(P.corpus(spark, sf_dir), TEXT, 10))
+    return _fused(hybrid.search(P.corpus(spark, sf_dir, asked=[TEXT]), TEXT, 10))
 
 
 @query("hyb1_filtered", fused_sql(["attion", "thing"], TEXT, 80, 640, 10, "contains(source_path, 'src1') OR contains(source, 'src1')"))
 def hyb1_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(hybrid.search(P.corpus(spark, sf_dir), TEXT, 10, FILTERS))
+    return _fused(hybrid.search(P.corpus(spark, sf_dir, asked=[TEXT]), TEXT, 10, FILTERS))
 
 
 @query("hyb4_all", fused_sql(["attion", "thing"], TEXT, 50, 400, 50))
 def hyb4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A limit beyond the largest is cut to it."""
-    return _fused(hybrid.search_all(P.corpus(spark, sf_dir), TEXT, limit="500"))
+    return _fused(hybrid.search_all(P.corpus(spark, sf_dir, asked=[TEXT]), TEXT, limit="500"))
 
 
 ASKED = "thing"
@@ -294,12 +294,12 @@ ASKED = "thing"
 
 @query("hyb5_files", fused_sql([ASKED], ASKED, 30, 240, 30, chunks=MIXED, kept="source_kind = 'normal_file'", cut=7))
 def hyb5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(hybrid.search_files(P.corpus(spark, sf_dir, "mixed"), ASKED, limit=7))
+    return _fused(hybrid.search_files(P.corpus(spark, sf_dir, "mixed", [ASKED]), ASKED, limit=7))
 
 
 @query("hyb5_sessions", fused_sql([ASKED], ASKED, 30, 240, 30, chunks=MIXED, kept="source_kind = 'ai_session' AND source = 'chat'", cut=5))
 def hyb5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(hybrid.search_sessions(P.corpus(spark, sf_dir, "mixed"), ASKED, "chat", limit=5))
+    return _fused(hybrid.search_sessions(P.corpus(spark, sf_dir, "mixed", [ASKED]), ASKED, "chat", limit=5))
 
 
 VARIANTS = hybrid.secret_variants("thing key")
@@ -310,18 +310,18 @@ v AS ({' UNION ALL '.join(f'SELECT {k} AS query, id, score, lists, list, rank FR
 SELECT {RESULT} FROM g JOIN chunks USING (id) ORDER BY query, g.rank LIMIT 40""")
 def hyb6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one source pass as config files. The limit is above the longest list, so several variants give rows."""
-    return _fused(hybrid.find_secrets(P.corpus(spark, sf_dir, "mixed"), "thing key", 40))
+    return _fused(hybrid.find_secrets(P.corpus(spark, sf_dir, "mixed", VARIANTS), "thing key", 40))
 
 
 @query("prj9_compact", fused_sql(["attion", "thing"], TEXT, 10, 80, 10).replace("AS chunk_id, source_path,", "AS id, source_path AS path,"))
 def prj9_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid.compact(hybrid.search(P.corpus(spark, sf_dir), TEXT, 10)).select("id", "path", F.round("score", 9).alias("score"), "rank_source")
+    return hybrid.compact(hybrid.search(P.corpus(spark, sf_dir, asked=[TEXT]), TEXT, 10)).select("id", "path", F.round("score", 9).alias("score"), "rank_source")
 
 
 @query("top9_resorted", f"WITH s AS ({fused_sql(['attion', 'thing'], TEXT, 50, 400, 50)}), t AS (SELECT chunk_id, 'document ' || (chunk_id // 65536) AS title FROM s) SELECT chunk_id, title, CAST(row_number() OVER (ORDER BY title DESC, chunk_id) AS INTEGER) AS place FROM t")
 def top9_resorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each result by name, from Z to A; places are the rows' order, numbered in one small partition."""
-    out = hybrid.resorted(hybrid.search_all(P.corpus(spark, sf_dir), TEXT, limit=50), "name", descending=True).select("chunk_id", "title")
+    out = hybrid.resorted(hybrid.search_all(P.corpus(spark, sf_dir, asked=[TEXT]), TEXT, limit=50), "name", descending=True).select("chunk_id", "title")
     numbered = out.coalesce(1).withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))
     return numbered
 

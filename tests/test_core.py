@@ -456,6 +456,38 @@ def test_tables_when_asked_for(spark, tmp_path):
         assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
 
 
+@pytest.mark.parametrize("texts", [["fox quick", "quick NOT brown", '"brown fox"', "text:fo* OR zebra"], ["NEAR(quick fox, 2) OR ^title", "qu* fox*", "İstanbul"], ["(fox", "*", ""]])
+def test_asked_postings(spark, texts):
+    """A search in postings of its own terms alone finds what it finds in an index, with the same totals."""
+    c = chunks_of(spark, TEXTS, inactive=(1, 5))
+    index, total = indexed(c)
+    own = lexical.asked(c, *texts).cache()
+    assert lexical.totals_of_asked(own) == total and lexical.totals_of_asked(own.limit(0)) == lexical.Totals()
+    rows = lambda *of: sorted(map(tuple, lexical.matched(*of, *texts).collect()))
+    assert rows(own, total) == rows(index, total)
+    slots = lexical.slots_of(lexical.phrases_of(lexical.read_all(texts)))
+    named = F.lit(False)
+    for w, prefix in slots:
+        named |= F.col("term").startswith(w) if prefix else F.col("term") == w
+    kept = own.filter("term <> ''")
+    assert kept.exceptAll(index.filter(named)).isEmpty() and index.filter(named).exceptAll(kept).isEmpty()
+
+
+def test_a_search_builds_no_index(spark, tmp_path):
+    """One search of a folder makes postings of its own terms alone; where there is an index, it reads that."""
+    from quarry.plans import corpus
+
+    for t in ("documents", "conversations"):
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    there = str(tmp_path)
+    rows = lambda: [sorted(map(tuple, suite.QUERIES[q](spark, there).select("chunk_id", "score").collect())) for q in ("hyb5_files", "hyb5_sessions")]
+    alone = rows()
+    assert {k[2:] for k in corpus._BUILT if k[1] == there} == {("mixed", "chunks"), ("mixed", ("asked", "thing")), ("mixed", "vectors")}
+    whole = corpus.corpus(spark, there, "mixed")
+    assert "bucket" in whole.postings.columns and whole.totals == corpus.corpus(spark, SF, "mixed", ["other"]).totals
+    assert rows() == alone and "bucket" in corpus.corpus(spark, there, "mixed", ["thing"]).postings.columns
+
+
 def test_folding():
     """Letter by letter what str.translate does."""
     for text in (*S._FOLDED, "".join(S._FOLDED), "Crème BRÛLÉE ß æ ø Ł İx ñ1_é", "日本 é"):
