@@ -66,6 +66,8 @@ def asked(chunks: DataFrame, *texts: str | Expression) -> DataFrame:
     exact, prefixes = frozenset(w for w, prefix in slots if not prefix), tuple(w for w, prefix in slots if prefix)
 
     def wanted(words: list[str], start: int = 0) -> list[tuple[int, str]]:
+        if not prefixes and exact.isdisjoint(words):  # most chunks
+            return []
         return [(k, w) for k, w in enumerate(words, start) if w in exact or w.startswith(prefixes)]
 
     return _postings(chunks, (), wanted, lengths=True)

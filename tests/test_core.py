@@ -473,6 +473,14 @@ def test_asked_postings(spark, texts):
     assert kept.exceptAll(index.filter(named)).isEmpty() and index.filter(named).exceptAll(kept).isEmpty()
 
 
+def test_plain_words_without_an_expression(monkeypatch):
+    """Texts that are ASCII once they are folded are cut without the regular expression, which finds the same; each ASCII character at a word's start, middle and end."""
+    plain = ["", " ", "_", *(f"{c}A1{c}b{c}{c} Z_z{c}" for c in map(chr, range(128))), "Déjà vu, Çà"]
+    want = [re.findall(r"[^\W_]+", t.translate(str.maketrans(S._FOLDED)).lower()) for t in plain]
+    monkeypatch.setattr(match, "_RUN", None)
+    assert [match.words_of(t) for t in plain] == want
+
+
 def test_a_search_builds_no_index(spark, tmp_path):
     """One search of a folder makes postings of its own terms alone; where there is an index, it reads that."""
     from quarry.plans import corpus
