@@ -1,15 +1,18 @@
 """Phrase collocation mining: phrases of two and three words whose words meet more often than by chance.
 
-Tasks add the hashes of words and pairs to a sketch of two rows of counters, which are summed block by block
-on the cluster; a count can only be too high, so a counter under the least count rules a phrase out. A second
-sketch takes the triples whose pairs passed. What passes both is listed: a superset of the frequent phrases.
-The list is cut by the first pair into shards of a bounded size, each compiled into pyahocorasick automata
-(one a language) whose patterns begin and end with a delimiter; every task scans its texts, reduced to the
-words that follow such a pair, with the shard's automata and counts all overlapping matches. Sums over tasks are exact, and
-the thresholds are applied to them. Words themselves are counted while phrases are listed. Sketch and
-automata bound memory; a sketch that fills up lets more phrases into the list and changes no result.
+Phrases are words, pairs and triples. Every task deals those of its texts over shards by their hash: a block's
+different phrases, one a line, with their numbers, so that each text is cut and sent once, whatever the number of
+shards. A shard has all lines of its phrases. It sifts them by hash, lists what may be frequent, compiles
+the list into pyahocorasick automata (one a language) whose patterns begin and end with a delimiter, the newline,
+and scans its lines with them; matches overlap in the delimiter, and the sums of what they stand for are exact.
+Shards grow in number with the bytes of text, so that a shard and its automata are bounded.
 
-Within a megabyte of text, words and phrases are told apart by 64-bit hashes when they are listed.
+Before that, tasks add the hashes of words and pairs to a sketch of two rows of counters, which are summed block by
+block on the cluster; a count can only be too high, so a counter under the least count rules a phrase out. A second
+sketch takes the triples whose pairs passed. What fails in them isn't dealt, which changes no result. On texts
+that would fill such a sketch, so that it rules out nothing, all phrases are dealt without it.
+
+Within a block of text, words and phrases are told apart by 64-bit hashes when they are dealt.
 
 A null text is an empty one, a null lang is `und`. Texts are lower-cased (A-Z), cut at `[.,;:!?\\x0A-\\x0D]`
 into pieces and these at spaces and tabs; a phrase lies within a piece. Repeated rows count as often as they
@@ -19,14 +22,15 @@ any length are whole. Columns but text and lang are left out.
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -41,15 +45,17 @@ LEAST, WORDS, TOP, COVER = 10, 3, 2000, 50
 LOG = 25
 #: Counters that are sent as one row.
 BLOCK = 1 << 16
-#: Phrases that are compiled at once; about 350 bytes each in a worker.
+#: Phrases that are compiled at once, at most; about 350 bytes each in a worker.
 SHARD = 700_000
 #: Characters of text that are joined to one block of work, if they are of the same language, and that wait for it in all.
 JOINED, WAITING = 1 << 18, 8 << 20
+#: Characters of text whose phrases are dealt together, and bytes of lines that a task holds before it passes them on.
+DEALT, HELD = 1 << 21, 32 << 20
+#: Bits of the hash that a line is sent with; the first of them choose its shard.
+KEY, FIRST = 40, 24
 #: Bytes that are hashed at once; longer words are hashed one by one.
 SPAN = CHUNK // 8
-#: Words that a task holds before it passes them on, and places for the hashes of phrases that it has listed, as a power of two: 32 MB.
-WORDS_HELD, PHRASES_HELD = 250_000, 22
-#: Tasks a core. A task sends its own sketch and lists a phrase about once, however much it reads.
+#: Tasks a core that make a sketch. Each sends its own, however much it reads.
 TASKS = 2
 _WORD = np.ones(256, np.uint8)
 _WORD[list(b" \t.,;:!?\n\x0b\x0c\r")] = 0
@@ -58,8 +64,8 @@ _CUT[list(b".,;:!?\n\x0b\x0c\r")] = 1
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-#: The automata that this worker holds, by the name of their shard.
-_HELD: dict[str, tuple[dict[str, object], np.ndarray]] = {}
+#: The automata that this worker holds, by language. Held here, so that whatever begins next can let go of them, also after a task that failed.
+_HELD: dict[str, object] = {}
 
 
 class Block:
@@ -102,13 +108,30 @@ class Block:
             h = run_hashes(part, starts, ends)
         return starts + lo, ends + lo, h
 
+    @cached_property
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words with one space behind each, and where they begin there."""
+        out, edge = self.bytes.copy(), np.zeros(len(self.bytes) + 1, np.int8)
+        out[self.ends] = 0x20
+        edge[self.starts] += 1
+        edge[self.ends + 1] -= 1
+        return out[np.cumsum(edge[:-1], dtype=np.int8) > 0], np.concatenate(([0], np.cumsum(self.ends - self.starts + 1)))
+
+    def lines(self, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases that begin at these places, joined by one space and each ended by a newline, and where they end."""
+        flat, begin = self.flat
+        size = begin[at + words] - begin[at]
+        ends = np.cumsum(size)
+        out = flat[np.repeat(begin[at] - ends + size, size) + np.arange(size.sum())]
+        out[ends - 1] = 0x0A
+        return out, ends
+
     def phrases(self, at: np.ndarray, words: int) -> list[str]:
         """The words that begin at these places, joined by one space."""
-        data = self.data
-        return [b" ".join(data[s:e].split()).decode() for s, e in zip(self.starts[at].tolist(), self.ends[at + words - 1].tolist(), strict=True)]
+        return self.lines(at, np.full(len(at), words))[0].tobytes().decode().split("\n")[:-1]
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], joined: int = JOINED) -> Iterator[Block]:
     waiting: dict[str, list[str]] = defaultdict(list)
     size: dict[str, int] = defaultdict(int)
     for batch in batches:
@@ -116,7 +139,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             lang, text = lang.as_py(), text.as_py()
             waiting[lang].append(text)
             size[lang] += len(text) + 1
-            if size[lang] >= JOINED:
+            if size[lang] >= joined:
                 yield Block(lang, waiting.pop(lang))
                 del size[lang]
         if sum(size.values()) >= WAITING:
@@ -212,136 +235,154 @@ def sketch(texts: DataFrame, hashes: Callable[[Block], list[np.ndarray]], least:
     return Passed([tuple(r) for r in parts.mapInArrow(add, "block int, bits binary").collect()], log)  # 8 MB of bits, whatever the input
 
 
-def listed(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
-    """lang, phrase, words, part, n: all that may be frequent, n for single words; a null phrase has the number of all words.
+def dropped() -> None:
+    """This worker's automata are let go. A function of the module, as one that is sent to a worker by value brings its own copy of `_HELD`."""
+    _HELD.clear()
 
-    part is made of the hash of a phrase's first pair: `scanned` finds the phrases of a part in the texts by it.
-    """
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
 
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "phrase", "words", "part", "n"])
+def planed(x: np.ndarray) -> bytes:
+    """64-bit numbers, compressed: all first bytes, then all second ones, and so on."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        words: dict[int, list] = {}
-        met = Met(PHRASES_HELD)
-        for block in blocks(batches):
-            rows.append((block.lang, None, 0, 0, len(block.h[0])))
-            for k, may in enumerate(passing(block, pairs.value, triples.value), 1):
-                at = np.flatnonzero(may)
-                hashes, first, n = np.unique(block.h[k - 1][at], return_index=True, return_counts=True)
-                if k == 1:
-                    known = hashes.tolist()
-                    new = np.array([h not in words for h in known], bool)
-                    for h, phrase in zip(hashes[new].tolist(), block.phrases(at[first[new]], 1), strict=True):
-                        words[h] = [block.lang, phrase, 1, 0, 0]
-                    for h, m in zip(known, n.tolist(), strict=True):
-                        words[h][4] += m
-                else:
-                    fresh = at[first[met.new(hashes)]]
-                    rows += [(block.lang, phrase, k, part, None) for phrase, part in zip(block.phrases(fresh, k), block.part[fresh].tolist(), strict=True)]
-            if len(words) > WORDS_HELD:
-                rows += words.values()
-                words = {}
-            if len(rows) > 50_000:
-                yield packed(rows)
-                rows = []
-        if rows := [*rows, *words.values()]:
-            yield packed(rows)
 
-    found = texts.mapInArrow(run, "lang string, phrase string, words int, part int, n long")
-    return found.groupBy("lang", "phrase", "words", "part").agg(F.sum("n").alias("n"))
+def unplaned(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def dropped() -> None:
-    """This worker's automata are let go. A function of the module, as one that is sent to a worker by value brings its own copy of `_HELD`."""
-    _HELD.clear()
+def dealt(texts: DataFrame, shards: int, pairs: Broadcast | None, triples: Broadcast | None) -> DataFrame:
+    """Rows of a shard: lines of phrases that may be frequent, their keys and how often they were met, and of which languages how many (sizes) they are.
 
+    words: all words of the one language of a row without lines.
+    """
+    kinds = {"shard": pa.int32(), "langs": pa.list_(pa.string()), "sizes": pa.list_(pa.int64()), "words": pa.int64(), "bytes": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "lines": pa.binary()}
+    mask = np.uint64((1 << KEY) - 1)
 
-def compiled(name: str, shard: Broadcast) -> tuple[dict[str, object], np.ndarray]:
-    """An automaton for each language of the shard, and the ids of its phrases; those of another shard go first."""
-    if name not in _HELD:
-        import ahocorasick
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-        dropped()
-        phrases, automata = pa.ipc.open_stream(shard.value).read_all(), {}
-        k = 0
-        for batch in phrases.to_batches(max_chunksize=50_000):
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                if lang not in automata:
-                    automata[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                automata[lang].add_word(f" {phrase} ", k)
-                k += 1
-        for automaton in automata.values():
-            automaton.make_automaton()
-        _HELD[name] = automata, phrases.column("id").to_numpy()
-    return _HELD[name]
-
-
-def guarded(block: Block, two: np.ndarray, first: np.ndarray) -> str:
-    """The words of phrases whose first pair is chosen: one space within a pair, ` . ` elsewhere, spaces at both ends.
-
-    two: the pairs that may be frequent; first: those of them that are chosen. A third word follows if its pair may be frequent.
-    """
-    linked = np.append(first, False)
-    linked[1:-1] |= first[:-1] & two[1:]
-    keep = linked.copy()
-    keep[1:] |= linked[:-1]
-    starts, ends, out = block.starts[keep], block.ends[keep], block.bytes.copy()
-    out[ends] = np.where(linked[keep], 0x20, 0x2E)
-    edge = np.zeros(len(out) + 1, np.int8)
-    edge[starts] += 1
-    edge[ends + 1] -= 1
-    return f" {out[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes().replace(b'.', b' . ').decode()} "
-
-
-def scanned(texts: DataFrame, shard: DataFrame, k: int, shards: int, pairs: Broadcast) -> DataFrame:
-    """id, n: overlapping matches of the phrases (id, lang, phrase) of shard k in all texts."""
-    held, rows = pa.BufferOutputStream(), shard.toArrow()  # about SHARD phrases
-    with pa.ipc.new_stream(held, rows.schema) as out:
-        out.write_table(rows)
-    sent = texts.sparkSession.sparkContext.broadcast(held.getvalue().to_pybytes())
-    name = uuid.uuid4().hex
+    def row(shard: int, parts: list[tuple]) -> tuple:
+        langs, keys, counts, lines = zip(*parts, strict=True)
+        own, data = np.concatenate(keys), b"".join(lines)
+        return shard, langs, [len(k) for k in keys], None, len(data), planed(np.diff(own, prepend=np.uint64(0)) & mask), planed(np.concatenate(counts)), pa.compress(data, codec="zstd", asbytes=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, ids = compiled(name, sent)
-        counts = np.zeros(len(ids), np.int64)
-        for block in blocks(batches):
-            if block.lang in automata and len(block.h[0]) > 1:
-                two = passing(block, pairs.value)[1]
-                text = guarded(block, two, two & (block.part % shards == k))
-                np.add.at(counts, np.fromiter(map(itemgetter(1), automata[block.lang].iter(text)), np.int64), 1)
-        there = np.flatnonzero(counts)
-        for at in np.array_split(there, -(-len(there) // (1 << 16)) or 1):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
+        held: dict[int, list[tuple]] = defaultdict(list)
+        size, words = 0, Counter()
+        for block in blocks(batches, DEALT):
+            words[block.lang] += len(block.h[0])
+            may = passing(block, pairs.value, triples.value) if pairs else block.inside
+            at = [np.flatnonzero(m) for m in may]
+            h = np.concatenate([x[a] for x, a in zip(block.h, at, strict=True)])
+            if not len(h):
+                continue
+            order = np.argsort(h)
+            h = h[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n, keys, chosen = np.diff(first, append=len(h)), h[first] >> np.uint64(64 - KEY), order[first]
+            places, lengths = np.concatenate(at)[chosen], np.repeat(np.arange(1, WORDS + 1), [len(a) for a in at])[chosen]
+            borders = np.searchsorted((keys >> np.uint64(KEY - FIRST)) * np.uint64(shards) >> np.uint64(FIRST), np.arange(shards + 1, dtype=np.uint64))
+            lines, ends = zip(*(block.lines(places[k : k + BLOCK], lengths[k : k + BLOCK]) for k in range(0, len(places), BLOCK)), strict=True)
+            before = np.cumsum([0, *(len(x) for x in lines)])
+            ends = np.concatenate([[0], *(e + b for e, b in zip(ends, before[:-1], strict=True))])
+            data = np.concatenate(lines)
+            there = np.flatnonzero(borders[1:] > borders[:-1])
+            for shard, lo, hi, b, e in zip(there.tolist(), borders[there].tolist(), borders[there + 1].tolist(), ends[borders[there]].tolist(), ends[borders[there + 1]].tolist(), strict=True):
+                held[shard].append((block.lang, keys[lo:hi], n[lo:hi], data[b:e]))
+            size += len(data)
+            if size >= HELD:
+                yield packed([row(*x) for x in held.items()])
+                held.clear()
+                size = 0
+        if rows := [row(*x) for x in held.items()] + [(zlib.crc32(lang.encode()) % shards, [lang], [0], n, 0, b"", b"", b"") for lang, n in words.items()]:
+            yield packed(rows)
+
+    return texts.mapInArrow(run, "shard int, langs array<string>, sizes array<long>, words long, bytes long, keys binary, counts binary, lines binary")
+
+
+def compiled(listed: dict[str, list[str]]) -> dict[str, object]:
+    """An automaton for the phrases of each language; those that the worker held go first."""
+    import ahocorasick
+
+    dropped()
+    for lang, phrases in listed.items():
+        automaton = _HELD[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, phrase in enumerate(phrases):
+            automaton.add_word(f"\n{phrase}\n", k)
+        automaton.make_automaton()
+    return _HELD
+
+
+def scanned(lines: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, words, n: the phrases that occur `least` times, and of each language all words (phrase null). All lines of a phrase are in one partition."""
+
+    def kept(rows: list[dict]) -> Iterator[tuple[str, str, np.ndarray]]:
+        """Language, lines and numbers of the phrases whose hashes were met often enough."""
+        sizes = [sum(r["sizes"]) for r in rows]
+        keys = np.concatenate([np.cumsum(unplaned(r["keys"], n)) & np.uint64((1 << KEY) - 1) for r, n in zip(rows, sizes, strict=True)])
+        counts = np.concatenate([unplaned(r["counts"], n) for r, n in zip(rows, sizes, strict=True)]).astype(np.int64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keep = np.empty(len(keys), bool)
+        keep[order] = np.repeat(np.add.reduceat(counts[order], first) >= least, np.diff(first, append=len(keys)))
+        at = 0
+        for r in rows:
+            data = np.frombuffer(pa.decompress(r["lines"], r["bytes"], codec="zstd"), np.uint8)
+            ends, begin = np.flatnonzero(data == 0x0A) + 1, 0
+            for lang, n in zip(r["langs"], r["sizes"], strict=True):
+                own = ends[:n] - begin
+                if (may := keep[at : at + n]).any():
+                    yield lang, data[begin : ends[n - 1]][np.repeat(may, np.diff(own, prepend=0))].tobytes().decode(), counts[at : at + n][may]
+                at, begin, ends = at + n, ends[n - 1], ends[n:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, rows = Counter(), []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["words"] is None:
+                    rows.append(r)
+                else:
+                    words[r["langs"][0]] += r["words"]
+        yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.nulls(len(words), pa.string()), pa.array([0] * len(words), pa.int32()), pa.array(words.values(), pa.int64())], names=["lang", "phrase", "words", "n"])
+        if not rows:
+            return
+        texts, listed = list(kept(rows)), defaultdict(set)
+        del rows
+        for lang, text, _ in texts:
+            listed[lang].update(text[:-1].split("\n"))
+        listed = {lang: list(phrases) for lang, phrases in listed.items()}
+        automata, sums = compiled(listed), {lang: np.zeros(len(phrases), np.int64) for lang, phrases in listed.items()}
+        for lang, text, n in texts:
+            np.add.at(sums[lang], np.fromiter(map(itemgetter(1), automata[lang].iter(f"\n{text}")), np.int64, len(n)), n)
+        dropped()
+        for lang, phrases in listed.items():
+            found = np.flatnonzero(sums[lang] >= least)
+            for at in np.array_split(found, -(-len(found) // BLOCK) or 1):
+                out = pa.array([phrases[k] for k in at.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), out, pc.add(pc.count_substring(out, " "), pa.scalar(1, pa.int32())), pa.array(sums[lang][at])], names=["lang", "phrase", "words", "n"])
 
-    return texts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return lines.mapInArrow(run, "lang string, phrase string, words int, n long")
 
 
 def counted(docs: DataFrame, least: int = LEAST, shard: int = SHARD, log: int = LOG) -> DataFrame:
-    """lang, phrase, words, n: exact counts of all words and phrases that occur `least` times, of some others, and of all words (phrase null)."""
-    spark = docs.sparkSession
+    """lang, phrase, words, n: exact counts of all words and phrases that occur `least` times, and of all words (words 0, phrase null)."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     texts = spread(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
-    texts = texts.coalesce(TASKS * spark.sparkContext.defaultParallelism)
-    send = spark.sparkContext.broadcast
-    pairs = send(sketch(texts, lambda b: [b.h[0], b.h[1][b.inside[1]]], least, log))
-    triples = send(sketch(texts, lambda b: [b.h[2][passing(b, pairs.value)[2]]], least, log))
-    found = written(listed(texts, pairs, triples), "listed")
-    phrases = written(found.filter("words > 1").select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "words", "part"), "phrases")
-    shards = -(-phrases.count() // shard)
-    out = found.filter("words < 2").select("lang", "phrase", "words", "n")
-    for k in range(shards):
-        own = phrases.filter(F.col("part") % shards == k)
-        sums = written(scanned(texts, own.select("id", "lang", "phrase"), k, shards, pairs), "sums")
-        out = out.unionByName(own.join(sums, "id").select("lang", "phrase", "words", "n"))
-    return out
+    pairs = triples = None
+    if size * 2 // 6 < least << log:  # words and pairs, at six bytes a word: the counters' mean is under least
+        few, send = texts.coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism), docs.sparkSession.sparkContext.broadcast
+        pairs = send(sketch(few, lambda b: [b.h[0], b.h[1][b.inside[1]]], least, log))
+        triples = send(sketch(few, lambda b: [b.h[2][passing(b, pairs.value)[2]]], least, log))
+    # a word and what ends it have two bytes, and each begins three phrases at most: no more than `shard` phrases a shard are frequent, as hashes deal them
+    shards = -(-size * WORDS // (2 * min(least, LEAST) * shard)) or 1
+    return scanned(dealt(texts, shards, pairs, triples).repartitionById(shards, "shard"), least)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int = COVER, shard: int = SHARD, log: int = LOG) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of each language."""
     counts = written(counted(docs, least, shard, log), "phrase-counts")
-    frequent = counts.filter(F.col("words") > 0).filter(F.col("n") >= least)
+    frequent = counts.filter("words > 0")
     words = F.split("phrase", " ")
     candidates = frequent.filter("words > 1").select("lang", "phrase", F.col("n").alias("a"), words.alias("w"))
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1))).select(
