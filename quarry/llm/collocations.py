@@ -50,7 +50,7 @@ SHARD = 700_000
 #: Characters of text that are joined to one block of work, if they are of the same language, and that wait for it in all.
 JOINED, WAITING = 1 << 18, 8 << 20
 #: Characters of text whose phrases are dealt together, and bytes of lines that a task holds before it passes them on.
-DEALT, HELD = 1 << 21, 32 << 20
+DEALT, HELD = 1 << 20, 16 << 20
 #: Bits of the hash that a line is sent with; the first of them choose its shard.
 KEY, FIRST = 40, 24
 #: Bytes that are hashed at once; longer words are hashed one by one.

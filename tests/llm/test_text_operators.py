@@ -8,6 +8,8 @@ from itertools import permutations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quarry.llm import audit, collocations, common, pieces
@@ -200,6 +202,67 @@ def test_collocations_other_thresholds(phrases):
     assert collocations.collocations(phrases.limit(0), log=15).count() == 0
 
 
+@pytest.mark.parametrize("log", [18, 10])
+def test_texts_are_read_for_no_shard(phrases, spark, tmp_path, log):
+    """More shards of phrases don't mean more passes over the texts, with sketches or where those would be full."""
+    phrases.write.parquet(f"{tmp_path}/docs")
+    read, mined_by = spark.sparkContext.accumulator(0), {}
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    for shard in (1_000_000, 600):
+        before = read.value
+        docs = spark.read.parquet(f"{tmp_path}/docs").mapInArrow(counted, phrases.schema)
+        mined_by[shard] = mined(docs, shard=shard, log=log), read.value - before
+    assert mined_by[1_000_000] == mined_by[600]
+    assert mined_by[600][0] == brute_collocations(phrases)
+
+
+def test_full_sketches_are_left_out(phrases, monkeypatch):
+    """Counters that most hashes share would rule out nothing."""
+    monkeypatch.setattr(collocations, "sketch", lambda *a: pytest.fail("a full sketch"))
+    assert mined(phrases, log=10) == brute_collocations(phrases)
+
+
+def test_dealt_lines(spark, monkeypatch):
+    """A task that passes on little at a time loses no line; every phrase is in one shard, with the number of its occurrences; numbers and planes are inverse."""
+    monkeypatch.setattr(collocations, "DEALT", 40)
+    monkeypatch.setattr(collocations, "HELD", 10)
+    monkeypatch.setattr(collocations, "BLOCK", 3)
+    x = np.array([0, 1, 255, 256, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert collocations.unplaned(collocations.planed(x), 6).tolist() == x.tolist()
+    block = collocations.Block("en", ["a\t bb  É. c", "bb É"])
+    lines, ends = block.lines(np.array([0, 1, 3]), np.array([3, 1, 1]))
+    assert (lines.tobytes().decode(), ends.tolist()) == ("a bb É\nbb\nc\n", [8, 11, 13])
+
+    class Texts:
+        def mapInArrow(self, f, schema):
+            self.run = f
+            return self
+
+    texts = ["a b c. a b c", "a b", "", "c. É b\tc"] * 5
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 10, "text": texts})
+    rows = list(collocations.dealt(Texts(), 7, None, None).run(iter([batch])))
+    assert len(rows) > 2 and all(0 <= k < 7 for b in rows for k in b.column("shard").to_pylist())
+    found, shards = [], defaultdict(set)
+    for k in range(7):
+        own = (b.filter(pc.equal(b.column("shard"), k)) for b in rows)
+        for r in (r for b in collocations.scanned(Texts(), 1).run(own) for r in b.to_pylist()):
+            found.append((r["lang"], r["phrase"], r["words"], r["n"]))
+            shards[r["lang"], r["phrase"]].add(k)
+    want = Counter()
+    for lang, text in zip(["en", "de"] * 10, texts, strict=True):
+        for piece in text.split("."):
+            words = piece.split()
+            want.update((lang, " ".join(words[i : i + k]), k) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+            want[lang, None, 0] += len(words)
+    assert sorted(found, key=str) == sorted(((*k, n) for k, n in want.items()), key=str)
+    assert all(len(x) == 1 for x in shards.values())
+
+
 def test_sketch_counters():
     """Counters of one byte stop at the top and count every repeat below it."""
     rng = np.random.default_rng(13)
