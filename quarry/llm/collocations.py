@@ -55,6 +55,8 @@ DEALT, HELD = 1 << 20, 16 << 20
 KEY, FIRST = 40, 24
 #: Bytes that are hashed at once; longer words are hashed one by one.
 SPAN = CHUNK // 8
+#: Parts of a language whose phrases are ranked side by side first.
+PARTS = 32
 #: Tasks a core that make a sketch. Each sends its own, however much it reads.
 TASKS = 2
 _WORD = np.ones(256, np.uint8)
@@ -391,11 +393,17 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int
     both = by_key(written(half, "half"), frequent.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"])
     a, l, r = (f"cast({c} as decimal(19, 0))" for c in "alr")  # products have 38 digits
     scores = both.withColumn("score", F.expr(f"cast(1000000 as decimal(7, 0)) * {a} * {a} div ({l} * {r})"))
-    worst = scores.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("s")).select("lang", "phrase", "s.a", "s.l", "s.r", "s.score")
+    # a score is at most 1000000, as neither part is rarer than the phrase: least score, then least cut, as one number
+    own = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, WORDS) for c in "lr"]
+    worst = scores.groupBy("lang", "phrase").agg(F.min(F.col("score").cast("long") * WORDS + F.col("k")).alias("least"), F.max("a").alias("a"), *own)
+    worst = worst.select("lang", "phrase", "a", *(F.coalesce(*(F.when(F.col("least") % WORDS == k, F.col(f"{c}{k}")) for k in range(1, WORDS))).alias(c) for c in "lr"), F.expr(f"least div {WORDS}").alias("score"))
     longer = candidates.filter(F.size("w") > 2).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
     covers = longer.groupBy("lang", F.array_join(F.slice("w", F.col("k"), 2), " ").alias("phrase")).agg(F.max("a").alias("most"))
     left = worst.join(covers, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("most") < cover * F.col("a"), F.lit(True)))
-    ranked = left.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).filter(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    near = left.withColumn("part", F.pmod(F.hash("phrase"), F.lit(PARTS)))  # the first of a language are among the first of its parts
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*best))).filter(F.col("rank") <= top)
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*best))).filter(F.col("rank") <= top)
     return ranked.join(counts.filter("words = 0").select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
